@@ -17,7 +17,9 @@ from crossbook.operators import book as B
 from crossbook.operators import prices as P
 from crossbook.operators import trades as T
 from crossbook.plans.match import match_orders
-from crossbook.sources.fixtures import events_orders
+from crossbook.sources import ingest as I
+from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
+from crossbook.sources.fixtures import events_orders, order_messages
 
 # The fixture spans 30 days: sample and gap-fill by the hour there.
 FIXTURE_TICK_US = P.HOUR_US
@@ -233,3 +235,80 @@ def q_order_side(spark, sf_dir):
 @query("nonzero_orders")
 def q_nonzero_orders(spark, sf_dir):
     return C.nonzero_orders(events_orders(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- records
+_ORDER_FIELDS = ("order_id", "order_type", "price", "quantity", "timestamp")
+
+
+@query("parse_orders")
+def q_parse_orders(spark, sf_dir):
+    return I.parse_orders(order_messages(spark, sf_dir)).select("source", "msg_id", *_ORDER_FIELDS)
+
+
+@query("quarantine")
+def q_quarantine(spark, sf_dir):
+    return I.quarantine(order_messages(spark, sf_dir)).select(
+        "source", "msg_id", F.length("value").cast("bigint").alias("n_chars"))
+
+
+@query("ingest_counts")
+def q_ingest_counts(spark, sf_dir):
+    return I.ingest_counts(I.parse_records(order_messages(spark, sf_dir), "order"))
+
+
+@query("validate_records")
+def q_validate_records(spark, sf_dir):
+    checked = validate_records(order_messages(spark, sf_dir), CONTRACTS["order"])
+    return checked.select("source", "msg_id", "valid",
+                          F.array_join("violations", ",").alias("violations"))
+
+
+@query("parse_trades")
+def q_parse_trades(spark, sf_dir):
+    legs = T.trade_legs(_fills(spark, sf_dir))
+    msgs = legs.select("symbol", I.to_json_value(legs, "trade").alias("value"))
+    return I.parse_trades(msgs).drop("value")
+
+
+@query("parse_prices")
+def q_parse_prices(spark, sf_dir):
+    points = T.price_points(_fills(spark, sf_dir))
+    msgs = points.select("symbol", "taker_seq", "fill_idx", I.to_json_value(points, "pricepoint").alias("value"))
+    return I.parse_prices(msgs).drop("value")
+
+
+@query("json_round_trip")
+def q_json_round_trip(spark, sf_dir):
+    """PRJ-5: record -> JSON -> record is the identity, for all three records."""
+    orders = events_orders(spark, sf_dir)
+    fills = match_orders(orders).fills
+    parts = []
+    for name, df in (("order", orders), ("trade", T.trade_legs(fills)),
+                     ("pricepoint", T.price_points(fills))):
+        fields = list(CONTRACTS[name]["properties"])
+        back = I.parse_records(df.select(*fields, I.to_json_value(df, name).alias("value")).select(
+            *[F.col(f).alias(f"orig_{f}") for f in fields], "value"), name)
+        same = F.lit(True)
+        for f in fields:
+            same = same & F.col(f).eqNullSafe(F.col(f"orig_{f}"))
+        parts.append(back.agg(F.count(F.lit(1)).alias("records"),
+                              F.sum((same & ~F.col("malformed")).cast("bigint")).alias("identical"))
+                     .select(F.lit(name).alias("record"), "records", "identical"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("validate_schema")
+def q_validate_schema(spark, sf_dir):
+    """VAL-2 on the schemas of the derived order, trade and price tables."""
+    orders = events_orders(spark, sf_dir)
+    fills = match_orders(orders).fills
+    out = None
+    for name, df in (("order", orders), ("trade", T.trade_legs(fills)),
+                     ("pricepoint", T.price_points(fills))):
+        part = validate_schema(spark, df.schema, CONTRACTS[name])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -428,4 +428,84 @@ SELECT symbol, tick_ts AS timestamp, 'mid' AS source, mid_price AS price FROM mi
 SELECT symbol, order_id, seq, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS side,
        abs(quantity) AS magnitude FROM o""",
         "nonzero_orders": o + "SELECT * FROM o WHERE quantity <> 0",
+        **record_oracles(),
+    }
+
+
+ORDER_MESSAGES = f"""
+  SELECT 'order' AS source, seq AS msg_id,
+         CAST(to_json(struct_pack(order_id := order_id, order_type := order_type, price := price,
+                                  quantity := quantity, timestamp := timestamp)) AS VARCHAR) AS value
+  FROM ({EVENTS_ORDERS})
+  UNION ALL
+  SELECT 'props' AS source, event_id AS msg_id, props AS value FROM events
+  UNION ALL
+  SELECT 'chat' AS source, conv_id * 1000 + turn AS msg_id, text AS value FROM conversations"""
+
+
+def _json_is_object() -> str:
+    # j is the text when it is valid JSON, else NULL (json functions raise on bad text)
+    return "coalesce(json_type(j) = 'OBJECT', false)"
+
+
+def _json_type_ok(field: str, ctype: str) -> str:
+    t = f"json_type(j, '$.{field}')"
+    num = f"{t} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+    if ctype == "string":
+        return f"{t} = 'VARCHAR'"
+    if ctype == "number":
+        return num
+    if ctype == "integer":
+        d = f"CAST(json_extract(j, '$.{field}') AS DOUBLE)"
+        return f"({t} IN ('BIGINT', 'UBIGINT') OR ({t} = 'DOUBLE' AND {d} = floor({d})))"
+    if ctype == "boolean":
+        return f"{t} = 'BOOLEAN'"
+    raise ValueError(ctype)
+
+
+def _violations_sql(contract: dict) -> str:
+    required = set(contract["required"])
+    parts = []
+    for f, spec in contract["properties"].items():
+        t = f"json_type(j, '$.{f}')"
+        if f in required:
+            parts.append(f"CASE WHEN {t} IS NULL THEN 'missing:{f}' END")
+        parts.append(f"CASE WHEN {t} IS NOT NULL AND NOT coalesce({_json_type_ok(f, spec['type'])}, false) "
+                     f"THEN 'type:{f}' END")
+    return (f"CASE WHEN j IS NULL THEN 'not_json' "
+            f"WHEN json_type(j) <> 'OBJECT' THEN 'not_object' "
+            f"ELSE concat_ws(',', {', '.join(parts)}) END")
+
+
+def record_oracles() -> dict[str, str]:
+    from crossbook.sources.contracts import CONTRACTS
+    msgs = ("WITH msgs AS (SELECT *, CASE WHEN json_valid(value) THEN value END AS j "
+            f"FROM ({ORDER_MESSAGES}))\n")
+    parsed = f"""
+SELECT source, msg_id,
+       coalesce(json_extract_string(j, '$.order_id'), '') AS order_id,
+       coalesce(json_extract_string(j, '$.order_type'), '') AS order_type,
+       coalesce(CAST(json_extract(j, '$.price') AS DOUBLE), 0.0) AS price,
+       coalesce(CAST(json_extract(j, '$.quantity') AS BIGINT), 0) AS quantity,
+       coalesce(CAST(json_extract(j, '$.timestamp') AS BIGINT), 0) AS timestamp
+FROM msgs WHERE {_json_is_object()}"""
+    viol = _violations_sql(CONTRACTS["order"])
+    m = match_ctes() + _LEGS
+    return {
+        "parse_orders": msgs + parsed,
+        "quarantine": msgs + f"""
+SELECT source, msg_id, length(value) AS n_chars FROM msgs WHERE NOT {_json_is_object()}""",
+        "ingest_counts": msgs + f"""
+SELECT source, CASE WHEN {_json_is_object()} THEN 'consumed' ELSE 'malformed' END AS outcome,
+       count(*) AS messages
+FROM msgs GROUP BY ALL""",
+        "validate_records": msgs + f"""
+SELECT source, msg_id, v = '' AS valid, v AS violations FROM (SELECT source, msg_id, {viol} AS v FROM msgs)""",
+        "parse_trades": m + """
+SELECT symbol, trade_id, order_id, quantity, price, action, status, timestamp FROM legs""",
+        "parse_prices": m + "SELECT symbol, taker_seq, fill_idx, price FROM fills",
+        "json_round_trip": m + """
+SELECT 'order' AS record, count(*) AS records, count(*) AS identical FROM o
+UNION ALL SELECT 'trade', count(*), count(*) FROM legs
+UNION ALL SELECT 'pricepoint', count(*), count(*) FROM fills""",
     }

@@ -73,3 +73,22 @@ def lineitem_to_orders(lineitem: DataFrame) -> DataFrame:
 
 def lineitem_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_to_orders(read_table(spark, sf_dir, "lineitem"))
+
+
+def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw order topic derived from the fixtures: (source, msg_id, value).
+
+    ``order``  the adapted orders as JSON order records
+    ``props``  events.props: JSON objects that carry none of the order fields
+    ``chat``   conversations.text: free text, not JSON at all
+    """
+    orders = events_orders(spark, sf_dir)
+    as_json = F.to_json(F.struct("order_id", "order_type", "price", "quantity", "timestamp"))
+    msgs = orders.select(F.lit("order").alias("source"), F.col("seq").alias("msg_id"),
+                         as_json.alias("value"))
+    props = read_table(spark, sf_dir, "events").select(
+        F.lit("props").alias("source"), F.col("event_id").alias("msg_id"), F.col("props").alias("value"))
+    chat = read_table(spark, sf_dir, "conversations").select(
+        F.lit("chat").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
+        F.col("text").alias("value"))
+    return msgs.unionByName(props).unionByName(chat)
