@@ -38,7 +38,7 @@ def normalize_epoch(value: Column) -> Column:
     micros = (F.when(a < F.lit(10**11), value * 1_000_000)
               .when(a < F.lit(10**14), value * 1000)
               .when(a < F.lit(10**17), value)
-              .otherwise(F.floor(value / 1000)))
+              .otherwise(F.floor(value.cast("decimal(38,0)") / 1000)))
     return F.timestamp_micros(micros.cast("bigint"))
 
 

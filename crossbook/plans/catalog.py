@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from crossbook.functions import columns as C
 from crossbook.operators import book as B
+from crossbook.operators import generate as G
+from crossbook.operators import reconcile as R
+from crossbook.operators import sweep as S
 from crossbook.operators import prices as P
 from crossbook.operators import trades as T
 from crossbook.plans.match import match_orders
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
-from crossbook.sources.fixtures import events_orders, order_messages
+from crossbook.sources import topics as TP
+from crossbook.sources.fixtures import epoch_micros, events_orders, order_messages, read_table
 
 # The fixture spans 30 days: sample and gap-fill by the hour there.
 FIXTURE_TICK_US = P.HOUR_US
@@ -312,3 +316,148 @@ def q_validate_schema(spark, sf_dir):
         part = validate_schema(spark, df.schema, CONTRACTS[name])
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# ---------------------------------------------------------------- reconcile
+def _level_topics(book: DataFrame) -> DataFrame:
+    return B.level_count(book).select(
+        F.concat_ws(":", "symbol", "side").alias("topic"), F.col("levels").alias("partitions"))
+
+
+def _declared_actual(spark, sf_dir):
+    """declared: level counts of the matched books; actual: level counts of
+    the same orders merely rested (no matching)."""
+    orders = events_orders(spark, sf_dir)
+    return (_level_topics(match_orders(orders).book), _level_topics(B.rest_orders(orders)))
+
+
+@query("reconcile_diff")
+def q_reconcile_diff(spark, sf_dir):
+    return R.reconcile_diff(*_declared_actual(spark, sf_dir))
+
+
+@query("key_set_diff")
+def q_key_set_diff(spark, sf_dir):
+    return R.key_set_diff(*_declared_actual(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- generators
+def _event_ids(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
+                     "event_id", epoch_micros(F.col("ts")).alias("timestamp"))
+
+
+def _price_updates(spark, sf_dir):
+    pts = T.price_points(_fills(spark, sf_dir))
+    return pts.select("symbol", (F.col("taker_seq") * 1000 + F.col("fill_idx")).alias("price_id"),
+                      "price", "timestamp")
+
+
+@query("orders_from_prices")
+def q_orders_from_prices(spark, sf_dir):
+    return G.orders_from_prices(_price_updates(spark, sf_dir))
+
+
+@query("order_ids")
+def q_order_ids(spark, sf_dir):
+    gen = G.orders_from_prices(_price_updates(spark, sf_dir))
+    return gen.select("symbol", "seq", "order_id")
+
+
+@query("random_orders")
+def q_random_orders(spark, sf_dir):
+    return G.random_orders(_event_ids(spark, sf_dir))
+
+
+@query("random_trades")
+def q_random_trades(spark, sf_dir):
+    return G.random_trades(_event_ids(spark, sf_dir))
+
+
+@query("normalize_labels")
+def q_normalize_labels(spark, sf_dir):
+    t = G.random_trades(_event_ids(spark, sf_dir))
+    return t.select("trade_id", "order_id", C.normalize_action(F.col("action")).alias("action"),
+                    C.normalize_status(F.col("status")).alias("status"))
+
+
+def _seeds(orders):
+    return G.seed_orders(orders.groupBy("symbol").agg(F.min("timestamp").alias("timestamp")))
+
+
+@query("seed_orders")
+def q_seed_orders(spark, sf_dir):
+    return _seeds(events_orders(spark, sf_dir))
+
+
+@query("seeded_match")
+def q_seeded_match(spark, sf_dir):
+    orders = events_orders(spark, sf_dir)
+    return match_orders(_seeds(orders).unionByName(orders)).fills
+
+
+@query("normalize_epoch")
+def q_normalize_epoch(spark, sf_dir):
+    """PRJ-9: the same instants written in s, ms, µs and ns all normalise to
+    one timestamp (whole seconds for the s column)."""
+    us = epoch_micros(F.col("ts"))
+    ev = read_table(spark, sf_dir, "events").select("event_id", us.alias("us"))
+    units = F.array(
+        F.struct(F.lit("s").alias("unit"), F.floor(F.col("us") / 1_000_000).cast("bigint").alias("v")),
+        F.struct(F.lit("ms").alias("unit"), F.floor(F.col("us") / 1000).cast("bigint").alias("v")),
+        F.struct(F.lit("us").alias("unit"), F.col("us").alias("v")),
+        F.struct(F.lit("ns").alias("unit"), (F.col("us") * 1000).alias("v")))
+    return (ev.select("event_id", F.explode(units).alias("u"))
+            .select("event_id", "u.unit", F.col("u.v").alias("raw"),
+                    F.unix_micros(C.normalize_epoch(F.col("u.v"))).alias("micros")))
+
+
+# ---------------------------------------------------------------- sweeps
+@query("sweep_book")
+def q_sweep_book(spark, sf_dir):
+    orders = events_orders(spark, sf_dir)
+    return S.sweep_book(orders, match_orders(orders).book)
+
+
+@query("crossing_orders")
+def q_crossing_orders(spark, sf_dir):
+    orders = events_orders(spark, sf_dir)
+    return S.crossing_orders(orders, B.mid_price(match_orders(orders).book))
+
+
+# ---------------------------------------------------------------- topics
+@query("topic_dump")
+def q_topic_dump(spark, sf_dir):
+    orders = events_orders(spark, sf_dir)
+    records = orders.select("seq", "timestamp", I.to_json_value(orders, "order").alias("value"))
+    return TP.topic_dump(records, offset=0)
+
+
+@query("sink_orders_json")
+def q_sink_orders_json(spark, sf_dir):
+    return TP.as_topic_rows(C.nonzero_orders(events_orders(spark, sf_dir)), "order", "symbol")
+
+
+@query("sink_trades_json")
+def q_sink_trades_json(spark, sf_dir):
+    return TP.as_topic_rows(T.trade_legs(_fills(spark, sf_dir)), "trade", "trade_id")
+
+
+@query("sink_prices_json")
+def q_sink_prices_json(spark, sf_dir):
+    return TP.as_topic_rows(T.price_points(_fills(spark, sf_dir)), "pricepoint", "symbol")
+
+
+@query("src_price_inputs")
+def q_src_price_inputs(spark, sf_dir):
+    """SRC-2: trades and price points read as one input, split on topic."""
+    fills = _fills(spark, sf_dir)
+    trades = TP.as_topic_rows(T.trade_legs(fills), "trade", "trade_id").withColumn(
+        "topic", F.lit(TP.TRADES_TOPIC))
+    prices = TP.as_topic_rows(T.price_points(fills), "pricepoint").withColumn(
+        "topic", F.lit(TP.PRICES_TOPIC))
+    both = trades.unionByName(prices)
+    price = F.get_json_object("value", "$.price").cast("double")
+    return both.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"),
+                                     F.sum(price).alias("price_sum"))

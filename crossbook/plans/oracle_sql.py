@@ -429,6 +429,7 @@ SELECT symbol, order_id, seq, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END
        abs(quantity) AS magnitude FROM o""",
         "nonzero_orders": o + "SELECT * FROM o WHERE quantity <> 0",
         **record_oracles(),
+        **more_oracles(),
     }
 
 
@@ -509,3 +510,145 @@ SELECT 'order' AS record, count(*) AS records, count(*) AS identical FROM o
 UNION ALL SELECT 'trade', count(*), count(*) FROM legs
 UNION ALL SELECT 'pricepoint', count(*), count(*) FROM fills""",
     }
+
+
+def _mix(x: str, salt: int) -> str:
+    from crossbook.operators.generate import MIX_MOD, MIX_MUL, MIX_SALT
+    return f"(((({x}) % {MIX_MOD}) * {MIX_MUL} + {salt * MIX_SALT}) % {MIX_MOD} * {MIX_MUL} % {MIX_MOD})"
+
+
+def _uniform(x: str, salt: int) -> str:
+    from crossbook.operators.generate import MIX_MOD
+    return f"(CAST({_mix(x, salt)} AS DOUBLE) / CAST({MIX_MOD} AS DOUBLE))"
+
+
+_EVENT_IDS = """
+  SELECT 'U' || CAST(user_id AS VARCHAR) AS symbol, event_id, epoch_us(ts) AS timestamp FROM events"""
+
+SEEDED_ORDERS = f"""
+  SELECT * FROM ({EVENTS_ORDERS})
+  UNION ALL
+  SELECT symbol, 'SEED-' || symbol || '-BID', 'limit', CAST(49.5 AS DOUBLE), CAST(100 AS BIGINT),
+         min(timestamp), CAST(-2 AS BIGINT) FROM ({EVENTS_ORDERS}) GROUP BY symbol
+  UNION ALL
+  SELECT symbol, 'SEED-' || symbol || '-ASK', 'limit', CAST(50.5 AS DOUBLE), CAST(-100 AS BIGINT),
+         min(timestamp), CAST(-1 AS BIGINT) FROM ({EVENTS_ORDERS}) GROUP BY symbol"""
+
+
+def more_oracles() -> dict[str, str]:
+    m = match_ctes()
+    d = "," + ",".join([
+        "\ndeclared AS (SELECT symbol || ':' || side AS topic, count(DISTINCT price) AS partitions "
+        "FROM book GROUP BY symbol, side)",
+        "\nactual AS (SELECT symbol || ':' || side AS topic, count(DISTINCT price) AS partitions "
+        "FROM (SELECT symbol, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS side, price FROM o) "
+        "GROUP BY symbol, side)",
+        "\nj AS (SELECT coalesce(d.topic, a.topic) AS topic, d.partitions AS dp, a.partitions AS ap, "
+        "d.topic IS NOT NULL AS in_d, a.topic IS NOT NULL AS in_a "
+        "FROM declared d FULL OUTER JOIN actual a ON d.topic = a.topic)\n"])
+    gen1 = f""",
+pu AS (SELECT symbol, taker_seq * 1000 + fill_idx AS price_id, price, timestamp FROM fills),
+gen AS (
+  SELECT symbol,
+         'Trader-' || CAST({_mix('price_id', 4)} % 600 AS VARCHAR) || '-'
+           || CAST(timestamp * 1000 + price_id % 1000 AS VARCHAR) AS order_id,
+         'limit' AS order_type,
+         CASE WHEN {_mix('price_id', 2)} % 2 = 0
+              THEN price * (CAST(1.0 AS DOUBLE) + {_uniform('price_id', 3)} / CAST(100.0 AS DOUBLE)) + CAST(0.5 AS DOUBLE)
+              ELSE price * (CAST(1.0 AS DOUBLE) - {_uniform('price_id', 3)} / CAST(100.0 AS DOUBLE)) - CAST(0.5 AS DOUBLE)
+         END AS price,
+         CAST(CASE WHEN {_mix('price_id', 2)} % 2 = 0 THEN 1 ELSE -1 END * (10 + {_mix('price_id', 1)} % 30) AS BIGINT) AS quantity,
+         timestamp, price_id AS seq
+  FROM pu)
+"""
+    ids = f"WITH ids AS ({_EVENT_IDS})\n"
+    rtrades = f"""
+SELECT symbol, 'T-' || CAST(event_id AS VARCHAR) AS trade_id,
+       'T-' || CAST(event_id AS VARCHAR) || '-' || CAST(leg AS VARCHAR) AS order_id,
+       CAST(10 + {_mix('event_id', 7)} % 41 AS BIGINT) AS quantity,
+       CAST(40.0 AS DOUBLE) + {_uniform('event_id', 8)} * CAST(5.0 AS DOUBLE) AS price,
+       CASE WHEN leg = 0 THEN 'BUY' ELSE 'SELL' END AS action, 'PARTIAL' AS status, timestamp
+FROM ids, (SELECT unnest([0, 1]) AS leg)"""
+    to_json_order = ("CAST(to_json(struct_pack(order_id := order_id, order_type := order_type, "
+                     "price := price, quantity := quantity, timestamp := timestamp)) AS VARCHAR)")
+    to_json_trade = ("CAST(to_json(struct_pack(trade_id := trade_id, order_id := order_id, quantity := quantity, "
+                     "price := price, action := action, status := status, timestamp := timestamp)) AS VARCHAR)")
+    return {
+        "reconcile_diff": m + d + """
+SELECT topic, CAST(0 AS INTEGER) AS step, 'DELETE' AS action, CAST(NULL AS BIGINT) AS partitions
+FROM j WHERE in_a AND (NOT in_d OR dp IS DISTINCT FROM ap)
+UNION ALL SELECT topic, CAST(1 AS INTEGER), 'CREATE', dp FROM j WHERE in_a AND in_d AND dp IS DISTINCT FROM ap
+UNION ALL SELECT topic, CAST(0 AS INTEGER), 'READ', CAST(NULL AS BIGINT) FROM j
+          WHERE in_a AND in_d AND dp IS NOT DISTINCT FROM ap
+UNION ALL SELECT topic, CAST(0 AS INTEGER), 'CREATE', dp FROM j WHERE NOT in_a""",
+        "key_set_diff": m + d + """
+SELECT topic, 'declared_only' AS membership FROM j WHERE in_d AND NOT in_a
+UNION ALL SELECT topic, 'actual_only' FROM j WHERE in_a AND NOT in_d
+UNION ALL SELECT topic, 'both' FROM j WHERE in_a AND in_d""",
+        "orders_from_prices": m + gen1 + "SELECT * FROM gen",
+        "order_ids": m + gen1 + "SELECT symbol, seq, order_id FROM gen",
+        "random_orders": ids + f"""
+SELECT symbol, 'R-' || CAST(event_id AS VARCHAR) AS order_id, 'limit' AS order_type,
+       CAST(45 + {_mix('event_id', 5)} % 16 AS DOUBLE) AS price,
+       CAST(CASE WHEN {_mix('event_id', 6)} % 101 - 50 = 0 THEN 1 ELSE {_mix('event_id', 6)} % 101 - 50 END
+            AS BIGINT) AS quantity,
+       timestamp, event_id AS seq
+FROM ids""",
+        "random_trades": ids + rtrades,
+        "normalize_labels": ids + f"""
+SELECT trade_id, order_id, upper(trim(action)) AS action, lower(trim(status)) AS status FROM ({rtrades})""",
+        "seed_orders": with_orders() + """
+SELECT symbol, 'SEED-' || symbol || '-BID' AS order_id, 'limit' AS order_type, CAST(49.5 AS DOUBLE) AS price,
+       CAST(100 AS BIGINT) AS quantity, min(timestamp) AS timestamp, CAST(-2 AS BIGINT) AS seq
+FROM o GROUP BY symbol
+UNION ALL
+SELECT symbol, 'SEED-' || symbol || '-ASK', 'limit', CAST(50.5 AS DOUBLE), CAST(-100 AS BIGINT),
+       min(timestamp), CAST(-1 AS BIGINT)
+FROM o GROUP BY symbol""",
+        "seeded_match": match_ctes(orders_sql=SEEDED_ORDERS) + "SELECT * FROM fills",
+        "normalize_epoch": """
+WITH ev AS (SELECT event_id, epoch_us(ts) AS us FROM events),
+raw AS (
+  SELECT event_id, 's' AS unit, CAST(floor(us / 1000000) AS BIGINT) AS raw FROM ev
+  UNION ALL SELECT event_id, 'ms', CAST(floor(us / 1000) AS BIGINT) FROM ev
+  UNION ALL SELECT event_id, 'us', us FROM ev
+  UNION ALL SELECT event_id, 'ns', us * 1000 FROM ev)
+SELECT event_id, unit, raw,
+       CASE WHEN abs(raw) < 100000000000 THEN raw * 1000000
+            WHEN abs(raw) < 100000000000000 THEN raw * 1000
+            WHEN abs(raw) < 100000000000000000 THEN raw
+            ELSE raw // 1000 END AS micros
+FROM raw""",
+        "sweep_book": m + """,
+mk AS (
+  SELECT symbol, side, price, order_id, remaining,
+         CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY level_seq, queue_pos) - 1 AS INTEGER) AS rank,
+         CAST(sum(remaining) OVER (PARTITION BY symbol, side ORDER BY level_seq, queue_pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - remaining AS BIGINT) AS before
+  FROM book WHERE order_id IS NOT NULL)
+SELECT t.symbol, t.seq AS taker_seq, t.order_id AS taker_order_id,
+       CASE WHEN t.quantity > 0 THEN 'BUY' ELSE 'SELL' END AS taker_side,
+       mk.rank, mk.order_id AS maker_order_id, mk.price,
+       least(mk.remaining, abs(t.quantity) - mk.before) AS quantity
+FROM o t JOIN mk ON mk.symbol = t.symbol AND mk.side = CASE WHEN t.quantity > 0 THEN 'SELL' ELSE 'BUY' END
+WHERE abs(t.quantity) > 0 AND mk.before < abs(t.quantity)
+  AND CASE WHEN t.quantity > 0 THEN mk.price <= t.price ELSE mk.price >= t.price END""",
+        "crossing_orders": m + f""",
+top AS ({_TOP})
+SELECT o.symbol, o.seq, o.order_id, o.side, o.price,
+       CASE WHEN o.side = 'BUY' THEN top.best_ask ELSE top.best_bid END AS opposite_best
+FROM (SELECT *, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS side FROM o) o
+JOIN top ON top.symbol = o.symbol
+WHERE coalesce(CASE WHEN o.side = 'BUY' THEN o.price >= top.best_ask ELSE o.price <= top.best_bid END, false)""",
+        "topic_dump": with_orders() + f"""
+SELECT timestamp, seq AS "offset", {to_json_order} AS value FROM o WHERE seq >= 0""",
+        "sink_orders_json": with_orders() + f"""
+SELECT symbol AS key, {to_json_order} AS value FROM o WHERE quantity <> 0""",
+        "sink_trades_json": m + _LEGS + f"SELECT trade_id AS key, {to_json_trade} AS value FROM legs",
+        "sink_prices_json": m + """
+SELECT symbol AS key, CAST(to_json(struct_pack(price := price)) AS VARCHAR) AS value FROM fills""",
+        "src_price_inputs": m + _LEGS + """
+SELECT 'trades.topic' AS topic, count(*) AS messages, sum(price) AS price_sum FROM legs
+UNION ALL
+SELECT 'order.last_price.topic', count(*), sum(price) FROM fills""",
+    }
