@@ -461,3 +461,76 @@ def q_src_price_inputs(spark, sf_dir):
     price = F.get_json_object("value", "$.price").cast("double")
     return both.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"),
                                      F.sum(price).alias("price_sum"))
+
+
+# ---------------------------------------------------------------- streams
+def _events_stream(spark, sf_dir, max_files=None):
+    from crossbook.streaming.pipelines import file_table_stream
+    schema = read_table(spark, sf_dir, "events").schema
+    return file_table_stream(spark, sf_dir, "events", schema, max_files)
+
+
+def _run_match_stream(spark, sf_dir, name, seeds=False):
+    from crossbook.sources.fixtures import events_to_orders
+    from crossbook.streaming.matcher import match_stream
+    from crossbook.streaming.pipelines import drain, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    seed_df = _seeds(events_orders(spark, sf_dir)) if seeds else None
+    raw = match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seed_df)
+    folder = stream_folder(spark, name)
+    q = drain(raw, folder)
+    return spark.read.parquet(f"{folder}/out"), q
+
+
+@query("match_orders_stream")
+def q_match_orders_stream(spark, sf_dir):
+    """STR-1 on Structured Streaming (transformWithState, availableNow)."""
+    from crossbook.plans.match import MatchResult
+    raw, _ = _run_match_stream(spark, sf_dir, "match_orders")
+    return MatchResult(raw).fills
+
+
+@query("seeded_match_stream")
+def q_seeded_match_stream(spark, sf_dir):
+    """STR-7 on a stream: seeds enter as the processor's initial state."""
+    from crossbook.plans.match import MatchResult
+    raw, _ = _run_match_stream(spark, sf_dir, "seeded_match", seeds=True)
+    return MatchResult(raw).fills
+
+
+@query("drain_available")
+def q_drain_available(spark, sf_dir):
+    """SRC-5: drain the order stream and stop; rows processed in total."""
+    from crossbook.streaming.pipelines import progress_rows
+    _, q = _run_match_stream(spark, sf_dir, "drain")
+    return progress_rows(spark, q).agg(F.sum("input_rows").cast("bigint").alias("rows_processed"))
+
+
+@query("replay_equal")
+def q_replay_equal(spark, sf_dir):
+    """STR-8: two runs from scratch (fresh checkpoints) emit identical rows,
+    ids included: counts of both runs and of their symmetric difference."""
+    from crossbook.plans.match import MatchResult
+    a = T.trade_legs(MatchResult(_run_match_stream(spark, sf_dir, "replay_a")[0]).fills)
+    b = T.trade_legs(MatchResult(_run_match_stream(spark, sf_dir, "replay_b")[0]).fills)
+    both = a.withColumn("run", F.lit(1)).unionByName(b.withColumn("run", F.lit(2)))
+    per_row = both.groupBy(*a.columns).agg(
+        F.sum((F.col("run") == 1).cast("bigint")).alias("n1"),
+        F.sum((F.col("run") == 2).cast("bigint")).alias("n2"))
+    return per_row.agg(F.sum("n1").alias("first_run"), F.sum("n2").alias("second_run"),
+                       F.sum(F.abs(F.col("n1") - F.col("n2"))).alias("differing"))
+
+
+@query("src_microbatch")
+def q_src_microbatch(spark, sf_dir):
+    """SRC-3: the raw order topic consumed in bounded micro-batches (one file
+    per trigger), parsed per batch; returns the good records."""
+    from crossbook.streaming.pipelines import microbatch_parse, stream_folder
+    folder = stream_folder(spark, "microbatch")
+    msgs = order_messages(spark, sf_dir)
+    msgs.repartition(4, "source", "msg_id").write.parquet(f"{folder}/topic")
+    stream = (spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", "1")
+              .parquet(f"{folder}/topic"))
+    microbatch_parse(stream, folder).awaitTermination()
+    out = spark.read.parquet(f"{folder}/batches")
+    return out.where(~F.col("malformed")).select("source", "msg_id", *_ORDER_FIELDS)

@@ -266,12 +266,13 @@ class RawWriter:
         return cols
 
 
-def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None):
+def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late_check=True):
     """Run ``rows`` = iterable of (seq, order_id, price, quantity, timestamp)
-    through ``book``; write fills (and ``late`` rows when ``last_seq`` is
-    given and a row's seq is not above it). Returns the last seq processed."""
+    through ``book``; write fills, and ``late`` rows for rows whose seq is
+    not above the last one processed (when ``late_check``). Returns the last
+    seq processed."""
     for seq, order_id, price, quantity, timestamp in rows:
-        if last_seq is not None and seq is not None and seq <= last_seq:
+        if late_check and last_seq is not None and seq is not None and seq <= last_seq:
             writer.rest(symbol, BUY if (quantity or 0) > 0 else SELL, price, None,
                         None, order_id, seq, quantity, timestamp, kind="late")
             continue

@@ -430,6 +430,11 @@ SELECT symbol, order_id, seq, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END
         "nonzero_orders": o + "SELECT * FROM o WHERE quantity <> 0",
         **record_oracles(),
         **more_oracles(),
+        "match_orders_stream": m + "SELECT * FROM fills",
+        "seeded_match_stream": match_ctes(orders_sql=SEEDED_ORDERS) + "SELECT * FROM fills",
+        "drain_available": "SELECT CAST(count(*) AS BIGINT) AS rows_processed FROM events",
+        "replay_equal": m + _LEGS + """
+SELECT count(*) AS first_run, count(*) AS second_run, CAST(0 AS BIGINT) AS differing FROM legs""",
     }
 
 
@@ -494,6 +499,7 @@ FROM msgs WHERE {_json_is_object()}"""
     m = match_ctes() + _LEGS
     return {
         "parse_orders": msgs + parsed,
+        "src_microbatch": msgs + parsed,
         "quarantine": msgs + f"""
 SELECT source, msg_id, length(value) AS n_chars FROM msgs WHERE NOT {_json_is_object()}""",
         "ingest_counts": msgs + f"""
