@@ -19,16 +19,17 @@ HOUR_US = 3600 * SECOND_US
 INITIAL_PRICE = 50.0
 
 
-def price_stream(legs: DataFrame, points: DataFrame) -> DataFrame:
-    """SET-1: trade prices and price points merged into one stream, ordered
-    by (timestamp, source, offset)."""
-    trades = legs.select("symbol", "timestamp", F.lit("trade").alias("source"),
-                         (F.col("taker_seq") * 1000 + F.col("fill_idx") * 2 + F.col("leg")).alias("src_offset"),
-                         "price")
-    prices = points.select("symbol", "timestamp", F.lit("price").alias("source"),
-                           (F.col("taker_seq") * 1000 + F.col("fill_idx")).alias("src_offset"),
-                           "price")
-    merged = trades.unionByName(prices)
+def price_stream(fills: DataFrame) -> DataFrame:
+    """SET-1: trade prices (two legs per fill) and price points (one per
+    fill) merged into one stream, ordered by (timestamp, source, offset).
+    One pass over the fills: each fill fans out to its three messages."""
+    msgs = F.array(
+        F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2).alias("k")),
+        F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2 + 1).alias("k")),
+        F.struct(F.lit("price").alias("source"), F.col("fill_idx").alias("k")))
+    merged = (fills.select("symbol", "timestamp", "taker_seq", "price", F.explode(msgs).alias("m"))
+              .select("symbol", "timestamp", F.col("m.source").alias("source"),
+                      (F.col("taker_seq") * 1000 + F.col("m.k")).alias("src_offset"), "price"))
     w = Window.partitionBy("symbol").orderBy("timestamp", "source", "src_offset")
     return merged.withColumn("ord", F.row_number().over(w))
 
@@ -53,25 +54,33 @@ def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US) -> DataFrame:
     grid time (top-of-book changes at the same instant come first), only
     where both sides exist and the bid is above 0.
 
-    The grid spans each symbol's first to last top-of-book change; it is
-    generated per symbol with sequence(), so its size is (span / tick)."""
-    bounds = tops.groupBy("symbol").agg(F.min("timestamp").alias("t0"),
-                                        F.max("timestamp").alias("t1"))
-    first = F.ceil(F.col("t0") / tick_us).cast("bigint") * tick_us
-    last = F.floor(F.col("t1") / tick_us).cast("bigint") * tick_us
-    grid = (bounds.where(first <= last)
-            .select("symbol", F.explode(F.sequence(first, last, F.lit(tick_us))).alias("timestamp"))
-            .select("symbol", "timestamp", F.lit(None).cast("long").alias("seq"),
-                    F.lit(1).alias("is_grid"),
-                    F.lit(None).cast("struct<best_bid:double,best_ask:double>").alias("top")))
-    changes = tops.select("symbol", "timestamp", "seq", F.lit(0).alias("is_grid"),
-                          F.struct("best_bid", "best_ask").alias("top"))
-    w = (Window.partitionBy("symbol").orderBy("timestamp", "is_grid", "seq")
+    The grid spans each symbol's first to last top-of-book change. One pass
+    over ``tops``: per-symbol bounds come from window aggregates, and the
+    first change of each symbol also fans out the symbol's grid points
+    (span / tick of them); the as-of is a second window on the same
+    partitioning (no second shuffle)."""
+    by_sym = Window.partitionBy("symbol")
+    bounded = tops.select(
+        "*",
+        (F.ceil(F.min("timestamp").over(by_sym) / tick_us).cast("bigint") * tick_us).alias("_g0"),
+        (F.floor(F.max("timestamp").over(by_sym) / tick_us).cast("bigint") * tick_us).alias("_g1"),
+        (F.row_number().over(by_sym.orderBy("timestamp", "seq")) == 1).alias("_first"))
+    first, last, is_first = F.col("_g0"), F.col("_g1"), F.col("_first")
+    top_t = "struct<best_bid:double,best_ask:double>"
+    change = F.struct(F.col("timestamp").alias("ts"), F.col("seq").alias("seq"),
+                      F.lit(0).alias("is_grid"), F.struct("best_bid", "best_ask").alias("top"))
+    grid = F.when(is_first & (first <= last), F.transform(
+        F.sequence(first, last, F.lit(tick_us)),
+        lambda t: F.struct(t.alias("ts"), F.lit(None).cast("long").alias("seq"),
+                           F.lit(1).alias("is_grid"), F.lit(None).cast(top_t).alias("top")))
+    ).otherwise(F.array().cast(f"array<struct<ts:bigint,seq:bigint,is_grid:int,top:{top_t}>>"))
+    rows = (bounded.select("symbol", F.explode(F.concat(F.array(change), grid)).alias("r"))
+            .select("symbol", "r.ts", "r.seq", "r.is_grid", "r.top"))
+    w = (Window.partitionBy("symbol").orderBy("ts", "is_grid", "seq")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asof = (changes.unionByName(grid)
-            .select("symbol", "timestamp", "is_grid", F.last("top", ignorenulls=True).over(w).alias("top"))
+    asof = (rows.select("symbol", "ts", "is_grid", F.last("top", ignorenulls=True).over(w).alias("top"))
             .where(F.col("is_grid") == 1)
-            .select("symbol", F.col("timestamp").alias("tick_ts"),
+            .select("symbol", F.col("ts").alias("tick_ts"),
                     F.col("top.best_bid").alias("best_bid"), F.col("top.best_ask").alias("best_ask")))
     return (asof.where(F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull()
                        & (F.col("best_bid") > 0))

@@ -33,12 +33,15 @@ def reconcile_diff(declared: DataFrame, actual: DataFrame, key: str = "topic",
 
 
 def key_set_diff(declared: DataFrame, actual: DataFrame, key: str = "topic") -> DataFrame:
-    """SET-4: keys only declared, only actual, or in both (anti, anti, semi)."""
-    dk = declared.select(key).distinct()
-    ak = actual.select(key).distinct()
-    return (dk.join(ak, key, "left_anti").withColumn("membership", F.lit("declared_only"))
-            .unionByName(ak.join(dk, key, "left_anti").withColumn("membership", F.lit("actual_only")))
-            .unionByName(dk.join(ak, key, "left_semi").withColumn("membership", F.lit("both"))))
+    """SET-4: keys only declared, only actual, or in both. One full outer
+    join of the two distinct key sets (each side is read once)."""
+    dk = declared.select(key, F.lit(True).alias("_d")).distinct()
+    ak = actual.select(key, F.lit(True).alias("_a")).distinct()
+    return dk.join(ak, key, "full_outer").select(
+        key,
+        F.when(F.col("_a").isNull(), F.lit("declared_only"))
+         .when(F.col("_d").isNull(), F.lit("actual_only"))
+         .otherwise(F.lit("both")).alias("membership"))
 
 
 def topics_from_yaml(spark, text: str) -> DataFrame:

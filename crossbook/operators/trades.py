@@ -79,14 +79,22 @@ def price_points(fills: DataFrame) -> DataFrame:
     return fills.select("symbol", "taker_seq", "fill_idx", "price", "timestamp")
 
 
+def _order_legs(fills: DataFrame) -> DataFrame:
+    """Both sides of every fill as (symbol, order_id, ..., leg) in ONE pass
+    over the fills (no self-union, so the fold upstream runs once)."""
+    sides = F.array(
+        F.struct(F.col("taker_order_id").alias("order_id"), F.lit(0).alias("leg")),
+        F.struct(F.col("maker_order_id").alias("order_id"), F.lit(1).alias("leg")))
+    return (fills.select("symbol", "taker_seq", "fill_idx", "quantity", F.explode(sides).alias("s"))
+            .select("symbol", "s.order_id", "taker_seq", "fill_idx", "quantity", "s.leg"))
+
+
 def order_fill_state(orders: DataFrame, fills: DataFrame) -> DataFrame:
     """AGG-6: filled and remaining quantity and final status per order.
 
     Fills are reduced per (symbol, order_id) before the join (map-side
     partial aggregation), so the join sees at most one row per order."""
-    taker = fills.select("symbol", F.col("taker_order_id").alias("order_id"), "quantity")
-    maker = fills.select("symbol", F.col("maker_order_id").alias("order_id"), "quantity")
-    filled = (taker.unionByName(maker).groupBy("symbol", "order_id")
+    filled = (_order_legs(fills).groupBy("symbol", "order_id")
               .agg(F.sum("quantity").alias("filled"), F.count(F.lit(1)).alias("n_fills")))
     o = orders.select("symbol", "order_id", "seq",
                       F.abs(F.col("quantity")).alias("original"),
@@ -109,15 +117,11 @@ def order_fill_state(orders: DataFrame, fills: DataFrame) -> DataFrame:
 def running_remaining(orders: DataFrame, fills: DataFrame) -> DataFrame:
     """WIN-5: remaining quantity and status of each order after each of its
     fills, for both sides, as a running sum per order."""
-    taker = fills.select("symbol", F.col("taker_order_id").alias("order_id"),
-                         "taker_seq", "fill_idx", "quantity", F.lit(0).alias("leg"))
-    maker = fills.select("symbol", F.col("maker_order_id").alias("order_id"),
-                         "taker_seq", "fill_idx", "quantity", F.lit(1).alias("leg"))
     o = orders.select("symbol", "order_id", F.abs(F.col("quantity")).alias("original"))
     w = (Window.partitionBy("symbol", "order_id").orderBy("taker_seq", "fill_idx")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     remaining = F.col("original") - F.sum("quantity").over(w)
-    return (taker.unionByName(maker).join(o, ["symbol", "order_id"])
+    return (_order_legs(fills).join(o, ["symbol", "order_id"])
             .select("symbol", "order_id", "taker_seq", "fill_idx", "leg", "quantity",
                     remaining.alias("remaining"))
             .withColumn("status", leg_status(F.col("remaining"))))

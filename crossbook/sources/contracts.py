@@ -138,16 +138,11 @@ def _type_ok(field_v: Column, contract_type: str) -> Column:
     raise UnsupportedContractType(contract_type)
 
 
-def violations(value: Column, contract: dict) -> Column:
-    """VAL-1: ARRAY<STRING> of contract violations of one JSON text:
-    ``not_json``, ``not_object``, ``missing:<f>`` (required and absent),
-    ``type:<f>`` (present, including JSON null, but of the wrong type).
-    A whole-valued number such as 10.0 counts as an integer."""
-    v = F.try_parse_json(value)
+def _violations(v: Column, field_v: dict[str, Column], contract: dict) -> Column:
     required = set(contract.get("required", []))
     checks = []
     for name, spec in contract["properties"].items():
-        fv = F.variant_get(v, f"$.{name}", "variant")
+        fv = field_v[name]
         missing = F.when(fv.isNull() & F.lit(name in required), F.lit(f"missing:{name}"))
         wrong = F.when(fv.isNotNull() & ~F.coalesce(_type_ok(fv, spec["type"]), F.lit(False)),
                        F.lit(f"type:{name}"))
@@ -159,8 +154,27 @@ def violations(value: Column, contract: dict) -> Column:
             .otherwise(field_errors))
 
 
+def violations(value: Column, contract: dict) -> Column:
+    """VAL-1: ARRAY<STRING> of contract violations of one JSON text:
+    ``not_json``, ``not_object``, ``missing:<f>`` (required and absent),
+    ``type:<f>`` (present, including JSON null, but of the wrong type).
+    A whole-valued number such as 10.0 counts as an integer."""
+    v = F.try_parse_json(value)
+    fields = {name: F.variant_get(v, f"$.{name}", "variant") for name in contract["properties"]}
+    return _violations(v, fields, contract)
+
+
 def validate_records(messages: DataFrame, contract: dict, value_col: str = "value") -> DataFrame:
-    """VAL-1 over a message table: adds ``violations`` and ``valid``."""
-    viol = violations(F.col(value_col), contract)
-    return (messages.withColumn("violations", viol)
-            .withColumn("valid", F.size("violations") == 0))
+    """VAL-1 over a message table: adds ``violations`` and ``valid``.
+
+    The text is parsed once into a variant column and each field is
+    extracted once, in separate projections, so the checks reuse them
+    instead of re-parsing the JSON per check."""
+    names = list(contract["properties"])
+    parsed = messages.withColumn("_v", F.try_parse_json(F.col(value_col)))
+    fields = parsed.select("*", *[F.variant_get("_v", f"$.{n}", "variant").alias(f"_f_{n}")
+                                  for n in names])
+    viol = _violations(F.col("_v"), {n: F.col(f"_f_{n}") for n in names}, contract)
+    return (fields.withColumn("violations", viol)
+            .withColumn("valid", F.size("violations") == 0)
+            .drop("_v", *[f"_f_{n}" for n in names]))
