@@ -90,9 +90,10 @@ class Book:
         self.head = residual == "head"
 
     # -- matching -------------------------------------------------------
-    def process(self, order_id, price, quantity, seq, timestamp, emit) -> None:
-        """Match one order; ``emit(fill_idx, maker_entry, qty, level_price,
-        taker_side, taker_remaining)`` is called once per fill."""
+    def process(self, order_id, price, quantity, seq, timestamp, out) -> None:
+        """Match one order; appends one tuple per fill to ``out``:
+        (fill_idx, maker_order_id, maker_seq, qty, level_price, taker_side,
+        taker_remaining, maker_remaining)."""
         if quantity is None:
             quantity = 0
         price = 0.0 if price is None else float(price)
@@ -113,7 +114,7 @@ class Book:
                 level = levels[0]
                 queue = queues[level]
                 remaining, fill_idx = self._fill_queue(
-                    queue, level, remaining, seq, taker_side, fill_idx, emit)
+                    queue, level, remaining, taker_side, fill_idx, out)
                 if not queue:
                     if remaining == 0:
                         del queues[levels.pop()]
@@ -127,20 +128,20 @@ class Book:
                     break
                 queue = queues[level]
                 remaining, fill_idx = self._fill_queue(
-                    queue, level, remaining, seq, taker_side, fill_idx, emit)
+                    queue, level, remaining, taker_side, fill_idx, out)
                 if not queue:
                     del queues[level]
                     heapq.heappop(opp.heap)
         if remaining > 0:
             own.add(price, [order_id, remaining, seq, timestamp], self.first_seen)
 
-    def _fill_queue(self, queue, level, remaining, seq, taker_side, fill_idx, emit):
+    def _fill_queue(self, queue, level, remaining, taker_side, fill_idx, out):
         while remaining > 0 and queue:
             maker = queue.popleft()
             qty = remaining if remaining < maker[1] else maker[1]
             remaining -= qty
             maker[1] -= qty
-            emit(fill_idx, maker, qty, level, taker_side, remaining)
+            out.append((fill_idx, maker[0], maker[2], qty, level, taker_side, remaining, maker[1]))
             fill_idx += 1
             if maker[1] > 0:
                 if self.head:
@@ -195,75 +196,62 @@ class Book:
         return self.bids.best_price_level(), self.asks.best_price_level()
 
 
+# Fields of each output kind, in tuple order (the rest of RAW_COLUMNS is NULL).
+FILL_FIELDS = ("symbol", "seq", "fill_idx", "order_id", "maker_order_id", "maker_seq", "side",
+               "price", "quantity", "taker_remaining", "maker_remaining", "timestamp")
+REST_FIELDS = ("kind", "symbol", "seq", "order_id", "side", "price", "quantity", "timestamp",
+               "level_seq", "queue_pos")
+TOP_FIELDS = ("symbol", "seq", "timestamp", "best_bid", "best_ask")
+
+
 class RawWriter:
-    """Collects fold output rows column-wise (for Arrow batches)."""
+    """Collects fold output as tuples, one list per kind of row."""
+
+    __slots__ = ("fill_rows", "rest_rows", "top_rows")
 
     def __init__(self):
-        self.cols = {name: [] for name in RAW_COLUMNS}
-        self.n = 0
-
-    def fill(self, symbol, seq, fill_idx, order_id, maker, qty, price, side,
-             taker_remaining, timestamp):
-        c = self.cols
-        c["kind"].append("fill")
-        c["symbol"].append(symbol)
-        c["seq"].append(seq)
-        c["fill_idx"].append(fill_idx)
-        c["order_id"].append(order_id)
-        c["maker_order_id"].append(maker[0])
-        c["maker_seq"].append(maker[2])
-        c["side"].append(side)
-        c["price"].append(price)
-        c["quantity"].append(qty)
-        c["taker_remaining"].append(taker_remaining)
-        c["maker_remaining"].append(maker[1])
-        c["timestamp"].append(timestamp)
-        c["level_seq"].append(None)
-        c["queue_pos"].append(None)
-        c["best_bid"].append(None)
-        c["best_ask"].append(None)
-        self.n += 1
-
-    def top(self, symbol, seq, timestamp, bid, ask):
-        c = self.cols
-        for name in RAW_COLUMNS:
-            if name not in ("kind", "symbol", "seq", "timestamp", "best_bid", "best_ask"):
-                c[name].append(None)
-        c["kind"].append("top")
-        c["symbol"].append(symbol)
-        c["seq"].append(seq)
-        c["timestamp"].append(timestamp)
-        c["best_bid"].append(bid)
-        c["best_ask"].append(ask)
-        self.n += 1
+        self.fill_rows, self.rest_rows, self.top_rows = [], [], []
+
+    @property
+    def n(self) -> int:
+        return len(self.fill_rows) + len(self.rest_rows) + len(self.top_rows)
+
+    def fills(self, symbol, seq, order_id, timestamp, fills) -> None:
+        """Rows for the tuples ``Book.process`` appended to ``fills``."""
+        add = self.fill_rows.append
+        for fill_idx, m_oid, m_seq, qty, level, side, t_rem, m_rem in fills:
+            add((symbol, seq, fill_idx, order_id, m_oid, m_seq, side, level, qty, t_rem, m_rem, timestamp))
+
+    def top(self, symbol, seq, timestamp, bid, ask) -> None:
+        self.top_rows.append((symbol, seq, timestamp, bid, ask))
 
     def rest(self, symbol, side, price, level_seq, queue_pos, order_id, seq,
-             remaining, timestamp, kind="rest"):
-        c = self.cols
-        c["kind"].append(kind)
-        c["symbol"].append(symbol)
-        c["seq"].append(seq)
-        c["fill_idx"].append(None)
-        c["order_id"].append(order_id)
-        c["maker_order_id"].append(None)
-        c["maker_seq"].append(None)
-        c["side"].append(side)
-        c["price"].append(price)
-        c["quantity"].append(remaining)
-        c["taker_remaining"].append(None)
-        c["maker_remaining"].append(None)
-        c["timestamp"].append(timestamp)
-        c["level_seq"].append(level_seq)
-        c["queue_pos"].append(queue_pos)
-        c["best_bid"].append(None)
-        c["best_ask"].append(None)
-        self.n += 1
+             remaining, timestamp, kind="rest") -> None:
+        self.rest_rows.append((kind, symbol, seq, order_id, side, price, remaining, timestamp,
+                               level_seq, queue_pos))
+
+    def take_parts(self):
+        """[(kind or None, fields, columns)] per non-empty kind; resets."""
+        parts = []
+        for kind, fields, rows in (("fill", FILL_FIELDS, self.fill_rows),
+                                   (None, REST_FIELDS, self.rest_rows),
+                                   ("top", TOP_FIELDS, self.top_rows)):
+            if rows:
+                parts.append((kind, fields, list(zip(*rows))))
+        self.fill_rows, self.rest_rows, self.top_rows = [], [], []
+        return parts
 
     def take(self) -> dict:
-        cols = self.cols
-        self.cols = {name: [] for name in RAW_COLUMNS}
-        self.n = 0
-        return cols
+        """All rows as columns (name -> list) in RAW_COLUMNS; resets."""
+        out = {name: [] for name in RAW_COLUMNS}
+        for kind, fields, cols in self.take_parts():
+            n = len(cols[0])
+            by_name = dict(zip(fields, cols))
+            if kind is not None:
+                by_name["kind"] = [kind] * n
+            for name in RAW_COLUMNS:
+                out[name].extend(by_name.get(name, (None,) * n))
+        return out
 
 
 def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late_check=True):
@@ -271,18 +259,16 @@ def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late
     through ``book``; write fills, and ``late`` rows for rows whose seq is
     not above the last one processed (when ``late_check``). Returns the last
     seq processed."""
+    out = []
     for seq, order_id, price, quantity, timestamp in rows:
         if late_check and last_seq is not None and seq is not None and seq <= last_seq:
             writer.rest(symbol, BUY if (quantity or 0) > 0 else SELL, price, None,
                         None, order_id, seq, quantity, timestamp, kind="late")
             continue
-
-        def emit(fill_idx, maker, qty, level, side, taker_remaining,
-                 _seq=seq, _oid=order_id, _ts=timestamp):
-            writer.fill(symbol, _seq, fill_idx, _oid, maker, qty, level, side,
-                        taker_remaining, _ts)
-
-        book.process(order_id, price, quantity, seq, timestamp, emit)
+        book.process(order_id, price, quantity, seq, timestamp, out)
+        if out:
+            writer.fills(symbol, seq, order_id, timestamp, out)
+            out.clear()
         if seq is not None:
             last_seq = seq if last_seq is None else max(last_seq, seq)
     return last_seq

@@ -20,6 +20,7 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -69,6 +70,43 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["crossbook"])
 
 
+def _arrow(values, typ) -> pa.Array:
+    """Python values -> Arrow; numeric columns without nulls go through numpy."""
+    if (pa.types.is_integer(typ) or pa.types.is_floating(typ)) and None not in values:
+        return pa.array(np.array(values, dtype=typ.to_pandas_dtype()), type=typ)
+    return pa.array(values, type=typ)
+
+
+def _to_batches(writer: RawWriter):
+    """One Arrow batch per kind of row; columns a kind never sets are null
+    arrays (no per-element conversion)."""
+    for kind, fields, cols in writer.take_parts():
+        n = len(cols[0])
+        by_name = dict(zip(fields, cols))
+        arrays = []
+        for f in ARROW_SCHEMA:
+            if f.name == "kind" and kind is not None:
+                arrays.append(pa.array([kind] * n, type=f.type))
+            elif f.name in by_name:
+                arrays.append(_arrow(by_name[f.name], f.type))
+            else:
+                arrays.append(pa.nulls(n, type=f.type))
+        yield pa.RecordBatch.from_arrays(arrays, schema=ARROW_SCHEMA)
+
+
+def _column_lists(batch: pa.RecordBatch):
+    """Input columns as Python lists (numpy-backed conversion: much faster
+    than Arrow's per-element to_pylist)."""
+    out = []
+    for name in FOLD_INPUT:
+        col = batch.column(name)
+        if col.null_count:
+            out.append(col.to_pylist())
+        else:
+            out.append(col.to_numpy(zero_copy_only=False).tolist())
+    return out
+
+
 def fold_batches(batches, level_priority="best_price", residual="tail", emit_top=False):
     """mapInArrow body: input sorted by (symbol, seq) within the partition.
 
@@ -78,33 +116,29 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
     book = None
     current = None
     last_top = (None, None)
+    out = []
     for batch in batches:
-        cols = [batch.column(name).to_pylist() for name in FOLD_INPUT]
-        for symbol, seq, order_id, price, quantity, ts in zip(*cols):
+        for symbol, seq, order_id, price, quantity, ts in zip(*_column_lists(batch)):
             if symbol != current or book is None:
                 if book is not None:
                     write_snapshot(book, current, writer)
                 book = Book(level_priority, residual)
                 current = symbol
                 last_top = (None, None)
-
-            def emit(fill_idx, maker, qty, level, side, taker_remaining,
-                     _sym=symbol, _seq=seq, _oid=order_id, _ts=ts):
-                writer.fill(_sym, _seq, fill_idx, _oid, maker, qty, level, side,
-                            taker_remaining, _ts)
-
-            book.process(order_id, price, quantity, seq, ts, emit)
+            book.process(order_id, price, quantity, seq, ts, out)
+            if out:
+                writer.fills(symbol, seq, order_id, ts, out)
+                out.clear()
             if emit_top:
                 top = book.top()
                 if top != last_top:
                     writer.top(symbol, seq, ts, top[0], top[1])
                     last_top = top
         if writer.n >= OUTPUT_BATCH_ROWS:
-            yield pa.RecordBatch.from_pydict(writer.take(), schema=ARROW_SCHEMA)
+            yield from _to_batches(writer)
     if book is not None:
         write_snapshot(book, current, writer)
-    if writer.n:
-        yield pa.RecordBatch.from_pydict(writer.take(), schema=ARROW_SCHEMA)
+    yield from _to_batches(writer)
 
 
 @dataclass(frozen=True)

@@ -29,8 +29,7 @@ META_STATE = "last_seq bigint"
 
 def _rows(writer: RawWriter):
     cols = writer.take()
-    n = len(cols["kind"])
-    for i in range(n):
+    for i in range(len(cols["kind"])):
         yield Row(**{name: cols[name][i] for name in RAW_COLUMNS})
 
 

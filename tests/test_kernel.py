@@ -44,7 +44,7 @@ def test_g_step_by_step_first_seen():
     book = Book("first_seen", "tail")
     steps = []
     for oid, p, q in TRACES["G"]:
-        book.process(oid, float(p), q, len(steps), 0, lambda *a: None)
+        book.process(oid, float(p), q, len(steps), 0, [])
         steps.append(live_book(book))
     assert steps[0] == {"BUY": [(10, "b1", 20)], "SELL": []}
     assert steps[1] == {"BUY": [(10, "b1", 20)], "SELL": [(11, "s1", 25)]}
@@ -64,7 +64,7 @@ def test_y_leaves_ghost_level_then_drops_all():
     deleted and 11 stays as an empty ghost; b2 crossing the ghost drops it."""
     book = Book("first_seen", "tail")
     for i, (oid, p, q) in enumerate(TRACES["Y"][:3]):
-        book.process(oid, float(p), q, i, 0, lambda *a: None)
+        book.process(oid, float(p), q, i, 0, [])
     assert book.asks.levels == [11.0] and len(book.asks.queues[11.0]) == 0
     assert book.top() == (None, 11.0)
     snap = list(book.snapshot())
@@ -82,17 +82,17 @@ def test_rest_without_matching():
 def test_zero_quantity_is_noop():
     book = Book()
     fills = []
-    book.process("b", 10.0, 5, 0, 0, lambda *a: fills.append(a))
-    book.process("z", 1.0, 0, 1, 0, lambda *a: fills.append(a))
+    book.process("b", 10.0, 5, 0, 0, fills)
+    book.process("z", 1.0, 0, 1, 0, fills)
     assert fills == [] and live_book(book) == {"BUY": [(10.0, "b", 5)], "SELL": []}
 
 
 def test_zero_price_sell_acts_as_market_sell():
     book = Book()
     fills = []
-    book.process("b", 10.0, 5, 0, 0, lambda *a: fills.append(a))
-    book.process("s", None, -5, 1, 0, lambda *a: fills.append(a))
-    assert len(fills) == 1 and fills[0][3] == 10.0
+    book.process("b", 10.0, 5, 0, 0, fills)
+    book.process("s", None, -5, 1, 0, fills)
+    assert len(fills) == 1 and fills[0][4] == 10.0
 
 
 def test_snapshot_round_trip():
