@@ -34,6 +34,13 @@ def run(df) -> float:
     return time.perf_counter() - t0
 
 
+def timed(make) -> float:
+    """Seconds to build the query (some run eager checkpoint jobs) and run it."""
+    t0 = time.perf_counter()
+    make().write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - t0
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,7 +53,7 @@ def main() -> None:
 
     times = {}
     for name in HEADLINE:
-        times[name] = round(run(qs[name](spark, sf_dir)), 3)
+        times[name] = round(timed(lambda: qs[name](spark, sf_dir)), 3)
 
     # the bench adapter: every lineitem row is an order, one symbol per part
     orders = lineitem_orders(spark, sf_dir)

@@ -8,8 +8,13 @@ The first_seen policy can leave an empty ("ghost") level; it appears as one
 row with NULL order_id and remaining 0, so level counts and best prices see
 it the way the matcher does, while sums and order counts ignore it.
 
-Every query is a grouped aggregate or a window; aggregates run map-side
-first, so a hot symbol costs one small partial row per task.
+Every query is a grouped aggregate or a running scan; aggregates run
+map-side first, so a hot symbol costs one small partial row per task, and
+running positions/depths use ``functions.scan``, which measures the largest
+key and splits a hot symbol over several tasks instead of running one
+window task for it. The scans read their input twice (measure, compute):
+pass a materialised book (``MatchResult.checkpoint()``) when it comes
+straight from the fold.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crossbook.functions.scan import has_hot_key, running_count, running_sums
+
 BOOK_COLUMNS = ("symbol", "side", "price", "level_seq", "queue_pos", "order_id", "seq",
                 "remaining", "timestamp")
 
@@ -41,11 +48,16 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
         "symbol", "side", "price",
         (F.dense_rank().over(Window.partitionBy("symbol", "side").orderBy(*order)) - 1)
         .cast("int").alias("level_seq"))
-    queue_pos = (F.row_number().over(
-        Window.partitionBy("symbol", "side", "price").orderBy("seq")) - 1).cast("int")
-    return (o.join(ranked, ["symbol", "side", "price"])
-            .select("symbol", "side", "price", "level_seq", queue_pos.alias("queue_pos"),
-                    "order_id", "seq", "remaining", "timestamp"))
+    with_level = o.join(ranked, ["symbol", "side", "price"])
+    # queue position inside a level: a running count by seq. The join only
+    # enriches rows, so hot levels are measured on the cheap order scan.
+    keys = ["symbol", "side", "price"]
+    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strategy = "split" if has_hot_key(o, keys, n) else "window"
+    queued = running_count(with_level, keys, ["seq"], "queue_pos", strategy=strategy)
+    return queued.select("symbol", "side", "price", "level_seq",
+                         (F.col("queue_pos") - 1).cast("int").alias("queue_pos"),
+                         "order_id", "seq", "remaining", "timestamp")
 
 
 def _best(side: str):
@@ -109,30 +121,26 @@ def level_queues(book: DataFrame) -> DataFrame:
 
 
 def queue_position(book: DataFrame) -> DataFrame:
-    """WIN-1: FIFO position within a level, 1-based, as a window."""
-    w = Window.partitionBy("symbol", "side", "price").orderBy("queue_pos")
-    return (book.where(F.col("order_id").isNotNull())
-            .select("symbol", "side", "price", "order_id", "remaining",
-                    F.row_number().over(w).alias("position")))
-
-
-def _priority_window():
-    return Window.partitionBy("symbol", "side").orderBy("level_seq", "queue_pos")
+    """WIN-1: FIFO position within a level, 1-based."""
+    live = book.where(F.col("order_id").isNotNull()).select(
+        "symbol", "side", "price", "queue_pos", "order_id", "remaining")
+    return running_count(live, ["symbol", "side", "price"], ["queue_pos"], "position").drop("queue_pos")
 
 
 def match_priority(book: DataFrame) -> DataFrame:
     """WIN-2: the order in which a sweep meets the resting orders."""
-    return (book.where(F.col("order_id").isNotNull())
-            .select("symbol", "side", "price", "order_id", "remaining",
-                    F.row_number().over(_priority_window()).alias("priority")))
+    live = book.where(F.col("order_id").isNotNull()).select(
+        "symbol", "side", "price", "level_seq", "queue_pos", "order_id", "remaining")
+    return running_count(live, ["symbol", "side"], ["level_seq", "queue_pos"], "priority").drop(
+        "level_seq", "queue_pos")
 
 
 def book_depth(book: DataFrame) -> DataFrame:
     """WIN-3: cumulative quantity met by a sweep, from the best level outward."""
-    w = _priority_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (book.where(F.col("order_id").isNotNull())
-            .select("symbol", "side", "price", "order_id", "remaining",
-                    F.sum("remaining").over(w).cast("bigint").alias("cum_depth")))
+    live = book.where(F.col("order_id").isNotNull()).select(
+        "symbol", "side", "price", "level_seq", "queue_pos", "order_id", "remaining")
+    return running_sums(live, ["symbol", "side"], ["level_seq", "queue_pos"],
+                        {"cum_depth": "remaining"}).drop("level_seq", "queue_pos")
 
 
 def _ladder(book: DataFrame, side: str, ascending: bool) -> DataFrame:

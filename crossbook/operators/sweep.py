@@ -19,16 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crossbook.functions.columns import side as side_of
+from crossbook.functions.scan import running_sums
 
 
 def _depth(book: DataFrame) -> DataFrame:
-    """Live makers with their priority rank and depth before them."""
-    w = Window.partitionBy("symbol", "side").orderBy("level_seq", "queue_pos")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (book.where(F.col("order_id").isNotNull())
-            .select("symbol", "side", "price", "order_id", "remaining",
-                    (F.row_number().over(w) - 1).cast("int").alias("rank"),
-                    (F.sum("remaining").over(run) - F.col("remaining")).cast("bigint").alias("before")))
+    """Live makers with their priority rank and depth before them (a
+    skew-safe running count and sum per side)."""
+    live = book.where(F.col("order_id").isNotNull()).select(
+        "symbol", "side", "price", "level_seq", "queue_pos", "order_id", "remaining",
+        F.lit(1).cast("bigint").alias("_one"))
+    scanned = running_sums(live, ["symbol", "side"], ["level_seq", "queue_pos"],
+                           {"_n": "_one", "_cum": "remaining"})
+    return scanned.select("symbol", "side", "price", "order_id", "remaining",
+                          (F.col("_n") - 1).cast("int").alias("rank"),
+                          (F.col("_cum") - F.col("remaining")).cast("bigint").alias("before"))
 
 
 def _asof_count(makers: DataFrame, takers: DataFrame, maker_key, taker_key,

@@ -155,19 +155,24 @@ def q_level_queues(spark, sf_dir):
     return B.level_queues(_book(spark, sf_dir))
 
 
+def _checkpointed_book(spark, sf_dir):
+    """Book scans measure their input before computing: fold once."""
+    return _match(spark, sf_dir).checkpoint().book
+
+
 @query("queue_position")
 def q_queue_position(spark, sf_dir):
-    return B.queue_position(_book(spark, sf_dir))
+    return B.queue_position(_checkpointed_book(spark, sf_dir))
 
 
 @query("match_priority")
 def q_match_priority(spark, sf_dir):
-    return B.match_priority(_book(spark, sf_dir))
+    return B.match_priority(_checkpointed_book(spark, sf_dir))
 
 
 @query("book_depth")
 def q_book_depth(spark, sf_dir):
-    return B.book_depth(_book(spark, sf_dir))
+    return B.book_depth(_checkpointed_book(spark, sf_dir))
 
 
 @query("ask_ladder")

@@ -205,7 +205,10 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
     # tasks, because the fold is CPU-bound per row, not bytes-bound.
     n = num_partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.repartition(n, "symbol")
-    return df.sortWithinPartitions("symbol", "seq", *extra).select(*FOLD_INPUT)
+    # Every input column breaks ties, so a retried task (or a rerun) sees the
+    # same order even when seq repeats: the fold's output is deterministic.
+    tail = [c for c in ("order_id", "price", "quantity", "timestamp") if c not in extra]
+    return df.sortWithinPartitions("symbol", "seq", *extra, *tail).select(*FOLD_INPUT)
 
 
 def match_orders(orders: DataFrame, level_priority: str = "best_price",

@@ -157,3 +157,14 @@ def test_sweep_equals_brute_force(spark):
                 expect.append((seq, m.order_id, min(m.remaining, abs(q) - before)))
             before += m.remaining
     assert got == sorted(expect)
+
+
+def test_match_to_tables_round_trip(spark, tmp_path):
+    from crossbook.plans.jobs import match_to_tables
+    df = all_traces_df(spark)
+    written = match_to_tables(df, str(tmp_path / "m"), emit_top=True)
+    direct = match_orders(df, emit_top=True)
+    for view in ("fills", "book", "tops"):
+        a, b = getattr(written, view), getattr(direct, view)
+        assert a.exceptAll(b.select(*a.columns)).count() == 0
+        assert b.select(*a.columns).exceptAll(a).count() == 0

@@ -124,3 +124,21 @@ def test_heartbeat_repeats_last_price(spark, tmp_path):
     finally:
         q.stop()
     assert len(beats) >= 2 and {r.price for r in beats} <= {50.0, 51.0}
+
+
+def test_observed_ingest_counts(spark, tmp_path):
+    from crossbook.sources.ingest import parse_records
+    from crossbook.streaming.pipelines import observe_ingest
+    src = str(tmp_path / "msgs")
+    rows = [('{"order_id":"a","order_type":"limit","price":1.0,"quantity":1,"timestamp":1}',),
+            ("not json",), ('{"order_id":"b","order_type":"limit","price":1.0,"quantity":-1,"timestamp":2}',)]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("value string").parquet(src)
+    observed = observe_ingest(parse_records(stream, "order"))
+    out = str(tmp_path / "out")
+    q = (observed.writeStream.format("parquet").option("path", out + "/data")
+         .option("checkpointLocation", out + "/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    metrics = [p["observedMetrics"]["ingest"] for p in q.recentProgress if p.get("observedMetrics")]
+    assert metrics and metrics[0]["messages"] == 3 and metrics[0]["consumed"] == 2 \
+        and metrics[0]["malformed"] == 1
