@@ -144,3 +144,81 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], out: str,
     tmp = df.withColumn("_scan_one", F.lit(1).cast("bigint"))
     res = running_sums(tmp, keys, order, {out: "_scan_one"}, num_partitions, strategy)
     return res.drop("_scan_one").withColumn(out, F.col(out).cast("int"))
+
+
+def _local_last(batches, keys, values, outs):
+    """Per-partition carry of the last non-null value (rows sorted by key, order)."""
+    import pandas as pd
+
+    prev_key = None
+    carry = {}
+    for batch in batches:
+        if batch.num_rows == 0:
+            for v, out in zip(values, outs):
+                batch = batch.append_column(out, pa.array([], type=batch.schema.field(v).type))
+            yield batch
+            continue
+        pdf = pa.Table.from_batches([batch]).select(list(dict.fromkeys(keys + values))).to_pandas()
+        grouped = pdf.groupby(keys, sort=False, dropna=False)
+        first = None
+        if prev_key is not None:
+            first = pd.Series(True, index=pdf.index)
+            for k, pk in zip(keys, prev_key):
+                first &= pdf[k].eq(pk) if pk is not None else pdf[k].isna()
+        last = pdf.iloc[-1]
+        last_key = tuple(None if pd.isna(last[k]) else last[k] for k in keys)
+        new_carry = {}
+        for v, out in zip(values, outs):
+            filled = grouped[v].ffill()
+            if first is not None and carry.get(out) is not None:
+                filled = filled.where(~(first & filled.isna()), carry[out])
+            tail = filled.iloc[-1]
+            new_carry[out] = None if pd.isna(tail) else tail
+            batch = batch.append_column(
+                out, pa.array(filled, type=batch.schema.field(v).type, from_pandas=True))
+        prev_key, carry = last_key, new_carry
+        yield batch
+
+
+def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+                 num_partitions: int | None = None, strategy: str = "auto",
+                 probe: DataFrame | None = None) -> DataFrame:
+    """Adds ``out = last non-null values[out]`` per key up to and including
+    the row (``last(x, ignorenulls)`` over a running window), numeric or
+    string columns. ``strategy`` as in ``running_sums``; ``probe`` is a
+    cheaper DataFrame with the same key distribution to measure instead of
+    ``df`` (e.g. the order scan when ``df`` also holds fold output)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if strategy == "auto":
+        strategy = "split" if has_hot_key(probe if probe is not None else df, keys, n) else "window"
+    if strategy == "window":
+        w = (Window.partitionBy(*keys).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(o) for o, v in values.items()])
+    outs, vals = list(values), [values[o] for o in values]
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id())
+    local_outs = [f"_local_{o}" for o in outs]
+    types = {f.name: f.dataType for f in ranged.schema.fields}
+    schema = StructType(list(ranged.schema.fields)
+                        + [StructField(lo, types[v], True) for lo, v in zip(local_outs, vals)])
+
+    def scan(batches):
+        return _local_last(batches, keys, vals, local_outs)
+
+    # materialised once: range bounds are sampled per execution (see running_sums)
+    local = ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema).checkpoint(eager=True)
+    order_key = F.struct(*order)
+    tails = local.groupBy(PID, *keys).agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), order_key)).alias(f"_tail_{o}")
+          for v, o in zip(vals, outs)])
+    by_key = Window.partitionBy(*keys)
+    before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (tails.withColumn("_parts", F.count(F.lit(1)).over(by_key))
+               .where(F.col("_parts") > 1)
+               .select(PID, *keys, *[F.last(f"_tail_{o}", ignorenulls=True).over(before).alias(f"_carry_{o}")
+                                     for o in outs]))
+    joined = local.join(F.broadcast(carried), [PID, *keys], "left")
+    return joined.select(
+        *df.columns,
+        *[F.coalesce(F.col(f"_local_{o}"), F.col(f"_carry_{o}")).alias(o) for o in outs])

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crossbook.functions.scan import running_last
+
 SECOND_US = 1_000_000
 HOUR_US = 3600 * SECOND_US
 # Fixed value: the trader pool's price before it has seen any.
@@ -36,17 +38,18 @@ def price_stream(fills: DataFrame) -> DataFrame:
 
 def last_price(orders: DataFrame, points: DataFrame, initial: float = INITIAL_PRICE) -> DataFrame:
     """WIN-4: for each order, the last price its symbol printed before it
-    arrived (``initial`` before the first)."""
+    arrived (``initial`` before the first). A running "last non-null" per
+    symbol over orders and prints, split across tasks when a symbol is hot
+    (measured on the order scan)."""
     # an order sorts before its own fills (same seq): it sees earlier prints only
     o = orders.select("symbol", "seq", F.lit(None).cast("double").alias("price"),
                       F.lit(0).alias("kind"), F.lit(0).alias("fill_idx"))
     p = points.select("symbol", F.col("taker_seq").alias("seq"), "price",
                       F.lit(1).alias("kind"), "fill_idx")
-    w = (Window.partitionBy("symbol").orderBy("seq", "kind", "fill_idx")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carried = F.coalesce(F.last("price", ignorenulls=True).over(w), F.lit(initial))
-    return (o.unionByName(p).select("symbol", "seq", "kind", carried.alias("last_price"))
-            .where(F.col("kind") == 0).drop("kind"))
+    carried = running_last(o.unionByName(p), ["symbol"], ["seq", "kind", "fill_idx"],
+                           {"_last": "price"}, probe=orders.select("symbol"))
+    return carried.where(F.col("kind") == 0).select(
+        "symbol", "seq", F.coalesce(F.col("_last"), F.lit(initial)).alias("last_price"))
 
 
 def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crossbook.functions.columns import side as side_of
-from crossbook.functions.scan import running_sums
+from crossbook.functions.scan import has_hot_key, running_last, running_sums
 
 
 def _depth(book: DataFrame) -> DataFrame:
@@ -36,20 +36,20 @@ def _depth(book: DataFrame) -> DataFrame:
 
 
 def _asof_count(makers: DataFrame, takers: DataFrame, maker_key, taker_key,
-                maker_first: bool, name: str) -> DataFrame:
+                maker_first: bool, name: str, strategy: str) -> DataFrame:
     """Per taker: 1 + the highest maker rank whose key sorts before the
-    taker's key (ties: makers first when ``maker_first``)."""
+    taker's key (ties: makers first when ``maker_first``). A running
+    "last non-null rank" over the merged, key-ordered rows of each side."""
     m = makers.select("symbol", F.col("side").alias("mside"), maker_key.alias("key"),
                       F.lit(0 if maker_first else 1).alias("tie"), "rank",
                       F.lit(None).cast("long").alias("tid"))
     t = takers.select("symbol", "mside", taker_key.alias("key"),
                       F.lit(1 if maker_first else 0).alias("tie"),
                       F.lit(None).cast("int").alias("rank"), F.col("tid"))
-    w = (Window.partitionBy("symbol", "mside").orderBy("key", "tie", "rank")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (m.unionByName(t)
-            .select("symbol", "tid", (F.coalesce(F.last("rank", ignorenulls=True).over(w), F.lit(-1)) + 1).alias(name))
-            .where(F.col("tid").isNotNull()))
+    carried = running_last(m.unionByName(t), ["symbol", "mside"], ["key", "tie", "rank", "tid"],
+                           {"_last_rank": "rank"}, strategy=strategy)
+    return (carried.where(F.col("tid").isNotNull())
+            .select("symbol", "tid", (F.coalesce(F.col("_last_rank"), F.lit(-1)) + 1).alias(name)))
 
 
 def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
@@ -67,9 +67,12 @@ def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
     # asks cross a buy when price <= limit; bids cross a sell when price >= limit
     signed = F.when(F.col("side") == "SELL", F.col("price")).otherwise(-F.col("price"))
     t_signed = F.when(F.col("mside") == "SELL", F.col("limit")).otherwise(-F.col("limit"))
-    n_cross = _asof_count(makers, t, signed, t_signed, True, "n_cross")
+    # one measurement of the (symbol, side) load, on the taker scan
+    n = int(takers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strategy = "split" if has_hot_key(t, ["symbol", "mside"], n) else "window"
+    n_cross = _asof_count(makers, t, signed, t_signed, True, "n_cross", strategy)
     n_depth = _asof_count(makers, t, F.col("before").cast("double"),
-                          F.col("want").cast("double"), False, "n_depth")
+                          F.col("want").cast("double"), False, "n_depth", strategy)
     k = (t.join(n_cross, ["symbol", "tid"]).join(n_depth, ["symbol", "tid"])
          .withColumn("k", F.least("n_cross", "n_depth")).where(F.col("k") > 0))
     hits = k.select("symbol", "tid", "taker_order_id", "taker_side", "mside", "want",

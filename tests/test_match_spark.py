@@ -134,6 +134,23 @@ def test_kernel_properties(orders, lp, res):
 
 
 def test_sweep_equals_brute_force(spark):
+    _check_sweep(spark)
+
+
+def test_sweep_split_path_equals_brute_force(spark):
+    """Force the hot-key path (every symbol counts as hot)."""
+    from crossbook.functions.scan import MIN_HOT_ROWS_CONF
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(MIN_HOT_ROWS_CONF, "1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        _check_sweep(spark)
+    finally:
+        spark.conf.unset(MIN_HOT_ROWS_CONF)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def _check_sweep(spark):
     rng = random.Random(3)
     rows = _random_log(rng, 300, symbols=4)
     orders = spark.createDataFrame(rows, ORDER_SCHEMA)

@@ -34,3 +34,18 @@ def test_auto_detects_hot_key(spark):
         assert not has_hot_key(df.where("k <> 'HOT'"), ["k"], 8)
     finally:
         spark.conf.unset(MIN_HOT_ROWS_CONF)
+
+
+def test_running_last_matches_window_with_hot_key(spark):
+    from crossbook.functions.scan import running_last
+    df = spark.range(0, 50000).select(
+        F.when(F.col("id") < 30000, F.lit("HOT")).otherwise(
+            F.concat(F.lit("K"), (F.col("id") % 40).cast("string"))).alias("k"),
+        F.col("id").alias("o"),
+        F.when(F.col("id") % 97 == 0, (F.col("id") % 1000).cast("double")).alias("v"),
+        F.when(F.col("id") % 89 == 0, F.col("id")).alias("w"))
+    got = running_last(df, ["k"], ["o"], {"lv": "v", "lw": "w"}, num_partitions=10, strategy="split")
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.withColumn("lv", F.last("v", ignorenulls=True).over(w)).withColumn(
+        "lw", F.last("w", ignorenulls=True).over(w))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
