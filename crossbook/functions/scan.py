@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from crossbook.session import reliable_checkpoint
+
 PID = "_scan_pid"
 
 
@@ -122,7 +124,7 @@ def split_running_sums(df: DataFrame, keys: list[str], order: list[str], values:
     # Range bounds come from a seeded sample that differs per execution, so
     # the scanned partitions are materialised once (reliable checkpoint in
     # spark.checkpoint.dir) and both the totals and the final join read that.
-    local = ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema).checkpoint(eager=True)
+    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
     totals = local.groupBy(PID, *keys).agg(
         *[F.sum(v).cast("bigint").alias(f"_tot_{o}") for v, o in zip(vals, outs)])
     by_key = Window.partitionBy(*keys)
@@ -207,7 +209,7 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[
         return _local_last(batches, keys, vals, local_outs)
 
     # materialised once: range bounds are sampled per execution (see running_sums)
-    local = ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema).checkpoint(eager=True)
+    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
     order_key = F.struct(*order)
     tails = local.groupBy(PID, *keys).agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), order_key)).alias(f"_tail_{o}")

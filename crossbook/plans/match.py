@@ -29,6 +29,7 @@ from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 from crossbook.plans.kernel import RAW_COLUMNS, Book, RawWriter, write_snapshot
+from crossbook.session import ensure_checkpoint_dir, reliable_checkpoint
 
 RAW_SCHEMA = StructType([
     StructField("kind", StringType(), False),
@@ -184,7 +185,10 @@ class MatchResult:
 
     def checkpoint(self, eager: bool = True) -> "MatchResult":
         """Cut lineage into the session's reliable checkpoint folder."""
-        return MatchResult(self.raw.checkpoint(eager=eager))
+        if not eager:
+            ensure_checkpoint_dir(self.raw.sparkSession)
+            return MatchResult(self.raw.checkpoint(eager=False))
+        return MatchResult(reliable_checkpoint(self.raw))
 
 
 def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
