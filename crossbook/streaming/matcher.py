@@ -2,10 +2,10 @@
 
     orders stream -> groupBy(symbol).transformWithState(MatchProcessor)
 
-State per symbol (RocksDB when configured): the book as a list of resting
-rows plus the last processed seq. Each micro-batch loads the book, folds the
-batch's rows in seq order with the same ``Book`` kernel as the batch plan,
-and writes the book back. Rows whose seq is not above the last processed
+State per symbol (RocksDB when configured): the book's levels and their
+FIFO queues in map state (``state_book``), plus the last processed seq. A
+micro-batch folds its rows in seq order with the same ``Book`` kernel as the
+batch plan, loading only the levels it touches and writing back only those. Rows whose seq is not above the last processed
 one for their symbol (redelivery, or an out-of-order producer) are emitted
 as ``late`` and never matched. With ``mid_tick_ms`` a processing-time timer
 samples the mid price of each symbol's book (STR-5).
@@ -21,11 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from crossbook.plans.kernel import RAW_COLUMNS, Book, RawWriter, fold_symbol
 from crossbook.plans.match import RAW_SCHEMA, ship_package
-
-BOOK_STATE = ("side string, price double, level_seq int, queue_pos int, order_id string, "
-              "seq bigint, remaining bigint, timestamp bigint")
-META_STATE = "last_seq bigint"
-
+from crossbook.streaming.state_book import StateBook
 
 def _rows(writer: RawWriter):
     cols = writer.take()
@@ -45,24 +41,15 @@ class MatchProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.book_state = handle.getListState("book", BOOK_STATE)
-        self.meta = handle.getValueState("meta", META_STATE)
+        self.state = StateBook(handle)
 
     # -- state io -------------------------------------------------------
     def _load(self):
-        rows = [tuple(r) for r in self.book_state.get()] if self.book_state.exists() else []
-        book = Book.from_snapshot(rows, self.level_priority, self.residual)
-        last = self.meta.get()[0] if self.meta.exists() else None
-        return book, last
+        book, last_seq, self._next_level = self.state.load(self.level_priority, self.residual)
+        return book, last_seq
 
     def _save(self, book: Book, last_seq) -> None:
-        rows = list(book.snapshot())
-        if rows:
-            self.book_state.put(rows)
-        else:
-            self.book_state.clear()
-        if last_seq is not None:
-            self.meta.update((last_seq,))
+        self.state.save(book, last_seq, self._next_level)
 
     def _arm_timer(self, timer_values) -> None:
         if not self.mid_tick_ms:
@@ -96,7 +83,7 @@ class MatchProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """STR-5: sample the mid once per tick while both sides exist."""
         book, _ = self._load()
-        bid, ask = book.top()
+        bid, ask = book.top()  # reads level lists only, no queue is loaded
         fired = expiredTimerInfo.getExpiryTimeInMs()
         if self.mid_tick_ms:
             self.handle.registerTimer(fired + self.mid_tick_ms)
