@@ -26,8 +26,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_micros(col: Column) -> Column:
-    """Epoch microseconds of a TIMESTAMP or TIMESTAMP_NTZ (read as UTC)."""
-    return F.unix_micros(col.cast("timestamp"))
+    """Epoch microseconds of a TIMESTAMP_NTZ wall-clock value read as UTC.
+    A difference to the NTZ epoch involves no time zone, so the result does
+    not depend on the session's time zone (a cast to TIMESTAMP would)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
 
 
 def events_to_orders(events: DataFrame) -> DataFrame:

@@ -50,3 +50,16 @@ def test_query_matches_oracle(spark, duck, name):
     drows = rel.fetchall()
     assert len(rows) == len(drows)
     assert rows_key(df.columns, rows) == rows_key(rel.columns, drows)
+
+
+@pytest.mark.parametrize("name", ["src_orders", "normalize_epoch", "mid_ticks", "random_trades"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rel = duck.sql(E.oracle_sql()[name])
+    assert rows_key(df.columns, rows) == rows_key(rel.columns, rel.fetchall())
