@@ -140,9 +140,13 @@ def split_running_sums(df: DataFrame, keys: list[str], order: list[str], values:
 
 
 def running_count(df: DataFrame, keys: list[str], order: list[str], out: str,
-                  num_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
+                  num_partitions: int | None = None, strategy: str = "auto",
+                  probe: DataFrame | None = None) -> DataFrame:
     """1-based position of each row within its key in ``order`` (a skew-safe
-    ``row_number()``), as INT."""
+    ``row_number()``), as INT. ``probe``: see ``running_last``."""
+    if strategy == "auto" and probe is not None:
+        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        strategy = "split" if has_hot_key(probe, keys, n) else "window"
     tmp = df.withColumn("_scan_one", F.lit(1).cast("bigint"))
     res = running_sums(tmp, keys, order, {out: "_scan_one"}, num_partitions, strategy)
     return res.drop("_scan_one").withColumn(out, F.col(out).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crossbook.functions.scan import running_last
+from crossbook.functions.scan import running_count, running_last
 
 SECOND_US = 1_000_000
 HOUR_US = 3600 * SECOND_US
@@ -21,10 +21,12 @@ HOUR_US = 3600 * SECOND_US
 INITIAL_PRICE = 50.0
 
 
-def price_stream(fills: DataFrame) -> DataFrame:
+def price_stream(fills: DataFrame, probe: DataFrame | None = None) -> DataFrame:
     """SET-1: trade prices (two legs per fill) and price points (one per
     fill) merged into one stream, ordered by (timestamp, source, offset).
-    One pass over the fills: each fill fans out to its three messages."""
+    One pass over the fills: each fill fans out to its three messages; the
+    per-symbol ordinal is a skew-aware running count (``probe``: a cheap
+    DataFrame with the symbol distribution, e.g. the orders)."""
     msgs = F.array(
         F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2).alias("k")),
         F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2 + 1).alias("k")),
@@ -32,8 +34,8 @@ def price_stream(fills: DataFrame) -> DataFrame:
     merged = (fills.select("symbol", "timestamp", "taker_seq", "price", F.explode(msgs).alias("m"))
               .select("symbol", "timestamp", F.col("m.source").alias("source"),
                       (F.col("taker_seq") * 1000 + F.col("m.k")).alias("src_offset"), "price"))
-    w = Window.partitionBy("symbol").orderBy("timestamp", "source", "src_offset")
-    return merged.withColumn("ord", F.row_number().over(w))
+    return running_count(merged, ["symbol"], ["timestamp", "source", "src_offset"], "ord",
+                         probe=probe if probe is not None else merged)
 
 
 def last_price(orders: DataFrame, points: DataFrame, initial: float = INITIAL_PRICE) -> DataFrame:

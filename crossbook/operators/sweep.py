@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from crossbook.functions.columns import side as side_of
 from crossbook.functions.scan import has_hot_key, running_last, running_sums

@@ -198,7 +198,8 @@ def q_queue_cut(spark, sf_dir):
 # ---------------------------------------------------------------- prices
 @query("price_stream")
 def q_price_stream(spark, sf_dir):
-    return P.price_stream(_fills(spark, sf_dir))
+    orders = events_orders(spark, sf_dir)
+    return P.price_stream(match_orders(orders).fills, probe=orders.select("symbol"))
 
 
 @query("last_price")
