@@ -28,7 +28,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from crossbook.session import reliable_checkpoint
@@ -228,3 +228,94 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[
     return joined.select(
         *df.columns,
         *[F.coalesce(F.col(f"_local_{o}"), F.col(f"_carry_{o}")).alias(o) for o in outs])
+
+
+def _local_next(batches, keys, values, outs, last_flag):
+    """Per-partition ``lead``: each row gets the next row's values within its
+    key; the partition's last row of each key is flagged (its successor, if
+    any, is in a later partition). A batch's final row is held back until
+    the next batch shows whether its key continues."""
+    import pandas as pd
+
+    pending = None  # (1-row batch, its key tuple)
+
+    def key_of(pdf, i):
+        row = pdf.iloc[i]
+        return tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+
+    def finish(one_row: pa.RecordBatch, nxt: dict | None):
+        out = one_row
+        for v, o in zip(values, outs):
+            val = None if nxt is None else nxt[v]
+            out = out.append_column(o, pa.array([val], type=one_row.schema.field(v).type))
+        return out.append_column(last_flag, pa.array([nxt is None], type=pa.bool_()))
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        pdf = pa.Table.from_batches([batch]).select(list(dict.fromkeys(keys + values))).to_pandas()
+        first_key = key_of(pdf, 0)
+        if pending is not None:
+            one, pkey = pending
+            yield finish(one, {v: pdf[v].iloc[0] for v in values} if pkey == first_key else None)
+            pending = None
+        n = batch.num_rows
+        if n > 1:
+            grouped = pdf.iloc[:n].groupby(keys, sort=False, dropna=False)
+            head = batch.slice(0, n - 1)
+            is_last = None
+            for v, o in zip(values, outs):
+                shifted = grouped[v].shift(-1).iloc[: n - 1]
+                if is_last is None:
+                    is_last = shifted.isna().to_numpy()
+                head = head.append_column(o, pa.array(shifted, type=batch.schema.field(v).type,
+                                                      from_pandas=True))
+            # within the batch a missing successor means the key ended here
+            head = head.append_column(last_flag, pa.array(is_last, type=pa.bool_()))
+            yield head
+        pending = (batch.slice(n - 1, 1), key_of(pdf, n - 1))
+    if pending is not None:
+        yield finish(pending[0], None)
+
+
+def running_next(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+                 num_partitions: int | None = None, strategy: str = "auto",
+                 probe: DataFrame | None = None) -> DataFrame:
+    """Adds ``out = lead(values[out])`` per key in ``order`` (NULL for a
+    key's last row). Values must be non-null. ``strategy`` / ``probe`` as in
+    ``running_last``; the split form hands each partition's last row of a
+    key the first value of that key in the next partition holding it (a
+    broadcast table of at most one row per partition boundary)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if strategy == "auto":
+        strategy = "split" if has_hot_key(probe if probe is not None else df, keys, n) else "window"
+    if strategy == "window":
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lead(v).over(w).alias(o) for o, v in values.items()])
+    outs, vals = list(values), [values[o] for o in values]
+    ranged = df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id())
+    local_outs = [f"_local_{o}" for o in outs]
+    types = {f.name: f.dataType for f in ranged.schema.fields}
+    schema = StructType(list(ranged.schema.fields)
+                        + [StructField(lo, types[v], True) for lo, v in zip(local_outs, vals)]
+                        + [StructField("_is_last", BooleanType(), False)])
+
+    def scan(batches):
+        return _local_next(batches, keys, vals, local_outs, "_is_last")
+
+    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
+    order_key = F.struct(*order)
+    heads = local.groupBy(PID, *keys).agg(
+        *[F.min_by(v, order_key).alias(f"_head_{o}") for v, o in zip(vals, outs)])
+    by_key = Window.partitionBy(*keys)
+    after = Window.partitionBy(*keys).orderBy(PID)
+    nexts = (heads.withColumn("_parts", F.count(F.lit(1)).over(by_key))
+             .where(F.col("_parts") > 1)
+             .select(PID, *keys, *[F.lead(f"_head_{o}").over(after).alias(f"_next_{o}") for o in outs])
+             .where(F.col(f"_next_{outs[0]}").isNotNull()))
+    joined = local.join(F.broadcast(nexts), [PID, *keys], "left")
+    return joined.select(
+        *df.columns,
+        *[F.when(F.col("_is_last"), F.col(f"_next_{o}")).otherwise(F.col(f"_local_{o}")).alias(o)
+          for o in outs])

@@ -2,18 +2,17 @@
 
 Time is epoch microseconds (BIGINT) throughout, as in the order records.
 Sampling and heartbeats take the tick as a parameter (1 s by default; the
-30-day fixtures use 1 hour). The as-of steps are "union + last(ignorenulls)
-over a window per symbol": one sort per symbol, no join of every grid point
-against every price.
+30-day fixtures use 1 hour). The as-of steps are "union + carry the last
+non-null value" per symbol (``functions.scan``: a window, or a split scan
+when a symbol is hot); no join pairs grid points with prices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from crossbook.functions.scan import running_count, running_last
+from crossbook.functions.scan import running_count, running_last, running_next
 
 SECOND_US = 1_000_000
 HOUR_US = 3600 * SECOND_US
@@ -54,51 +53,50 @@ def last_price(orders: DataFrame, points: DataFrame, initial: float = INITIAL_PR
         "symbol", "seq", F.coalesce(F.col("_last"), F.lit(initial)).alias("last_price"))
 
 
-def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US) -> DataFrame:
+# An empty side is carried as -inf so that bid and ask, both non-null on
+# every top-of-book change, are carried together by a last-non-null scan.
+_EMPTY_SIDE = float("-inf")
+
+
+def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US, probe: DataFrame | None = None) -> DataFrame:
     """STR-5 (batch): the mid price on a fixed grid of ``tick_us``, as of each
     grid time (top-of-book changes at the same instant come first), only
     where both sides exist and the bid is above 0.
 
-    The grid spans each symbol's first to last top-of-book change. One pass
-    over ``tops``: per-symbol bounds come from window aggregates, and the
-    first change of each symbol also fans out the symbol's grid points
-    (span / tick of them); the as-of is a second window on the same
-    partitioning (no second shuffle)."""
-    by_sym = Window.partitionBy("symbol")
-    bounded = tops.select(
-        "*",
-        (F.ceil(F.min("timestamp").over(by_sym) / tick_us).cast("bigint") * tick_us).alias("_g0"),
-        (F.floor(F.max("timestamp").over(by_sym) / tick_us).cast("bigint") * tick_us).alias("_g1"),
-        (F.row_number().over(by_sym.orderBy("timestamp", "seq")) == 1).alias("_first"))
-    first, last, is_first = F.col("_g0"), F.col("_g1"), F.col("_first")
-    top_t = "struct<best_bid:double,best_ask:double>"
-    change = F.struct(F.col("timestamp").alias("ts"), F.col("seq").alias("seq"),
-                      F.lit(0).alias("is_grid"), F.struct("best_bid", "best_ask").alias("top"))
-    grid = F.when(is_first & (first <= last), F.transform(
-        F.sequence(first, last, F.lit(tick_us)),
-        lambda t: F.struct(t.alias("ts"), F.lit(None).cast("long").alias("seq"),
-                           F.lit(1).alias("is_grid"), F.lit(None).cast(top_t).alias("top")))
-    ).otherwise(F.array().cast(f"array<struct<ts:bigint,seq:bigint,is_grid:int,top:{top_t}>>"))
-    rows = (bounded.select("symbol", F.explode(F.concat(F.array(change), grid)).alias("r"))
-            .select("symbol", "r.ts", "r.seq", "r.is_grid", "r.top"))
-    w = (Window.partitionBy("symbol").orderBy("ts", "is_grid", "seq")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asof = (rows.select("symbol", "ts", "is_grid", F.last("top", ignorenulls=True).over(w).alias("top"))
-            .where(F.col("is_grid") == 1)
-            .select("symbol", F.col("ts").alias("tick_ts"),
-                    F.col("top.best_bid").alias("best_bid"), F.col("top.best_ask").alias("best_ask")))
+    The grid spans each symbol's first to last top-of-book change
+    (span / tick points, from a per-symbol aggregate); the as-of is a
+    skew-aware carry of the last change. ``tops`` is read twice (bounds and
+    changes): pass a materialised one (``MatchResult.checkpoint().tops``)."""
+    bounds = tops.groupBy("symbol").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
+    first = F.ceil(F.col("t0") / tick_us).cast("bigint") * tick_us
+    last = F.floor(F.col("t1") / tick_us).cast("bigint") * tick_us
+    grid = (bounds.where(first <= last)
+            .select("symbol", F.explode(F.sequence(first, last, F.lit(tick_us))).alias("ts"))
+            .select("symbol", "ts", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("is_grid"),
+                    F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask")))
+    changes = tops.select("symbol", F.col("timestamp").alias("ts"), "seq", F.lit(0).alias("is_grid"),
+                          F.coalesce("best_bid", F.lit(_EMPTY_SIDE)).alias("bid"),
+                          F.coalesce("best_ask", F.lit(_EMPTY_SIDE)).alias("ask"))
+    carried = running_last(changes.unionByName(grid), ["symbol"], ["ts", "is_grid", "seq"],
+                           {"_bid": "bid", "_ask": "ask"},
+                           probe=probe if probe is not None else tops.select("symbol"))
+    asof = carried.where(F.col("is_grid") == 1).select(
+        "symbol", F.col("ts").alias("tick_ts"),
+        F.when(F.col("_bid") != _EMPTY_SIDE, F.col("_bid")).alias("best_bid"),
+        F.when(F.col("_ask") != _EMPTY_SIDE, F.col("_ask")).alias("best_ask"))
     return (asof.where(F.col("best_bid").isNotNull() & F.col("best_ask").isNotNull()
                        & (F.col("best_bid") > 0))
             .withColumn("mid_price", (F.col("best_bid") + F.col("best_ask")) / 2))
 
 
-def price_heartbeat(points: DataFrame, tick_us: int = SECOND_US) -> DataFrame:
+def price_heartbeat(points: DataFrame, tick_us: int = SECOND_US, probe: DataFrame | None = None) -> DataFrame:
     """STR-6 (batch): after each price, repeat it every ``tick_us`` while no
     new price arrives (the timer restarts on every price; not a fixed grid).
-    The last price of a stream gets no beats: the batch ends there."""
-    w = Window.partitionBy("symbol").orderBy("timestamp", "taker_seq", "fill_idx")
-    nxt = F.lead("timestamp").over(w)
-    spaced = points.select("symbol", "timestamp", "price", nxt.alias("next_ts"))
+    The last price of a stream gets no beats: the batch ends there. The next
+    print's time is a skew-aware ``lead`` per symbol."""
+    spaced = running_next(points.select("symbol", "timestamp", "taker_seq", "fill_idx", "price"),
+                          ["symbol"], ["timestamp", "taker_seq", "fill_idx"], {"next_ts": "timestamp"},
+                          probe=probe)
     start = F.col("timestamp") + tick_us
     beats = F.when(F.col("next_ts") > start,
                    F.sequence(start, F.col("next_ts") - 1, F.lit(tick_us))

@@ -215,12 +215,15 @@ def q_top_of_book(spark, sf_dir):
 
 @query("mid_ticks")
 def q_mid_ticks(spark, sf_dir):
-    return P.mid_ticks(_match(spark, sf_dir, emit_top=True).tops, FIXTURE_TICK_US)
+    # tops are read for bounds, changes and the hot-key probe: fold once
+    return P.mid_ticks(_match(spark, sf_dir, emit_top=True).checkpoint().tops, FIXTURE_TICK_US)
 
 
 @query("price_heartbeat")
 def q_price_heartbeat(spark, sf_dir):
-    return P.price_heartbeat(T.price_points(_fills(spark, sf_dir)), FIXTURE_TICK_US)
+    orders = events_orders(spark, sf_dir)
+    return P.price_heartbeat(T.price_points(match_orders(orders).fills), FIXTURE_TICK_US,
+                             probe=orders.select("symbol"))
 
 
 @query("price_topic")

@@ -49,3 +49,18 @@ def test_running_last_matches_window_with_hot_key(spark):
     exp = df.withColumn("lv", F.last("v", ignorenulls=True).over(w)).withColumn(
         "lw", F.last("w", ignorenulls=True).over(w))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_running_next_matches_lead_with_hot_key(spark):
+    from crossbook.functions.scan import running_next
+    df = spark.range(0, 50000).select(
+        F.when(F.col("id") < 30000, F.lit("HOT")).otherwise(
+            F.concat(F.lit("K"), (F.col("id") % 40).cast("string"))).alias("k"),
+        F.col("id").alias("o"), (F.col("id") * 3).alias("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "997")
+    try:
+        got = running_next(df, ["k"], ["o"], {"nt": "t"}, num_partitions=10, strategy="split")
+        exp = df.withColumn("nt", F.lead("t").over(Window.partitionBy("k").orderBy("o")))
+        assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
