@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from crossbook.functions.scan import has_hot_key, running_count, running_sums
 
@@ -41,13 +40,15 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
         "price", "order_id", "seq", F.col("quantity").alias("remaining"), "timestamp")
     levels = o.groupBy("symbol", "side", "price").agg(F.min("seq").alias("first_seq"))
     if level_priority == "first_seen":
-        order = [F.col("first_seq")]
+        levels = levels.withColumn("_lk", F.col("first_seq").cast("double"))
     else:
-        order = [F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))]
-    ranked = levels.select(
-        "symbol", "side", "price",
-        (F.dense_rank().over(Window.partitionBy("symbol", "side").orderBy(*order)) - 1)
-        .cast("int").alias("level_seq"))
+        levels = levels.withColumn(
+            "_lk", F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price")))
+    # level rank = running count over the distinct levels of a side (measured
+    # on the order scan, which bounds the level count from above)
+    ranked = running_count(levels, ["symbol", "side"], ["_lk"], "_rank",
+                           probe=o.select("symbol", "side")).select(
+        "symbol", "side", "price", (F.col("_rank") - 1).cast("int").alias("level_seq"))
     with_level = o.join(ranked, ["symbol", "side", "price"])
     # queue position inside a level: a running count by seq. The join only
     # enriches rows, so hot levels are measured on the cheap order scan.
@@ -146,9 +147,9 @@ def book_depth(book: DataFrame) -> DataFrame:
 def _ladder(book: DataFrame, side: str, ascending: bool) -> DataFrame:
     levels = book.where(F.col("side") == side).groupBy("symbol", "price").agg(
         F.sum("remaining").cast("bigint").alias("volume"))
-    order = F.col("price").asc() if ascending else F.col("price").desc()
-    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(order))
-    return levels.withColumn("rank", rank).orderBy("symbol", "rank")
+    levels = levels.withColumn("_lk", F.col("price") if ascending else -F.col("price"))
+    ranked = running_count(levels, ["symbol"], ["_lk"], "rank").drop("_lk")
+    return ranked.orderBy("symbol", "rank")
 
 
 def ask_ladder(book: DataFrame) -> DataFrame:
@@ -167,9 +168,7 @@ def top_levels(book: DataFrame, k: int = 3) -> DataFrame:
     levels = book.groupBy("symbol", "side", "price").agg(
         F.min("level_seq").alias("level_seq"),
         F.sum("remaining").cast("bigint").alias("volume"))
-    w = Window.partitionBy("symbol", "side").orderBy("level_seq")
-    return (levels.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+    return running_count(levels, ["symbol", "side"], ["level_seq"], "rank").where(F.col("rank") <= k)
 
 
 def queue_cut(book: DataFrame, index: int = 0) -> DataFrame:

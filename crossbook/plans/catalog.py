@@ -177,17 +177,17 @@ def q_book_depth(spark, sf_dir):
 
 @query("ask_ladder")
 def q_ask_ladder(spark, sf_dir):
-    return B.ask_ladder(_book(spark, sf_dir))
+    return B.ask_ladder(_checkpointed_book(spark, sf_dir))
 
 
 @query("bid_ladder")
 def q_bid_ladder(spark, sf_dir):
-    return B.bid_ladder(_book(spark, sf_dir))
+    return B.bid_ladder(_checkpointed_book(spark, sf_dir))
 
 
 @query("top_levels")
 def q_top_levels(spark, sf_dir):
-    return B.top_levels(_book(spark, sf_dir), k=3)
+    return B.top_levels(_checkpointed_book(spark, sf_dir), k=3)
 
 
 @query("queue_cut")

@@ -66,7 +66,8 @@ def test_results_do_not_depend_on_session_time_zone(spark, duck, name):
 
 
 SCAN_QUERIES = ["book_depth", "match_priority", "queue_position", "rest_orders", "last_price",
-                "price_stream", "mid_ticks", "price_heartbeat", "sweep_book", "reconcile_diff"]
+                "price_stream", "mid_ticks", "price_heartbeat", "sweep_book", "reconcile_diff",
+                "ask_ladder", "bid_ladder", "top_levels"]
 
 
 @pytest.fixture()
