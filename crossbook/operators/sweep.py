@@ -21,14 +21,14 @@ from crossbook.functions.columns import side as side_of
 from crossbook.functions.scan import has_hot_key, running_last, running_sums
 
 
-def _depth(book: DataFrame) -> DataFrame:
+def _depth(book: DataFrame, strategy: str = "auto") -> DataFrame:
     """Live makers with their priority rank and depth before them (a
     skew-safe running count and sum per side)."""
     live = book.where(F.col("order_id").isNotNull()).select(
         "symbol", "side", "price", "level_seq", "queue_pos", "order_id", "remaining",
         F.lit(1).cast("bigint").alias("_one"))
     scanned = running_sums(live, ["symbol", "side"], ["level_seq", "queue_pos"],
-                           {"_n": "_one", "_cum": "remaining"})
+                           {"_n": "_one", "_cum": "remaining"}, strategy=strategy)
     return scanned.select("symbol", "side", "price", "order_id", "remaining",
                           (F.col("_n") - 1).cast("int").alias("rank"),
                           (F.col("_cum") - F.col("remaining")).cast("bigint").alias("before"))
@@ -56,19 +56,20 @@ def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
     priority), every taker evaluated independently.
 
     ``takers`` needs (symbol, seq, order_id, price, quantity signed)."""
-    makers = _depth(book)
     t = takers.select(
         "symbol", F.col("seq").alias("tid"), F.col("order_id").alias("taker_order_id"),
         F.col("price").alias("limit"), F.abs("quantity").alias("want"),
         side_of(F.col("quantity")).alias("taker_side"),
         F.when(F.col("quantity") > 0, "SELL").otherwise("BUY").alias("mside"))
     t = t.where(F.col("want") > 0)
+    # one measurement of the per-(symbol, side) load, on the taker scan; it
+    # also bounds the book (a book holds at most the orders that came in)
+    n = int(takers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strategy = "split" if has_hot_key(t, ["symbol", "mside"], n) else "window"
+    makers = _depth(book, strategy)
     # asks cross a buy when price <= limit; bids cross a sell when price >= limit
     signed = F.when(F.col("side") == "SELL", F.col("price")).otherwise(-F.col("price"))
     t_signed = F.when(F.col("mside") == "SELL", F.col("limit")).otherwise(-F.col("limit"))
-    # one measurement of the (symbol, side) load, on the taker scan
-    n = int(takers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strategy = "split" if has_hot_key(t, ["symbol", "mside"], n) else "window"
     n_cross = _asof_count(makers, t, signed, t_signed, True, "n_cross", strategy)
     n_depth = _asof_count(makers, t, F.col("before").cast("double"),
                           F.col("want").cast("double"), False, "n_depth", strategy)

@@ -337,7 +337,9 @@ def _declared_actual(spark, sf_dir):
     """declared: level counts of the matched books; actual: level counts of
     the same orders merely rested (no matching)."""
     orders = events_orders(spark, sf_dir)
-    return (_level_topics(match_orders(orders).book), _level_topics(B.rest_orders(orders)))
+    # levels of the rested (unmatched) book are the distinct (side, price) of the orders
+    rested = orders.select("symbol", C.side(F.col("quantity")).alias("side"), "price")
+    return (_level_topics(match_orders(orders).book), _level_topics(rested))
 
 
 @query("reconcile_diff")
