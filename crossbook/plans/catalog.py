@@ -316,13 +316,14 @@ def q_json_round_trip(spark, sf_dir):
 
 @query("validate_schema")
 def q_validate_schema(spark, sf_dir):
-    """VAL-2 on the schemas of the derived order, trade and price tables."""
+    """VAL-2 on the derived order, trade and price tables: schema against
+    contract, plus the non-null count of every field."""
     orders = events_orders(spark, sf_dir)
-    fills = match_orders(orders).fills
+    fills = match_orders(orders).checkpoint().fills  # read by two checks
     out = None
     for name, df in (("order", orders), ("trade", T.trade_legs(fills)),
                      ("pricepoint", T.price_points(fills))):
-        part = validate_schema(spark, df.schema, CONTRACTS[name])
+        part = validate_schema(spark, df.schema, CONTRACTS[name], data=df)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -458,7 +459,10 @@ def q_sink_trades_json(spark, sf_dir):
 
 @query("sink_prices_json")
 def q_sink_prices_json(spark, sf_dir):
-    return TP.as_topic_rows(T.price_points(_fills(spark, sf_dir)), "pricepoint", "symbol")
+    """SNK-2: fill prices and sampled mids published on one price topic."""
+    res = _match(spark, sf_dir, emit_top=True).checkpoint()
+    topic = P.price_topic(T.price_points(res.fills), P.mid_ticks(res.tops, FIXTURE_TICK_US))
+    return TP.as_topic_rows(topic, "pricepoint", "symbol")
 
 
 @query("src_price_inputs")

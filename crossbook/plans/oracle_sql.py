@@ -541,6 +541,17 @@ SEEDED_ORDERS = f"""
          min(timestamp), CAST(-1 AS BIGINT) FROM ({EVENTS_ORDERS}) GROUP BY symbol"""
 
 
+def _validate_schema_sql() -> str:
+    """Expected VAL-2 rows: every derived column has its contract type."""
+    from crossbook.sources.contracts import CONTRACTS
+    parts = []
+    for name, rel in (("order", "o"), ("trade", "legs"), ("pricepoint", "fills")):
+        for field, spec in CONTRACTS[name]["properties"].items():
+            parts.append(f"SELECT '{name}' AS contract, '{field}' AS field, '{spec['type']}' AS expected_type, "
+                         f"'{spec['type']}' AS actual_type, true AS ok, count({field}) AS non_null FROM {rel}")
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
 def more_oracles() -> dict[str, str]:
     m = match_ctes()
     d = "," + ",".join([
@@ -651,8 +662,10 @@ SELECT timestamp, seq AS "offset", {to_json_order} AS value FROM o WHERE seq >=
         "sink_orders_json": with_orders() + f"""
 SELECT symbol AS key, {to_json_order} AS value FROM o WHERE quantity <> 0""",
         "sink_trades_json": m + _LEGS + f"SELECT trade_id AS key, {to_json_trade} AS value FROM legs",
-        "sink_prices_json": m + """
-SELECT symbol AS key, CAST(to_json(struct_pack(price := price)) AS VARCHAR) AS value FROM fills""",
+        "sink_prices_json": m + _mid_ticks_ctes(HOUR_US) + """
+SELECT symbol AS key, CAST(to_json(struct_pack(price := price)) AS VARCHAR) AS value
+FROM (SELECT symbol, price FROM fills UNION ALL SELECT symbol, mid_price AS price FROM mid_ticks)""",
+        "validate_schema": m + _LEGS + _validate_schema_sql(),
         "src_price_inputs": m + _LEGS + """
 SELECT 'trades.topic' AS topic, count(*) AS messages, sum(price) AS price_sum FROM legs
 UNION ALL

@@ -103,11 +103,14 @@ def contract_type_of(dt: DataType) -> str | None:
     return None
 
 
-def validate_schema(spark: SparkSession, schema: StructType, contract: dict) -> DataFrame:
+def validate_schema(spark: SparkSession, schema: StructType, contract: dict,
+                    data: DataFrame | None = None) -> DataFrame:
     """VAL-2: every contract property must exist with the mapped type; extra
     columns are allowed; ``required`` is not checked. One row per property.
 
-    Works on schema metadata only (a handful of rows), never on data."""
+    The type check reads schema metadata only (a handful of rows). With
+    ``data``, each present field also reports how many of its values are
+    non-null (one aggregate over the table, unpivoted to one row per field)."""
     actual = {f.name: f.dataType for f in schema.fields}
     rows = []
     for name, spec in contract["properties"].items():
@@ -115,8 +118,16 @@ def validate_schema(spark: SparkSession, schema: StructType, contract: dict) ->
         got_name = contract_type_of(got) if got is not None else None
         rows.append((contract["metadata"]["name"], name, spec["type"], got_name,
                      got_name == spec["type"]))
-    return spark.createDataFrame(
+    checks = spark.createDataFrame(
         rows, "contract string, field string, expected_type string, actual_type string, ok boolean")
+    if data is None:
+        return checks
+    present = [n for n in contract["properties"] if n in actual]
+    counts = data.agg(*[F.count(F.col(n)).alias(n) for n in present]).unpivot(
+        [], present, "field", "non_null")
+    return checks.join(counts, "field", "left").select(
+        "contract", "field", "expected_type", "actual_type", "ok",
+        F.coalesce(F.col("non_null"), F.lit(0)).cast("bigint").alias("non_null"))
 
 
 def _type_ok(field_v: Column, contract_type: str) -> Column:
