@@ -109,9 +109,12 @@ class HeartbeatProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "price double")
 
     def handleInputRows(self, key, rows, timerValues):
-        price = None
+        # rows of one micro-batch come in no particular order: keep the latest
+        latest = None
         for r in rows:
-            price = r["price"]
+            if latest is None or (r["ts"] is not None and (latest["ts"] is None or r["ts"] >= latest["ts"])):
+                latest = r
+        price = None if latest is None else latest["price"]
         if price is None:
             return iter(())
         self.last.update((price,))
@@ -130,9 +133,12 @@ class HeartbeatProcessor(StatefulProcessor):
         pass
 
 
-def heartbeat_stream(prices: DataFrame, tick_ms: int = 1000) -> DataFrame:
-    """``prices`` (symbol, price) stream -> (symbol, price, beat_ms) beats."""
+def heartbeat_stream(prices: DataFrame, tick_ms: int = 1000, ts_col: str | None = None) -> DataFrame:
+    """``prices`` (symbol, price[, ts_col]) stream -> (symbol, price, beat_ms)
+    beats; with ``ts_col`` the latest price of a micro-batch wins, else the
+    last row seen."""
     ship_package()
-    return prices.select("symbol", "price").groupBy("symbol").transformWithState(
+    ts = F.col(ts_col).cast("long") if ts_col else F.lit(None).cast("long")
+    return prices.select("symbol", "price", ts.alias("ts")).groupBy("symbol").transformWithState(
         HeartbeatProcessor(tick_ms), "symbol string, price double, beat_ms long",
         "Append", "ProcessingTime")
