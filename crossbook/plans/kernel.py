@@ -93,24 +93,26 @@ class Book:
     def process(self, order_id, price, quantity, seq, timestamp, out) -> None:
         """Match one order; appends one tuple per fill to ``out``:
         (fill_idx, maker_order_id, maker_seq, qty, level_price, taker_side,
-        taker_remaining, maker_remaining)."""
+        taker_remaining, maker_remaining).
+
+        This is the per-row hot path, so the best-price loop, the FIFO fill
+        and the final rest are written inline."""
         if quantity is None:
             quantity = 0
         price = 0.0 if price is None else float(price)
         if quantity > 0:
-            taker_side, opp, own, remaining = BUY, self.asks, self.bids, quantity
-            crosses = price.__ge__
+            is_buy, taker_side, opp, own, remaining = True, BUY, self.asks, self.bids, quantity
         else:
             # zero quantity takes this branch too and is a no-op
-            taker_side, opp, own, remaining = SELL, self.bids, self.asks, -quantity
-            crosses = price.__le__
-        if remaining <= 0:
-            return
+            is_buy, taker_side, opp, own, remaining = False, SELL, self.bids, self.asks, -quantity
+            if remaining <= 0:
+                return
         queues = opp.queues
         fill_idx = 0
+        head = self.head
         if self.first_seen:
             levels = opp.levels
-            if levels and crosses(levels[0]):
+            if levels and ((price >= levels[0]) if is_buy else (price <= levels[0])):
                 level = levels[0]
                 queue = queues[level]
                 remaining, fill_idx = self._fill_queue(
@@ -122,18 +124,49 @@ class Book:
                         levels.clear()
                         queues.clear()
         else:
-            while remaining > 0:
-                level = opp.best_price_level()
-                if level is None or not crosses(level):
+            heap = opp.heap
+            sign = -1.0 if opp.is_bid else 1.0
+            while heap:
+                level = sign * heap[0]
+                if level not in queues:          # stale heap entry
+                    heapq.heappop(heap)
+                    continue
+                if (price < level) if is_buy else (price > level):
                     break
                 queue = queues[level]
-                remaining, fill_idx = self._fill_queue(
-                    queue, level, remaining, taker_side, fill_idx, out)
+                while queue:
+                    maker = queue.popleft()
+                    avail = maker[1]
+                    qty = remaining if remaining < avail else avail
+                    remaining -= qty
+                    avail -= qty
+                    maker[1] = avail
+                    out.append((fill_idx, maker[0], maker[2], qty, level, taker_side, remaining, avail))
+                    fill_idx += 1
+                    if avail > 0:
+                        if head:
+                            queue.appendleft(maker)
+                        else:
+                            queue.append(maker)
+                    if remaining == 0:
+                        break
                 if not queue:
                     del queues[level]
-                    heapq.heappop(opp.heap)
+                    heapq.heappop(heap)
+                if remaining == 0:
+                    break
         if remaining > 0:
-            own.add(price, [order_id, remaining, seq, timestamp], self.first_seen)
+            entry = [order_id, remaining, seq, timestamp]
+            own_queues = own.queues
+            queue = own_queues.get(price)
+            if queue is not None:
+                queue.append(entry)
+            else:
+                own_queues[price] = deque((entry,))
+                if self.first_seen:
+                    own.levels.append(price)
+                else:
+                    heapq.heappush(own.heap, -price if own.is_bid else price)
 
     def _fill_queue(self, queue, level, remaining, taker_side, fill_idx, out):
         while remaining > 0 and queue:
