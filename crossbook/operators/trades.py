@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Trade leg labels as emitted by the matcher.
 STATUS_CLOSED = "closed"
@@ -114,14 +113,16 @@ def order_fill_state(orders: DataFrame, fills: DataFrame) -> DataFrame:
     )
 
 
-def running_remaining(orders: DataFrame, fills: DataFrame) -> DataFrame:
+def running_remaining(fills: DataFrame) -> DataFrame:
     """WIN-5: remaining quantity and status of each order after each of its
-    fills, for both sides, as a running sum per order."""
-    o = orders.select("symbol", "order_id", F.abs(F.col("quantity")).alias("original"))
-    w = (Window.partitionBy("symbol", "order_id").orderBy("taker_seq", "fill_idx")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    remaining = F.col("original") - F.sum("quantity").over(w)
-    return (_order_legs(fills).join(o, ["symbol", "order_id"])
-            .select("symbol", "order_id", "taker_seq", "fill_idx", "leg", "quantity",
-                    remaining.alias("remaining"))
-            .withColumn("status", leg_status(F.col("remaining"))))
+    fills, both sides. The fold carries both remainders on every fill row,
+    so this is one fan-out of the fills: no join with the orders and no
+    window over an order's fills."""
+    sides = F.array(
+        F.struct(F.col("taker_order_id").alias("order_id"), F.lit(0).alias("leg"),
+                 F.col("taker_remaining").alias("remaining")),
+        F.struct(F.col("maker_order_id").alias("order_id"), F.lit(1).alias("leg"),
+                 F.col("maker_remaining").alias("remaining")))
+    return (fills.select("symbol", "taker_seq", "fill_idx", "quantity", F.explode(sides).alias("s"))
+            .select("symbol", "s.order_id", "taker_seq", "fill_idx", "s.leg", "quantity",
+                    "s.remaining", leg_status(F.col("s.remaining")).alias("status")))

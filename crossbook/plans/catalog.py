@@ -115,8 +115,7 @@ def q_order_fill_state(spark, sf_dir):
 
 @query("running_remaining")
 def q_running_remaining(spark, sf_dir):
-    orders = events_orders(spark, sf_dir)
-    return T.running_remaining(orders, match_orders(orders).fills)
+    return T.running_remaining(_fills(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- book
