@@ -109,8 +109,8 @@ def q_price_points(spark, sf_dir):
 
 @query("order_fill_state")
 def q_order_fill_state(spark, sf_dir):
-    orders = events_orders(spark, sf_dir)
-    return T.order_fill_state(orders, match_orders(orders).fills)
+    # final order states come out of the fold: no join with the order table
+    return match_orders(events_orders(spark, sf_dir), emit_orders=True).order_states
 
 
 @query("running_remaining")

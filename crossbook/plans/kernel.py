@@ -31,13 +31,14 @@ RAW_COLUMNS = (
     "kind", "symbol", "seq", "fill_idx", "order_id", "maker_order_id",
     "maker_seq", "side", "price", "quantity", "taker_remaining",
     "maker_remaining", "timestamp", "level_seq", "queue_pos", "best_bid", "best_ask",
+    "final_remaining", "n_fills",
 )
 
 
 class _Side:
     """One side of one book: price -> FIFO queue of resting entries.
 
-    An entry is a list ``[order_id, remaining, seq, timestamp]``.
+    An entry is a list ``[order_id, remaining, seq, timestamp, original, n_fills]``.
     """
 
     __slots__ = ("is_bid", "queues", "levels", "heap")
@@ -90,10 +91,12 @@ class Book:
         self.head = residual == "head"
 
     # -- matching -------------------------------------------------------
-    def process(self, order_id, price, quantity, seq, timestamp, out) -> None:
+    def process(self, order_id, price, quantity, seq, timestamp, out, done=None) -> None:
         """Match one order; appends one tuple per fill to ``out``:
         (fill_idx, maker_order_id, maker_seq, qty, level_price, taker_side,
-        taker_remaining, maker_remaining).
+        taker_remaining, maker_remaining). With a ``done`` list, every order
+        that reaches its final state (fully filled, a no-op, or deleted with
+        its level) appends (order_id, seq, side, original, remaining, n_fills).
 
         This is the per-row hot path, so the best-price loop, the FIFO fill
         and the final rest are written inline."""
@@ -102,11 +105,16 @@ class Book:
         price = 0.0 if price is None else float(price)
         if quantity > 0:
             is_buy, taker_side, opp, own, remaining = True, BUY, self.asks, self.bids, quantity
+            maker_side = SELL
         else:
             # zero quantity takes this branch too and is a no-op
             is_buy, taker_side, opp, own, remaining = False, SELL, self.bids, self.asks, -quantity
+            maker_side = BUY
             if remaining <= 0:
+                if done is not None:
+                    done.append((order_id, seq, SELL, 0, 0, 0))
                 return
+        original = remaining
         queues = opp.queues
         fill_idx = 0
         head = self.head
@@ -116,11 +124,17 @@ class Book:
                 level = levels[0]
                 queue = queues[level]
                 remaining, fill_idx = self._fill_queue(
-                    queue, level, remaining, taker_side, fill_idx, out)
+                    queue, level, remaining, taker_side, fill_idx, out, done, maker_side)
                 if not queue:
                     if remaining == 0:
-                        del queues[levels.pop()]
+                        last = levels.pop()
+                        if done is not None:
+                            self._dropped(queues[last], maker_side, done)
+                        del queues[last]
                     else:
+                        if done is not None:
+                            for lv in levels:
+                                self._dropped(queues[lv], maker_side, done)
                         levels.clear()
                         queues.clear()
         else:
@@ -141,6 +155,7 @@ class Book:
                     remaining -= qty
                     avail -= qty
                     maker[1] = avail
+                    maker[5] += 1
                     out.append((fill_idx, maker[0], maker[2], qty, level, taker_side, remaining, avail))
                     fill_idx += 1
                     if avail > 0:
@@ -148,6 +163,8 @@ class Book:
                             queue.appendleft(maker)
                         else:
                             queue.append(maker)
+                    elif done is not None:
+                        done.append((maker[0], maker[2], maker_side, maker[4], 0, maker[5]))
                     if remaining == 0:
                         break
                 if not queue:
@@ -155,8 +172,12 @@ class Book:
                     heapq.heappop(heap)
                 if remaining == 0:
                     break
+        if remaining == 0:
+            if done is not None:
+                done.append((order_id, seq, taker_side, original, 0, fill_idx))
+            return
         if remaining > 0:
-            entry = [order_id, remaining, seq, timestamp]
+            entry = [order_id, remaining, seq, timestamp, original, fill_idx]
             own_queues = own.queues
             queue = own_queues.get(price)
             if queue is not None:
@@ -168,12 +189,14 @@ class Book:
                 else:
                     heapq.heappush(own.heap, -price if own.is_bid else price)
 
-    def _fill_queue(self, queue, level, remaining, taker_side, fill_idx, out):
+    def _fill_queue(self, queue, level, remaining, taker_side, fill_idx, out, done=None,
+                    maker_side=None):
         while remaining > 0 and queue:
             maker = queue.popleft()
             qty = remaining if remaining < maker[1] else maker[1]
             remaining -= qty
             maker[1] -= qty
+            maker[5] += 1
             out.append((fill_idx, maker[0], maker[2], qty, level, taker_side, remaining, maker[1]))
             fill_idx += 1
             if maker[1] > 0:
@@ -181,12 +204,20 @@ class Book:
                     queue.appendleft(maker)
                 else:
                     queue.append(maker)
+            elif done is not None:
+                done.append((maker[0], maker[2], maker_side, maker[4], 0, maker[5]))
         return remaining, fill_idx
 
+    @staticmethod
+    def _dropped(queue, side, done) -> None:
+        """first_seen: orders deleted together with their level end here."""
+        for e in queue:
+            done.append((e[0], e[2], side, e[4], e[1], e[5]))
+
     def rest(self, order_id, price, quantity, seq, timestamp) -> None:
         """Insert without matching (signed quantity kept as given)."""
         side = self.bids if (quantity or 0) > 0 else self.asks
-        side.add(price, [order_id, quantity, seq, timestamp], self.first_seen)
+        side.add(price, [order_id, quantity, seq, timestamp, abs(quantity or 0), 0], self.first_seen)
 
     # -- snapshot -------------------------------------------------------
     def snapshot(self):
@@ -199,8 +230,15 @@ class Book:
                 if not queue:
                     yield side_name, price, level_seq, None, None, None, 0, None
                     continue
-                for pos, (oid, rem, oseq, ots) in enumerate(queue):
-                    yield side_name, price, level_seq, pos, oid, oseq, rem, ots
+                for pos, e in enumerate(queue):
+                    yield side_name, price, level_seq, pos, e[0], e[2], e[1], e[3]
+
+    def resting(self):
+        """(side, entry) for every resting order."""
+        for side_name, side in ((BUY, self.bids), (SELL, self.asks)):
+            for queue in side.queues.values():
+                for e in queue:
+                    yield side_name, e
 
     @classmethod
     def from_snapshot(cls, rows, level_priority="best_price", residual="tail"):
@@ -216,7 +254,7 @@ class Book:
                 else:
                     heapq.heappush(side.heap, -price if side.is_bid else price)
             if pos is not None:
-                side.queues[price].append([oid, rem, oseq, ots])
+                side.queues[price].append([oid, rem, oseq, ots, rem, 0])
         return book
 
     def top(self):
@@ -235,19 +273,26 @@ FILL_FIELDS = ("symbol", "seq", "fill_idx", "order_id", "maker_order_id", "maker
 REST_FIELDS = ("kind", "symbol", "seq", "order_id", "side", "price", "quantity", "timestamp",
                "level_seq", "queue_pos")
 TOP_FIELDS = ("symbol", "seq", "timestamp", "best_bid", "best_ask")
+ORDER_FIELDS = ("symbol", "order_id", "seq", "side", "quantity", "final_remaining", "n_fills")
 
 
 class RawWriter:
     """Collects fold output as tuples, one list per kind of row."""
 
-    __slots__ = ("fill_rows", "rest_rows", "top_rows")
+    __slots__ = ("fill_rows", "rest_rows", "top_rows", "order_rows")
 
     def __init__(self):
-        self.fill_rows, self.rest_rows, self.top_rows = [], [], []
+        self.fill_rows, self.rest_rows, self.top_rows, self.order_rows = [], [], [], []
 
     @property
     def n(self) -> int:
-        return len(self.fill_rows) + len(self.rest_rows) + len(self.top_rows)
+        return len(self.fill_rows) + len(self.rest_rows) + len(self.top_rows) + len(self.order_rows)
+
+    def orders(self, symbol, done) -> None:
+        """Final-state rows from ``Book.process(..., done=...)`` tuples."""
+        add = self.order_rows.append
+        for oid, seq, side, original, remaining, n_fills in done:
+            add((symbol, oid, seq, side, original, remaining, n_fills))
 
     def fills(self, symbol, seq, order_id, timestamp, fills) -> None:
         """Rows for the tuples ``Book.process`` appended to ``fills``."""
@@ -268,10 +313,11 @@ class RawWriter:
         parts = []
         for kind, fields, rows in (("fill", FILL_FIELDS, self.fill_rows),
                                    (None, REST_FIELDS, self.rest_rows),
-                                   ("top", TOP_FIELDS, self.top_rows)):
+                                   ("top", TOP_FIELDS, self.top_rows),
+                                   ("order", ORDER_FIELDS, self.order_rows)):
             if rows:
                 parts.append((kind, fields, list(zip(*rows))))
-        self.fill_rows, self.rest_rows, self.top_rows = [], [], []
+        self.fill_rows, self.rest_rows, self.top_rows, self.order_rows = [], [], [], []
         return parts
 
     def take(self) -> dict:
@@ -307,6 +353,11 @@ def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late
     return last_seq
 
 
+def write_resting_orders(book: Book, symbol, writer: RawWriter) -> None:
+    """Final-state rows for the orders still resting at the end."""
+    writer.orders(symbol, [(e[0], e[2], side, e[4], e[1], e[5]) for side, e in book.resting()])
+
+
 def write_snapshot(book: Book, symbol, writer: RawWriter) -> None:
     for side, price, level_seq, pos, oid, oseq, rem, ots in book.snapshot():
         writer.rest(symbol, side, price, level_seq, pos, oid, oseq, rem, ots)

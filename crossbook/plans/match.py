@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
-from crossbook.plans.kernel import RAW_COLUMNS, Book, RawWriter, write_snapshot
+from crossbook.plans.kernel import (RAW_COLUMNS, Book, RawWriter, write_resting_orders,
+                                   write_snapshot)
 from crossbook.session import ensure_checkpoint_dir, reliable_checkpoint
 
 RAW_SCHEMA = StructType([
@@ -49,6 +50,8 @@ RAW_SCHEMA = StructType([
     StructField("queue_pos", IntegerType(), True),
     StructField("best_bid", DoubleType(), True),
     StructField("best_ask", DoubleType(), True),
+    StructField("final_remaining", LongType(), True),
+    StructField("n_fills", IntegerType(), True),
 ])
 assert tuple(f.name for f in RAW_SCHEMA.fields) == RAW_COLUMNS
 
@@ -60,6 +63,7 @@ ARROW_SCHEMA = pa.schema([
     ("taker_remaining", pa.int64()), ("maker_remaining", pa.int64()),
     ("timestamp", pa.int64()), ("level_seq", pa.int32()), ("queue_pos", pa.int32()),
     ("best_bid", pa.float64()), ("best_ask", pa.float64()),
+    ("final_remaining", pa.int64()), ("n_fills", pa.int32()),
 ])
 
 FOLD_INPUT = ("symbol", "seq", "order_id", "price", "quantity", "timestamp")
@@ -108,28 +112,37 @@ def _column_lists(batch: pa.RecordBatch):
     return out
 
 
-def fold_batches(batches, level_priority="best_price", residual="tail", emit_top=False):
+def fold_batches(batches, level_priority="best_price", residual="tail", emit_top=False,
+                 emit_orders=False):
     """mapInArrow body: input sorted by (symbol, seq) within the partition.
 
     ``emit_top`` adds a ``top`` row (best bid, best ask) after every order
-    that changed the top of the book."""
+    that changed the top of the book; ``emit_orders`` one ``order`` row per
+    order with its final state (when it completes, is deleted, or is still
+    resting at the end)."""
     writer = RawWriter()
     book = None
     current = None
     last_top = (None, None)
     out = []
+    done = [] if emit_orders else None
     for batch in batches:
         for symbol, seq, order_id, price, quantity, ts in zip(*_column_lists(batch)):
             if symbol != current or book is None:
                 if book is not None:
+                    if emit_orders:
+                        write_resting_orders(book, current, writer)
                     write_snapshot(book, current, writer)
                 book = Book(level_priority, residual)
                 current = symbol
                 last_top = (None, None)
-            book.process(order_id, price, quantity, seq, ts, out)
+            book.process(order_id, price, quantity, seq, ts, out, done)
             if out:
                 writer.fills(symbol, seq, order_id, ts, out)
                 out.clear()
+            if done:
+                writer.orders(symbol, done)
+                done.clear()
             if emit_top:
                 top = book.top()
                 if top != last_top:
@@ -138,6 +151,8 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
         if writer.n >= OUTPUT_BATCH_ROWS:
             yield from _to_batches(writer)
     if book is not None:
+        if emit_orders:
+            write_resting_orders(book, current, writer)
         write_snapshot(book, current, writer)
     yield from _to_batches(writer)
 
@@ -183,6 +198,21 @@ class MatchResult:
         return self.raw.where(F.col("kind") == "top").select(
             "symbol", "seq", "timestamp", "best_bid", "best_ask")
 
+    @property
+    def order_states(self) -> DataFrame:
+        """AGG-6 from the fold itself (needs ``emit_orders=True``): one row
+        per order with original, filled and remaining quantity, number of
+        fills and status. No join with the order table."""
+        original = F.col("quantity")
+        remaining = F.col("final_remaining")
+        filled = original - remaining
+        return self.raw.where(F.col("kind") == "order").select(
+            "symbol", "order_id", "seq", "side",
+            original.alias("original"), filled.alias("filled"), remaining.alias("remaining"),
+            F.col("n_fills").cast("bigint").alias("n_fills"),
+            F.when(original == 0, "noop").when(remaining == 0, "closed")
+             .when(filled > 0, "partial").otherwise("open").alias("status"))
+
     def checkpoint(self, eager: bool = True) -> "MatchResult":
         """Cut lineage into the session's reliable checkpoint folder."""
         if not eager:
@@ -217,7 +247,7 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
 
 def match_orders(orders: DataFrame, level_priority: str = "best_price",
                  residual: str = "tail", tiebreak=(), num_partitions: int | None = None,
-                 emit_top: bool = False) -> MatchResult:
+                 emit_top: bool = False, emit_orders: bool = False) -> MatchResult:
     """Match limit orders per symbol in ``seq`` order.
 
     ``orders`` needs ``seq, order_id, price, quantity`` (signed: >0 buy,
@@ -229,7 +259,7 @@ def match_orders(orders: DataFrame, level_priority: str = "best_price",
     prepared = _prepare(orders, tiebreak, num_partitions)
 
     def fold(batches):
-        return fold_batches(batches, level_priority, residual, emit_top)
+        return fold_batches(batches, level_priority, residual, emit_top, emit_orders)
 
     return MatchResult(prepared.mapInArrow(fold, RAW_SCHEMA))
 

@@ -21,7 +21,8 @@ from crossbook.plans.kernel import BUY, SELL, Book
 
 LEVEL_KEY = "side string, price double"
 LEVEL_VALUE = "level_seq long"
-QUEUE_VALUE = "ids array<string>, remaining array<long>, seqs array<long>, ts array<long>"
+QUEUE_VALUE = ("ids array<string>, remaining array<long>, seqs array<long>, ts array<long>, "
+               "original array<long>, n_fills array<long>")
 META = "last_seq long, next_level_seq long"
 
 
@@ -123,9 +124,6 @@ class StateBook:
                     self.levels.updateValue((side_name, price), (next_level,))
                     next_level += 1
             for price, queue in dict.items(q):
-                if queue:
-                    ids, rem, seqs, ts = (list(c) for c in zip(*queue))
-                else:
-                    ids, rem, seqs, ts = [], [], [], []
-                self.queues.updateValue((side_name, price), (ids, rem, seqs, ts))
+                cols = [list(c) for c in zip(*queue)] if queue else [[] for _ in range(6)]
+                self.queues.updateValue((side_name, price), tuple(cols))
         self.meta.update((last_seq, next_level))

@@ -185,3 +185,15 @@ def test_match_to_tables_round_trip(spark, tmp_path):
         a, b = getattr(written, view), getattr(direct, view)
         assert a.exceptAll(b.select(*a.columns)).count() == 0
         assert b.select(*a.columns).exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("lp,res", [("best_price", "tail"), ("first_seen", "tail"), ("best_price", "head")])
+def test_fold_order_states_equal_join_form(spark, lp, res):
+    rows = _random_log(random.Random(17), 500, symbols=4)
+    rows += [("S0", 10_000, "zero", 47.0, 0, 10_000)]
+    orders = spark.createDataFrame(rows, ORDER_SCHEMA)
+    res_ = match_orders(orders, lp, res, emit_orders=True)
+    from_fold = res_.order_states
+    joined = T.order_fill_state(orders, res_.fills).select(*from_fold.columns)
+    assert from_fold.count() == len(rows)
+    assert from_fold.exceptAll(joined).count() == 0 and joined.exceptAll(from_fold).count() == 0
