@@ -1,6 +1,6 @@
 """Order and trade generators (GEN-1..4) as column expressions.
 
-The reference draws from wall-clock-seeded RNGs; here every draw is a
+The original producers draw from wall-clock-seeded RNGs; here every draw is a
 deterministic integer mix of a row id and a salt, so a rerun (or a retried
 task) produces the same rows, and the DuckDB oracle can compute the same
 values. No driver-side loops: each generator is one projection over its

@@ -11,7 +11,7 @@ Policies (see README):
   level_priority  ``best_price``  best price level first (price-time priority)
                   ``first_seen``  the first-inserted surviving level is "best";
                                   an emptied level removes the most recently
-                                  inserted level (reference parity)
+                                  inserted level (parity with the original service)
   residual        ``tail``  a partially filled maker re-queues at the end
                   ``head``  it keeps its place
 """
