@@ -492,7 +492,8 @@ def _run_match_stream(spark, sf_dir, name, seeds=False):
     seed_df = _seeds(events_orders(spark, sf_dir)) if seeds else None
     raw = match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seed_df)
     folder = stream_folder(spark, name)
-    q = drain(raw, folder)
+    # state partitions: one per core of the cluster, fixed at the first run
+    q = drain(raw, folder, state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{folder}/out"), q
 
 

@@ -42,8 +42,24 @@ def file_table_stream(spark: SparkSession, folder: str, table: str, schema,
     return reader.parquet(folder)
 
 
+def start_with_state_partitions(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a stream whose stateful operators get ``state_partitions``
+    partitions. The count is fixed by the first run and kept in the
+    checkpoint; the session setting is only changed while starting (the
+    stream runs on a clone of the session's configuration)."""
+    if not state_partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_to_parquet(stream_df: DataFrame, folder: str, available_now: bool = True,
-                   processing_time: str | None = None):
+                   processing_time: str | None = None, state_partitions: int | None = None):
     """Start ``stream_df`` into an exactly-once parquet sink at
     ``folder/out`` with its checkpoint at ``folder/checkpoint``."""
     writer = (stream_df.writeStream.format("parquet")
@@ -54,13 +70,13 @@ def run_to_parquet(stream_df: DataFrame, folder: str, available_now: bool = True
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    return start_with_state_partitions(writer, stream_df.sparkSession, state_partitions)
 
 
-def drain(stream_df: DataFrame, folder: str):
+def drain(stream_df: DataFrame, folder: str, state_partitions: int | None = None):
     """SRC-5: process everything available now, then stop (no error on the
     end of the input). Returns the finished query."""
-    q = run_to_parquet(stream_df, folder, available_now=True)
+    q = run_to_parquet(stream_df, folder, available_now=True, state_partitions=state_partitions)
     q.awaitTermination()
     return q
 
