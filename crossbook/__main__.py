@@ -23,10 +23,14 @@ def main(argv=None) -> None:
     ap.add_argument("--level-priority", default="best_price", choices=["best_price", "first_seen"])
     ap.add_argument("--residual", default="tail", choices=["tail", "head"])
     ap.add_argument("--tops", action="store_true", help="also write top-of-book changes")
+    ap.add_argument("--orders-state", action="store_true", help="also write final order states")
+    ap.add_argument("--clustered", action="store_true",
+                    help="input partitions already hold whole symbols (bucketed by symbol): no shuffle")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("crossbook-match").getOrCreate()
     orders = spark.read.parquet(args.orders)
-    res = match_to_tables(orders, args.out, args.level_priority, args.residual, emit_top=args.tops)
+    res = match_to_tables(orders, args.out, args.level_priority, args.residual, emit_top=args.tops,
+                          emit_orders=args.orders_state, assume_clustered=args.clustered)
     counts = {r["kind"]: r["count"] for r in res.raw.groupBy("kind").count().collect()}
     print(counts)
 

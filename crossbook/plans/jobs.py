@@ -16,10 +16,12 @@ from crossbook.plans.match import MatchResult, match_orders
 
 def match_to_tables(orders: DataFrame, path: str, level_priority: str = "best_price",
                     residual: str = "tail", emit_top: bool = False, tiebreak=(),
-                    mode: str = "overwrite") -> MatchResult:
+                    mode: str = "overwrite", emit_orders: bool = False,
+                    assume_clustered: bool = False) -> MatchResult:
     """Match ``orders`` and write the result to ``path`` (partitioned by
     kind). Returns a MatchResult backed by the written files."""
-    res = match_orders(orders, level_priority, residual, tiebreak=tiebreak, emit_top=emit_top)
+    res = match_orders(orders, level_priority, residual, tiebreak=tiebreak, emit_top=emit_top,
+                       emit_orders=emit_orders, assume_clustered=assume_clustered)
     res.raw.write.mode(mode).partitionBy("kind").parquet(path)
     return read_tables(orders.sparkSession, path)
 

@@ -221,7 +221,7 @@ class MatchResult:
         return MatchResult(reliable_checkpoint(self.raw))
 
 
-def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
+def _prepare(orders: DataFrame, tiebreak, num_partitions, assume_clustered=False) -> DataFrame:
     cols = set(orders.columns)
     symbol = F.col("symbol") if "symbol" in cols else F.lit("X")
     ts = F.col("timestamp").cast("bigint") if "timestamp" in cols else F.lit(None).cast("bigint")
@@ -235,10 +235,11 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
         ts.alias("timestamp"),
         *extra,
     )
-    # An explicit count: AQE must not coalesce this shuffle down to a few
-    # tasks, because the fold is CPU-bound per row, not bytes-bound.
-    n = num_partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartition(n, "symbol")
+    if not assume_clustered:
+        # An explicit count: AQE must not coalesce this shuffle down to a few
+        # tasks, because the fold is CPU-bound per row, not bytes-bound.
+        n = num_partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, "symbol")
     # Every input column breaks ties, so a retried task (or a rerun) sees the
     # same order even when seq repeats: the fold's output is deterministic.
     tail = [c for c in ("order_id", "price", "quantity", "timestamp") if c not in extra]
@@ -247,16 +248,22 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions) -> DataFrame:
 
 def match_orders(orders: DataFrame, level_priority: str = "best_price",
                  residual: str = "tail", tiebreak=(), num_partitions: int | None = None,
-                 emit_top: bool = False, emit_orders: bool = False) -> MatchResult:
+                 emit_top: bool = False, emit_orders: bool = False,
+                 assume_clustered: bool = False) -> MatchResult:
     """Match limit orders per symbol in ``seq`` order.
 
     ``orders`` needs ``seq, order_id, price, quantity`` (signed: >0 buy,
     otherwise sell) and optionally ``symbol`` (default 'X') and
     ``timestamp``. ``tiebreak`` orders rows with equal seq.
+
+    ``assume_clustered``: every input partition already holds whole symbols
+    (e.g. a table bucketed by symbol, read with bucketing on, or a frame
+    just repartitioned by symbol), so the shuffle is skipped and only the
+    per-partition sort remains. Wrong results if the promise does not hold.
     """
     Book(level_priority, residual)  # validate policies on the driver
     ship_package()
-    prepared = _prepare(orders, tiebreak, num_partitions)
+    prepared = _prepare(orders, tiebreak, num_partitions, assume_clustered)
 
     def fold(batches):
         return fold_batches(batches, level_priority, residual, emit_top, emit_orders)

@@ -197,3 +197,13 @@ def test_fold_order_states_equal_join_form(spark, lp, res):
     joined = T.order_fill_state(orders, res_.fills).select(*from_fold.columns)
     assert from_fold.count() == len(rows)
     assert from_fold.exceptAll(joined).count() == 0 and joined.exceptAll(from_fold).count() == 0
+
+
+def test_assume_clustered_skips_the_shuffle(spark):
+    orders = spark.createDataFrame(_random_log(random.Random(5), 300, symbols=6), ORDER_SCHEMA)
+    clustered = orders.repartition(4, "symbol")
+    res = match_orders(clustered, assume_clustered=True)
+    plan = res.raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # only the caller's own repartition
+    a, b = res.fills, match_orders(orders).fills
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
