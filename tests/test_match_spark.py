@@ -207,3 +207,14 @@ def test_assume_clustered_skips_the_shuffle(spark):
     assert plan.count("Exchange") == 1  # only the caller's own repartition
     a, b = res.fills, match_orders(orders).fills
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_result_independent_of_partitioning_even_with_repeated_seq(spark):
+    rng = random.Random(41)
+    rows = [(f"S{rng.randrange(5)}", rng.randrange(60), f"o{i}", float(rng.randint(45, 50)),
+             rng.choice([-1, 1]) * rng.randint(1, 20), i) for i in range(400)]
+    orders = spark.createDataFrame(rows, ORDER_SCHEMA)
+    runs = [match_orders(orders.repartition(k), num_partitions=n).fills
+            for k, n in ((1, 3), (5, 7), (9, 2))]
+    for other in runs[1:]:
+        assert runs[0].exceptAll(other).count() == 0 and other.exceptAll(runs[0]).count() == 0
