@@ -44,8 +44,8 @@ def timed(make) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
-                          app_name="crossbook-bench")
+    shuffle = int(os.environ.get("BENCH_SHUFFLE", str(2 * int(cpus)) if cpus.isdigit() else "16"))
+    spark = local_session(cpus, shuffle_partitions=shuffle, app_name="crossbook-bench")
     qs = catalog.registry()
     # warm up the JVM and the Python workers (untimed)
     run(qs["src_orders"](spark, sf_dir))
