@@ -218,3 +218,13 @@ def test_result_independent_of_partitioning_even_with_repeated_seq(spark):
             for k, n in ((1, 3), (5, 7), (9, 2))]
     for other in runs[1:]:
         assert runs[0].exceptAll(other).count() == 0 and other.exceptAll(runs[0]).count() == 0
+
+
+@pytest.mark.parametrize("sf,orders_n,fills_n,qty", [("0.01", 10_000, 6_716, 87_712),
+                                                     ("0.1", 100_000, 67_306, 878_228)])
+def test_fixture_totals(spark, sf, orders_n, fills_n, qty):
+    """Headline totals of the events adapter under best_price + tail."""
+    from crossbook.sources.fixtures import events_orders
+    o = events_orders(spark, f"/root/testdata/sf{sf}")
+    r = match_orders(o).fills.agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q")).first()
+    assert (o.count(), r["n"], r["q"]) == (orders_n, fills_n, qty)
