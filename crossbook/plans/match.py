@@ -1,7 +1,7 @@
 """Batch matching plan (STR-1, STR-2, STR-4).
 
-    orders -> project -> hash shuffle by symbol -> sort (symbol, seq)
-           -> mapInArrow(fold) -> raw rows (kind = fill | rest | late)
+    orders -> project -> hash shuffle by symbol -> sort (symbol, seq, ties)
+           -> mapInArrow(fold) -> raw rows (kind = fill | rest | top | order)
 
 One shuffle, keyed by symbol; the sort is Spark's external sort, so it
 spills instead of failing on large partitions. The fold streams Arrow
