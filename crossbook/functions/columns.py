@@ -65,3 +65,17 @@ def trader_order_id(trader: Column, nanos: Column) -> Column:
 def fallback(value: Column, default) -> Column:
     """Empty string -> fallback value."""
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+
+
+def config_entries(kv: DataFrame, key_col: str = "key", value_col: str = "value",
+                   prefix: str | None = None) -> DataFrame:
+    """Environment-style settings -> (section, name, value): keys split on
+    ``__`` with exactly three parts (prefix, section, name), section and name
+    lower-cased; other keys are ignored. ``prefix`` keeps one prefix only."""
+    parts = F.split(F.col(key_col), "__")
+    out = kv.where(F.size(parts) == 3)
+    if prefix is not None:
+        out = out.where(parts.getItem(0) == prefix)
+    return out.select(F.lower(parts.getItem(1)).alias("section"),
+                      F.lower(parts.getItem(2)).alias("name"),
+                      F.col(value_col).alias("value"))

@@ -68,3 +68,12 @@ def test_scalar_helpers(spark):
         C.normalize_action(F.col("a")), C.normalize_status(F.col("s")), C.fallback(F.col("e"), "dflt"),
         C.trader_id(F.col("n")), C.zero_to_one(F.lit(0))).first()
     assert tuple(r) == ("BUY", "partial", "dflt", "Trader-3", 1)
+
+
+def test_config_entries(spark):
+    kv = spark.createDataFrame([("OB__KAFKA__BOOTSTRAP", "b:9092"), ("OB__TASK__POLL_SIZE", "32"),
+                                ("OB__BROKEN", "x"), ("OB__A__B__C", "y"), ("XX__KAFKA__GROUP", "g")],
+                               "key string, value string")
+    got = sorted(tuple(r) for r in C.config_entries(kv, prefix="OB").collect())
+    assert got == [("kafka", "bootstrap", "b:9092"), ("task", "poll_size", "32")]
+    assert len(C.config_entries(kv).collect()) == 3
