@@ -256,10 +256,14 @@ def match_orders(orders: DataFrame, level_priority: str = "best_price",
     otherwise sell) and optionally ``symbol`` (default 'X') and
     ``timestamp``. ``tiebreak`` orders rows with equal seq.
 
-    ``assume_clustered``: every input partition already holds whole symbols
-    (e.g. a table bucketed by symbol, read with bucketing on, or a frame
-    just repartitioned by symbol), so the shuffle is skipped and only the
-    per-partition sort remains. Wrong results if the promise does not hold.
+    ``assume_clustered``: every input partition already holds whole symbols,
+    so the shuffle is skipped and only the per-partition sort remains. True
+    for a frame just repartitioned by symbol, or for a table bucketed by
+    symbol read as one partition per bucket: set
+    ``spark.sql.sources.bucketing.autoBucketedScan.enabled=false``, since
+    nothing in this plan asks for the bucketing and Spark would otherwise
+    split or merge bucket files by size. Wrong results if the promise does
+    not hold.
     """
     Book(level_priority, residual)  # validate policies on the driver
     ship_package()

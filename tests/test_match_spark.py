@@ -228,3 +228,20 @@ def test_fixture_totals(spark, sf, orders_n, fills_n, qty):
     o = events_orders(spark, f"/root/testdata/sf{sf}")
     r = match_orders(o).fills.agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q")).first()
     assert (o.count(), r["n"], r["q"]) == (orders_n, fills_n, qty)
+
+
+def test_bucketed_table_needs_no_shuffle(spark, tmp_path):
+    orders = spark.createDataFrame(_random_log(random.Random(8), 300, symbols=7), ORDER_SCHEMA)
+    orders.write.bucketBy(4, "symbol").option("path", str(tmp_path / "t")).saveAsTable("orders_bucketed")
+    key = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    spark.conf.set(key, "false")
+    try:
+        t = spark.table("orders_bucketed")
+        assert t.rdd.getNumPartitions() == 4
+        res = match_orders(t, assume_clustered=True)
+        assert "Exchange" not in res.raw._jdf.queryExecution().executedPlan().toString()
+        a, b = res.fills, match_orders(orders).fills
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        spark.conf.unset(key)
+        spark.sql("DROP TABLE IF EXISTS orders_bucketed")
