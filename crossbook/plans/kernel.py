@@ -333,21 +333,26 @@ class RawWriter:
         return out
 
 
-def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late_check=True):
+def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late_check=True,
+                emit_orders=False):
     """Run ``rows`` = iterable of (seq, order_id, price, quantity, timestamp)
     through ``book``; write fills, and ``late`` rows for rows whose seq is
     not above the last one processed (when ``late_check``). Returns the last
     seq processed."""
     out = []
+    done = [] if emit_orders else None
     for seq, order_id, price, quantity, timestamp in rows:
         if late_check and last_seq is not None and seq is not None and seq <= last_seq:
             writer.rest(symbol, BUY if (quantity or 0) > 0 else SELL, price, None,
                         None, order_id, seq, quantity, timestamp, kind="late")
             continue
-        book.process(order_id, price, quantity, seq, timestamp, out)
+        book.process(order_id, price, quantity, seq, timestamp, out, done)
         if out:
             writer.fills(symbol, seq, order_id, timestamp, out)
             out.clear()
+        if done:
+            writer.orders(symbol, done)
+            done.clear()
         if seq is not None:
             last_seq = seq if last_seq is None else max(last_seq, seq)
     return last_seq

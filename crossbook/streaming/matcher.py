@@ -10,7 +10,7 @@ one for their symbol (redelivery, or an out-of-order producer) are emitted
 as ``late`` and never matched. With ``mid_tick_ms`` a processing-time timer
 samples the mid price of each symbol's book (STR-5).
 
-Output rows use the batch plan's raw schema: kind = fill | late | mid.
+Output rows use the batch plan's raw schema: kind = fill | late | mid | order.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ class MatchProcessor(StatefulProcessor):
     """One book per grouping key (the symbol)."""
 
     def __init__(self, level_priority: str = "best_price", residual: str = "tail",
-                 mid_tick_ms: int | None = None):
+                 mid_tick_ms: int | None = None, emit_orders: bool = False):
         Book(level_priority, residual)  # validate
         self.level_priority = level_priority
         self.residual = residual
         self.mid_tick_ms = mid_tick_ms
+        self.emit_orders = emit_orders
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -66,7 +67,7 @@ class MatchProcessor(StatefulProcessor):
                           for r in rows), key=lambda t: (t[0] is None, t[0]))
         writer = RawWriter()
         last_seq = fold_symbol(book, symbol, ordered, writer, last_seq=last_seq,
-                               late_check=last_seq is not None)
+                               late_check=last_seq is not None, emit_orders=self.emit_orders)
         self._save(book, last_seq)
         self._arm_timer(timerValues)
         yield from _rows(writer)
@@ -98,11 +99,13 @@ class MatchProcessor(StatefulProcessor):
 
 
 def match_stream(orders: DataFrame, level_priority: str = "best_price", residual: str = "tail",
-                 mid_tick_ms: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
+                 mid_tick_ms: int | None = None, seeds: DataFrame | None = None,
+                 emit_orders: bool = False) -> DataFrame:
     """Streaming form of ``match_orders``: a streaming DataFrame of raw rows
-    (kind = fill | late | mid). ``orders`` needs symbol, seq, order_id,
-    price, quantity, timestamp; ``seeds`` (batch DataFrame, same columns)
-    becomes the initial state."""
+    (kind = fill | late | mid, and with ``emit_orders`` an ``order`` row when
+    an order completes: filled, a no-op, or deleted with its level).
+    ``orders`` needs symbol, seq, order_id, price, quantity, timestamp;
+    ``seeds`` (batch DataFrame, same columns) becomes the initial state."""
     ship_package()
     cols = ["symbol", "seq", "order_id", "price", "quantity", "timestamp"]
     typed = orders.select(
@@ -113,7 +116,7 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
     if seeds is not None:
         initial = seeds.select(*cols).groupBy("symbol")
     return typed.groupBy("symbol").transformWithState(
-        MatchProcessor(level_priority, residual, mid_tick_ms),
+        MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders),
         RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "None",
         initialState=initial)
 

@@ -160,3 +160,17 @@ def test_restart_from_checkpoint_resumes_state(spark, tmp_path):
             f"{src}/part=001")
     fills = MatchResult(spark.read.parquet(f"{run}/out")).fills
     assert fills.exceptAll(batch).count() == 0 and batch.exceptAll(fills).count() == 0
+
+
+def test_stream_emits_completed_order_states(spark, tmp_path):
+    rows = _log(300, seed=31)
+    batch = (match_orders(spark.createDataFrame(rows, SCHEMA), emit_orders=True).order_states
+             .where("remaining = 0"))
+    src = str(tmp_path / "src")
+    _write_chunks(spark, rows, src, [100, 100, 100])
+    use_rocksdb(spark)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").parquet(src)
+    run = str(tmp_path / "run")
+    run_to_parquet(match_stream(stream, emit_orders=True), run).awaitTermination()
+    got = MatchResult(spark.read.parquet(f"{run}/out")).order_states
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
