@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from crossbook.llm.common import LOWER_TABLE, gather_runs, raw_bytes, split_words, sums_between
 
-MEMO_PIECES = 600_000
+MEMO_PIECES = 200_000
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
