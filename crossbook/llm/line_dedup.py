@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import row_columns, whole_rows
+from crossbook.llm.common import checkpointed, row_columns, whole_rows
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -49,7 +49,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
         F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sketch"),
         F.min("doc_id").alias("first_doc"))
     estimated = spread.select("line_hash", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
-    candidates = estimated.where(F.col("sites") >= min_sites * (1 - MARGIN))
+    # written first (few lines): joins with it can split a very common line
+    candidates = checkpointed(estimated.where(F.col("sites") >= min_sites * (1 - MARGIN)))
     sure = candidates.where(F.col("sites") > min_sites * (1 + MARGIN)).select("line_hash", "first_doc")
     near = candidates.where(F.col("sites") <= min_sites * (1 + MARGIN)).select("line_hash", "first_doc")
     exact = (lines.select("line_hash", "source").join(near, "line_hash")
