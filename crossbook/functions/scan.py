@@ -1,34 +1,30 @@
-"""Skew-aware running sums (prefix sums per key in a given order).
-
-A window ``sum(x) over (partition by key order by o rows unbounded
-preceding)`` sends every row of a key to one task, so one hot key (a symbol
-holding a third of the book) serialises the whole job. This computes the
-same column in three steps that split a hot key across tasks:
-
-1. ``repartitionByRange(n, key, order)``: range bounds come from a sample,
-   so a hot key's rows are spread over several consecutive partitions;
-   each partition is sorted by (key, order).
-2. A vectorised local scan per partition (``mapInArrow`` + pandas
-   ``groupby.cumsum``, carrying the running value across Arrow batches).
-3. The scanned partitions are checkpointed once (range bounds are sampled
-   per execution, so both uses must read one materialisation); per-
-   (partition, key) totals are turned into the offset each partition must add for the
-   keys that started in an earlier partition. Only keys that span more than
-   one partition need an offset, and a partition can continue at most one
-   key from its predecessor, so the offset table has fewer than
-   2 x ``n`` rows: it is broadcast, and the big side is never shuffled again.
-
-``running_sums`` picks the plan at run time like a size-checked broadcast:
-one small aggregate measures the largest key; a plain window is used unless
-a key is hot, and the split scan only then.
+"""Skew-aware running scans (sum, last value, next value per key in a given order).
+
+A window over a whole key sends every row of the key to one task, so one hot
+key (a symbol holding a third of the book) serialises the job. The split form
+computes the same column in three steps:
+
+1. ``repartitionByRange(n, key, order)``: a hot key's rows are spread over
+   several consecutive ranges. The rows are checkpointed with their range
+   number (bounds are sampled per execution, so all uses must read one
+   materialisation).
+2. The same window function per (range, key): a hot key becomes many small
+   window groups.
+3. One row per (range, key) carries what the earlier (or later) ranges of
+   that key contribute; it is joined back null-safely.
+
+Both forms are Spark's own window functions over the same order, so NULL keys,
+NULL values, NaN and 64-bit integers come out alike. ``strategy`` picks the
+plan only: ``auto`` measures the largest key with one small aggregate and
+splits when a key is hot.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from crossbook.session import reliable_checkpoint
@@ -36,37 +32,6 @@ from crossbook.session import reliable_checkpoint
 PID = "_scan_pid"
 
 
-def _local_scan(batches, keys, values, outs):
-    """Per-partition running sums; rows arrive sorted by (keys, order).
-    Only the key and value columns go through pandas; the batch itself is
-    passed on untouched with the new columns appended."""
-    import pandas as pd
-
-    prev_key = None
-    carry = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            for out in outs:
-                batch = batch.append_column(out, pa.array([], type=pa.int64()))
-            yield batch
-            continue
-        pdf = pa.Table.from_batches([batch]).select(list(dict.fromkeys(keys + values))).to_pandas()
-        grouped = pdf.groupby(keys, sort=False, dropna=False)
-        sums = {out: grouped[v].cumsum().astype("int64") for v, out in zip(values, outs)}
-        if prev_key is not None:
-            first = pd.Series(True, index=pdf.index)
-            for k, pk in zip(keys, prev_key):
-                first &= pdf[k].eq(pk) if pk is not None else pdf[k].isna()
-            for out in outs:
-                sums[out] = sums[out].where(~first, sums[out] + carry[out])
-        last = pdf.iloc[-1]
-        prev_key = tuple(None if pd.isna(last[k]) else last[k] for k in keys)
-        carry = {out: int(sums[out].iloc[-1]) for out in outs}
-        for out in outs:
-            batch = batch.append_column(out, pa.array(sums[out].to_numpy(), type=pa.int64()))
-        yield batch
-
-
 # A key is "hot" when it alone holds more than HOT_FACTOR average partitions
 # of rows and at least MIN_HOT_ROWS rows (below that one task is cheap).
 HOT_FACTOR = 2.0
@@ -87,235 +52,117 @@ def has_hot_key(df: DataFrame, keys: list[str], num_partitions: int) -> bool:
     return biggest >= min_rows and biggest > HOT_FACTOR * total / max(num_partitions, 1)
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                 num_partitions: int | None = None, strategy: str = "auto") -> DataFrame:
-    """Running sums per key; ``strategy``: ``window`` (one task per key),
-    ``split`` (the skew-safe scan below) or ``auto``: measure the largest
-    key first and split only when one is hot."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The rows with the number of their (key, order) range, written once."""
+    return reliable_checkpoint(
+        df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id()))
+
+
+def _with_edges(local: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on (range, key), NULL keys included; Spark picks the join."""
+    names = [PID, *keys]
+    right = edges.select(*[F.col(c).alias(f"_edge_{c}") for c in names],
+                         *[c for c in edges.columns if c not in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_edge_{c}")) for c in names])
+    return local.join(right, same, "left")
+
+
+def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _is_split(df: DataFrame, keys: list[str], n: int, strategy: str, probe: DataFrame | None) -> bool:
     if strategy == "auto":
-        strategy = "split" if has_hot_key(df, keys, n) else "window"
-    if strategy == "window":
-        w = (Window.partitionBy(*keys).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select("*", *[F.sum(v).over(w).cast("bigint").alias(o) for o, v in values.items()])
-    return split_running_sums(df, keys, order, values, n)
+        return has_hot_key(probe if probe is not None else df, keys, n)
+    return strategy == "split"
 
 
-def split_running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                       num_partitions: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
+                 num_partitions: int | None = None, strategy: str = "auto",
+                 probe: DataFrame | None = None) -> DataFrame:
     """Adds ``out = running sum of values[out]`` per ``keys`` in ``order``
-    (inclusive of the current row). Values must be integral and non-null
-    (any sign);
-    ``order`` must be unique within a key. Runs one eager job (the
-    checkpoint of the scanned partitions)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    outs, vals = list(values), [values[o] for o in values]
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id())
-    local_outs = [f"_local_{o}" for o in outs]
-    schema = StructType(list(ranged.schema.fields)
-                        + [StructField(o, LongType(), False) for o in local_outs])
-
-    def scan(batches):
-        return _local_scan(batches, keys, vals, local_outs)
-
-    # Range bounds come from a seeded sample that differs per execution, so
-    # the scanned partitions are materialised once (reliable checkpoint in
-    # spark.checkpoint.dir) and both the totals and the final join read that.
-    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
-    totals = local.groupBy(PID, *keys).agg(
-        *[F.sum(v).cast("bigint").alias(f"_tot_{o}") for v, o in zip(vals, outs)])
-    by_key = Window.partitionBy(*keys)
+    (current row included; NULL values are skipped, NULL before the first),
+    as BIGINT. ``order`` must be unique within a key. ``probe`` is a cheaper
+    DataFrame with the same key distribution to measure instead of ``df``."""
+    n = _partitions(df, num_partitions)
+
+    def sums(by):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return {o: F.sum(v).over(w).cast("bigint") for o, v in values.items()}
+
+    if not _is_split(df, keys, n, strategy, probe):
+        return df.select("*", *[c.alias(o) for o, c in sums(keys).items()])
+    ranged = _ranged(df, keys, order, n)
+    local = ranged.select("*", *[c.alias(f"_local_{o}") for o, c in sums([PID, *keys]).items()])
+    totals = ranged.groupBy(PID, *keys).agg(*[F.sum(v).alias(f"_total_{o}") for o, v in values.items()])
     before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("_parts", F.count(F.lit(1)).over(by_key))
-               .where(F.col("_parts") > 1)
-               .select(PID, *keys, *[F.sum(f"_tot_{o}").over(before).alias(f"_off_{o}") for o in outs])
-               .where(F.col(f"_off_{outs[0]}").isNotNull()))
-    joined = local.join(F.broadcast(offsets), [PID, *keys], "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_local_{o}") + F.coalesce(F.col(f"_off_{o}"), F.lit(0))).alias(o) for o in outs])
+    edges = totals.select(PID, *keys, *[F.sum(f"_total_{o}").over(before).alias(f"_before_{o}") for o in values])
+
+    def whole(o):
+        here, earlier = F.col(f"_local_{o}"), F.col(f"_before_{o}")
+        return F.when(here.isNull(), earlier).otherwise(here + F.coalesce(earlier, F.lit(0)))
+
+    return _with_edges(local, edges, keys).select(
+        *df.columns, *[whole(o).cast("bigint").alias(o) for o in values])
 
 
 def running_count(df: DataFrame, keys: list[str], order: list[str], out: str,
                   num_partitions: int | None = None, strategy: str = "auto",
                   probe: DataFrame | None = None) -> DataFrame:
     """1-based position of each row within its key in ``order`` (a skew-safe
-    ``row_number()``), as INT. ``probe``: see ``running_last``."""
-    if strategy == "auto" and probe is not None:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        strategy = "split" if has_hot_key(probe, keys, n) else "window"
+    ``row_number()``), as INT. ``probe``: see ``running_sums``."""
     tmp = df.withColumn("_scan_one", F.lit(1).cast("bigint"))
-    res = running_sums(tmp, keys, order, {out: "_scan_one"}, num_partitions, strategy)
+    res = running_sums(tmp, keys, order, {out: "_scan_one"}, num_partitions, strategy, probe)
     return res.drop("_scan_one").withColumn(out, F.col(out).cast("int"))
 
 
-def _local_last(batches, keys, values, outs):
-    """Per-partition carry of the last non-null value (rows sorted by key, order)."""
-    import pandas as pd
-
-    prev_key = None
-    carry = {}
-    for batch in batches:
-        if batch.num_rows == 0:
-            for v, out in zip(values, outs):
-                batch = batch.append_column(out, pa.array([], type=batch.schema.field(v).type))
-            yield batch
-            continue
-        pdf = pa.Table.from_batches([batch]).select(list(dict.fromkeys(keys + values))).to_pandas()
-        grouped = pdf.groupby(keys, sort=False, dropna=False)
-        first = None
-        if prev_key is not None:
-            first = pd.Series(True, index=pdf.index)
-            for k, pk in zip(keys, prev_key):
-                first &= pdf[k].eq(pk) if pk is not None else pdf[k].isna()
-        last = pdf.iloc[-1]
-        last_key = tuple(None if pd.isna(last[k]) else last[k] for k in keys)
-        new_carry = {}
-        for v, out in zip(values, outs):
-            filled = grouped[v].ffill()
-            if first is not None and carry.get(out) is not None:
-                filled = filled.where(~(first & filled.isna()), carry[out])
-            tail = filled.iloc[-1]
-            new_carry[out] = None if pd.isna(tail) else tail
-            batch = batch.append_column(
-                out, pa.array(filled, type=batch.schema.field(v).type, from_pandas=True))
-        prev_key, carry = last_key, new_carry
-        yield batch
-
-
 def running_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
                  num_partitions: int | None = None, strategy: str = "auto",
                  probe: DataFrame | None = None) -> DataFrame:
     """Adds ``out = last non-null values[out]`` per key up to and including
-    the row (``last(x, ignorenulls)`` over a running window), numeric or
-    string columns. ``strategy`` as in ``running_sums``; ``probe`` is a
-    cheaper DataFrame with the same key distribution to measure instead of
-    ``df`` (e.g. the order scan when ``df`` also holds fold output)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if strategy == "auto":
-        strategy = "split" if has_hot_key(probe if probe is not None else df, keys, n) else "window"
-    if strategy == "window":
-        w = (Window.partitionBy(*keys).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(o) for o, v in values.items()])
-    outs, vals = list(values), [values[o] for o in values]
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id())
-    local_outs = [f"_local_{o}" for o in outs]
-    types = {f.name: f.dataType for f in ranged.schema.fields}
-    schema = StructType(list(ranged.schema.fields)
-                        + [StructField(lo, types[v], True) for lo, v in zip(local_outs, vals)])
-
-    def scan(batches):
-        return _local_last(batches, keys, vals, local_outs)
-
-    # materialised once: range bounds are sampled per execution (see running_sums)
-    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
-    order_key = F.struct(*order)
-    tails = local.groupBy(PID, *keys).agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), order_key)).alias(f"_tail_{o}")
-          for v, o in zip(vals, outs)])
-    by_key = Window.partitionBy(*keys)
+    the row (``last(x, ignorenulls)`` over a running window)."""
+    n = _partitions(df, num_partitions)
+
+    def lasts(by):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return {o: F.last(v, ignorenulls=True).over(w) for o, v in values.items()}
+
+    if not _is_split(df, keys, n, strategy, probe):
+        return df.select("*", *[c.alias(o) for o, c in lasts(keys).items()])
+    ranged = _ranged(df, keys, order, n)
+    local = ranged.select("*", *[c.alias(f"_local_{o}") for o, c in lasts([PID, *keys]).items()])
+    tails = ranged.groupBy(PID, *keys).agg(
+        *[F.max(F.when(F.col(v).isNotNull(), F.struct(*order, F.col(v).alias("_value"))))["_value"]
+          .alias(f"_tail_{o}") for o, v in values.items()])
     before = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (tails.withColumn("_parts", F.count(F.lit(1)).over(by_key))
-               .where(F.col("_parts") > 1)
-               .select(PID, *keys, *[F.last(f"_tail_{o}", ignorenulls=True).over(before).alias(f"_carry_{o}")
-                                     for o in outs]))
-    joined = local.join(F.broadcast(carried), [PID, *keys], "left")
-    return joined.select(
-        *df.columns,
-        *[F.coalesce(F.col(f"_local_{o}"), F.col(f"_carry_{o}")).alias(o) for o in outs])
-
-
-def _local_next(batches, keys, values, outs, last_flag):
-    """Per-partition ``lead``: each row gets the next row's values within its
-    key; the partition's last row of each key is flagged (its successor, if
-    any, is in a later partition). A batch's final row is held back until
-    the next batch shows whether its key continues."""
-    import pandas as pd
-
-    pending = None  # (1-row batch, its key tuple)
-
-    def key_of(pdf, i):
-        row = pdf.iloc[i]
-        return tuple(None if pd.isna(row[k]) else row[k] for k in keys)
-
-    def finish(one_row: pa.RecordBatch, nxt: dict | None):
-        out = one_row
-        for v, o in zip(values, outs):
-            val = None if nxt is None else nxt[v]
-            out = out.append_column(o, pa.array([val], type=one_row.schema.field(v).type))
-        return out.append_column(last_flag, pa.array([nxt is None], type=pa.bool_()))
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        pdf = pa.Table.from_batches([batch]).select(list(dict.fromkeys(keys + values))).to_pandas()
-        first_key = key_of(pdf, 0)
-        if pending is not None:
-            one, pkey = pending
-            yield finish(one, {v: pdf[v].iloc[0] for v in values} if pkey == first_key else None)
-            pending = None
-        n = batch.num_rows
-        if n > 1:
-            grouped = pdf.iloc[:n].groupby(keys, sort=False, dropna=False)
-            head = batch.slice(0, n - 1)
-            is_last = None
-            for v, o in zip(values, outs):
-                shifted = grouped[v].shift(-1).iloc[: n - 1]
-                if is_last is None:
-                    is_last = shifted.isna().to_numpy()
-                head = head.append_column(o, pa.array(shifted, type=batch.schema.field(v).type,
-                                                      from_pandas=True))
-            # within the batch a missing successor means the key ended here
-            head = head.append_column(last_flag, pa.array(is_last, type=pa.bool_()))
-            yield head
-        pending = (batch.slice(n - 1, 1), key_of(pdf, n - 1))
-    if pending is not None:
-        yield finish(pending[0], None)
+    edges = tails.select(PID, *keys, *[F.last(f"_tail_{o}", ignorenulls=True).over(before).alias(f"_before_{o}")
+                                       for o in values])
+    return _with_edges(local, edges, keys).select(
+        *df.columns, *[F.coalesce(f"_local_{o}", f"_before_{o}").alias(o) for o in values])
 
 
 def running_next(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
                  num_partitions: int | None = None, strategy: str = "auto",
                  probe: DataFrame | None = None) -> DataFrame:
     """Adds ``out = lead(values[out])`` per key in ``order`` (NULL for a
-    key's last row). Values must be non-null. ``strategy`` / ``probe`` as in
-    ``running_last``; the split form hands each partition's last row of a
-    key the first value of that key in the next partition holding it (a
-    broadcast table of at most one row per partition boundary)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if strategy == "auto":
-        strategy = "split" if has_hot_key(probe if probe is not None else df, keys, n) else "window"
-    if strategy == "window":
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lead(v).over(w).alias(o) for o, v in values.items()])
-    outs, vals = list(values), [values[o] for o in values]
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(PID, F.spark_partition_id())
-    local_outs = [f"_local_{o}" for o in outs]
-    types = {f.name: f.dataType for f in ranged.schema.fields}
-    schema = StructType(list(ranged.schema.fields)
-                        + [StructField(lo, types[v], True) for lo, v in zip(local_outs, vals)]
-                        + [StructField("_is_last", BooleanType(), False)])
-
-    def scan(batches):
-        return _local_next(batches, keys, vals, local_outs, "_is_last")
-
-    local = reliable_checkpoint(ranged.sortWithinPartitions(*keys, *order).mapInArrow(scan, schema))
-    order_key = F.struct(*order)
-    heads = local.groupBy(PID, *keys).agg(
-        *[F.min_by(v, order_key).alias(f"_head_{o}") for v, o in zip(vals, outs)])
-    by_key = Window.partitionBy(*keys)
+    key's last row)."""
+    n = _partitions(df, num_partitions)
+
+    def nexts(by):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return {o: F.lead(v).over(w) for o, v in values.items()}
+
+    if not _is_split(df, keys, n, strategy, probe):
+        return df.select("*", *[c.alias(o) for o, c in nexts(keys).items()])
+    ranged = _ranged(df, keys, order, n)
+    in_range = Window.partitionBy(PID, *keys).orderBy(*order)
+    local = ranged.select("*", *[c.alias(f"_local_{o}") for o, c in nexts([PID, *keys]).items()],
+                          F.lead(F.lit(True)).over(in_range).isNull().alias("_ends_range"))
+    first = F.min(F.struct(*order, *[F.col(v).alias(f"_head_{o}") for o, v in values.items()]))
+    heads = ranged.groupBy(PID, *keys).agg(first.alias("_first"))
     after = Window.partitionBy(*keys).orderBy(PID)
-    nexts = (heads.withColumn("_parts", F.count(F.lit(1)).over(by_key))
-             .where(F.col("_parts") > 1)
-             .select(PID, *keys, *[F.lead(f"_head_{o}").over(after).alias(f"_next_{o}") for o in outs])
-             .where(F.col(f"_next_{outs[0]}").isNotNull()))
-    joined = local.join(F.broadcast(nexts), [PID, *keys], "left")
-    return joined.select(
-        *df.columns,
-        *[F.when(F.col("_is_last"), F.col(f"_next_{o}")).otherwise(F.col(f"_local_{o}")).alias(o)
-          for o in outs])
+    edges = heads.select(PID, *keys, *[F.lead(f"_first._head_{o}").over(after).alias(f"_after_{o}")
+                                       for o in values])
+    return _with_edges(local, edges, keys).select(
+        *df.columns, *[F.when(F.col("_ends_range"), F.col(f"_after_{o}")).otherwise(F.col(f"_local_{o}")).alias(o)
+                       for o in values])
