@@ -3,11 +3,12 @@
     orders stream -> groupBy(symbol).transformWithState(MatchProcessor)
 
 State per symbol (RocksDB when configured): the book's levels and their
-FIFO queues in map state (``state_book``), plus the last processed seq. A
-micro-batch folds its rows in seq order with the same ``Book`` kernel as the
-batch plan, loading only the levels it touches and writing back only those. Rows whose seq is not above the last processed
-one for their symbol (redelivery, or an out-of-order producer) are emitted
-as ``late`` and never matched. With ``mid_tick_ms`` a processing-time timer
+FIFO queues in map state (``state_book``), plus the last processed row. A
+micro-batch folds its rows with the same ``Book`` kernel and in the same total
+order as the batch plan (seq, then every other column, NULL first), loading
+only the levels it touches and writing back only those. Rows that are not
+above the last processed row of their symbol in that order (redelivery, or an
+out-of-order producer) are emitted as ``late`` and never matched. With ``mid_tick_ms`` a processing-time timer
 samples the mid price of each symbol's book (STR-5).
 
 Output rows use the batch plan's raw schema: kind = fill | late | mid | order.
@@ -15,14 +16,23 @@ Output rows use the batch plan's raw schema: kind = fill | late | mid | order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from crossbook.plans.kernel import RAW_COLUMNS, Book, RawWriter, fold_symbol
+from crossbook.plans.kernel import BUY, RAW_COLUMNS, SELL, Book, RawWriter, fold_symbol
 from crossbook.plans.match import RAW_SCHEMA, ship_package
 from crossbook.streaming.state_book import StateBook
 
+
+def arrival_key(row):
+    """Sort key of (seq, order_id, price, quantity, timestamp) that orders
+    rows as the batch plan's sort does: NULL first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in row)
+
+
 def _rows(writer: RawWriter):
     cols = writer.take()
     for i in range(len(cols["kind"])):
@@ -46,11 +56,11 @@ class MatchProcessor(StatefulProcessor):
 
     # -- state io -------------------------------------------------------
     def _load(self):
-        book, last_seq, self._next_level = self.state.load(self.level_priority, self.residual)
-        return book, last_seq
+        book, last, self._next_level = self.state.load(self.level_priority, self.residual)
+        return book, last
 
-    def _save(self, book: Book, last_seq) -> None:
-        self.state.save(book, last_seq, self._next_level)
+    def _save(self, book: Book, last) -> None:
+        self.state.save(book, last, self._next_level)
 
     def _arm_timer(self, timer_values) -> None:
         if not self.mid_tick_ms:
@@ -62,24 +72,29 @@ class MatchProcessor(StatefulProcessor):
     # -- callbacks ------------------------------------------------------
     def handleInputRows(self, key, rows, timerValues):
         symbol = key[0]
-        book, last_seq = self._load()
+        book, last = self._load()
         ordered = sorted(((r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"])
-                          for r in rows), key=lambda t: (t[0] is None, t[0]))
+                          for r in rows), key=arrival_key)
         writer = RawWriter()
-        last_seq = fold_symbol(book, symbol, ordered, writer, last_seq=last_seq,
-                               late_check=last_seq is not None, emit_orders=self.emit_orders)
-        self._save(book, last_seq)
+        if last is not None:
+            done = bisect_right(ordered, arrival_key(last), key=arrival_key)
+            for seq, order_id, price, quantity, timestamp in ordered[:done]:
+                writer.rest(symbol, BUY if (quantity or 0) > 0 else SELL, price, None, None, order_id,
+                            seq, quantity, timestamp, kind="late")
+            ordered = ordered[done:]
+        fold_symbol(book, symbol, ordered, writer, late_check=False, emit_orders=self.emit_orders)
+        self._save(book, ordered[-1] if ordered else last)
         self._arm_timer(timerValues)
         yield from _rows(writer)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """STR-7: seed orders (e.g. one bid and one ask) fold into the book
         before the first micro-batch; their fills, if any, are not emitted."""
-        book, last_seq = self._load()
+        book, last = self._load()
         r = initialState
         fold_symbol(book, key[0], [(r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"])],
-                    RawWriter(), last_seq=None, late_check=False)
-        self._save(book, last_seq)
+                    RawWriter(), late_check=False)
+        self._save(book, last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """STR-5: sample the mid once per tick while both sides exist."""
@@ -104,18 +119,22 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
     """Streaming form of ``match_orders``: a streaming DataFrame of raw rows
     (kind = fill | late | mid, and with ``emit_orders`` an ``order`` row when
     an order completes: filled, a no-op, or deleted with its level).
-    ``orders`` needs symbol, seq, order_id, price, quantity, timestamp;
-    ``seeds`` (batch DataFrame, same columns) becomes the initial state."""
+    ``orders`` needs seq, order_id, price, quantity and, as in the batch form,
+    may have symbol (default 'X') and timestamp; ``seeds`` (batch DataFrame, same columns) becomes the initial state."""
     ship_package()
-    cols = ["symbol", "seq", "order_id", "price", "quantity", "timestamp"]
-    typed = orders.select(
-        F.col("symbol").cast("string"), F.col("seq").cast("bigint"),
-        F.col("order_id").cast("string"), F.col("price").cast("double"),
-        F.col("quantity").cast("bigint"), F.col("timestamp").cast("bigint"))
+
+    def typed(df):
+        symbol = F.col("symbol") if "symbol" in df.columns else F.lit("X")
+        ts = F.col("timestamp") if "timestamp" in df.columns else F.lit(None)
+        return df.select(
+            symbol.cast("string").alias("symbol"), F.col("seq").cast("bigint").alias("seq"),
+            F.col("order_id").cast("string").alias("order_id"), F.col("price").cast("double").alias("price"),
+            F.col("quantity").cast("bigint").alias("quantity"), ts.cast("bigint").alias("timestamp"))
+
     initial = None
     if seeds is not None:
-        initial = seeds.select(*cols).groupBy("symbol")
-    return typed.groupBy("symbol").transformWithState(
+        initial = typed(seeds).groupBy("symbol")
+    return typed(orders).groupBy("symbol").transformWithState(
         MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders),
         RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "None",
         initialState=initial)

@@ -82,7 +82,9 @@ def drain(stream_df: DataFrame, folder: str, state_partitions: int | None = None
 
 
 def progress_rows(spark: SparkSession, query) -> DataFrame:
-    """Per micro-batch input counts of a finished query (driver metadata)."""
+    """Input counts of a query's latest micro-batches (driver metadata: Spark
+    keeps spark.sql.streaming.numRecentProgressUpdates of them). For totals
+    count what the sink holds."""
     rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id long, input_rows long")
 
@@ -125,10 +127,13 @@ class HeartbeatProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "price double")
 
     def handleInputRows(self, key, rows, timerValues):
-        # rows of one micro-batch come in no particular order: keep the latest
+        # the latest by time; without a time the last row seen. A row without
+        # a price repeats nothing and hides no other
         latest = None
         for r in rows:
-            if latest is None or (r["ts"] is not None and (latest["ts"] is None or r["ts"] >= latest["ts"])):
+            if r["price"] is None:
+                continue
+            if latest is None or r["ts"] is None or latest["ts"] is None or r["ts"] >= latest["ts"]:
                 latest = r
         price = None if latest is None else latest["price"]
         if price is None:

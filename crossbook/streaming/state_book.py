@@ -4,7 +4,7 @@ State per symbol:
   levels  MapState (side, price) -> level_seq   every live level (ghosts too),
                                                  its insertion counter
   queues  MapState (side, price) -> the level's FIFO queue as parallel arrays
-  meta    ValueState (last_seq, next_level_seq)
+  meta    ValueState (last processed row as JSON, next_level_seq)
 
 A micro-batch reads the small ``levels`` map (to know which levels exist and,
 for first_seen, their order), loads a queue only when the fold touches that
@@ -15,6 +15,7 @@ cost follows the levels a batch touches, not the number of resting orders.
 from __future__ import annotations
 
 import heapq
+import json
 from collections import deque
 
 from crossbook.plans.kernel import BUY, SELL, Book
@@ -23,7 +24,7 @@ LEVEL_KEY = "side string, price double"
 LEVEL_VALUE = "level_seq long"
 QUEUE_VALUE = ("ids array<string>, remaining array<long>, seqs array<long>, ts array<long>, "
                "original array<long>, n_fills array<long>")
-META = "last_seq long, next_level_seq long"
+META = "last string, next_level_seq long"
 
 
 class LazyQueues(dict):
@@ -109,10 +110,10 @@ class StateBook:
             else:
                 side.heap = [-p if side.is_bid else p for _, p in entries]
                 heapq.heapify(side.heap)
-        last_seq, next_level = self.meta.get() if self.meta.exists() else (None, 0)
-        return book, last_seq, next_level
+        last, next_level = self.meta.get() if self.meta.exists() else ("null", 0)
+        return book, json.loads(last), next_level
 
-    def save(self, book: Book, last_seq, next_level: int) -> None:
+    def save(self, book: Book, last, next_level: int) -> None:
         for side_name, side in ((BUY, book.bids), (SELL, book.asks)):
             q: LazyQueues = side.queues
             for price in q.removed & q.initial:
@@ -126,4 +127,4 @@ class StateBook:
             for price, queue in dict.items(q):
                 cols = [list(c) for c in zip(*queue)] if queue else [[] for _ in range(6)]
                 self.queues.updateValue((side_name, price), tuple(cols))
-        self.meta.update((last_seq, next_level))
+        self.meta.update((json.dumps(last), next_level))
