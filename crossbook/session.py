@@ -13,7 +13,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on. UTC keeps epoch conversions identical to
-# the DuckDB oracle; AQE coalesces the shuffle by symbol at run time.
+# the DuckDB oracle. (The fold's shuffle by symbol has a fixed count, see match.)
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -45,8 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is used as is. Only when nothing is configured (local tests) a fresh
-    scratch folder is taken.
+    and is used as is. Only on a local master without that setting (tests) a
+    fresh scratch folder is taken; elsewhere its absence is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -56,11 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     scratch = tempfile.mkdtemp(prefix="crossbook-ckpt-", dir="/tmp")
-    try:
-        spark.conf.set("spark.checkpoint.dir", scratch)
-    except Exception:  # noqa: BLE001 - some deployments forbid runtime core confs
-        pass
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 
