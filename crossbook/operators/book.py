@@ -32,15 +32,16 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
     """STR-3 + WIN-1: insert every order into its book without matching.
 
     Side from the sign, quantity kept signed, a crossed or locked book is
-    allowed. Level rank: by price (best_price) or by the level's first
-    arrival (first_seen); FIFO position by seq inside the level."""
+    allowed; a NULL price rests at 0.0 as in the fold, a NULL symbol is a book
+    of its own. Level rank: by price (best_price) or by the level's first
+    arrival (first_seen); FIFO position by (seq, order_id) inside the level."""
     o = orders.select(
-        F.coalesce(F.col("symbol"), F.lit("X")).alias("symbol"),
+        "symbol",
         F.when(F.col("quantity") > 0, "BUY").otherwise("SELL").alias("side"),
-        "price", "order_id", "seq", F.col("quantity").alias("remaining"), "timestamp")
+        F.coalesce(F.col("price"), F.lit(0.0)).alias("price"), "order_id", "seq", F.col("quantity").alias("remaining"), "timestamp")
     levels = o.groupBy("symbol", "side", "price").agg(F.min("seq").alias("first_seq"))
     if level_priority == "first_seen":
-        levels = levels.withColumn("_lk", F.col("first_seq").cast("double"))
+        levels = levels.withColumn("_lk", F.col("first_seq"))
     else:
         levels = levels.withColumn(
             "_lk", F.when(F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price")))
@@ -48,14 +49,16 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
     # on the order scan, which bounds the level count from above)
     ranked = running_count(levels, ["symbol", "side"], ["_lk"], "_rank",
                            probe=o.select("symbol", "side")).select(
-        "symbol", "side", "price", (F.col("_rank") - 1).cast("int").alias("level_seq"))
-    with_level = o.join(ranked, ["symbol", "side", "price"])
+        F.col("symbol").alias("_symbol"), F.col("side").alias("_side"), F.col("price").alias("_price"),
+        (F.col("_rank") - 1).cast("int").alias("level_seq"))
+    with_level = o.join(ranked, F.col("symbol").eqNullSafe(F.col("_symbol"))
+                        & (F.col("side") == F.col("_side")) & (F.col("price") == F.col("_price")))
     # queue position inside a level: a running count by seq. The join only
     # enriches rows, so hot levels are measured on the cheap order scan.
     keys = ["symbol", "side", "price"]
     n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     strategy = "split" if has_hot_key(o, keys, n) else "window"
-    queued = running_count(with_level, keys, ["seq"], "queue_pos", strategy=strategy)
+    queued = running_count(with_level, keys, ["seq", "order_id"], "queue_pos", strategy=strategy)
     return queued.select("symbol", "side", "price", "level_seq",
                          (F.col("queue_pos") - 1).cast("int").alias("queue_pos"),
                          "order_id", "seq", "remaining", "timestamp")
@@ -122,10 +125,10 @@ def level_queues(book: DataFrame) -> DataFrame:
 
 
 def queue_position(book: DataFrame) -> DataFrame:
-    """WIN-1: FIFO position within a level, 1-based."""
+    """WIN-1: FIFO position within a level, 1-based (the fold numbers queues)."""
     live = book.where(F.col("order_id").isNotNull()).select(
         "symbol", "side", "price", "queue_pos", "order_id", "remaining")
-    return running_count(live, ["symbol", "side", "price"], ["queue_pos"], "position").drop("queue_pos")
+    return live.withColumn("position", (F.col("queue_pos") + 1).cast("int")).drop("queue_pos")
 
 
 def match_priority(book: DataFrame) -> DataFrame:
@@ -148,8 +151,7 @@ def _ladder(book: DataFrame, side: str, ascending: bool) -> DataFrame:
     levels = book.where(F.col("side") == side).groupBy("symbol", "price").agg(
         F.sum("remaining").cast("bigint").alias("volume"))
     levels = levels.withColumn("_lk", F.col("price") if ascending else -F.col("price"))
-    ranked = running_count(levels, ["symbol"], ["_lk"], "rank").drop("_lk")
-    return ranked.orderBy("symbol", "rank")
+    return running_count(levels, ["symbol"], ["_lk"], "rank").drop("_lk")
 
 
 def ask_ladder(book: DataFrame) -> DataFrame:
@@ -165,10 +167,10 @@ def bid_ladder(book: DataFrame) -> DataFrame:
 def top_levels(book: DataFrame, k: int = 3) -> DataFrame:
     """SRT-3: the k levels a taker meets first, per symbol and side (top-k
     report; the limit is the feature)."""
-    levels = book.groupBy("symbol", "side", "price").agg(
+    return book.where(F.col("level_seq") < k).groupBy("symbol", "side", "price").agg(
         F.min("level_seq").alias("level_seq"),
-        F.sum("remaining").cast("bigint").alias("volume"))
-    return running_count(levels, ["symbol", "side"], ["level_seq"], "rank").where(F.col("rank") <= k)
+        F.sum("remaining").cast("bigint").alias("volume")).withColumn(
+        "rank", (F.col("level_seq") + 1).cast("int"))
 
 
 def queue_cut(book: DataFrame, index: int = 0) -> DataFrame:

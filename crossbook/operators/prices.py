@@ -20,9 +20,24 @@ HOUR_US = 3600 * SECOND_US
 INITIAL_PRICE = 50.0
 
 
+#: Grid points of one first-level step of ``explode_grid``.
+GRID_CHUNK = 3600
+
+
+def explode_grid(df: DataFrame, start, stop, step: int, name: str) -> DataFrame:
+    """One row per ``start, start + step, ... <= stop``: runs of GRID_CHUNK
+    points first, then the points of each run, so that no array grows with
+    the span."""
+    run = GRID_CHUNK * step
+    runs = df.where(start <= stop).withColumn("_stop", stop).withColumn(
+        "_run", F.explode(F.sequence(start, stop, F.lit(run))))
+    last = F.least(F.col("_run") + (run - step), F.col("_stop"))
+    return runs.withColumn(name, F.explode(F.sequence(F.col("_run"), last, F.lit(step)))).drop("_run", "_stop")
+
+
 def price_stream(fills: DataFrame, probe: DataFrame | None = None) -> DataFrame:
     """SET-1: trade prices (two legs per fill) and price points (one per
-    fill) merged into one stream, ordered by (timestamp, source, offset).
+    fill) merged into one stream, ordered by (timestamp, source, taker, place).
     One pass over the fills: each fill fans out to its three messages; the
     per-symbol ordinal is a skew-aware running count (``probe``: a cheap
     DataFrame with the symbol distribution, e.g. the orders)."""
@@ -31,9 +46,9 @@ def price_stream(fills: DataFrame, probe: DataFrame | None = None) -> DataFrame:
         F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2 + 1).alias("k")),
         F.struct(F.lit("price").alias("source"), F.col("fill_idx").alias("k")))
     merged = (fills.select("symbol", "timestamp", "taker_seq", "price", F.explode(msgs).alias("m"))
-              .select("symbol", "timestamp", F.col("m.source").alias("source"),
-                      (F.col("taker_seq") * 1000 + F.col("m.k")).alias("src_offset"), "price"))
-    return running_count(merged, ["symbol"], ["timestamp", "source", "src_offset"], "ord",
+              .select("symbol", "timestamp", F.col("m.source").alias("source"), "taker_seq",
+                      F.col("m.k").cast("int").alias("k"), "price"))
+    return running_count(merged, ["symbol"], ["timestamp", "source", "taker_seq", "k"], "ord",
                          probe=probe if probe is not None else merged)
 
 
@@ -70,8 +85,7 @@ def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US, probe: DataFrame | None
     bounds = tops.groupBy("symbol").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
     first = F.ceil(F.col("t0") / tick_us).cast("bigint") * tick_us
     last = F.floor(F.col("t1") / tick_us).cast("bigint") * tick_us
-    grid = (bounds.where(first <= last)
-            .select("symbol", F.explode(F.sequence(first, last, F.lit(tick_us))).alias("ts"))
+    grid = (explode_grid(bounds, first, last, tick_us, "ts")
             .select("symbol", "ts", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("is_grid"),
                     F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask")))
     changes = tops.select("symbol", F.col("timestamp").alias("ts"), "seq", F.lit(0).alias("is_grid"),
@@ -98,12 +112,8 @@ def price_heartbeat(points: DataFrame, tick_us: int = SECOND_US, probe: DataFram
                           ["symbol"], ["timestamp", "taker_seq", "fill_idx"], {"next_ts": "timestamp"},
                           probe=probe)
     start = F.col("timestamp") + tick_us
-    beats = F.when(F.col("next_ts") > start,
-                   F.sequence(start, F.col("next_ts") - 1, F.lit(tick_us))
-                   ).otherwise(F.array().cast("array<bigint>"))
-    return (spaced.where(F.col("next_ts").isNotNull())
-            .select("symbol", "price", F.col("timestamp").alias("source_ts"),
-                    F.explode(beats).alias("beat_ts")))
+    return explode_grid(spaced, start, F.col("next_ts") - 1, tick_us, "beat_ts").select(
+        "symbol", "price", F.col("timestamp").alias("source_ts"), "beat_ts")
 
 
 def price_topic(points: DataFrame, ticks: DataFrame) -> DataFrame:

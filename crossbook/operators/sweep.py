@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.functions.columns import side as side_of
+from crossbook.functions.columns import crosses, nonzero_orders, side as side_of
 from crossbook.functions.scan import has_hot_key, running_last, running_sums
 
 
@@ -36,19 +36,19 @@ def _depth(book: DataFrame, strategy: str = "auto") -> DataFrame:
 
 def _asof_count(makers: DataFrame, takers: DataFrame, maker_key, taker_key,
                 maker_first: bool, name: str, strategy: str) -> DataFrame:
-    """Per taker: 1 + the highest maker rank whose key sorts before the
+    """``takers`` with one more column: 1 + the highest maker rank whose key sorts before the
     taker's key (ties: makers first when ``maker_first``). A running
     "last non-null rank" over the merged, key-ordered rows of each side."""
     m = makers.select("symbol", F.col("side").alias("mside"), maker_key.alias("key"),
-                      F.lit(0 if maker_first else 1).alias("tie"), "rank",
-                      F.lit(None).cast("long").alias("tid"))
+                      F.lit(0 if maker_first else 1).alias("tie"), "rank")
     t = takers.select("symbol", "mside", taker_key.alias("key"),
                       F.lit(1 if maker_first else 0).alias("tie"),
-                      F.lit(None).cast("int").alias("rank"), F.col("tid"))
-    carried = running_last(m.unionByName(t), ["symbol", "mside"], ["key", "tie", "rank", "tid"],
-                           {"_last_rank": "rank"}, strategy=strategy)
-    return (carried.where(F.col("tid").isNotNull())
-            .select("symbol", "tid", (F.coalesce(F.col("_last_rank"), F.lit(-1)) + 1).alias(name)))
+                      F.struct("*").alias("taker"))
+    # takers with equal keys all see the same makers, so their order is free
+    carried = running_last(m.unionByName(t, allowMissingColumns=True), ["symbol", "mside"],
+                           ["key", "tie", "rank", "taker"], {"_last_rank": "rank"}, strategy=strategy)
+    return carried.where(F.col("taker").isNotNull()).select(
+        "taker.*", (F.coalesce(F.col("_last_rank"), F.lit(-1)) + 1).alias(name))
 
 
 def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
@@ -70,11 +70,10 @@ def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
     # asks cross a buy when price <= limit; bids cross a sell when price >= limit
     signed = F.when(F.col("side") == "SELL", F.col("price")).otherwise(-F.col("price"))
     t_signed = F.when(F.col("mside") == "SELL", F.col("limit")).otherwise(-F.col("limit"))
-    n_cross = _asof_count(makers, t, signed, t_signed, True, "n_cross", strategy)
-    n_depth = _asof_count(makers, t, F.col("before").cast("double"),
-                          F.col("want").cast("double"), False, "n_depth", strategy)
-    k = (t.join(n_cross, ["symbol", "tid"]).join(n_depth, ["symbol", "tid"])
-         .withColumn("k", F.least("n_cross", "n_depth")).where(F.col("k") > 0))
+    # the takers go through both scans with all their columns: nothing is joined back
+    counted = _asof_count(makers, t, signed, t_signed, True, "n_cross", strategy)
+    counted = _asof_count(makers, counted, F.col("before"), F.col("want"), False, "n_depth", strategy)
+    k = counted.withColumn("k", F.least("n_cross", "n_depth")).where(F.col("k") > 0)
     hits = k.select("symbol", "tid", "taker_order_id", "taker_side", "mside", "want",
                     F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("rank"))
     m = makers.select("symbol", F.col("side").alias("mside"), "rank", "price",
@@ -88,12 +87,10 @@ def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
 def crossing_orders(orders: DataFrame, top: DataFrame) -> DataFrame:
     """FLT-2: orders whose limit crosses the opposite best of ``top``
     (symbol, best_bid, best_ask): a buy when limit >= ask, a sell when
-    limit <= bid (inclusive). One row per symbol on the right side."""
-    o = orders.select("symbol", "seq", "order_id", "price", "quantity",
-                      side_of(F.col("quantity")).alias("side"))
+    limit <= bid (inclusive). Zero-quantity orders never cross. One row per symbol on the right side."""
+    o = nonzero_orders(orders).select("symbol", "seq", "order_id", "price", "quantity",
+                                      side_of(F.col("quantity")).alias("side"))
     j = o.join(top.select("symbol", "best_bid", "best_ask"), "symbol")
-    crosses = F.when(F.col("side") == "BUY", F.col("price") >= F.col("best_ask")).otherwise(
-        F.col("price") <= F.col("best_bid"))
-    return j.where(F.coalesce(crosses, F.lit(False))).select(
-        "symbol", "seq", "order_id", "side", "price",
-        F.when(F.col("side") == "BUY", F.col("best_ask")).otherwise(F.col("best_bid")).alias("opposite_best"))
+    opposite = F.when(F.col("side") == "BUY", F.col("best_ask")).otherwise(F.col("best_bid"))
+    return j.where(F.coalesce(crosses(F.col("side"), F.col("price"), opposite), F.lit(False))).select(
+        "symbol", "seq", "order_id", "side", "price", opposite.alias("opposite_best"))

@@ -15,9 +15,12 @@ STATUS_CLOSED = "closed"
 STATUS_PARTIAL = "partial"
 
 
-def trade_id(symbol: Column, taker_seq: Column, fill_idx: Column) -> Column:
-    """Deterministic execution id: replays give the same ids."""
-    return F.sha2(F.concat_ws("|", symbol, taker_seq.cast("string"), fill_idx.cast("string")), 256)
+def trade_id(symbol: Column, taker_seq: Column, taker_order_id: Column, fill_idx: Column) -> Column:
+    """Deterministic execution id: replays give the same ids. The taker's
+    order id keeps executions of takers with one seq apart; a NULL part is
+    written as an empty one, never left out."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (symbol, taker_seq, taker_order_id, fill_idx)]
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
 
 def opposite(side: Column) -> Column:
@@ -32,7 +35,7 @@ def leg_status(remaining: Column) -> Column:
 def execution_legs(fills: DataFrame) -> DataFrame:
     """SET-3: one execution -> two legs (taker first, maker second) sharing
     one trade id, opposite actions, status per leg."""
-    tid = trade_id(F.col("symbol"), F.col("taker_seq"), F.col("fill_idx"))
+    tid = trade_id(F.col("symbol"), F.col("taker_seq"), F.col("taker_order_id"), F.col("fill_idx"))
     taker = F.struct(
         F.col("taker_order_id").alias("order_id"),
         F.col("taker_side").alias("action"),

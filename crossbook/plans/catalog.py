@@ -161,7 +161,7 @@ def _checkpointed_book(spark, sf_dir):
 
 @query("queue_position")
 def q_queue_position(spark, sf_dir):
-    return B.queue_position(_checkpointed_book(spark, sf_dir))
+    return B.queue_position(_book(spark, sf_dir))
 
 
 @query("match_priority")
@@ -186,7 +186,7 @@ def q_bid_ladder(spark, sf_dir):
 
 @query("top_levels")
 def q_top_levels(spark, sf_dir):
-    return B.top_levels(_checkpointed_book(spark, sf_dir), k=3)
+    return B.top_levels(_book(spark, sf_dir), k=3)
 
 
 @query("queue_cut")
@@ -515,10 +515,13 @@ def q_seeded_match_stream(spark, sf_dir):
 
 @query("drain_available")
 def q_drain_available(spark, sf_dir):
-    """SRC-5: drain the order stream and stop; rows processed in total."""
-    from crossbook.streaming.pipelines import progress_rows
-    _, q = _run_match_stream(spark, sf_dir, "drain")
-    return progress_rows(spark, q).agg(F.sum("input_rows").cast("bigint").alias("rows_processed"))
+    """SRC-5: drain the order stream into a sink and stop; the rows that the
+    sink then holds."""
+    from crossbook.sources.fixtures import events_to_orders
+    from crossbook.streaming.pipelines import drain, stream_folder
+    folder = stream_folder(spark, "drain")
+    drain(events_to_orders(_events_stream(spark, sf_dir)), folder)
+    return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("rows_processed"))
 
 
 @query("replay_equal")
@@ -543,7 +546,7 @@ def q_src_microbatch(spark, sf_dir):
     from crossbook.streaming.pipelines import microbatch_parse, stream_folder
     folder = stream_folder(spark, "microbatch")
     msgs = order_messages(spark, sf_dir)
-    msgs.repartition(4, "source", "msg_id").write.parquet(f"{folder}/topic")
+    msgs.write.parquet(f"{folder}/topic")
     stream = (spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", "1")
               .parquet(f"{folder}/topic"))
     microbatch_parse(stream, folder).awaitTermination()

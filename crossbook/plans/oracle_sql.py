@@ -241,13 +241,13 @@ HOUR_US = 3600 * 1_000_000
 _LEGS = """,
 legs AS (
   SELECT symbol, taker_seq, fill_idx, CAST(0 AS INTEGER) AS leg,
-         sha256(symbol || '|' || CAST(taker_seq AS VARCHAR) || '|' || CAST(fill_idx AS VARCHAR)) AS trade_id,
+         sha256(symbol || '|' || CAST(taker_seq AS VARCHAR) || '|' || taker_order_id || '|' || CAST(fill_idx AS VARCHAR)) AS trade_id,
          taker_order_id AS order_id, quantity, price, taker_side AS action,
          CASE WHEN taker_remaining = 0 THEN 'closed' ELSE 'partial' END AS status, timestamp
   FROM fills
   UNION ALL
   SELECT symbol, taker_seq, fill_idx, CAST(1 AS INTEGER) AS leg,
-         sha256(symbol || '|' || CAST(taker_seq AS VARCHAR) || '|' || CAST(fill_idx AS VARCHAR)) AS trade_id,
+         sha256(symbol || '|' || CAST(taker_seq AS VARCHAR) || '|' || taker_order_id || '|' || CAST(fill_idx AS VARCHAR)) AS trade_id,
          maker_order_id AS order_id, quantity, price,
          CASE WHEN taker_side = 'BUY' THEN 'SELL' ELSE 'BUY' END AS action,
          CASE WHEN maker_remaining = 0 THEN 'closed' ELSE 'partial' END AS status, timestamp
@@ -392,12 +392,12 @@ SELECT symbol, side, price, order_id, remaining,
        CAST(queue_pos - CASE WHEN queue_pos > 0 THEN 1 ELSE 0 END AS INTEGER) AS queue_pos
 FROM book WHERE order_id IS NOT NULL AND queue_pos <> 0""",
         "price_stream": m + _LEGS + """
-SELECT symbol, timestamp, source, src_offset, price,
-       CAST(row_number() OVER (PARTITION BY symbol ORDER BY timestamp, source, src_offset) AS INTEGER) AS ord
-FROM (SELECT symbol, timestamp, 'trade' AS source, taker_seq * 1000 + fill_idx * 2 + leg AS src_offset, price
+SELECT symbol, timestamp, source, taker_seq, k, price,
+       CAST(row_number() OVER (PARTITION BY symbol ORDER BY timestamp, source, taker_seq, k) AS INTEGER) AS ord
+FROM (SELECT symbol, timestamp, 'trade' AS source, taker_seq, CAST(fill_idx * 2 + leg AS INTEGER) AS k, price
       FROM legs
       UNION ALL
-      SELECT symbol, timestamp, 'price' AS source, taker_seq * 1000 + fill_idx AS src_offset, price
+      SELECT symbol, timestamp, 'price' AS source, taker_seq, CAST(fill_idx AS INTEGER) AS k, price
       FROM fills)""",
         "last_price": m + """
 SELECT symbol, seq, last_price FROM (
@@ -656,7 +656,8 @@ SELECT o.symbol, o.seq, o.order_id, o.side, o.price,
        CASE WHEN o.side = 'BUY' THEN top.best_ask ELSE top.best_bid END AS opposite_best
 FROM (SELECT *, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS side FROM o) o
 JOIN top ON top.symbol = o.symbol
-WHERE coalesce(CASE WHEN o.side = 'BUY' THEN o.price >= top.best_ask ELSE o.price <= top.best_bid END, false)""",
+WHERE o.quantity <> 0
+  AND coalesce(CASE WHEN o.side = 'BUY' THEN o.price >= top.best_ask ELSE o.price <= top.best_bid END, false)""",
         "topic_dump": with_orders() + f"""
 SELECT timestamp, seq AS "offset", {to_json_order} AS value FROM o WHERE seq >= 0""",
         "sink_orders_json": with_orders() + f"""
