@@ -106,8 +106,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def shared_suffixes(suffixes: DataFrame) -> DataFrame:
     """Per text, the positions whose gram stands in another text too."""
     rows = suffixes.select("text_key", F.explode("suffixes").alias("s")).select("text_key", "s.gram", "s.pos")
-    shared = rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where(
-        "a <> b").select("gram")
+    # written first, so that the join below can split a gram that very many texts hold
+    shared = checkpointed(
+        rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+        .where("a <> b").select("gram"))
     return rows.join(shared, "gram").groupBy("text_key").agg(F.collect_set("pos").alias("anchors"))
 
 
