@@ -63,10 +63,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A dictionary trained on the ids of the ``sample_docs`` documents with
-    the smallest text hash, SAMPLE_CHARS characters of each. Too few or too
-    short samples give an empty dictionary (plain compression)."""
-    sample = (docs.where("length(text) > 0")
-              .select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+    the smallest hash of their id, SAMPLE_CHARS characters of each. Too few or
+    too short samples give an empty dictionary (plain compression)."""
+    hashed = F.xxhash64("doc_id")
+    # the hashes first (no texts), then only the texts up to the last of them
+    smallest = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if smallest is None:
+        return b""
+    sample = (docs.where(hashed <= smallest).where("length(text) > 0")
+              .select(hashed.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
               .orderBy("h", "t").limit(sample_docs).collect())
     dtype = id_dtype(tokenizer)
     offsets, ids = encoder(tokenizer).encode(pa.array([r.t for r in sample], pa.string()))
