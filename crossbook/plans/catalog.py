@@ -43,16 +43,16 @@ def registry() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def _match(spark, sf_dir, level_priority="best_price", residual="tail", emit_top=False):
-    return match_orders(events_orders(spark, sf_dir), level_priority, residual, emit_top=emit_top)
+def _match(spark, sf_dir, **kw):
+    return match_orders(events_orders(spark, sf_dir), **kw)
 
 
 def _fills(spark, sf_dir, **kw):
-    return _match(spark, sf_dir, **kw).fills
+    return _match(spark, sf_dir, emit_book=False, **kw).fills
 
 
 def _book(spark, sf_dir, **kw):
-    return _match(spark, sf_dir, **kw).book
+    return _match(spark, sf_dir, emit_fills=False, **kw).book
 
 
 # ---------------------------------------------------------------- matching
@@ -110,7 +110,8 @@ def q_price_points(spark, sf_dir):
 @query("order_fill_state")
 def q_order_fill_state(spark, sf_dir):
     # final order states come out of the fold: no join with the order table
-    return match_orders(events_orders(spark, sf_dir), emit_orders=True).order_states
+    return match_orders(events_orders(spark, sf_dir), emit_orders=True, emit_fills=False,
+                        emit_book=False).order_states
 
 
 @query("running_remaining")
@@ -156,7 +157,7 @@ def q_level_queues(spark, sf_dir):
 
 def _checkpointed_book(spark, sf_dir):
     """Book scans measure their input before computing: fold once."""
-    return _match(spark, sf_dir).checkpoint().book
+    return _match(spark, sf_dir, emit_fills=False).checkpoint().book
 
 
 @query("queue_position")
@@ -198,37 +199,38 @@ def q_queue_cut(spark, sf_dir):
 @query("price_stream")
 def q_price_stream(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return P.price_stream(match_orders(orders).fills, probe=orders.select("symbol"))
+    return P.price_stream(match_orders(orders, emit_book=False).fills, probe=orders.select("symbol"))
 
 
 @query("last_price")
 def q_last_price(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return P.last_price(orders, T.price_points(match_orders(orders).fills))
+    return P.last_price(orders, T.price_points(match_orders(orders, emit_book=False).fills))
 
 
 @query("top_of_book")
 def q_top_of_book(spark, sf_dir):
-    return _match(spark, sf_dir, emit_top=True).tops
+    return _match(spark, sf_dir, emit_top=True, emit_fills=False, emit_book=False).tops
 
 
 @query("mid_ticks")
 def q_mid_ticks(spark, sf_dir):
     # tops are read for bounds, changes and the hot-key probe: fold once
-    return P.mid_ticks(_match(spark, sf_dir, emit_top=True).checkpoint().tops, FIXTURE_TICK_US)
+    res = _match(spark, sf_dir, emit_top=True, emit_fills=False, emit_book=False).checkpoint()
+    return P.mid_ticks(res.tops, FIXTURE_TICK_US)
 
 
 @query("price_heartbeat")
 def q_price_heartbeat(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return P.price_heartbeat(T.price_points(match_orders(orders).fills), FIXTURE_TICK_US,
+    return P.price_heartbeat(T.price_points(match_orders(orders, emit_book=False).fills), FIXTURE_TICK_US,
                              probe=orders.select("symbol"))
 
 
 @query("price_topic")
 def q_price_topic(spark, sf_dir):
     # fills and top-of-book rows both come from one fold: checkpoint it once
-    res = _match(spark, sf_dir, emit_top=True).checkpoint()
+    res = _match(spark, sf_dir, emit_top=True, emit_book=False).checkpoint()
     return P.price_topic(T.price_points(res.fills), P.mid_ticks(res.tops, FIXTURE_TICK_US))
 
 
@@ -294,7 +296,7 @@ def q_parse_prices(spark, sf_dir):
 def q_json_round_trip(spark, sf_dir):
     """PRJ-5: record -> JSON -> record is the identity, for all three records."""
     orders = events_orders(spark, sf_dir)
-    fills = match_orders(orders).checkpoint().fills  # read by two checks
+    fills = match_orders(orders, emit_book=False).checkpoint().fills  # read by two checks
     parts = []
     for name, df in (("order", orders), ("trade", T.trade_legs(fills)),
                      ("pricepoint", T.price_points(fills))):
@@ -318,7 +320,7 @@ def q_validate_schema(spark, sf_dir):
     """VAL-2 on the derived order, trade and price tables: schema against
     contract, plus the non-null count of every field."""
     orders = events_orders(spark, sf_dir)
-    fills = match_orders(orders).checkpoint().fills  # read by two checks
+    fills = match_orders(orders, emit_book=False).checkpoint().fills  # read by two checks
     out = None
     for name, df in (("order", orders), ("trade", T.trade_legs(fills)),
                      ("pricepoint", T.price_points(fills))):
@@ -339,7 +341,7 @@ def _declared_actual(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
     # levels of the rested (unmatched) book are the distinct (side, price) of the orders
     rested = orders.select("symbol", C.side(F.col("quantity")).alias("side"), "price")
-    return (_level_topics(match_orders(orders).book), _level_topics(rested))
+    return (_level_topics(match_orders(orders, emit_fills=False).book), _level_topics(rested))
 
 
 @query("reconcile_diff")
@@ -405,7 +407,7 @@ def q_seed_orders(spark, sf_dir):
 @query("seeded_match")
 def q_seeded_match(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return match_orders(_seeds(orders).unionByName(orders)).fills
+    return match_orders(_seeds(orders).unionByName(orders), emit_book=False).fills
 
 
 @query("normalize_epoch")
@@ -429,13 +431,13 @@ def q_normalize_epoch(spark, sf_dir):
 def q_sweep_book(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
     # the book is read by three steps of the sweep: checkpoint it once
-    return S.sweep_book(orders, match_orders(orders).checkpoint().book)
+    return S.sweep_book(orders, match_orders(orders, emit_fills=False).checkpoint().book)
 
 
 @query("crossing_orders")
 def q_crossing_orders(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return S.crossing_orders(orders, B.mid_price(match_orders(orders).book))
+    return S.crossing_orders(orders, B.mid_price(match_orders(orders, emit_fills=False).book))
 
 
 # ---------------------------------------------------------------- topics
@@ -459,7 +461,7 @@ def q_sink_trades_json(spark, sf_dir):
 @query("sink_prices_json")
 def q_sink_prices_json(spark, sf_dir):
     """SNK-2: fill prices and sampled mids published on one price topic."""
-    res = _match(spark, sf_dir, emit_top=True).checkpoint()
+    res = _match(spark, sf_dir, emit_top=True, emit_book=False).checkpoint()
     topic = P.price_topic(T.price_points(res.fills), P.mid_ticks(res.tops, FIXTURE_TICK_US))
     return TP.as_topic_rows(topic, "pricepoint", "symbol")
 

@@ -358,11 +358,16 @@ def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late
     return last_seq
 
 
-def write_resting_orders(book: Book, symbol, writer: RawWriter) -> None:
-    """Final-state rows for the orders still resting at the end."""
-    writer.orders(symbol, [(e[0], e[2], side, e[4], e[1], e[5]) for side, e in book.resting()])
+def write_resting_orders(book: Book, symbol, writer: RawWriter):
+    """Final-state rows for the orders still resting at the end; yields after
+    each, so that the caller can take what was written."""
+    for side, e in book.resting():
+        writer.order_rows.append((symbol, e[0], e[2], side, e[4], e[1], e[5]))
+        yield
 
 
-def write_snapshot(book: Book, symbol, writer: RawWriter) -> None:
+def write_snapshot(book: Book, symbol, writer: RawWriter):
+    """Rows of the resting book; yields after each."""
     for side, price, level_seq, pos, oid, oseq, rem, ots in book.snapshot():
         writer.rest(symbol, side, price, level_seq, pos, oid, oseq, rem, ots)
+        yield

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -112,14 +113,28 @@ def _column_lists(batch: pa.RecordBatch):
     return out
 
 
+def _close_symbol(book, symbol, writer, emit_orders, emit_book):
+    """Rows of a finished symbol's resting orders, in batches of bounded size."""
+    for wanted, write in ((emit_orders, write_resting_orders), (emit_book, write_snapshot)):
+        if not wanted:
+            continue
+        rows = write(book, symbol, writer)
+        while True:
+            room = max(1, OUTPUT_BATCH_ROWS - writer.n)
+            if sum(1 for _ in islice(rows, room)) < room:
+                break
+            yield from _to_batches(writer)
+
+
 def fold_batches(batches, level_priority="best_price", residual="tail", emit_top=False,
-                 emit_orders=False):
+                 emit_orders=False, emit_fills=True, emit_book=True):
     """mapInArrow body: input sorted by (symbol, seq) within the partition.
 
     ``emit_top`` adds a ``top`` row (best bid, best ask) after every order
     that changed the top of the book; ``emit_orders`` one ``order`` row per
     order with its final state (when it completes, is deleted, or is still
-    resting at the end)."""
+    resting at the end). ``emit_fills`` and ``emit_book`` off leave out the
+    ``fill`` and the ``rest`` rows."""
     writer = RawWriter()
     book = None
     current = None
@@ -130,15 +145,16 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
         for symbol, seq, order_id, price, quantity, ts in zip(*_column_lists(batch)):
             if symbol != current or book is None:
                 if book is not None:
-                    if emit_orders:
-                        write_resting_orders(book, current, writer)
-                    write_snapshot(book, current, writer)
+                    yield from _close_symbol(book, current, writer, emit_orders, emit_book)
                 book = Book(level_priority, residual)
                 current = symbol
                 last_top = (None, None)
             book.process(order_id, price, quantity, seq, ts, out, done)
             if out:
-                writer.fills(symbol, seq, order_id, ts, out)
+                if emit_fills:
+                    writer.fills(symbol, seq, order_id, ts, out)
+                    if len(writer.fill_rows) >= OUTPUT_BATCH_ROWS:
+                        yield from _to_batches(writer)
                 out.clear()
             if done:
                 writer.orders(symbol, done)
@@ -151,9 +167,7 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
         if writer.n >= OUTPUT_BATCH_ROWS:
             yield from _to_batches(writer)
     if book is not None:
-        if emit_orders:
-            write_resting_orders(book, current, writer)
-        write_snapshot(book, current, writer)
+        yield from _close_symbol(book, current, writer, emit_orders, emit_book)
     yield from _to_batches(writer)
 
 
@@ -249,12 +263,15 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions, assume_clustered=False
 def match_orders(orders: DataFrame, level_priority: str = "best_price",
                  residual: str = "tail", tiebreak=(), num_partitions: int | None = None,
                  emit_top: bool = False, emit_orders: bool = False,
-                 assume_clustered: bool = False) -> MatchResult:
+                 assume_clustered: bool = False, emit_fills: bool = True,
+                 emit_book: bool = True) -> MatchResult:
     """Match limit orders per symbol in ``seq`` order.
 
     ``orders`` needs ``seq, order_id, price, quantity`` (signed: >0 buy,
     otherwise sell) and optionally ``symbol`` (default 'X') and
-    ``timestamp``. ``tiebreak`` orders rows with equal seq.
+    ``timestamp``. ``tiebreak`` orders rows with equal seq. Rows of a kind
+    that is not read (``emit_fills``, ``emit_book`` off) are never built: no
+    filter above reaches into the fold.
 
     ``assume_clustered``: every input partition already holds whole symbols,
     so the shuffle is skipped and only the per-partition sort remains. True
@@ -270,7 +287,7 @@ def match_orders(orders: DataFrame, level_priority: str = "best_price",
     prepared = _prepare(orders, tiebreak, num_partitions, assume_clustered)
 
     def fold(batches):
-        return fold_batches(batches, level_priority, residual, emit_top, emit_orders)
+        return fold_batches(batches, level_priority, residual, emit_top, emit_orders, emit_fills, emit_book)
 
     return MatchResult(prepared.mapInArrow(fold, RAW_SCHEMA))
 

@@ -51,7 +51,8 @@ def parse_records(messages: DataFrame, contract: dict | str, value_col: str = "v
         contract = CONTRACTS[contract]
     schema = contract_schema(contract)
     rec = F.from_json(F.col(value_col).cast("string"), _with_corrupt(schema), JSON_OPTIONS)
-    parsed = messages.withColumn("_rec", rec)
+    # a generator: filters and projections above it never repeat the parse
+    parsed = messages.select("*", F.explode(F.array(rec)).alias("_rec"))
     bad = F.col("_rec").isNull() | F.col(f"_rec.{CORRUPT}").isNotNull() | F.col(value_col).isNull()
     if strict:
         type_errors = F.exists(violations(F.col(value_col).cast("string"), contract),

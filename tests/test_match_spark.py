@@ -245,3 +245,32 @@ def test_bucketed_table_needs_no_shuffle(spark, tmp_path):
     finally:
         spark.conf.unset(key)
         spark.sql("DROP TABLE IF EXISTS orders_bucketed")
+
+
+def test_kinds_that_are_not_wanted_are_not_built(spark):
+    rows = [("A", i, f"o{i}", 50.0, 1 if i % 3 else -2, None) for i in range(200)]
+    orders = spark.createDataFrame(rows, "symbol string, seq long, order_id string, price double, "
+                                         "quantity long, timestamp long")
+    whole = match_orders(orders, emit_orders=True, emit_top=True)
+    bare = match_orders(orders, emit_orders=True, emit_top=True, emit_fills=False, emit_book=False)
+    kinds = {r["kind"] for r in bare.raw.select("kind").distinct().collect()}
+    assert kinds == {"order", "top"}
+    for view in ("order_states", "tops"):
+        assert getattr(whole, view).exceptAll(getattr(bare, view)).isEmpty()
+
+
+def test_output_batches_are_bounded(monkeypatch):
+    """One symbol with many resting orders leaves in slices, whole and in order."""
+    import pyarrow as pa
+
+    from crossbook.plans import match as M
+
+    monkeypatch.setattr(M, "OUTPUT_BATCH_ROWS", 64)
+    n = 1000
+    batch = pa.record_batch({"symbol": ["A"] * n, "seq": list(range(n)), "order_id": [f"o{i}" for i in range(n)],
+                             "price": [10.0] * n, "quantity": [5] * n, "timestamp": pa.nulls(n, pa.int64())})
+    out = list(M.fold_batches([batch], emit_orders=True))
+    assert max(b.num_rows for b in out) <= 64
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["order_id"] for r in rows if r["kind"] == "rest"] == [f"o{i}" for i in range(n)]
+    assert len([r for r in rows if r["kind"] == "order"]) == n

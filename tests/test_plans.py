@@ -40,3 +40,10 @@ def test_no_cartesian_products(spark):
             continue
         p = plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_json_is_parsed_once_per_branch(spark):
+    """Three sources feed the order topic; each parses a message once, though
+    every field and the malformed flag read the record."""
+    for name in ("parse_orders", "quarantine", "ingest_counts"):
+        assert plan(E.queries()[name](spark, SF_SMALL)).count("from_json") <= 3, name
