@@ -23,7 +23,7 @@ from crossbook.plans.match import match_orders
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
 from crossbook.sources import topics as TP
-from crossbook.sources.fixtures import epoch_micros, events_orders, order_messages, read_table
+from crossbook.sources.fixtures import epoch_micros, events_orders, order_messages, order_topic, read_table
 
 # The fixture spans 30 days: sample and gap-fill by the hour there.
 FIXTURE_TICK_US = P.HOUR_US
@@ -466,17 +466,30 @@ def q_sink_prices_json(spark, sf_dir):
     return TP.as_topic_rows(topic, "pricepoint", "symbol")
 
 
+@query("topic_dump_partitions")
+def q_topic_dump_partitions(spark, sf_dir):
+    """SRC-4 from an offset of its own per partition: the log in four
+    partitions by user, the second and third not from their first message on."""
+    orders = events_orders(spark, sf_dir)
+    records = orders.select(
+        F.pmod(F.substring("symbol", 2, 20).cast("bigint"), F.lit(4)).cast("int").alias("partition"),
+        "seq", "timestamp", I.to_json_value(orders, "order").alias("value"))
+    return TP.topic_dump(records, {0: 0, 1: 300, 2: 500})
+
+
 @query("src_price_inputs")
 def q_src_price_inputs(spark, sf_dir):
-    """SRC-2: trades and price points read as one input, split on topic."""
-    fills = _fills(spark, sf_dir)
-    per_fill = F.array(
-        F.struct(F.lit(TP.TRADES_TOPIC).alias("topic"), F.lit(2).alias("messages")),
-        F.struct(F.lit(TP.PRICES_TOPIC).alias("topic"), F.lit(1).alias("messages")))
-    both = fills.select("price", F.explode(per_fill).alias("t")).select(
-        "t.topic", "t.messages", (F.col("price") * F.col("t.messages")).alias("price_total"))
-    return both.groupBy("topic").agg(F.sum("messages").cast("bigint").alias("messages"),
-                                     F.sum("price_total").alias("price_sum"))
+    """SRC-2: trade and price messages in two topics, read back as one stream,
+    split and parsed by topic."""
+    from crossbook.streaming.pipelines import drain, stream_folder
+    folder = stream_folder(spark, "price-inputs")
+    TP.write_topic_files(TP.fill_messages(_fills(spark, sf_dir)), f"{folder}/topics")
+    contracts = {TP.TRADES_TOPIC: "trade", TP.PRICES_TOPIC: "pricepoint"}
+    messages = TP.file_topics_stream(spark, f"{folder}/topics", list(contracts))
+    drain(TP.parse_by_topic(messages, contracts), folder)
+    got = spark.read.parquet(f"{folder}/out").where(~F.col("malformed"))
+    return got.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"),
+                                    F.sum(F.coalesce("trade.price", "pricepoint.price")).alias("price_sum"))
 
 
 # ---------------------------------------------------------------- streams
@@ -486,6 +499,33 @@ def _events_stream(spark, sf_dir, max_files=None):
     return file_table_stream(spark, sf_dir, "events", schema, max_files)
 
 
+@query("order_topic_service")
+def q_order_topic_service(spark, sf_dir):
+    """The whole service on a stream: order topic in, parse and quarantine,
+    match, trade and price topics out; all messages it published or set aside."""
+    from crossbook.streaming.pipelines import run_order_topic, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, "order-topic")
+    topic = order_topic(spark, sf_dir)
+    topic.write.parquet(f"{folder}/orders")
+    messages = spark.readStream.schema(topic.schema).parquet(f"{folder}/orders")
+    for q in run_order_topic(messages, folder, state_partitions=spark.sparkContext.defaultParallelism):
+        q.awaitTermination()
+    published = spark.read.schema("key string, value string, batch_id long, topic string").parquet(
+        f"{folder}/topics")
+    aside = spark.read.parquet(f"{folder}/quarantine/out")
+    return published.select("topic", "key", "value").unionByName(
+        aside.select(F.lit("quarantine").alias("topic"), F.lit(None).cast("string").alias("key"), "value"))
+
+
+@query("book_from_stream")
+def q_book_from_stream(spark, sf_dir):
+    """STR-4 on a stream: the book out of the state of the matching stream."""
+    from crossbook.streaming.pipelines import book_from_state
+    _, folder = _run_match_stream(spark, sf_dir, "book")
+    return book_from_state(spark, f"{folder}/checkpoint")
+
+
 def _run_match_stream(spark, sf_dir, name, seeds=False):
     from crossbook.sources.fixtures import events_to_orders
     from crossbook.streaming.matcher import match_stream
@@ -495,8 +535,8 @@ def _run_match_stream(spark, sf_dir, name, seeds=False):
     raw = match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seed_df)
     folder = stream_folder(spark, name)
     # state partitions: one per core of the cluster, fixed at the first run
-    q = drain(raw, folder, state_partitions=spark.sparkContext.defaultParallelism)
-    return spark.read.parquet(f"{folder}/out"), q
+    drain(raw, folder, state_partitions=spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{folder}/out"), folder
 
 
 @query("match_orders_stream")

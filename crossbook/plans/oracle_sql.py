@@ -660,6 +660,19 @@ WHERE o.quantity <> 0
   AND coalesce(CASE WHEN o.side = 'BUY' THEN o.price >= top.best_ask ELSE o.price <= top.best_bid END, false)""",
         "topic_dump": with_orders() + f"""
 SELECT timestamp, seq AS "offset", {to_json_order} AS value FROM o WHERE seq >= 0""",
+        "topic_dump_partitions": with_orders() + f"""
+SELECT p AS partition, timestamp, seq AS "offset", {to_json_order} AS value
+FROM (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o)
+WHERE (p = 0 AND seq >= 0) OR (p = 1 AND seq >= 300) OR (p = 2 AND seq >= 500)""",
+        "order_topic_service": m + _LEGS + f"""
+SELECT 'trades.topic' AS topic, trade_id AS key, {to_json_trade} AS value FROM legs
+UNION ALL
+SELECT 'order.last_price.topic', symbol, CAST(to_json(struct_pack(price := price)) AS VARCHAR) FROM fills
+UNION ALL
+SELECT 'quarantine', CAST(NULL AS VARCHAR), value
+FROM (SELECT value, CASE WHEN json_valid(value) THEN value END AS j FROM ({ORDER_MESSAGES}))
+WHERE NOT {_json_is_object()}""",
+        "book_from_stream": m + "SELECT * FROM book",
         "sink_orders_json": with_orders() + f"""
 SELECT symbol AS key, {to_json_order} AS value FROM o WHERE quantity <> 0""",
         "sink_trades_json": m + _LEGS + f"SELECT trade_id AS key, {to_json_trade} AS value FROM legs",

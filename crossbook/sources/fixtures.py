@@ -94,3 +94,13 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("chat").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
         F.col("text").alias("value"))
     return msgs.unionByName(props).unionByName(chat)
+
+
+def order_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw order topic with message keys: (key, seq, value). Orders carry
+    their symbol as key; the other messages have none."""
+    orders = events_orders(spark, sf_dir)
+    as_json = F.to_json(F.struct("order_id", "order_type", "price", "quantity", "timestamp"))
+    others = order_messages(spark, sf_dir).where("source <> 'order'")
+    return orders.select(F.col("symbol").alias("key"), "seq", as_json.alias("value")).unionByName(
+        others.select(F.lit(None).cast("string").alias("key"), F.col("msg_id").alias("seq"), "value"))

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import json
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossbook.sources.ingest import to_json_value
+from crossbook.operators.trades import execution_legs
+from crossbook.sources.ingest import parse_records, to_json_value
 
 # Topic names and producer settings of the pipeline.
 ORDERS_TOPIC = "orders.topic"
@@ -30,14 +33,18 @@ PRODUCER_OPTIONS = {
 
 # ---------------------------------------------------------------- sources
 def kafka_orders_stream(spark: SparkSession, bootstrap: str, topic: str = ORDERS_TOPIC,
-                        partition: int = 0, max_offsets_per_trigger: int | None = None):
-    """SRC-1: one partition of the order topic from the oldest offset, in
-    offset order; ``offset`` becomes ``seq``. Returns the reader (call
+                        partition: int | None = None, max_offsets_per_trigger: int | None = None):
+    """SRC-1: the order topic from the oldest offset, all partitions or one;
+    ``offset`` becomes ``seq``. With the symbol as message key a symbol lies in
+    one partition, so offsets order its messages. Returns the reader (call
     ``.load()`` where the Kafka connector is on the classpath)."""
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap)
-              .option("assign", json.dumps({topic: [partition]}))
               .option("startingOffsets", "earliest"))
+    if partition is None:
+        reader = reader.option("subscribe", topic)
+    else:
+        reader = reader.option("assign", json.dumps({topic: [partition]}))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     return reader
@@ -51,20 +58,22 @@ def kafka_price_inputs_stream(spark: SparkSession, bootstrap: str):
             .option("startingOffsets", "earliest"))
 
 
-def kafka_topic_dump(spark: SparkSession, bootstrap: str, topic: str, offset: int,
+def kafka_topic_dump(spark: SparkSession, bootstrap: str, topic: str, offset: int | dict[int, int],
                      partition: int = 0):
-    """SRC-4: batch read of one partition from ``offset`` to the end."""
+    """SRC-4: batch read of one partition from ``offset`` to the end, or of
+    each partition that a dict names from its own."""
+    starts = offset if isinstance(offset, dict) else {partition: offset}
     return (spark.read.format("kafka")
             .option("kafka.bootstrap.servers", bootstrap)
-            .option("assign", json.dumps({topic: [partition]}))
-            .option("startingOffsets", json.dumps({topic: {str(partition): offset}}))
+            .option("assign", json.dumps({topic: sorted(starts)}))
+            .option("startingOffsets", json.dumps({topic: {str(p): at for p, at in starts.items()}}))
             .option("endingOffsets", "latest"))
 
 
 def kafka_records(raw: DataFrame) -> DataFrame:
-    """Kafka rows -> (seq, timestamp, value) with the offset as arrival order."""
-    return raw.select(F.col("offset").alias("seq"), F.col("timestamp"),
-                      F.col("partition"), F.col("value").cast("string").alias("value"))
+    """Kafka rows -> (key, seq, timestamp, partition, value) with the offset as arrival order."""
+    return raw.select(F.col("key").cast("string").alias("key"), F.col("offset").alias("seq"),
+                      F.col("timestamp"), F.col("partition"), F.col("value").cast("string").alias("value"))
 
 
 def file_messages_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None):
@@ -76,14 +85,69 @@ def file_messages_stream(spark: SparkSession, folder: str, max_files_per_trigger
     return reader.load(folder)
 
 
-def topic_dump(records: DataFrame, offset: int = 0) -> DataFrame:
+TOPIC_FILE_SCHEMA = "key string, value string, topic string"
+
+
+def write_topic_files(rows: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Topic rows (topic, key, value) as one folder per topic."""
+    rows.select("topic", "key", "value").write.mode(mode).partitionBy("topic").parquet(folder)
+
+
+def file_topics_stream(spark: SparkSession, folder: str, topics, max_files_per_trigger: int | None = None):
+    """File stand-in for one subscription to several topics: a single stream
+    of (key, value, topic) that reads those topics' folders alone."""
+    reader = spark.readStream.schema(TOPIC_FILE_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.parquet(folder).where(F.col("topic").isin(*topics))
+
+
+def parse_by_topic(messages: DataFrame, contracts: dict[str, str]) -> DataFrame:
+    """SRC-2: messages of several topics split on ``topic`` and each parsed by
+    its topic's contract, in one pass: (topic, key, malformed, and a struct per
+    contract that is null for messages of other topics). A message of a topic
+    that ``contracts`` does not name is left out."""
+    out = messages.where(F.col("topic").isin(*contracts)).select("topic", "key", "value")
+    flags = []
+    for topic, contract in contracts.items():
+        own = F.col("topic") == topic
+        parsed = parse_records(
+            out.select(F.struct("*").alias("_row"), F.when(own, F.col("value")).alias("_text")),
+            contract, "_text")
+        fields = [c for c in parsed.columns if c not in ("_row", "_text", "malformed")]
+        out = parsed.select("_row.*", F.when(own, F.struct(*fields)).alias(contract),
+                            F.col("malformed").alias(f"_bad_{contract}"))
+        flags.append(own & F.col(f"_bad_{contract}"))
+    bad = reduce(lambda a, b: a | b, flags)
+    return out.select("topic", "key", bad.alias("malformed"), *contracts.values())
+
+
+def topic_dump(records: DataFrame, offset: int | dict[int, int] = 0) -> DataFrame:
     """SRC-4 on any record table with (seq, timestamp, value): rows from
-    ``offset`` on (the offset filter is the feature)."""
-    return records.where(F.col("seq") >= offset).select(
-        "timestamp", F.col("seq").alias("offset"), "value")
+    ``offset`` on. With a dict, ``records`` also has ``partition`` and each
+    partition starts at its own offset; partitions that it does not name are
+    not read (the offset filter is the feature)."""
+    if not isinstance(offset, dict):
+        return records.where(F.col("seq") >= offset).select(
+            "timestamp", F.col("seq").alias("offset"), "value")
+    wanted = [(F.col("partition") == p) & (F.col("seq") >= start) for p, start in offset.items()]
+    return records.where(reduce(lambda a, b: a | b, wanted, F.lit(False))).select(
+        "partition", "timestamp", F.col("seq").alias("offset"), "value")
 
 
 # ---------------------------------------------------------------- sinks
+def fill_messages(fills: DataFrame) -> DataFrame:
+    """SNK-1, SNK-2: the messages of each execution, two trade legs and one
+    price point, as (topic, key, value) rows in one pass over the fills."""
+    legs = execution_legs(fills)
+    trade = F.struct(F.lit(TRADES_TOPIC).alias("topic"), F.col("trade_id").alias("key"),
+                     to_json_value(legs, "trade").alias("value"))
+    price = F.struct(F.lit(PRICES_TOPIC).alias("topic"), F.col("symbol").alias("key"),
+                     to_json_value(legs, "pricepoint").alias("value"))
+    messages = F.when(F.col("leg") == 0, F.array(trade, price)).otherwise(F.array(trade))
+    return legs.select(F.explode(messages).alias("m")).select("m.*")
+
+
 def as_topic_rows(df: DataFrame, contract: str, key_col: str | None = None) -> DataFrame:
     """SNK-*: records -> (key, value) rows ready for any topic sink."""
     key = F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")

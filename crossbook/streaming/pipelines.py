@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from crossbook.plans.match import ship_package
+from crossbook.functions.columns import nonzero_orders
+from crossbook.plans.match import RAW_SCHEMA, MatchResult, ship_package
 from crossbook.session import ensure_checkpoint_dir
 from crossbook.sources.ingest import parse_records
+from crossbook.sources.topics import fill_messages, write_topic_files
+from crossbook.streaming.matcher import match_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -115,6 +118,71 @@ def microbatch_parse(messages: DataFrame, folder: str, contract: str = "order"):
             .trigger(availableNow=True).start())
 
 
+def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "best_price",
+                    residual: str = "tail", seeds: DataFrame | None = None, publish=None,
+                    available_now: bool = True, state_partitions: int | None = None):
+    """The order service from end to end: ``messages`` (key = symbol, seq,
+    value = JSON order) are parsed and matched, and each execution's trade and
+    price messages are published; returns the two started queries.
+
+    Good orders go through ``match_stream``. A micro-batch's raw rows are
+    written once to ``folder/raw/batch_id=N`` (late rows stay there), then
+    ``publish(messages, batch_id)`` gets its (topic, key, value) rows; by
+    default they overwrite ``folder/topics/batch_id=N/topic=...``, so a replayed
+    batch replaces its rows. A null key is the symbol 'X', as without a symbol.
+    Malformed messages go to ``folder/quarantine/out`` in a query of their own."""
+    parsed = parse_records(messages.select(F.coalesce(F.col("key").cast("string"), F.lit("X")).alias("symbol"),
+                                           "seq", "value"), "order")
+    good = nonzero_orders(parsed.where(~F.col("malformed")))
+    # resting or not, a zero order changes nothing: it is left out before the shuffle
+    raw = match_stream(good, level_priority, residual, seeds=seeds)
+
+    def to_files(rows: DataFrame, batch_id: int) -> None:
+        write_topic_files(rows, f"{folder}/topics/batch_id={batch_id}", mode="overwrite")
+
+    send = publish or to_files
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        own = f"{folder}/raw/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(own)
+        written = batch.sparkSession.read.schema(RAW_SCHEMA).parquet(own)
+        send(fill_messages(MatchResult(written).fills), batch_id)
+
+    matcher = (raw.writeStream.foreachBatch(handle).outputMode("append")
+               .option("checkpointLocation", f"{folder}/checkpoint"))
+    if available_now:
+        matcher = matcher.trigger(availableNow=True)
+    bad = parsed.where(F.col("malformed")).select("symbol", "seq", "value")
+    return (start_with_state_partitions(matcher, messages.sparkSession, state_partitions),
+            run_to_parquet(bad, f"{folder}/quarantine", available_now=available_now))
+
+
+def book_from_state(spark: SparkSession, checkpoint: str, level_priority: str = "best_price") -> DataFrame:
+    """STR-4 (stream): the resting orders after the last committed micro-batch
+    of a matching stream, read from its state store by its checkpoint folder;
+    the columns and rows of ``MatchResult.book``. The stream itself does no
+    extra work for it."""
+    def state(name: str) -> DataFrame:
+        return (spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+                .select(F.col("key.symbol").alias("symbol"), F.col("user_map_key.*"), F.col("user_map_value.*")))
+
+    order = F.col("n") if level_priority == "first_seen" else F.when(
+        F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
+    by_level = Window.partitionBy("symbol", "side").orderBy(order)
+    levels = state("levels").withColumnRenamed("level_seq", "n").withColumn(
+        "level_seq", F.row_number().over(by_level) - 1)
+    queue = F.arrays_zip("ids", "remaining", "seqs", "ts")
+    queued = state("queues").select("symbol", "side", "price", F.posexplode_outer(queue).alias("queue_pos", "e"))
+    same = (levels["symbol"].eqNullSafe(queued["symbol"]) & (levels["side"] == queued["side"])
+            & levels["price"].eqNullSafe(queued["price"]))
+    return levels.join(queued, same).select(
+        levels["symbol"], levels["side"], levels["price"], F.col("level_seq").cast("int").alias("level_seq"),
+        F.col("queue_pos").cast("int").alias("queue_pos"), F.col("e.ids").alias("order_id"),
+        F.col("e.seqs").alias("seq"),
+        # an empty level of first_seen is one row without an order
+        F.coalesce("e.remaining", F.lit(0)).alias("remaining"), F.col("e.ts").alias("timestamp"))
+
+
 class HeartbeatProcessor(StatefulProcessor):
     """STR-6 (stream): repeat the last price after every ``tick_ms`` without
     a new price. The timer is deleted and re-armed on every price."""
