@@ -23,7 +23,8 @@ from crossbook.plans.match import match_orders
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
 from crossbook.sources import topics as TP
-from crossbook.sources.fixtures import epoch_micros, events_orders, order_messages, order_topic, read_table
+from crossbook.sources.fixtures import (LINEITEM_TIEBREAK, epoch_micros, events_orders, lineitem_orders,
+                                        order_messages, order_topic, read_table)
 
 # The fixture spans 30 days: sample and gap-fill by the hour there.
 FIXTURE_TICK_US = P.HOUR_US
@@ -71,6 +72,15 @@ def q_match_orders_head(spark, sf_dir):
     return _fills(spark, sf_dir, residual="head")
 
 
+@query("match_lineitem")
+def q_match_lineitem(spark, sf_dir):
+    """STR-1 on every lineitem row as an order, one symbol per part; seq
+    repeats there and the other columns break ties."""
+    fills = match_orders(lineitem_orders(spark, sf_dir), tiebreak=LINEITEM_TIEBREAK, emit_book=False).fills
+    return fills.select("symbol", "taker_order_id", "maker_order_id", "fill_idx", "taker_side", "price",
+                        "quantity", "taker_remaining", "maker_remaining")
+
+
 @query("book_snapshot")
 def q_book_snapshot(spark, sf_dir):
     return _book(spark, sf_dir)
@@ -248,7 +258,10 @@ def q_order_side(spark, sf_dir):
 
 @query("nonzero_orders")
 def q_nonzero_orders(spark, sf_dir):
-    return C.nonzero_orders(events_orders(spark, sf_dir))
+    """FLT-1 on a log where every seventh order has quantity 0 (a rule of this
+    query: the tables hold no such order)."""
+    zeroed = F.when(F.col("seq") % 7 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("bigint")
+    return C.nonzero_orders(events_orders(spark, sf_dir).withColumn("quantity", zeroed))
 
 
 # ---------------------------------------------------------------- records
@@ -390,9 +403,15 @@ def q_random_trades(spark, sf_dir):
 
 @query("normalize_labels")
 def q_normalize_labels(spark, sf_dir):
-    t = G.random_trades(_event_ids(spark, sf_dir))
-    return t.select("trade_id", "order_id", C.normalize_action(F.col("action")).alias("action"),
-                    C.normalize_status(F.col("status")).alias("status"))
+    """PRJ-10 on the trade legs with their labels written in other cases and
+    with blanks (a rule of this query, by the taker's seq)."""
+    odd = F.col("taker_seq") % 2 == 1
+    legs = T.execution_legs(_fills(spark, sf_dir)).select(
+        "trade_id", "order_id",
+        F.when(odd, F.concat(F.lit(" "), F.lower("action"))).otherwise(F.initcap("action")).alias("action"),
+        F.when(odd, F.concat(F.upper("status"), F.lit(" "))).otherwise(F.initcap("status")).alias("status"))
+    return legs.select("trade_id", "order_id", C.normalize_action(F.col("action")).alias("action"),
+                       C.normalize_status(F.col("status")).alias("status"))
 
 
 def _seeds(orders):

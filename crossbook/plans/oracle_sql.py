@@ -28,6 +28,17 @@ EVENTS_ORDERS = """
          event_id AS seq
   FROM events"""
 
+# Repeated (l_orderkey, l_linenumber) pairs: the place in the total order stands for seq.
+LINEITEM_ORDERS = """
+  SELECT symbol, order_id, 'limit' AS order_type, price, quantity, timestamp,
+         row_number() OVER (PARTITION BY symbol ORDER BY l_orderkey * 8 + l_linenumber, l_suppkey, l_quantity,
+                            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq
+  FROM (SELECT *, 'P' || CAST(l_partkey AS VARCHAR) AS symbol, 'L-' || l_orderkey || '-' || l_linenumber AS order_id,
+               CAST(45.0 + floor(l_extendedprice) % 16 AS DOUBLE) AS price,
+               CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS quantity,
+               epoch_us(l_shipdate) AS timestamp
+        FROM lineitem)"""
+
 _FILL_T = ("STRUCT(taker_seq BIGINT, fill_idx INTEGER, taker_order_id VARCHAR, "
            "maker_order_id VARCHAR, maker_seq BIGINT, taker_side VARCHAR, price DOUBLE, "
            "quantity BIGINT, taker_remaining BIGINT, maker_remaining BIGINT, timestamp BIGINT)")
@@ -427,7 +438,7 @@ SELECT symbol, tick_ts AS timestamp, 'mid' AS source, mid_price AS price FROM mi
         "order_side": o + """
 SELECT symbol, order_id, seq, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS side,
        abs(quantity) AS magnitude FROM o""",
-        "nonzero_orders": o + "SELECT * FROM o WHERE quantity <> 0",
+        "nonzero_orders": o + "SELECT * FROM o WHERE quantity <> 0 AND seq % 7 <> 0",
         **record_oracles(),
         **more_oracles(),
         "match_orders_stream": m + "SELECT * FROM fills",
@@ -439,14 +450,14 @@ SELECT count(*) AS first_run, count(*) AS second_run, CAST(0 AS BIGINT) AS diffe
 
 
 ORDER_MESSAGES = f"""
-  SELECT 'order' AS source, seq AS msg_id,
+  SELECT 'order' AS source, CAST(seq AS VARCHAR) AS msg_id,
          CAST(to_json(struct_pack(order_id := order_id, order_type := order_type, price := price,
                                   quantity := quantity, timestamp := timestamp)) AS VARCHAR) AS value
   FROM ({EVENTS_ORDERS})
   UNION ALL
-  SELECT 'props' AS source, event_id AS msg_id, props AS value FROM events
+  SELECT 'props' AS source, CAST(event_id AS VARCHAR) AS msg_id, props AS value FROM events
   UNION ALL
-  SELECT 'chat' AS source, conv_id * 1000 + turn AS msg_id, text AS value FROM conversations"""
+  SELECT 'chat' AS source, conv_id || '-' || turn AS msg_id, text AS value FROM conversations"""
 
 
 def _json_is_object() -> str:
@@ -612,8 +623,11 @@ SELECT symbol, 'R-' || CAST(event_id AS VARCHAR) AS order_id, 'limit' AS order_t
        timestamp, event_id AS seq
 FROM ids""",
         "random_trades": ids + rtrades,
-        "normalize_labels": ids + f"""
-SELECT trade_id, order_id, upper(trim(action)) AS action, lower(trim(status)) AS status FROM ({rtrades})""",
+        "normalize_labels": m + _LEGS + """
+SELECT trade_id, order_id, action, status FROM legs""",
+        "match_lineitem": match_ctes(orders_sql=LINEITEM_ORDERS) + """
+SELECT symbol, taker_order_id, maker_order_id, fill_idx, taker_side, price, quantity, taker_remaining,
+       maker_remaining FROM fills""",
         "seed_orders": with_orders() + """
 SELECT symbol, 'SEED-' || symbol || '-BID' AS order_id, 'limit' AS order_type, CAST(49.5 AS DOUBLE) AS price,
        CAST(100 AS BIGINT) AS quantity, min(timestamp) AS timestamp, CAST(-2 AS BIGINT) AS seq

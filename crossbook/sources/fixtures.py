@@ -83,24 +83,27 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``order``  the adapted orders as JSON order records
     ``props``  events.props: JSON objects that carry none of the order fields
     ``chat``   conversations.text: free text, not JSON at all
+
+    ``msg_id`` (text) is unique within a source.
     """
     orders = events_orders(spark, sf_dir)
     as_json = F.to_json(F.struct("order_id", "order_type", "price", "quantity", "timestamp"))
-    msgs = orders.select(F.lit("order").alias("source"), F.col("seq").alias("msg_id"),
+    msgs = orders.select(F.lit("order").alias("source"), F.col("seq").cast("string").alias("msg_id"),
                          as_json.alias("value"))
     props = read_table(spark, sf_dir, "events").select(
-        F.lit("props").alias("source"), F.col("event_id").alias("msg_id"), F.col("props").alias("value"))
+        F.lit("props").alias("source"), F.col("event_id").cast("string").alias("msg_id"),
+        F.col("props").alias("value"))
     chat = read_table(spark, sf_dir, "conversations").select(
-        F.lit("chat").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
+        F.lit("chat").alias("source"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
         F.col("text").alias("value"))
     return msgs.unionByName(props).unionByName(chat)
 
 
 def order_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw order topic with message keys: (key, seq, value). Orders carry
-    their symbol as key; the other messages have none."""
+    their symbol as key and their place as seq; the other messages have neither."""
     orders = events_orders(spark, sf_dir)
     as_json = F.to_json(F.struct("order_id", "order_type", "price", "quantity", "timestamp"))
     others = order_messages(spark, sf_dir).where("source <> 'order'")
     return orders.select(F.col("symbol").alias("key"), "seq", as_json.alias("value")).unionByName(
-        others.select(F.lit(None).cast("string").alias("key"), F.col("msg_id").alias("seq"), "value"))
+        others.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("bigint").alias("seq"), "value"))

@@ -27,6 +27,9 @@ from crossbook.plans.match import RAW_SCHEMA, ship_package
 from crossbook.streaming.state_book import StateBook
 
 
+SEED_ROW = "seq long, order_id string, price double, quantity long, timestamp long"
+
+
 def arrival_key(row):
     """Sort key of (seq, order_id, price, quantity, timestamp) that orders
     rows as the batch plan's sort does: NULL first, NaN last."""
@@ -43,16 +46,19 @@ class MatchProcessor(StatefulProcessor):
     """One book per grouping key (the symbol)."""
 
     def __init__(self, level_priority: str = "best_price", residual: str = "tail",
-                 mid_tick_ms: int | None = None, emit_orders: bool = False):
+                 mid_tick_ms: int | None = None, emit_orders: bool = False, seeded: bool = False):
         Book(level_priority, residual)  # validate
         self.level_priority = level_priority
         self.residual = residual
         self.mid_tick_ms = mid_tick_ms
         self.emit_orders = emit_orders
+        self.seeded = seeded
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = StateBook(handle)
+        if self.seeded:
+            self.seeds = handle.getListState("seeds", SEED_ROW)
 
     # -- state io -------------------------------------------------------
     def _load(self):
@@ -76,6 +82,8 @@ class MatchProcessor(StatefulProcessor):
         ordered = sorted(((r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"])
                           for r in rows), key=arrival_key)
         writer = RawWriter()
+        fold_symbol(book, symbol, self._waiting_seeds(), writer, late_check=False,
+                    emit_orders=self.emit_orders)
         if last is not None:
             done = bisect_right(ordered, arrival_key(last), key=arrival_key)
             for seq, order_id, price, quantity, timestamp in ordered[:done]:
@@ -88,18 +96,22 @@ class MatchProcessor(StatefulProcessor):
         yield from _rows(writer)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """STR-7: seed orders (e.g. one bid and one ask) fold into the book
-        before the first micro-batch; their fills, if any, are not emitted."""
-        book, last = self._load()
+        """STR-7: seed orders (e.g. one bid and one ask) wait for the symbol's
+        first order; they are folded before it, in arrival order, and their own
+        fills come out with its. They make no order late."""
         r = initialState
-        fold_symbol(book, key[0], [(r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"])],
-                    RawWriter(), late_check=False)
-        self._save(book, last)
+        self.seeds.appendValue((r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"]))
+
+    def _waiting_seeds(self):
+        if not self.seeded or not self.seeds.exists():
+            return []
+        rows = sorted((tuple(r) for r in self.seeds.get()), key=arrival_key)
+        self.seeds.clear()
+        return rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """STR-5: sample the mid once per tick while both sides exist."""
-        book, _ = self._load()
-        bid, ask = book.top()  # reads level lists only, no queue is loaded
+        bid, ask = self.state.top()
         fired = expiredTimerInfo.getExpiryTimeInMs()
         if self.mid_tick_ms:
             self.handle.registerTimer(fired + self.mid_tick_ms)
@@ -120,7 +132,8 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
     (kind = fill | late | mid, and with ``emit_orders`` an ``order`` row when
     an order completes: filled, a no-op, or deleted with its level).
     ``orders`` needs seq, order_id, price, quantity and, as in the batch form,
-    may have symbol (default 'X') and timestamp; ``seeds`` (batch DataFrame, same columns) becomes the initial state."""
+    may have symbol (default 'X') and timestamp; ``seeds`` (batch DataFrame, same
+    columns) becomes the initial state, folded with each symbol's first order."""
     ship_package()
 
     def typed(df):
@@ -135,7 +148,7 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
     if seeds is not None:
         initial = typed(seeds).groupBy("symbol")
     return typed(orders).groupBy("symbol").transformWithState(
-        MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders),
+        MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders, seeded=seeds is not None),
         RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "None",
         initialState=initial)
 

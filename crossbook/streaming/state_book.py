@@ -4,12 +4,13 @@ State per symbol:
   levels  MapState (side, price) -> level_seq   every live level (ghosts too),
                                                  its insertion counter
   queues  MapState (side, price) -> the level's FIFO queue as parallel arrays
-  meta    ValueState (last processed row as JSON, next_level_seq)
+  meta    ValueState (last processed row as JSON, next_level_seq, best bid, best ask)
 
-A micro-batch reads the small ``levels`` map (to know which levels exist and,
-for first_seen, their order), loads a queue only when the fold touches that
-level, and writes back only touched, created or removed levels. The batch
-cost follows the levels a batch touches, not the number of resting orders.
+A micro-batch reads the ``levels`` map (to know which levels exist and, for
+first_seen, their order), loads a queue only when the fold touches that level,
+and writes back only touched, created or removed levels: its cost follows the
+number of levels and the queues it touches, not the number of resting orders.
+A timer reads the best prices alone.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ LEVEL_KEY = "side string, price double"
 LEVEL_VALUE = "level_seq long"
 QUEUE_VALUE = ("ids array<string>, remaining array<long>, seqs array<long>, ts array<long>, "
                "original array<long>, n_fills array<long>")
-META = "last string, next_level_seq long"
+META = "last string, next_level_seq long, best_bid double, best_ask double"
 
 
 class LazyQueues(dict):
@@ -110,7 +111,7 @@ class StateBook:
             else:
                 side.heap = [-p if side.is_bid else p for _, p in entries]
                 heapq.heapify(side.heap)
-        last, next_level = self.meta.get() if self.meta.exists() else ("null", 0)
+        last, next_level = self.meta.get()[:2] if self.meta.exists() else ("null", 0)
         return book, json.loads(last), next_level
 
     def save(self, book: Book, last, next_level: int) -> None:
@@ -127,4 +128,8 @@ class StateBook:
             for price, queue in dict.items(q):
                 cols = [list(c) for c in zip(*queue)] if queue else [[] for _ in range(6)]
                 self.queues.updateValue((side_name, price), tuple(cols))
-        self.meta.update((json.dumps(last), next_level))
+        self.meta.update((json.dumps(last), next_level, *book.top()))
+
+    def top(self):
+        """(best bid, best ask) after the last micro-batch; no level is read."""
+        return tuple(self.meta.get()[2:]) if self.meta.exists() else (None, None)

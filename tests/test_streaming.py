@@ -174,3 +174,67 @@ def test_stream_emits_completed_order_states(spark, tmp_path):
     run_to_parquet(match_stream(stream, emit_orders=True), run).awaitTermination()
     got = MatchResult(spark.read.parquet(f"{run}/out")).order_states
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_seeds_fold_in_order_and_their_fills_come_out(spark, tmp_path):
+    """Three seeds of which two cross, over several micro-batches: the fills
+    are those of one batch run over seeds and orders together."""
+    seeds = [(f"S{k}", -3 + i, f"seed{i}", price, qty, 0) for k in range(4)
+             for i, (price, qty) in enumerate([(48.0, 30), (47.0, -20), (50.0, -30)])]
+    rows = _log(300, seed=41)
+    seed_df = spark.createDataFrame(seeds, SCHEMA)
+    batch = match_orders(spark.createDataFrame(seeds + rows, SCHEMA)).fills
+    assert batch.where("taker_order_id like 'seed%'").count() == 4
+    _write_chunks(spark, rows, str(tmp_path / "src"), [100, 200])
+    raw, _ = _stream_raw(spark, str(tmp_path / "src"), str(tmp_path / "run"), seeds=seed_df)
+    fills = MatchResult(raw).fills
+    assert fills.exceptAll(batch).isEmpty() and batch.exceptAll(fills).isEmpty()
+
+
+def test_book_from_state_equals_batch(spark, tmp_path):
+    from crossbook.streaming.pipelines import book_from_state
+    rows = _log(300, seed=43)
+    _write_chunks(spark, rows, str(tmp_path / "src"), [100, 200])
+    for policy in ("best_price", "first_seen"):
+        run = str(tmp_path / policy)
+        _stream_raw(spark, str(tmp_path / "src"), run, level_priority=policy)
+        got = book_from_state(spark, f"{run}/checkpoint", policy)
+        batch = match_orders(spark.createDataFrame(rows, SCHEMA), policy).book
+        assert got.columns == batch.columns
+        assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+
+
+def test_order_topic_over_several_batches_and_a_restart(spark, tmp_path):
+    """Messages of several micro-batches, some malformed, some zero, some
+    without a key: published once each, also when the job starts again."""
+    import json
+
+    from crossbook.sources import topics as TP
+    from crossbook.streaming.pipelines import run_order_topic
+    use_rocksdb(spark)
+    rows = _log(240, seed=47)
+    messages = [(None if s == "S0" else s, seq, json.dumps(
+        {"order_id": o, "order_type": "limit", "price": p, "quantity": 0 if seq % 9 == 0 else q, "timestamp": t}))
+        for s, seq, o, p, q, t in rows]
+    messages += [("S1", 1000 + i, "{not json") for i in range(5)]
+    src, run = str(tmp_path / "orders"), str(tmp_path / "run")
+    for k in range(3):
+        spark.createDataFrame(messages[k * 82:(k + 1) * 82], "key string, seq long, value string").coalesce(
+            1).write.parquet(f"{src}/part={k}")
+        time.sleep(0.05)
+
+    def start():
+        stream = spark.readStream.schema("key string, seq long, value string").option(
+            "maxFilesPerTrigger", "1").parquet(src)
+        for q in run_order_topic(stream, run):
+            q.awaitTermination()
+
+    start()
+    start()  # nothing new: nothing more is published
+    expected = match_orders(spark.createDataFrame(
+        [("X" if s == "S0" else s, seq, o, p, 0 if seq % 9 == 0 else q, t) for s, seq, o, p, q, t in rows],
+        SCHEMA)).fills
+    got = spark.read.parquet(f"{run}/topics").select("topic", "key", "value")
+    want = TP.fill_messages(expected).select("topic", "key", "value")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert spark.read.parquet(f"{run}/quarantine/out").count() == 5

@@ -35,3 +35,24 @@ def test_file_messages_stream_bounded_batches(spark, tmp_path):
 def test_topic_dump_from_offset(spark):
     df = spark.createDataFrame([(i, i * 10, f"m{i}") for i in range(5)], "seq long, timestamp long, value string")
     assert [r.offset for r in TP.topic_dump(df, offset=3).orderBy("offset").collect()] == [3, 4]
+
+
+def test_topic_dump_from_an_offset_per_partition(spark):
+    df = spark.createDataFrame([(p, i, i * 10, f"m{i}") for p in range(3) for i in range(5)],
+                               "partition int, seq long, timestamp long, value string")
+    got = TP.topic_dump(df, {0: 3, 2: 4}).collect()
+    assert sorted((r.partition, r.offset) for r in got) == [(0, 3), (0, 4), (2, 4)]
+    assert TP.topic_dump(df, {}).count() == 0
+
+
+def test_parse_by_topic_splits_and_flags(spark):
+    rows = [("prices", "A", '{"price": 2.5}'), ("prices", "A", "oops"), ("trades", "t", None),
+            ("trades", "t", '{"trade_id":"t","order_id":"o","quantity":3,"price":2.5,"action":"BUY",'
+                            '"status":"closed","timestamp":1}'), ("other", "k", "{}")]
+    df = spark.createDataFrame(rows, "topic string, key string, value string")
+    got = TP.parse_by_topic(df, {"trades": "trade", "prices": "pricepoint"}).collect()
+    assert sorted((r.topic, r.malformed) for r in got) == [
+        ("prices", False), ("prices", True), ("trades", False), ("trades", True)]
+    good = {r.topic: r for r in got if not r.malformed}
+    assert good["prices"].pricepoint.price == 2.5 and good["prices"].trade is None
+    assert good["trades"].trade.quantity == 3 and good["trades"].pricepoint is None
