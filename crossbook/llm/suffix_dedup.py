@@ -34,6 +34,9 @@ MIN_WORDS = 50
 GRAM = 25
 WINDOWS = MIN_WORDS - GRAM + 1
 
+#: What is known of a window row after its own partition was compared.
+OPEN, SETTLED, WITNESS = 0, 1, 2
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -137,34 +140,77 @@ def extended_windows(docs: DataFrame, anchors: DataFrame, suffixes: DataFrame) -
     return texts.select("text_key", "text", "anchors").mapInArrow(run, "win bigint, text_key bigint, pos int")
 
 
+def _runs(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, size) of each run of equal windows."""
+    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
+    return first, np.diff(np.append(first, len(win)))
+
+
+def settled_windows(windows: DataFrame) -> DataFrame:
+    """(state, win, text_key, pos): neighbours compared within each partition,
+    before any shuffle. A run of two texts or more is SETTLED there, and one
+    WITNESS row of it goes on for all its rows, so that what meets later of a
+    very common window is a row per partition. Other rows stay OPEN."""
+
+    def run(batches):
+        held = None  # (window, text, whether its run was seen to hold two texts)
+        for batch in batches:
+            win, key, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(win):
+                continue
+            first, size = _runs(win)
+            several = key[first] != key[first + size - 1]
+            if held is not None and win[0] == held[0]:
+                known = held[2]
+                several[0] = several[0] or known or key[0] != held[1]
+            else:
+                known = False
+            state = np.where(np.repeat(several, size), SETTLED, OPEN).astype(np.int32)
+            marks = first[several] if not known else first[several][1:]
+            yield pa.record_batch({
+                "state": pa.array(np.append(state, np.full(len(marks), WITNESS, np.int32))),
+                "win": pa.array(np.append(win, win[marks])),
+                "text_key": pa.array(np.append(key, key[marks])), "pos": pa.array(np.append(pos, pos[marks]))})
+            held = (win[-1], key[-1], bool(several[-1]))
+
+    return windows.sortWithinPartitions("win", "text_key").mapInArrow(
+        run, "state int, win bigint, text_key bigint, pos int")
+
+
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(text_key, pos) of the windows that stand in two texts or more: sorted,
-    then each run of equal windows compared from neighbour to neighbour. Of a
-    run that goes on, only rows of a single text ever wait."""
+    """(text_key, pos) of the windows that stand in two texts or more. Settled
+    rows pass; the others are sorted, then each run of equal windows compared
+    from neighbour to neighbour. Of a run that goes on, only rows of a single
+    text ever wait."""
 
     def run(batches):
-        wait = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        wait = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         known = None  # the run that is known to stand in several texts
         for batch in batches:
-            win, key, pos = (np.concatenate([w, c.to_numpy(zero_copy_only=False)])
-                             for w, c in zip(wait, batch.columns))
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            settled = columns[0] == SETTLED
+            if settled.any():
+                yield pa.record_batch({"text_key": pa.array(columns[2][settled]),
+                                       "pos": pa.array(columns[3][settled])})
+            state, win, key, pos = (np.concatenate([w, c[~settled]]) for w, c in zip(wait, columns))
             if not len(win):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
-            size = np.diff(np.append(first, len(win)))
+            first, size = _runs(win)
             # sorted by text_key within a run: its first and last tell whether there are two
-            several = key[first] != key[first + size - 1]
+            several = (key[first] != key[first + size - 1]) | np.logical_or.reduceat(state == WITNESS, first)
             if known is not None and win[0] == known:
                 several[0] = True
-            taken = np.repeat(several, size)
+            taken = np.repeat(several, size) & (state == OPEN)
             known = win[-1] if several[-1] else None
             tail = len(win) if several[-1] else int(first[-1])
-            wait = [win[tail:], key[tail:], pos[tail:]]
+            wait = [state[tail:], win[tail:], key[tail:], pos[tail:]]
             taken = taken[:tail]
             yield pa.record_batch({"text_key": pa.array(key[:tail][taken]), "pos": pa.array(pos[:tail][taken])})
 
-    return (windows.repartition("win").sortWithinPartitions("win", "text_key")
-            .mapInArrow(run, "text_key bigint, pos int"))
+    place = F.when(F.col("state") == SETTLED, F.col("text_key")).otherwise(F.col("win"))
+    rows = settled_windows(windows).withColumn("place", place)
+    return (rows.repartition("place").sortWithinPartitions("win", "text_key")
+            .select("state", "win", "text_key", "pos").mapInArrow(run, "text_key bigint, pos int"))
 
 
 def joined_spans(repeated: DataFrame) -> DataFrame:

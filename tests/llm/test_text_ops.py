@@ -152,6 +152,31 @@ def test_repeated_passages(spark, sf, rows, odd, none):
     assert {r.doc_id for r in got} >= {6} or not got
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_windows_settled_in_a_partition_or_between(spark, partitions):
+    """Window rows over several partitions and Arrow batches of a few rows: a
+    row stays if its window stands in two texts, wherever they lie. One window
+    is very common: of it no more rows than one per partition meet again."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 60)), int(rng.integers(0, 40)), n) for n in range(150)]
+    rows += [(1000, t, 1000 + t) for t in range(300)] + [(2000, 7, 5000 + n) for n in range(40)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        windows = spark.createDataFrame(rows, "win bigint, text_key bigint, pos int").repartition(partitions)
+        got = sorted(tuple(r) for r in suffix_dedup.repeated_windows(windows).collect())
+        again = suffix_dedup.settled_windows(windows).where(f"win = 1000 and state <> {suffix_dedup.SETTLED}")
+        met = again.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    texts = defaultdict(set)
+    for win, key, _ in rows:
+        texts[win].add(key)
+    assert got == sorted((key, pos) for win, key, pos in rows if len(texts[win]) > 1)
+    # a run's first Arrow batch may hold a single row, which then stays open
+    assert met <= 2 * partitions
+
+
 def test_repeated_passages_of_partial_overlap(spark):
     word = [f"w{i}" for i in range(400)]
     texts = ["a b " + " ".join(word[0:60]) + " c d", "e " + " ".join(word[0:60]) + " f",
