@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from crossbook.functions.columns import crosses, nonzero_orders, side as side_of
 from crossbook.functions.scan import has_hot_key, running_last, running_sums
+from crossbook.session import reliable_checkpoint
 
 
 def _depth(book: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -66,7 +67,8 @@ def sweep_book(takers: DataFrame, book: DataFrame) -> DataFrame:
     # also bounds the book (a book holds at most the orders that came in)
     n = int(takers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     strategy = "split" if has_hot_key(t, ["symbol", "mside"], n) else "window"
-    makers = _depth(book, strategy)
+    # read three times below: written once, so the book and its depth are computed once
+    makers = reliable_checkpoint(_depth(book, strategy))
     # asks cross a buy when price <= limit; bids cross a sell when price >= limit
     signed = F.when(F.col("side") == "SELL", F.col("price")).otherwise(-F.col("price"))
     t_signed = F.when(F.col("mside") == "SELL", F.col("limit")).otherwise(-F.col("limit"))

@@ -449,8 +449,7 @@ def q_normalize_epoch(spark, sf_dir):
 @query("sweep_book")
 def q_sweep_book(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    # the book is read by three steps of the sweep: checkpoint it once
-    return S.sweep_book(orders, match_orders(orders, emit_fills=False).checkpoint().book)
+    return S.sweep_book(orders, match_orders(orders, emit_fills=False).book)
 
 
 @query("crossing_orders")

@@ -47,3 +47,10 @@ def test_json_is_parsed_once_per_branch(spark):
     every field and the malformed flag read the record."""
     for name in ("parse_orders", "quarantine", "ingest_counts"):
         assert plan(E.queries()[name](spark, SF_SMALL)).count("from_json") <= 3, name
+
+
+def test_sweep_shuffles_each_scan_once(spark):
+    """Takers and makers meet in two scans and one join; the makers' depth is
+    computed before, once."""
+    p = plan(E.queries()["sweep_book"](spark, SF_SMALL))
+    assert p.count("Exchange") <= 4 and p.count("+- Window") <= 2 and p.count("MapInArrow") == 0
