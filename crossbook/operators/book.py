@@ -180,3 +180,14 @@ def queue_cut(book: DataFrame, index: int = 0) -> DataFrame:
     shift = F.when(F.col("queue_pos") > index, F.lit(1)).otherwise(F.lit(0))
     return live.select("symbol", "side", "price", "order_id", "remaining",
                        (F.col("queue_pos") - shift).cast("int").alias("queue_pos"))
+
+
+def queue_removed(book: DataFrame, index: int = 0) -> DataFrame:
+    """SRT-4, the other half: per level the order that ``queue_cut`` takes out,
+    or NULL and ``in_range`` false where the queue is not that long."""
+    live = book.where(F.col("order_id").isNotNull())
+    taken = F.col("queue_pos") == index
+    return live.groupBy("symbol", "side", "price").agg(
+        F.max(F.when(taken, F.col("order_id"))).alias("removed_order_id"),
+        F.max(F.when(taken, F.col("remaining"))).alias("removed_quantity"),
+        F.max(taken).alias("in_range"))

@@ -19,7 +19,7 @@ from crossbook.operators import reconcile as R
 from crossbook.operators import sweep as S
 from crossbook.operators import prices as P
 from crossbook.operators import trades as T
-from crossbook.plans.match import match_orders
+from crossbook.plans.match import fold_load, match_orders
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
 from crossbook.sources import topics as TP
@@ -205,6 +205,16 @@ def q_queue_cut(spark, sf_dir):
     return B.queue_cut(_book(spark, sf_dir), index=0)
 
 
+@query("queue_removed")
+def q_queue_removed(spark, sf_dir):
+    return B.queue_removed(_book(spark, sf_dir), index=1)
+
+
+@query("fold_load")
+def q_fold_load(spark, sf_dir):
+    return fold_load(lineitem_orders(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- prices
 @query("price_stream")
 def q_price_stream(spark, sf_dir):

@@ -260,6 +260,18 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions, assume_clustered=False
     return df.sortWithinPartitions("symbol", "seq", *extra, *tail).select(*FOLD_INPUT)
 
 
+def fold_load(orders: DataFrame) -> DataFrame:
+    """How evenly a match of ``orders`` will spread, before it runs: one row
+    with the number of symbols and orders and the largest symbol, whose orders
+    one task folds. Without a symbol column all orders are one book."""
+    symbol = F.col("symbol") if "symbol" in orders.columns else F.lit("X")
+    per = orders.groupBy(symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "symbol"))
+    return per.agg(F.count(F.lit(1)).alias("symbols"), F.sum("n").alias("orders"),
+                   largest["symbol"].alias("largest_symbol"), largest["n"].alias("largest_orders"),
+                   (largest["n"] / F.sum("n")).alias("largest_share"))
+
+
 def match_orders(orders: DataFrame, level_priority: str = "best_price",
                  residual: str = "tail", tiebreak=(), num_partitions: int | None = None,
                  emit_top: bool = False, emit_orders: bool = False,

@@ -674,6 +674,14 @@ WHERE o.quantity <> 0
   AND coalesce(CASE WHEN o.side = 'BUY' THEN o.price >= top.best_ask ELSE o.price <= top.best_bid END, false)""",
         "topic_dump": with_orders() + f"""
 SELECT timestamp, seq AS "offset", {to_json_order} AS value FROM o WHERE seq >= 0""",
+        "queue_removed": m + """
+SELECT symbol, side, price, max(CASE WHEN queue_pos = 1 THEN order_id END) AS removed_order_id,
+       max(CASE WHEN queue_pos = 1 THEN remaining END) AS removed_quantity, max(queue_pos) >= 1 AS in_range
+FROM book WHERE order_id IS NOT NULL GROUP BY symbol, side, price""",
+        "fold_load": """
+WITH per AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS symbol, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS orders, max(struct_pack(n := n, symbol := symbol)).symbol AS largest_symbol,
+       max(n) AS largest_orders, max(n) / sum(n) AS largest_share FROM per""",
         "topic_dump_partitions": with_orders() + f"""
 SELECT p AS partition, timestamp, seq AS "offset", {to_json_order} AS value
 FROM (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o)

@@ -77,3 +77,19 @@ def test_config_entries(spark):
     got = sorted(tuple(r) for r in C.config_entries(kv, prefix="OB").collect())
     assert got == [("kafka", "bootstrap", "b:9092"), ("task", "poll_size", "32")]
     assert len(C.config_entries(kv).collect()) == 3
+
+
+def test_declared_topics_of_a_yaml_file_are_reconciled(spark):
+    """SRC-6 feeds JN-3: the file's topics against those that exist."""
+    declared = R.topics_from_yaml(spark, """
+topics:
+  - orders.topic: {partition: 3}
+  - trades.topic: {partition: 1}
+  - new.topic: {}
+""")
+    actual = spark.createDataFrame([("orders.topic", 1), ("trades.topic", 1), ("old.topic", 2)],
+                                   "topic string, partitions int")
+    got = sorted(((r.topic, r.step, r.action, r.partitions) for r in R.reconcile_diff(declared, actual).collect()),
+                 key=lambda r: r[:2])
+    assert got == [("new.topic", 0, "CREATE", 1), ("old.topic", 0, "DELETE", None), ("orders.topic", 0, "DELETE", None),
+                   ("orders.topic", 1, "CREATE", 3), ("trades.topic", 0, "READ", None)]
