@@ -135,8 +135,10 @@ def extended_windows(docs: DataFrame, anchors: DataFrame, suffixes: DataFrame) -
                             "pos": pa.array(starts.astype(np.int32))})
 
     one = suffixes.groupBy("text_key").agg(F.min("doc_id").alias("_first"))
-    wanted = anchors.join(one, "text_key")
-    texts = _keyed(docs).join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    wanted = anchors.join(one, "text_key").withColumnRenamed("text_key", "_key")
+    # dealt by text and document, so that the copies of one text do not meet in one task
+    first = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    texts = _keyed(docs).join(wanted, first)
     return texts.select("text_key", "text", "anchors").mapInArrow(run, "win bigint, text_key bigint, pos int")
 
 
