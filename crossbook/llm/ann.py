@@ -38,6 +38,7 @@ HASHES = 8
 WIDTH = 2.0
 PROBES = 80
 GROUP_ROWS = 40_000
+BLOCK_CELLS = 4_000_000  # cosines held at a time
 SEED = 17
 
 FOUND_SCHEMA = "qkey bigint, vec_id bigint, score double"
@@ -210,17 +211,25 @@ def match_group(index: pd.DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFra
                     continue
                 x, q = (np.stack(c.to_numpy()[r]).astype(np.float64)
                         for c, r in ((index["v"], rows), (probes["v"], who)))
-                cos = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
-                top = min(k, len(rows))
-                # ties at the cut must all stay until ids are compared
-                edge = -np.partition(-cos, top - 1, axis=1)[:, top - 1]
-                i, j = np.nonzero(cos >= edge[:, None] - 1e-12)
-                ids = index["vec_ids"].to_numpy()[rows[j]]
-                count = np.fromiter(map(len, ids), np.int64, len(ids))
-                found.append((np.repeat(qkeys[who[i]], count), np.concatenate(ids), np.repeat(cos[i, j], count)))
-                size += len(found[-1][0])
-                if size > 200_000:
-                    kept, found, size = _merge(kept, found, k), [], 0
+                x_norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+                ids = index["vec_ids"].to_numpy()[rows]
+                place = np.repeat(np.arange(len(rows)), list(map(len, ids)))
+                ids = np.concatenate(ids)
+                by_id = np.argsort(ids, kind="stable")
+                place, (ids, first) = place[by_id], np.unique(ids[by_id], return_index=True)
+                top, step = min(k, len(ids)), max(1, BLOCK_CELLS // len(place))
+                for start in range(0, len(who), step):
+                    some = slice(start, start + step)
+                    cos = (q[some] @ x.T) / q_norm[some, None] / x_norm[None, :]
+                    # an id counts with its nearest vector before anything is cut
+                    cos = np.maximum.reduceat(cos[:, place], first, axis=1)
+                    # ties at the cut must all stay until ids are compared
+                    edge = -np.partition(-cos, top - 1, axis=1)[:, top - 1]
+                    i, j = np.nonzero(cos >= edge[:, None] - 1e-12)
+                    found.append((qkeys[who[some][i]], ids[j], cos[i, j]))
+                    size += len(i)
+                    if size > 200_000:
+                        kept, found, size = _merge(kept, found, k), [], 0
         kept = _merge(kept, found, k)
     return pd.DataFrame({"qkey": kept[0], "vec_id": kept[1], "score": kept[2]})
 

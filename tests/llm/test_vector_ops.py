@@ -105,3 +105,32 @@ def test_ranges_of_keys():
     got = sharding.range_of(splitters, *[np.array(c) for c in zip(*keys)])
     ordered = list(splitters.itertuples(index=False, name=None))
     assert got.tolist() == [sum(s <= k for s in ordered) for k in keys]
+
+
+def crowded():
+    """The query's own id and a hot id with a hundred near vectors each, ten ids farther off."""
+    rng = np.random.default_rng(3)
+    near = [1.0, 0.0, 0.0] + rng.normal(0, 1e-5, (200, 3))
+    rows = [(0, v) for v in near[:100]] + [(7, v) for v in near[100:]]
+    return rows + [(i, np.array([1.0, 1e-4 * i, 0.0])) for i in range(11, 21)]
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 1])
+def test_an_id_with_many_vectors_takes_one_place_in_a_bucket(monkeypatch, cells):
+    monkeypatch.setattr(ann, "BLOCK_CELLS", cells)
+    rows = crowded()
+    index = pd.DataFrame({"bucket": 5, "vec_ids": [np.array([i]) for i, _ in rows], "v": [v for _, v in rows]})
+    probes = pd.DataFrame({"qkey": [1, 2], "v": [rows[0][1], rows[150][1]], "buckets": [np.array([5])] * 2})
+    got = ann.match_group(index, probes, 6)
+    for key, (_, q) in ((1, rows[0]), (2, rows[150])):
+        mine = got[got.qkey == key]
+        assert set(mine.vec_id) == {0, 7, 11, 12, 13, 14}
+        score = {i: max(q @ v / np.linalg.norm(q) / np.linalg.norm(v) for j, v in rows if j == i) for i in mine.vec_id}
+        assert all(abs(score[i] - s) < 1e-12 for i, s in zip(mine.vec_id, mine.score))
+
+
+def test_an_id_with_many_vectors_takes_one_place(spark):
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in crowded()],
+                               "vec_id bigint, embedding array<double>").coalesce(1)
+    got = ann.nearest(df, df.limit(1)).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 7), (0, 11), (0, 12), (0, 13), (0, 14)]
