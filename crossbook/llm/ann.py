@@ -6,7 +6,8 @@ name a bucket. A query visits its own bucket and, per table, the PROBES - 1
 others reached by moving some projections to the next cell, in order of the
 estimated success: the smaller the sum of squared distances to the cell walls
 crossed, the sooner. The candidates of all tables are merged and reranked by
-their exact cosine in double precision.
+their exact cosine in double precision. A query whose buckets hold fewer than
+k other ids is compared with all vectors of its dimension, block by block.
 
 Equal vectors are hashed once; as ties go to the smaller vec_id, the k + 1
 smallest ids of a vector are all that any query can return. Index rows are
@@ -38,6 +39,7 @@ HASHES = 8
 WIDTH = 2.0
 PROBES = 80
 GROUP_ROWS = 40_000
+BLOCK_QUERIES = 2_000
 BLOCK_CELLS = 4_000_000  # cosines held at a time
 SEED = 17
 
@@ -240,6 +242,43 @@ def _merge(kept, found, k):
     return [c[best] for c in columns]
 
 
+def exact(distinct: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best of each of the query vectors (key, v) among all vectors of
+    its dimension: blocks of queries meet blocks of vectors."""
+    index = distinct.withColumn("g", F.size("v"))
+    probes = asked.select(F.size("v").alias("g"), F.col("key").alias("qkey"), "v")
+    index = index.join(F.broadcast(probes.select("g").distinct()), "g", "left_semi")
+    parts = max(1, -(-index.count() // GROUP_ROWS))
+    blocks = max(1, -(-probes.count() // BLOCK_QUERIES))
+
+    def dealt(column, n):
+        return F.pmod(F.shiftright(column, 7), F.lit(n)).cast("int")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    zero = F.lit(0).cast("bigint")
+    index = (index.withColumn("part", dealt("key", parts)).withColumn("block", each(blocks))
+             .select("g", "part", "block", zero.alias("bucket"), "vec_ids", "v"))
+    probes = (probes.withColumn("block", dealt("qkey", blocks)).withColumn("part", each(parts))
+              .select("g", "part", "block", "qkey", "v", F.array(zero).alias("buckets")))
+
+    def match(index_part: pd.DataFrame, probe_part: pd.DataFrame) -> pd.DataFrame:
+        return match_group(index_part, probe_part, k)
+
+    return (index.groupBy("g", "part", "block").cogroup(probes.groupBy("g", "part", "block"))
+            .applyInPandas(match, FOUND_SCHEMA))
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(qkey, best): the k best ids of each query vector, in order."""
+    return (found.groupBy("qkey", "vec_id").agg(F.max("score").alias("score"))
+            .withColumn("rank", F.row_number().over(
+                Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")))
+            .where(F.col("rank") <= k)
+            .groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best")))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row."""
@@ -265,12 +304,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     found = (index.groupBy("g", "part").cogroup(probes.groupBy("g", "part"))
              .applyInPandas(match, FOUND_SCHEMA))
-    best = (found.groupBy("qkey", "vec_id").agg(F.max("score").alias("score"))
-            .withColumn("rank", F.row_number().over(
-                Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")))
-            .where(F.col("rank") <= wanted)
-            .groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best")))
     ids = asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("qkey")).distinct()
     others = F.filter("best", lambda b: b.vec_id != F.col("query_id"))
+    best = checkpointed(best_of(found, wanted))
+    few = checkpointed(ids.join(best, "qkey", "left").where(F.coalesce(F.size(others), F.lit(0)) < k)
+                       .select(F.col("qkey").alias("key")).distinct())
+    if not few.isEmpty():
+        again = exact(distinct, asked.select("key", "v").distinct().join(few, "key", "left_semi"), wanted)
+        best = best.join(few, F.col("qkey") == F.col("key"), "left_anti").union(best_of(again, wanted))
     return (ids.join(best, "qkey").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "b"))
             .select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", "b.score"))

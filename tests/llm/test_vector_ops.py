@@ -134,3 +134,21 @@ def test_an_id_with_many_vectors_takes_one_place(spark):
                                "vec_id bigint, embedding array<double>").coalesce(1)
     got = ann.nearest(df, df.limit(1)).orderBy("rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 7), (0, 11), (0, 12), (0, 13), (0, 14)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 6])
+def test_small_tables_give_all_candidates(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
+    # opposite vectors share no bucket; the last has a dimension of its own
+    rows = [(i, v) for i, v in enumerate([s * e for e in np.eye(3) for s in (1.0, -1.0)][:n])]
+    rows.append((99, np.array([1.0, 2.0])))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows],
+                               "vec_id bigint, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(df, df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(n))
+    for q, mine in got.items():
+        want = sorted((-float(rows[q][1] @ v), i) for i, v in rows[:n] if i != q)[:5]
+        assert [(r, i) for r, i, _ in sorted(mine)] == [(r + 1, i) for r, (_, i) in enumerate(want)]
+        assert all(abs(s + w) < 1e-12 for (_, _, s), (w, _) in zip(sorted(mine), want))
