@@ -6,9 +6,10 @@ give the Nyström map; one ridge regression per language (one against the rest)
 is fitted in the mapped space. A batch of texts is scored by two matrix
 products: presence x landmark presence, then x (map x ridge weights).
 
-Everything is fitted on a bounded sample: at most PER_LANGUAGE documents of
-each language, those with the smallest hash of their id, LANDMARKS of them as
-landmarks. Every whole text is scored.
+Everything is fitted on a bounded sample: at most PER_LANGUAGE documents with a
+letter of each language, those with the smallest hash of their id, LANDMARKS of
+them as landmarks; repeated rows are learned once. More than MAX_LANGUAGES
+languages are an error. Every whole text is scored.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a
 null language is not learned from; a null doc_id is scored but never held out;
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import byte_table, raw_bytes, row_columns, text_slices, translate, whole_rows
+from crossbook.llm.common import byte_table, checkpointed, raw_bytes, row_columns, text_slices, translate, whole_rows
 from crossbook.llm.quality import in_fold
 
 LENGTHS = (1, 2, 3)
@@ -32,6 +33,7 @@ BITS = 13
 SIZE = 1 << BITS
 LANDMARKS = 160
 PER_LANGUAGE = 500
+MAX_LANGUAGES = 64
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -118,14 +120,19 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
     """Fitted on documents outside the held-out fold; their packed presence
     bits (SIZE / 8 bytes each), not their texts, come to the driver."""
     usable = docs.where("lang is not null and doc_id is not null").where(~in_fold(F.col("doc_id"), 3, 1))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
-              .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language)
-              .select("doc_id", "lang").distinct())
-    # at most per_language rows for each language; languages are a small fixed set
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                         F.col("text").cast("string").alias("text"), "lang").join(
-        F.broadcast(chosen), ["doc_id", "lang"])
+    text = F.col("text").cast("string")
+    usable = usable.where(text.rlike(r"\p{L}")).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"),
+        F.xxhash64(text).alias("h"))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    # the keys first (no texts); rows alike are one
+    chosen = checkpointed(usable.select("doc_id", "lang", "h").withColumn("n", F.dense_rank().over(by_hash))
+                          .where(F.col("n") <= per_language).select("doc_id", "lang", "h").distinct())
+    found = chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values to learn from")
+    # at most per_language rows for each of at most MAX_LANGUAGES languages
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
 
     def pack(batches):
         for batch in batches:
@@ -134,11 +141,13 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
                     keep = has_letter(rows.column(1))
                     packed = np.packbits(presence(rows.column(1)), axis=1)
                     yield pa.record_batch({
-                        "doc_id": rows.column(0), "lang": rows.column(2),
+                        "doc_id": rows.column(0), "lang": rows.column(2), "h": rows.column(3),
                         "bits": pa.array([b.tobytes() for b in packed], pa.binary())}).filter(pa.array(keep))
 
-    rows = (sample.select("doc_id", "text", "lang").mapInArrow(pack, "doc_id bigint, lang string, bits binary")
-            .orderBy("doc_id", "lang", "bits").limit(per_language * 64).collect())
+    rows = (sample.select("doc_id", "text", "lang", "h")
+            .mapInArrow(pack, "doc_id bigint, lang string, h bigint, bits binary")
+            .groupBy("doc_id", "lang", "h").agg(F.min("bits").alias("bits"))
+            .orderBy("doc_id", "lang", "bits").collect())
     if not rows:
         return None
     bits = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in rows]), axis=1)

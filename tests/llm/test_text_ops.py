@@ -354,3 +354,21 @@ def test_pipeline_stages(spark, sf, docs, rows, odd, none, tmp_path):
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.select("doc_id", "start", "length").collect()))[:1]
     assert packing.WINDOW == 4096
+
+
+def test_language_sample_holds_every_language(spark):
+    """Neither letterless rows nor many rows of one doc_id take the places of learnable documents."""
+    body = [(i, "1234 !?", "bb") for i in range(2000)] + [(i, f"zwei drei {i}", "bb") for i in range(2000, 2040)]
+    body += [(i, f"one two {i % 50} and {k}", "aa") for i in range(-20, 0) for k in range(200)]
+    body += [(5000 + i, "same text", "cc") for i in range(20) for _ in range(30)]
+    df = spark.createDataFrame(body, "doc_id bigint, text string, lang string")
+    model = langid.fit_language(df, 2)
+    assert model.langs == ["aa", "bb", "cc"]
+
+
+def test_too_many_languages_are_an_error(spark):
+    body = [(i, f"some text {i}", f"l{i % 65}") for i in range(65 * 20)]
+    df = spark.createDataFrame(body, "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="64"):
+        langid.fit_language(df, 2)
+    assert len(langid.fit_language(df.where("lang <> 'l64'"), 2).langs) == 64
