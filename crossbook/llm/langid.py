@@ -192,6 +192,12 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language cannot be told (``und``)."""
-    found = predict_language(whole_rows(docs, F.col("text").cast("string").alias("text")), fit_language(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*row_columns(docs.columns))
+    """``docs`` with a letter: those without are ``und``. No score rejects a
+    document, and without a model to tell languages a letter alone decides."""
+    rows = whole_rows(docs, F.col("text").cast("string").alias("text"))
+    model = fit_language(docs)
+    if model is None:
+        found = rows.where(F.col("text").rlike(r"\p{L}"))
+    else:
+        found = predict_language(rows, model).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*row_columns(docs.columns))

@@ -372,3 +372,11 @@ def test_too_many_languages_are_an_error(spark):
     with pytest.raises(ValueError, match="64"):
         langid.fit_language(df, 2)
     assert len(langid.fit_language(df.where("lang <> 'l64'"), 2).langs) == 64
+
+
+def test_language_stage_without_a_model_keeps_texts_with_a_letter(odd):
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_identified(unknown)
+    assert kept.columns == odd.columns
+    assert sorted(kept.toPandas()["text"]) == sorted(
+        r.text for r in odd.collect() if r.text and any(c.isalpha() for c in r.text))
