@@ -41,9 +41,10 @@ MAGIC = b"TOKZST01"
 FOOTER = "<QQI32s"  # index offset, documents, bytes of an id, dictionary hash
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("at", "<u8"), ("size", "<u4"), ("n", "<u8")])
 
-#: Dictionary training: documents of the sample, characters taken of each, bytes of the dictionary.
+#: Dictionary training: documents of the sample, characters and pieces taken of each, bytes of the dictionary.
 SAMPLE_DOCS = 512
 SAMPLE_CHARS = 8192
+SAMPLE_PIECES = 4
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
 
@@ -61,20 +62,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def sample_pieces(text="text"):
+    """A whole text up to SAMPLE_CHARS characters; of a longer one a piece from
+    each of SAMPLE_PIECES equal stretches, at a place chosen by a hash of the text."""
+    size = SAMPLE_CHARS // SAMPLE_PIECES
+    stretch = F.floor(F.length(text) / SAMPLE_PIECES)
+    places = [(F.lit(1) + i * stretch + F.pmod(F.xxhash64(text, F.lit(i)), stretch - size + 1)).cast("int")
+              for i in range(SAMPLE_PIECES)]
+    return (F.when(F.length(text) <= SAMPLE_CHARS, F.array(text))
+            .otherwise(F.array(*[F.substring(text, at, F.lit(size)) for at in places])))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A dictionary trained on the ids of the ``sample_docs`` documents with
-    the smallest hash of their id, SAMPLE_CHARS characters of each. Too few or
-    too short samples give an empty dictionary (plain compression)."""
+    the smallest hash of their id, SAMPLE_CHARS characters of each, from all
+    parts of long ones. Too few or too short samples give an empty dictionary (plain compression)."""
     hashed = F.xxhash64("doc_id")
     # the hashes first (no texts), then only the texts up to the last of them
     smallest = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     if smallest is None:
         return b""
     sample = (docs.where(hashed <= smallest).where("length(text) > 0")
-              .select(hashed.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
+              .select(hashed.alias("h"), sample_pieces().alias("t"))
               .orderBy("h", "t").limit(sample_docs).collect())
     dtype = id_dtype(tokenizer)
-    offsets, ids = encoder(tokenizer).encode(pa.array([r.t for r in sample], pa.string()))
+    offsets, ids = encoder(tokenizer).encode(pa.array([t for r in sample for t in r.t], pa.string()))
     arrays = [ids[a:b].astype(dtype).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
     size = min(DICTIONARY_BYTES, sum(map(len, arrays)) // 8)
     if len(arrays) < 16 or size < 1024:

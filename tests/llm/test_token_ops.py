@@ -130,3 +130,29 @@ def test_sequences_and_edge_cases(spark, odd, none, plain):
     assert sum(b.length for s in whole for b in s.boundaries) == len(joined)
     assert all(sum(b.length for b in s.boundaries) == 64 for s in whole[:-1])
     assert packing.pack_documents(none, default_tokenizer()).count() == 0
+
+
+def test_dictionary_sample_reaches_the_whole_text(spark):
+    long = "a" * 8192 + "".join(chr(97 + i % 26) for i in range(40_000)) + "z" * 10_000
+    df = spark.createDataFrame([("short é" * 100,), ("x" * 8192,), (long,), (long[:8193],)], "text string")
+    got = [r[0] for r in df.select(token_files.sample_pieces()).collect()]
+    assert got[0] == ["short é" * 100] and got[1] == ["x" * 8192]
+    for text, pieces in ((long, got[2]), (long[:8193], got[3])):
+        assert [len(p) for p in pieces] == [2048] * 4
+        quarter = len(text) // 4
+        assert all(p in text[i * quarter:(i + 1) * quarter] for i, p in enumerate(pieces))
+
+
+def test_dictionary_learns_what_stands_late(spark, plain, monkeypatch):
+    seen = []
+
+    class Trained:
+        def as_bytes(self):
+            return b""
+
+    monkeypatch.setattr(token_files.zstandard, "train_dictionary", lambda size, arrays: seen.extend(arrays) or Trained())
+    df = spark.createDataFrame([(i, "a b " * 2100 + "q z " * 9000) for i in range(20)], "doc_id bigint, text string")
+    token_files.train_dictionary(df, default_tokenizer())
+    dtype = token_files.id_dtype(default_tokenizer())
+    late = np.array(ids_of(plain, "q z q z q z", 1)[2:-1], dtype).tobytes()
+    assert any(late in a for a in seen)
