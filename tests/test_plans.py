@@ -4,7 +4,7 @@ no fold run twice inside one query."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def plan(df) -> str:

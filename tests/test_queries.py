@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from crossbook.plans import catalog
 from scripts.check_oracles import TABLES, rows_key
 
