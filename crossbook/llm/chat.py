@@ -151,7 +151,7 @@ def read_turns(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Co
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
     def turns(block):
-        upto = F.position(F.lit(template.after_role), block)
+        upto = F.position(F.lit(template.after_role), block, F.lit(len(template.header) + 1))
         role = F.substr(block, F.lit(len(template.header) + 1), upto - len(template.header) - 1)
         texts = F.split(F.substr(block, upto + len(template.after_role)), _literal(template.joint))
         return F.transform(texts, lambda t: F.struct(
