@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossbook.llm import (ann, chat, decontaminate, langid, line_dedup, merkle, packing, quality, sharding,
-                           simhash, suffix_dedup, token_files)
+from crossbook.llm import (ann, chat, decontaminate, langid, lexical, line_dedup, merkle, packing, quality,
+                           sharding, simhash, suffix_dedup, token_files)
 from crossbook.llm.common import read_table
 from crossbook.llm.tokens import default_tokenizer
 
@@ -72,11 +72,15 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.digest_manifest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def registry():
     return {f.__name__: f for f in (
         op1_decontamination, op2_token_output, op3_nearest_neighbours, op4_packing, op5_quality,
         op6_line_dedup, op7_suffix_dedup, op8_simhash, op9_language, op10_sharding,
-        op11_chat_format, op12_merkle_manifest)}
+        op11_chat_format, op12_merkle_manifest, op13_lexical_search)}
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -109,4 +113,5 @@ FROM d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON d.d
 
 def oracles():
     return {"op1_decontamination": DECONTAMINATION_SQL, "op6_line_dedup": line_dedup.LINE_DEDUP_SQL,
-            "op11_chat_format": chat.chat_sql(), "op12_merkle_manifest": merkle.merkle_sql()}
+            "op11_chat_format": chat.chat_sql(), "op12_merkle_manifest": merkle.merkle_sql(),
+            "op13_lexical_search": lexical.LEXICAL_SQL}
