@@ -24,7 +24,6 @@ table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,9 +72,18 @@ def _by_dimension(column: pa.Array):
         yield int(d), np.flatnonzero(size == d)
 
 
-@lru_cache(maxsize=8)
+_DRAWN: dict[int, tuple] = {}
+
+
 def _projections(dim: int):
-    """Projections, shifts and the odd multipliers that fold codes into a bucket name."""
+    """Projections, shifts and the odd multipliers that fold codes into a
+    bucket name, drawn once for each worker process and dimension."""
+    if dim not in _DRAWN:
+        _DRAWN[dim] = _drawn(dim)
+    return _DRAWN[dim]
+
+
+def _drawn(dim: int):
     rng = np.random.default_rng([SEED, dim])
     a = rng.standard_normal((TABLES, HASHES, dim))
     b = rng.uniform(0, WIDTH, (TABLES, HASHES))

@@ -114,6 +114,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain(model) -> dict | None:
+    """A model's fields as a dict, the form in which it is broadcast: executors
+    need no copy of this package to read it."""
+    return None if model is None else dict(vars(model))
+
+
+def rebuilt(cls, fields: dict | None):
+    """The model again, inside a task."""
+    if fields is None:
+        return None
+    model = object.__new__(cls)
+    model.__dict__.update(fields)
+    return model
+
+
 #: A table is sent whole to every task only up to this many rows.
 SMALL_ROWS = 100_000
 

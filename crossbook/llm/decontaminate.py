@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import (WORD_TABLE, checkpointed, gather_runs, row_columns, split_words,
+from crossbook.llm.common import (WORD_TABLE, checkpointed, gather_runs, plain, rebuilt, row_columns, split_words,
                                   text_slices, whole_rows)
 
 WINDOW = 10
@@ -204,14 +204,15 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     sc = index.sparkSession.sparkContext
     found = []
     for block in item_blocks(items, id_col, text_col, window):
-        sent = sc.broadcast(block)  # bounded by BLOCK_BYTES of text and one more item
+        sent = sc.broadcast(plain(block))  # bounded by BLOCK_BYTES of text and one more item
 
         def run(batches, sent=sent):
+            windows = rebuilt(Windows, sent.value)
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch.column(name)[i] for name in batch.schema.names}
                     row = {k: (v.values if pa.types.is_list(v.type) else v.as_py()) for k, v in row.items()}
-                    out = _documents_hit(row, sent.value, slop)
+                    out = _documents_hit(row, windows, slop)
                     if out is not None:
                         yield out
 

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import byte_table, checkpointed, raw_bytes, row_columns, text_slices, translate, whole_rows
+from crossbook.llm.common import (byte_table, checkpointed, plain, raw_bytes, rebuilt, row_columns, text_slices,
+                                  translate, whole_rows)
 from crossbook.llm.quality import in_fold
 
 LENGTHS = (1, 2, 3)
@@ -161,10 +162,10 @@ def _runs(batch: pa.RecordBatch, rows: int):
 
 def predict_language(texts: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Every row of ``texts`` (columns row, text) as row, lang_pred, score."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)  # SIZE x LANDMARKS floats
+    sent = texts.sparkSession.sparkContext.broadcast(plain(model))  # SIZE x LANDMARKS floats
 
     def run(batches):
-        lm = sent.value
+        lm = rebuilt(LanguageModel, sent.value)
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 for rows in _runs(piece, 256):

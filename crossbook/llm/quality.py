@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import raw_bytes, split_words, text_slices
+from crossbook.llm.common import plain, raw_bytes, rebuilt, split_words, text_slices
 
 #: Labelled documents that the model is fitted on: those with the smallest hash of the id.
 SAMPLE = 4000
@@ -186,10 +186,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fac
 
 def score_quality(docs: DataFrame, model: FactorisationMachine | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x (FACTORS + 1) numbers
+    sent = docs.sparkSession.sparkContext.broadcast(plain(model))  # SIZE x (FACTORS + 1) numbers
 
     def score(batches):
-        fm = sent.value
+        fm = rebuilt(FactorisationMachine, sent.value)
         for batch in batches:
             for piece in text_slices(batch, "text", 2 << 20):
                 if fm is None:
