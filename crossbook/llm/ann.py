@@ -15,7 +15,8 @@ dealt out by bucket; a bucket group that grows beyond GROUP_ROWS is cut into
 parts by a hash of the vector, each of which the group's queries visit.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and null ids, take no part; only vectors of a query's own
+components, and null ids, take no part, any other length does (vectors are
+scaled before norms are taken, so 1e200 and 1e-200 count); only vectors of a query's own
 dimension are its candidates; rows with the query's vec_id are not its
 candidates; a vec_id with several vectors counts with its nearest; an empty
 table gives no rows. Extra columns are ignored.
@@ -65,6 +66,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row over the power of two at its largest component, so that the
+    squares of its norm neither overflow nor vanish; directions stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _by_dimension(column: pa.Array):
     """(dimension, rows) of each vector length in a list column."""
     size = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -95,6 +102,7 @@ def _drawn(dim: int):
 def _cells(x: np.ndarray, table: int):
     """Fractional cell coordinates and bucket names in one table."""
     a, b, fold, start = _projections(x.shape[1])
+    x = _scaled(x)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     place = (unit @ a[table].T + b[table]) / WIDTH
     cell = np.floor(place)
@@ -219,7 +227,7 @@ def match_group(index: pd.DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFra
                 who = pairs[1][lo:hi][dim_q[pairs[1][lo:hi]] == dim]
                 if not len(rows) or not len(who):
                     continue
-                x, q = (np.stack(c.to_numpy()[r]).astype(np.float64)
+                x, q = (_scaled(np.stack(c.to_numpy()[r]).astype(np.float64))
                         for c, r in ((index["v"], rows), (probes["v"], who)))
                 x_norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
                 ids = index["vec_ids"].to_numpy()[rows]

@@ -152,3 +152,18 @@ def test_small_tables_give_all_candidates(spark, monkeypatch, n):
         want = sorted((-float(rows[q][1] @ v), i) for i, v in rows[:n] if i != q)[:5]
         assert [(r, i) for r, i, _ in sorted(mine)] == [(r + 1, i) for r, (_, i) in enumerate(want)]
         assert all(abs(s + w) < 1e-12 for (_, _, s), (w, _) in zip(sorted(mine), want))
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-310, 1.0])
+def test_extreme_lengths_take_part(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4) * size) for i in (0, 50, 1, 2, 3)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = brute([(i, v / size) for i, v in rows], 4)
+    for q in (0, 50):
+        mine = sorted(got[q])
+        assert [v for _, v, _ in mine] == [i for _, i in want[q]] and len(mine) == 4
+        assert all(abs(s + w) < (1e-12 if size != 1e-310 else 1e-9) for (_, _, s), (w, _) in zip(mine, want[q]))
