@@ -9,8 +9,9 @@ text in one pass without a shuffle of texts.
 
 Defined cases: a null text scores as an empty one, a null n_chars as 0; a null
 doc_id scores like any other and is never held out; repeated rows score alike;
-a label other than 0 or 1 is not learned from; without learnable labels every
-score is 0.5; an empty table has no rows. Extra columns are ignored.
+a label other than 0 or 1, or without a document, is not learned from; a doc_id
+counts once for each of its labels, with the text of the smallest hash if it
+has several; without learnable labels every score is 0.5; an empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import plain, raw_bytes, rebuilt, split_words, text_slices
+from crossbook.llm.common import checkpointed, plain, raw_bytes, rebuilt, split_words, text_slices
 
-#: Labelled documents that the model is fitted on: those with the smallest hash of the id.
+#: Labelled documents that the model is fitted on: of the labels that have a
+#: document, those with the smallest hash of the id.
 SAMPLE = 4000
 BUCKETS = 1 << 14
 FACTORS = 8
@@ -154,12 +156,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fac
     """The model fitted on at most ``sample`` labelled documents outside the
     held-out fold; their sparse vectors (not their texts) come to the driver."""
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~in_fold(F.col("doc_id"), 5, 0))
-    chosen = (usable.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+    targets = usable.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                             F.col("quality").cast("double").alias("target")).distinct()
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "target").limit(sample))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
+                        F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"),
                         F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
-    joined = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    # labels of documents that exist, each id with one of its texts; texts stay in the scan
+    held = texts.select("doc_id", "h").join(targets, "doc_id").groupBy("doc_id", "target").agg(F.min("h").alias("h"))
+    chosen = checkpointed(held.orderBy(F.xxhash64("doc_id"), "doc_id", "target").limit(sample))
+    joined = (texts.join(F.broadcast(chosen), ["doc_id", "h"])  # at most ``sample`` rows
+              .groupBy("doc_id", "target").agg(F.min(F.struct("text", "n_chars")).alias("row"))
+              .select("doc_id", "row.text", "row.n_chars", "target"))
 
     def vectors(batches):
         for batch in batches:
@@ -171,9 +179,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fac
                     "number": pa.ListArray.from_arrays(at, pa.array(number.astype(np.int32))),
                     "value": pa.ListArray.from_arrays(at, pa.array(value))})
 
-    rows = (joined.select("doc_id", "text", "n_chars", "target")
-            .mapInArrow(vectors, "doc_id bigint, target double, number array<int>, value array<float>")
-            .orderBy("doc_id", "target", F.xxhash64("number", "value")).limit(sample).toArrow())
+    rows = (joined.mapInArrow(vectors, "doc_id bigint, target double, number array<int>, value array<float>")
+            .orderBy("doc_id", "target").toArrow())
     if rows.num_rows == 0:
         return None
     rows = rows.combine_chunks()
