@@ -8,7 +8,7 @@ boilerplate line leaves every document but the first (smallest doc_id) that
 holds it, so text that many sites copy stays once.
 
 Defined cases: a null text stays null and has no lines; empty lines are never
-boilerplate; a null source is no site; a null doc_id comes after all others
+boilerplate; a null source is no site, an empty one is; a null doc_id comes after all others
 when the first document of a line is chosen; repeated rows share one decision;
 an empty table stays empty. Other columns pass through.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm.common import checkpointed, row_columns, whole_rows
+from crossbook.llm.common import checkpointed, join_small, row_columns, whole_rows
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -34,36 +34,48 @@ def _row_key(text_col: str):
             F.xxhash64(F.lit(1), text_col, "doc_id").alias("_k2")]
 
 
+#: The 128 bits that stand for a line.
+LINE = ["_l1", "_l2"]
+
+
+def _line_key(line_col: str):
+    return [F.xxhash64(line_col).alias("_l1"), F.xxhash64(F.lit(1), line_col).alias("_l2")]
+
+
 def document_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per non-empty line: document key, doc_id, source, line number, line hash."""
+    """One row per non-empty line: document key, doc_id, source, line number, line key."""
     split = docs.where(F.col(text_col).isNotNull()).select(
         *_row_key(text_col), "doc_id", "source",
         F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     return split.where("line <> ''").select(
-        "_k1", "_k2", "doc_id", "source", "line_no", F.xxhash64("line").alias("line_hash"))
+        "_k1", "_k2", "doc_id", "source", "line_no", *_line_key("line"))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line_hash, first_doc) of the lines that stand on ``min_sites`` or more sites."""
-    spread = lines.groupBy("line_hash").agg(
-        F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sketch"),
+def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, int]:
+    """The lines that stand on ``min_sites`` or more sites, by key, with their
+    first document; and a bound on how many there are."""
+    # an empty string is a site, which a sketch alone would not count
+    site = F.concat(F.lit("="), F.col("source").cast("string"))
+    spread = lines.groupBy(*LINE).agg(
+        F.hll_sketch_agg(site, F.lit(SKETCH_BITS)).alias("sketch"),
         F.min("doc_id").alias("first_doc"))
-    estimated = spread.select("line_hash", "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
+    estimated = spread.select(*LINE, "first_doc", F.hll_sketch_estimate("sketch").alias("sites"))
     # written first (few lines): joins with it can split a very common line
     candidates = checkpointed(estimated.where(F.col("sites") >= min_sites * (1 - MARGIN)))
-    sure = candidates.where(F.col("sites") > min_sites * (1 + MARGIN)).select("line_hash", "first_doc")
-    near = candidates.where(F.col("sites") <= min_sites * (1 + MARGIN)).select("line_hash", "first_doc")
-    exact = (lines.select("line_hash", "source").join(near, "line_hash")
-             .groupBy("line_hash", "first_doc").agg(F.countDistinct("source").alias("sites"))
-             .where(F.col("sites") >= min_sites).select("line_hash", "first_doc"))
-    return sure.unionByName(exact)
+    count = candidates.count()
+    sure = candidates.where(F.col("sites") > min_sites * (1 + MARGIN)).select(*LINE, "first_doc")
+    near = candidates.where(F.col("sites") <= min_sites * (1 + MARGIN)).select(*LINE, "first_doc")
+    exact = (join_small(lines.select(*LINE, "source"), near, count, LINE, "inner")
+             .groupBy(*LINE, "first_doc").agg(F.countDistinct("source").alias("sites"))
+             .where(F.col("sites") >= min_sites).select(*LINE, "first_doc"))
+    return sure.unionByName(exact), count
 
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text") -> DataFrame:
     """Per document key, the numbers of the lines to remove."""
     lines = document_lines(docs, text_col)
-    bad = boilerplate_lines(lines, min_sites)
-    return (lines.join(bad, "line_hash")
+    bad, count = boilerplate_lines(lines, min_sites)
+    return (join_small(lines, bad, count, LINE, "inner")
             .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
             .groupBy("_k1", "_k2").agg(F.collect_set("line_no").alias("_removed")))
 

@@ -380,3 +380,36 @@ def test_language_stage_without_a_model_keeps_texts_with_a_letter(odd):
     assert kept.columns == odd.columns
     assert sorted(kept.toPandas()["text"]) == sorted(
         r.text for r in odd.collect() if r.text and any(c.isalpha() for c in r.text))
+
+
+def test_quality_sample_is_not_taken_over(spark):
+    """Neither one doc_id with many rows nor labels without documents take the
+    places of other labelled documents."""
+    body = [(i, f"word{i} good text", 10) for i in range(100)] + [(7, f"copy {k}", 10) for k in range(500)]
+    docs = spark.createDataFrame(body, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(i, 1) for i in range(1000, 6000)],
+                                   "doc_id bigint, quality int")
+    learned = []
+    fit = quality.FactorisationMachine.fit
+
+    def watched(self, at, number, value, target):
+        learned.append(target.tolist())
+        return fit(self, at, number, value, target)
+
+    quality.FactorisationMachine.fit = watched
+    try:
+        assert quality.fit_quality(docs, labels, 40) is not None
+        assert quality.fit_quality(docs, labels) is not None
+    finally:
+        quality.FactorisationMachine.fit = fit
+    outside = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert len(learned[0]) == 40 and len(learned[1]) == len(outside)
+    assert sum(learned[1]) == sum(i % 2 for i in outside) and 5 < sum(learned[0]) < 35
+
+
+def test_an_empty_site_counts(spark):
+    docs = spark.createDataFrame([(1, "line", "a"), (2, "line", "b"), (3, "line", ""), (4, "line", None)],
+                                 "doc_id bigint, text string, source string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, 3).collect()}
+    assert out == {1: "line", 2: "", 3: "", 4: ""}
+    assert line_dedup.dedup_lines(docs.where("source <> ''"), 3).where("n_removed > 0").count() == 0
