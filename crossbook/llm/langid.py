@@ -35,6 +35,8 @@ SIZE = 1 << BITS
 LANDMARKS = 160
 PER_LANGUAGE = 500
 MAX_LANGUAGES = 64
+#: Parts in which a language's documents are cut first.
+PARTS = 256
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -125,10 +127,14 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
     usable = usable.where(text.rlike(r"\p{L}")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"),
         F.xxhash64(text).alias("h"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    # the keys first (no texts); rows alike are one
-    chosen = checkpointed(usable.select("doc_id", "lang", "h").withColumn("n", F.dense_rank().over(by_hash))
-                          .where(F.col("n") <= per_language).select("doc_id", "lang", "h").distinct())
+    # the keys first (no texts); rows alike are one. Parts of a language are cut
+    # before the language, so at most PARTS x per_language rows of it meet in a task
+    keys = usable.select("doc_id", "lang", "h", F.pmod(F.xxhash64("h", "doc_id"), F.lit(PARTS)).alias("part"))
+    for group in (["lang", "part"], ["lang"]):
+        by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+        keys = (keys.withColumn("n", F.dense_rank().over(by_hash)).where(F.col("n") <= per_language)
+                .select("doc_id", "lang", "h", "part").distinct())
+    chosen = checkpointed(keys.drop("part"))
     found = chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if found > MAX_LANGUAGES:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values to learn from")
