@@ -123,32 +123,31 @@ def roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def paths(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """(key, pos, path) of the nodes of the lowest level: path lists the
-    siblings from there up, first those in the node's own tree, then
-    ``above`` (key, path), which is the tree root's."""
-    none = F.array().cast(f"array<{STEP}>")
-    upper = None
+def paths_from(rows: DataFrame, above: DataFrame | None) -> DataFrame:
+    """The path of trees' roots: that of ``above`` (key, path), or nothing."""
+    if above is None:
+        return rows.withColumn("path", F.array().cast(f"array<{STEP}>"))
+    return rows.join(above, "key")
+
+
+def under(nodes: DataFrame, parent_paths: DataFrame) -> DataFrame:
+    """Nodes with their siblings put before the path of their parent."""
+    up = parent_paths.select("key", F.col("pos").alias("run"), F.col("path").alias("_up"))
+    return with_siblings(nodes).join(up, ["key", "run"]).select(
+        *nodes.columns, F.concat(F.array(F.struct("left", "right")), "_up").alias("path"))
+
+
+def proofs(leaves: DataFrame, levels: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
+    """``leaves`` with ``path``: the siblings of each level up to the root of
+    the tree, then the path that ``above`` (key, path) has for the tree."""
+    path = None
     for level in reversed(levels):
-        top = level.where("n = 1").join(above, "key").select("key", "pos", "path")
-        if upper is not None:
-            inner = with_siblings(level.where("n > 1")).join(
-                upper.select("key", F.col("pos").alias("run"), F.col("path").alias("_up")), ["key", "run"])
-            top = top.unionByName(inner.select("key", "pos", F.concat(
-                F.array(F.struct("left", "right")), F.coalesce("_up", none)).alias("path")))
-        upper = checkpointed(top)
-    return upper
-
-
-def proofs(leaves: DataFrame, levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """``leaves`` with ``path``: the siblings of each level up to the root."""
-    rows = leaves.where("n = 1").join(above, "key").select(*leaves.columns, "path")
-    if not levels:
-        return rows
-    inner = with_siblings(leaves.where("n > 1")).join(
-        paths(levels, above).select("key", F.col("pos").alias("run"), F.col("path").alias("_up")), ["key", "run"])
-    return rows.unionByName(inner.select(
-        *leaves.columns, F.concat(F.array(F.struct("left", "right")), "_up").alias("path")))
+        found = paths_from(level.where("n = 1"), above)
+        if path is not None:
+            found = found.unionByName(under(level.where("n > 1"), path))
+        path = checkpointed(found.select("key", "pos", "path"))
+    found = paths_from(leaves.where("n = 1"), above).select(*leaves.columns, "path")
+    return found if path is None else found.unionByName(under(leaves.where("n > 1"), path))
 
 
 def folded(leaf: Column, path: Column) -> Column:
@@ -178,8 +177,7 @@ def manifest(docs: DataFrame, altered: dict[str, Column] | None = None) -> DataF
     top = forest(one.select("key", "pos", "n", "digest"))
     root = roots(one, top).select("digest").first()
     root = F.lit(bytes(root[0]) if root else None).cast("binary")
-    none = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.array().cast(f"array<{STEP}>").alias("path"))
-    above = checkpointed(proofs(one, top, none).select(F.col("source_key").alias("key"), F.col("digest").alias("subroot"), "path"))
+    above = checkpointed(proofs(one, top).select(F.col("source_key").alias("key"), F.col("digest").alias("subroot"), "path"))
     out = proofs(leaves, levels, above.select("key", "path"))
     return join_sources(out, above.select("key", "subroot")).select(
         "doc_id", "source", F.col("digest").alias("leaf"), "subroot", root.alias("root"), "path", "other")
