@@ -34,7 +34,8 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
     Side from the sign, quantity kept signed, a crossed or locked book is
     allowed; a NULL price rests at 0.0 as in the fold, a NULL symbol is a book
     of its own. Level rank: by price (best_price) or by the level's first
-    arrival (first_seen); FIFO position by (seq, order_id) inside the level."""
+    arrival (first_seen); FIFO position inside the level by seq, then by the
+    other columns, as in the fold."""
     o = orders.select(
         "symbol",
         F.when(F.col("quantity") > 0, "BUY").otherwise("SELL").alias("side"),
@@ -58,7 +59,7 @@ def rest_orders(orders: DataFrame, level_priority: str = "best_price") -> DataFr
     keys = ["symbol", "side", "price"]
     n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     strategy = "split" if has_hot_key(o, keys, n) else "window"
-    queued = running_count(with_level, keys, ["seq", "order_id"], "queue_pos", strategy=strategy)
+    queued = running_count(with_level, keys, ["seq", "order_id", "remaining", "timestamp"], "queue_pos", strategy=strategy)
     return queued.select("symbol", "side", "price", "level_seq",
                          (F.col("queue_pos") - 1).cast("int").alias("queue_pos"),
                          "order_id", "seq", "remaining", "timestamp")

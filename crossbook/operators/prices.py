@@ -5,6 +5,10 @@ Sampling and heartbeats take the tick as a parameter (1 s by default; the
 30-day fixtures use 1 hour). The as-of steps are "union + carry the last
 non-null value" per symbol (``functions.scan``: a window, or a split scan
 when a symbol is hot); no join pairs grid points with prices.
+
+Rows of one symbol and time are ordered by ``arrival`` where they have it
+(``MatchResult.prints``, ``top_changes``, ``plans.match.with_arrival``), which
+never repeats; without it by seq, which must be unique within a symbol then.
 """
 
 from __future__ import annotations
@@ -20,6 +24,11 @@ HOUR_US = 3600 * SECOND_US
 INITIAL_PRICE = 50.0
 
 
+def _place(df: DataFrame, seq: str):
+    """What tells the order of a symbol's rows."""
+    return F.col("arrival" if "arrival" in df.columns else seq).cast("bigint").alias("_place")
+
+
 #: Grid points of one first-level step of ``explode_grid``.
 GRID_CHUNK = 3600
 
@@ -37,7 +46,7 @@ def explode_grid(df: DataFrame, start, stop, step: int, name: str) -> DataFrame:
 
 def price_stream(fills: DataFrame, probe: DataFrame | None = None) -> DataFrame:
     """SET-1: trade prices (two legs per fill) and price points (one per
-    fill) merged into one stream, ordered by (timestamp, source, taker, place).
+    fill) merged into one stream, ordered by (timestamp, source, taker's place, k).
     One pass over the fills: each fill fans out to its three messages; the
     per-symbol ordinal is a skew-aware running count (``probe``: a cheap
     DataFrame with the symbol distribution, e.g. the orders)."""
@@ -45,11 +54,11 @@ def price_stream(fills: DataFrame, probe: DataFrame | None = None) -> DataFrame:
         F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2).alias("k")),
         F.struct(F.lit("trade").alias("source"), (F.col("fill_idx") * 2 + 1).alias("k")),
         F.struct(F.lit("price").alias("source"), F.col("fill_idx").alias("k")))
-    merged = (fills.select("symbol", "timestamp", "taker_seq", "price", F.explode(msgs).alias("m"))
+    merged = (fills.select("symbol", "timestamp", "taker_seq", "price", _place(fills, "taker_seq"), F.explode(msgs).alias("m"))
               .select("symbol", "timestamp", F.col("m.source").alias("source"), "taker_seq",
-                      F.col("m.k").cast("int").alias("k"), "price"))
-    return running_count(merged, ["symbol"], ["timestamp", "source", "taker_seq", "k"], "ord",
-                         probe=probe if probe is not None else merged)
+                      F.col("m.k").cast("int").alias("k"), "price", "_place"))
+    return running_count(merged, ["symbol"], ["timestamp", "source", "_place", "k"], "ord",
+                         probe=probe if probe is not None else merged).drop("_place")
 
 
 def last_price(orders: DataFrame, points: DataFrame, initial: float = INITIAL_PRICE) -> DataFrame:
@@ -57,15 +66,16 @@ def last_price(orders: DataFrame, points: DataFrame, initial: float = INITIAL_PR
     arrived (``initial`` before the first). A running "last non-null" per
     symbol over orders and prints, split across tasks when a symbol is hot
     (measured on the order scan)."""
-    # an order sorts before its own fills (same seq): it sees earlier prints only
-    o = orders.select("symbol", "seq", F.lit(None).cast("double").alias("price"),
+    # an order sorts before its own fills (same place): it sees earlier prints only
+    kept = [c for c in orders.columns if c in ("order_id", "arrival")] if "arrival" in orders.columns else []
+    o = orders.select("symbol", "seq", *kept, _place(orders, "seq"), F.lit(None).cast("double").alias("price"),
                       F.lit(0).alias("kind"), F.lit(0).alias("fill_idx"))
-    p = points.select("symbol", F.col("taker_seq").alias("seq"), "price",
+    p = points.select("symbol", F.col("taker_seq").alias("seq"), _place(points, "taker_seq"), "price",
                       F.lit(1).alias("kind"), "fill_idx")
-    carried = running_last(o.unionByName(p), ["symbol"], ["seq", "kind", "fill_idx"],
+    carried = running_last(o.unionByName(p, allowMissingColumns=True), ["symbol"], ["_place", "kind", "fill_idx"],
                            {"_last": "price"}, probe=orders.select("symbol"))
     return carried.where(F.col("kind") == 0).select(
-        "symbol", "seq", F.coalesce(F.col("_last"), F.lit(initial)).alias("last_price"))
+        "symbol", "seq", *kept, F.coalesce(F.col("_last"), F.lit(initial)).alias("last_price"))
 
 
 # An empty side is carried as -inf so that bid and ask, both non-null on
@@ -81,17 +91,17 @@ def mid_ticks(tops: DataFrame, tick_us: int = SECOND_US, probe: DataFrame | None
     The grid spans each symbol's first to last top-of-book change
     (span / tick points, from a per-symbol aggregate); the as-of is a
     skew-aware carry of the last change. ``tops`` is read twice (bounds and
-    changes): pass a materialised one (``MatchResult.checkpoint().tops``)."""
+    changes): pass a materialised one (``MatchResult.checkpoint().top_changes``)."""
     bounds = tops.groupBy("symbol").agg(F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"))
     first = F.ceil(F.col("t0") / tick_us).cast("bigint") * tick_us
     last = F.floor(F.col("t1") / tick_us).cast("bigint") * tick_us
     grid = (explode_grid(bounds, first, last, tick_us, "ts")
-            .select("symbol", "ts", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("is_grid"),
+            .select("symbol", "ts", F.lit(None).cast("long").alias("_place"), F.lit(1).alias("is_grid"),
                     F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask")))
-    changes = tops.select("symbol", F.col("timestamp").alias("ts"), "seq", F.lit(0).alias("is_grid"),
+    changes = tops.select("symbol", F.col("timestamp").alias("ts"), _place(tops, "seq"), F.lit(0).alias("is_grid"),
                           F.coalesce("best_bid", F.lit(_EMPTY_SIDE)).alias("bid"),
                           F.coalesce("best_ask", F.lit(_EMPTY_SIDE)).alias("ask"))
-    carried = running_last(changes.unionByName(grid), ["symbol"], ["ts", "is_grid", "seq"],
+    carried = running_last(changes.unionByName(grid), ["symbol"], ["ts", "is_grid", "_place"],
                            {"_bid": "bid", "_ask": "ask"},
                            probe=probe if probe is not None else tops.select("symbol"))
     asof = carried.where(F.col("is_grid") == 1).select(
@@ -108,8 +118,8 @@ def price_heartbeat(points: DataFrame, tick_us: int = SECOND_US, probe: DataFram
     new price arrives (the timer restarts on every price; not a fixed grid).
     The last price of a stream gets no beats: the batch ends there. The next
     print's time is a skew-aware ``lead`` per symbol."""
-    spaced = running_next(points.select("symbol", "timestamp", "taker_seq", "fill_idx", "price"),
-                          ["symbol"], ["timestamp", "taker_seq", "fill_idx"], {"next_ts": "timestamp"},
+    spaced = running_next(points.select("symbol", "timestamp", _place(points, "taker_seq"), "fill_idx", "price"),
+                          ["symbol"], ["timestamp", "_place", "fill_idx"], {"next_ts": "timestamp"},
                           probe=probe)
     start = F.col("timestamp") + tick_us
     return explode_grid(spaced, start, F.col("next_ts") - 1, tick_us, "beat_ts").select(

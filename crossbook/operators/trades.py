@@ -77,8 +77,9 @@ def pair_legs(legs: DataFrame) -> DataFrame:
 
 
 def price_points(fills: DataFrame) -> DataFrame:
-    """PRJ-8: exactly one price point per execution."""
-    return fills.select("symbol", "taker_seq", "fill_idx", "price", "timestamp")
+    """PRJ-8: exactly one price point per execution (``arrival`` is kept)."""
+    arrival = ["arrival"] if "arrival" in fills.columns else []
+    return fills.select("symbol", "taker_seq", "fill_idx", "price", "timestamp", *arrival)
 
 
 def _order_legs(fills: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from crossbook.operators import reconcile as R
 from crossbook.operators import sweep as S
 from crossbook.operators import prices as P
 from crossbook.operators import trades as T
-from crossbook.plans.match import fold_load, match_orders
+from crossbook.plans.match import fold_load, match_orders, with_arrival
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
 from crossbook.sources import topics as TP
@@ -219,7 +219,7 @@ def q_fold_load(spark, sf_dir):
 @query("price_stream")
 def q_price_stream(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return P.price_stream(match_orders(orders, emit_book=False).fills, probe=orders.select("symbol"))
+    return P.price_stream(match_orders(orders, emit_book=False).prints, probe=orders.select("symbol"))
 
 
 @query("last_price")
@@ -228,6 +228,15 @@ def q_last_price(spark, sf_dir):
     return P.last_price(orders, T.price_points(match_orders(orders, emit_book=False).fills))
 
 
+@query("last_price_lineitem")
+def q_last_price_lineitem(spark, sf_dir):
+    """WIN-4 on every lineitem row as an order: seq repeats there, and an order
+    sees the prints of earlier orders with its own seq."""
+    orders = lineitem_orders(spark, sf_dir)
+    prints = match_orders(orders, tiebreak=LINEITEM_TIEBREAK, emit_book=False).prints
+    return P.last_price(with_arrival(orders, LINEITEM_TIEBREAK), T.price_points(prints)).drop("seq")
+
+
 @query("top_of_book")
 def q_top_of_book(spark, sf_dir):
     return _match(spark, sf_dir, emit_top=True, emit_fills=False, emit_book=False).tops
@@ -237,13 +246,13 @@ def q_top_of_book(spark, sf_dir):
 def q_mid_ticks(spark, sf_dir):
     # tops are read for bounds, changes and the hot-key probe: fold once
     res = _match(spark, sf_dir, emit_top=True, emit_fills=False, emit_book=False).checkpoint()
-    return P.mid_ticks(res.tops, FIXTURE_TICK_US)
+    return P.mid_ticks(res.top_changes, FIXTURE_TICK_US)
 
 
 @query("price_heartbeat")
 def q_price_heartbeat(spark, sf_dir):
     orders = events_orders(spark, sf_dir)
-    return P.price_heartbeat(T.price_points(match_orders(orders, emit_book=False).fills), FIXTURE_TICK_US,
+    return P.price_heartbeat(T.price_points(match_orders(orders, emit_book=False).prints), FIXTURE_TICK_US,
                              probe=orders.select("symbol"))
 
 
@@ -251,7 +260,7 @@ def q_price_heartbeat(spark, sf_dir):
 def q_price_topic(spark, sf_dir):
     # fills and top-of-book rows both come from one fold: checkpoint it once
     res = _match(spark, sf_dir, emit_top=True, emit_book=False).checkpoint()
-    return P.price_topic(T.price_points(res.fills), P.mid_ticks(res.tops, FIXTURE_TICK_US))
+    return P.price_topic(T.price_points(res.fills), P.mid_ticks(res.top_changes, FIXTURE_TICK_US))
 
 
 # ---------------------------------------------------------------- orders
@@ -490,7 +499,7 @@ def q_sink_trades_json(spark, sf_dir):
 def q_sink_prices_json(spark, sf_dir):
     """SNK-2: fill prices and sampled mids published on one price topic."""
     res = _match(spark, sf_dir, emit_top=True, emit_book=False).checkpoint()
-    topic = P.price_topic(T.price_points(res.fills), P.mid_ticks(res.tops, FIXTURE_TICK_US))
+    topic = P.price_topic(T.price_points(res.fills), P.mid_ticks(res.top_changes, FIXTURE_TICK_US))
     return TP.as_topic_rows(topic, "pricepoint", "symbol")
 
 

@@ -31,7 +31,7 @@ RAW_COLUMNS = (
     "kind", "symbol", "seq", "fill_idx", "order_id", "maker_order_id",
     "maker_seq", "side", "price", "quantity", "taker_remaining",
     "maker_remaining", "timestamp", "level_seq", "queue_pos", "best_bid", "best_ask",
-    "final_remaining", "n_fills",
+    "final_remaining", "n_fills", "arrival",
 )
 
 
@@ -78,7 +78,7 @@ class _Side:
 class Book:
     """Limit order book of one symbol."""
 
-    __slots__ = ("bids", "asks", "first_seen", "head")
+    __slots__ = ("bids", "asks", "first_seen", "head", "arrivals")
 
     def __init__(self, level_priority: str = "best_price", residual: str = "tail"):
         if level_priority not in LEVEL_PRIORITIES:
@@ -89,6 +89,7 @@ class Book:
         self.asks = _Side(False)
         self.first_seen = level_priority == "first_seen"
         self.head = residual == "head"
+        self.arrivals = 0  # orders processed so far; counted by the folds
 
     # -- matching -------------------------------------------------------
     def process(self, order_id, price, quantity, seq, timestamp, out, done=None) -> None:
@@ -269,10 +270,10 @@ class Book:
 
 # Fields of each output kind, in tuple order (the rest of RAW_COLUMNS is NULL).
 FILL_FIELDS = ("symbol", "seq", "fill_idx", "order_id", "maker_order_id", "maker_seq", "side",
-               "price", "quantity", "taker_remaining", "maker_remaining", "timestamp")
+               "price", "quantity", "taker_remaining", "maker_remaining", "timestamp", "arrival")
 REST_FIELDS = ("kind", "symbol", "seq", "order_id", "side", "price", "quantity", "timestamp",
                "level_seq", "queue_pos")
-TOP_FIELDS = ("symbol", "seq", "timestamp", "best_bid", "best_ask")
+TOP_FIELDS = ("symbol", "seq", "timestamp", "best_bid", "best_ask", "arrival")
 ORDER_FIELDS = ("symbol", "order_id", "seq", "side", "quantity", "final_remaining", "n_fills")
 
 
@@ -294,14 +295,16 @@ class RawWriter:
         for oid, seq, side, original, remaining, n_fills in done:
             add((symbol, oid, seq, side, original, remaining, n_fills))
 
-    def fills(self, symbol, seq, order_id, timestamp, fills) -> None:
-        """Rows for the tuples ``Book.process`` appended to ``fills``."""
+    def fills(self, symbol, seq, order_id, timestamp, fills, arrival=None) -> None:
+        """Rows for the tuples ``Book.process`` appended to ``fills``;
+        ``arrival`` is the taker's place among all orders of its symbol."""
         add = self.fill_rows.append
         for fill_idx, m_oid, m_seq, qty, level, side, t_rem, m_rem in fills:
-            add((symbol, seq, fill_idx, order_id, m_oid, m_seq, side, level, qty, t_rem, m_rem, timestamp))
+            add((symbol, seq, fill_idx, order_id, m_oid, m_seq, side, level, qty, t_rem, m_rem, timestamp,
+                 arrival))
 
-    def top(self, symbol, seq, timestamp, bid, ask) -> None:
-        self.top_rows.append((symbol, seq, timestamp, bid, ask))
+    def top(self, symbol, seq, timestamp, bid, ask, arrival=None) -> None:
+        self.top_rows.append((symbol, seq, timestamp, bid, ask, arrival))
 
     def rest(self, symbol, side, price, level_seq, queue_pos, order_id, seq,
              remaining, timestamp, kind="rest") -> None:
@@ -348,11 +351,12 @@ def fold_symbol(book: Book, symbol, rows, writer: RawWriter, last_seq=None, late
             continue
         book.process(order_id, price, quantity, seq, timestamp, out, done)
         if out:
-            writer.fills(symbol, seq, order_id, timestamp, out)
+            writer.fills(symbol, seq, order_id, timestamp, out, book.arrivals)
             out.clear()
         if done:
             writer.orders(symbol, done)
             done.clear()
+        book.arrivals += 1
         if seq is not None:
             last_seq = seq if last_seq is None else max(last_seq, seq)
     return last_seq

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
+from crossbook.functions.scan import running_count
 from crossbook.plans.kernel import (RAW_COLUMNS, Book, RawWriter, write_resting_orders,
                                    write_snapshot)
 from crossbook.session import ensure_checkpoint_dir, reliable_checkpoint
@@ -53,6 +54,7 @@ RAW_SCHEMA = StructType([
     StructField("best_ask", DoubleType(), True),
     StructField("final_remaining", LongType(), True),
     StructField("n_fills", IntegerType(), True),
+    StructField("arrival", LongType(), True),
 ])
 assert tuple(f.name for f in RAW_SCHEMA.fields) == RAW_COLUMNS
 
@@ -64,7 +66,7 @@ ARROW_SCHEMA = pa.schema([
     ("taker_remaining", pa.int64()), ("maker_remaining", pa.int64()),
     ("timestamp", pa.int64()), ("level_seq", pa.int32()), ("queue_pos", pa.int32()),
     ("best_bid", pa.float64()), ("best_ask", pa.float64()),
-    ("final_remaining", pa.int64()), ("n_fills", pa.int32()),
+    ("final_remaining", pa.int64()), ("n_fills", pa.int32()), ("arrival", pa.int64()),
 ])
 
 FOLD_INPUT = ("symbol", "seq", "order_id", "price", "quantity", "timestamp")
@@ -152,7 +154,7 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
             book.process(order_id, price, quantity, seq, ts, out, done)
             if out:
                 if emit_fills:
-                    writer.fills(symbol, seq, order_id, ts, out)
+                    writer.fills(symbol, seq, order_id, ts, out, book.arrivals)
                     if len(writer.fill_rows) >= OUTPUT_BATCH_ROWS:
                         yield from _to_batches(writer)
                 out.clear()
@@ -162,8 +164,9 @@ def fold_batches(batches, level_priority="best_price", residual="tail", emit_top
             if emit_top:
                 top = book.top()
                 if top != last_top:
-                    writer.top(symbol, seq, ts, top[0], top[1])
+                    writer.top(symbol, seq, ts, top[0], top[1], book.arrivals)
                     last_top = top
+            book.arrivals += 1
         if writer.n >= OUTPUT_BATCH_ROWS:
             yield from _to_batches(writer)
     if book is not None:
@@ -197,6 +200,17 @@ class MatchResult:
             "timestamp",
         )
 
+    @property
+    def prints(self) -> DataFrame:
+        """``fills`` with ``arrival``, the taker's place among the orders of
+        its symbol (from 0): unlike ``seq`` it never repeats."""
+        return self._with_arrival("fill", self.fills)
+
+    def _with_arrival(self, kind: str, view: DataFrame) -> DataFrame:
+        old = {"taker_seq": "seq", "taker_order_id": "order_id", "taker_side": "side"}
+        return self.raw.where(F.col("kind") == kind).select(
+            *[F.col(old.get(c, c)).alias(c) for c in view.columns], "arrival")
+
     @property
     def book(self) -> DataFrame:
         """Resting orders after the last order of each symbol (STR-4)."""
@@ -212,6 +226,11 @@ class MatchResult:
         return self.raw.where(F.col("kind") == "top").select(
             "symbol", "seq", "timestamp", "best_bid", "best_ask")
 
+    @property
+    def top_changes(self) -> DataFrame:
+        """``tops`` with ``arrival`` (see ``prints``)."""
+        return self._with_arrival("top", self.tops)
+
     @property
     def order_states(self) -> DataFrame:
         """AGG-6 from the fold itself (needs ``emit_orders=True``): one row
@@ -235,6 +254,20 @@ class MatchResult:
         return MatchResult(reliable_checkpoint(self.raw))
 
 
+def total_order(tiebreak=()) -> list[str]:
+    """The order in which a symbol's orders are matched. Every input column
+    breaks ties, so a retried task (or a rerun) sees the same order even when
+    seq repeats: the fold's output is deterministic."""
+    return ["seq", *tiebreak, *[c for c in ("order_id", "price", "quantity", "timestamp") if c not in tiebreak]]
+
+
+def with_arrival(orders: DataFrame, tiebreak=()) -> DataFrame:
+    """``orders`` with ``arrival``, their place (from 0) in the order in which
+    their symbol's book receives them, as in ``MatchResult.prints``."""
+    counted = running_count(orders, ["symbol"], total_order(tiebreak), "arrival", probe=orders.select("symbol"))
+    return counted.withColumn("arrival", F.col("arrival").cast("bigint") - 1)
+
+
 def _prepare(orders: DataFrame, tiebreak, num_partitions, assume_clustered=False) -> DataFrame:
     cols = set(orders.columns)
     symbol = F.col("symbol") if "symbol" in cols else F.lit("X")
@@ -254,10 +287,7 @@ def _prepare(orders: DataFrame, tiebreak, num_partitions, assume_clustered=False
         # tasks, because the fold is CPU-bound per row, not bytes-bound.
         n = num_partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, "symbol")
-    # Every input column breaks ties, so a retried task (or a rerun) sees the
-    # same order even when seq repeats: the fold's output is deterministic.
-    tail = [c for c in ("order_id", "price", "quantity", "timestamp") if c not in extra]
-    return df.sortWithinPartitions("symbol", "seq", *extra, *tail).select(*FOLD_INPUT)
+    return df.sortWithinPartitions("symbol", *total_order(extra)).select(*FOLD_INPUT)
 
 
 def fold_load(orders: DataFrame) -> DataFrame:

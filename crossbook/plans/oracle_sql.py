@@ -418,6 +418,16 @@ SELECT symbol, seq, last_price FROM (
   FROM (SELECT symbol, seq, CAST(NULL AS DOUBLE) AS price, 0 AS kind, 0 AS fill_idx FROM o
         UNION ALL
         SELECT symbol, taker_seq, price, 1, fill_idx FROM fills))
+WHERE kind = 0""",
+        # seq is the place in the total order there, so it never repeats
+        "last_price_lineitem": match_ctes(orders_sql=LINEITEM_ORDERS) + """
+SELECT symbol, order_id, CAST(seq - 1 AS BIGINT) AS arrival, last_price FROM (
+  SELECT symbol, order_id, seq, kind,
+         coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq, kind, fill_idx
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), CAST(50.0 AS DOUBLE)) AS last_price
+  FROM (SELECT symbol, order_id, seq, CAST(NULL AS DOUBLE) AS price, 0 AS kind, 0 AS fill_idx FROM o
+        UNION ALL
+        SELECT symbol, NULL, taker_seq, price, 1, fill_idx FROM fills))
 WHERE kind = 0""",
         "top_of_book": m + "SELECT * FROM tops",
         "mid_ticks": m + _mid_ticks_ctes(hour) + "SELECT * FROM mid_ticks",
