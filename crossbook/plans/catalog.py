@@ -20,6 +20,7 @@ from crossbook.operators import sweep as S
 from crossbook.operators import prices as P
 from crossbook.operators import trades as T
 from crossbook.plans.match import fold_load, match_orders, with_arrival
+from crossbook.plans.reduce import fold_load_reduced, match_orders_reduced
 from crossbook.sources import ingest as I
 from crossbook.sources.contracts import CONTRACTS, validate_records, validate_schema
 from crossbook.sources import topics as TP
@@ -215,6 +216,28 @@ def q_fold_load(spark, sf_dir):
     return fold_load(lineitem_orders(spark, sf_dir))
 
 
+def _reduced(spark, sf_dir):
+    return match_orders_reduced(lineitem_orders(spark, sf_dir), tiebreak=LINEITEM_TIEBREAK, min_orders=2)
+
+
+@query("match_reduced")
+def q_match_reduced(spark, sf_dir):
+    """STR-1 with the orders that can never trade kept out of the fold."""
+    return _reduced(spark, sf_dir).fills.select(
+        "symbol", "taker_order_id", "maker_order_id", "fill_idx", "taker_side", "price", "quantity",
+        "taker_remaining", "maker_remaining")
+
+
+@query("book_reduced")
+def q_book_reduced(spark, sf_dir):
+    return _reduced(spark, sf_dir).book.drop("seq")
+
+
+@query("fold_load_reduced")
+def q_fold_load_reduced(spark, sf_dir):
+    return fold_load_reduced(lineitem_orders(spark, sf_dir), min_orders=2)
+
+
 # ---------------------------------------------------------------- prices
 @query("price_stream")
 def q_price_stream(spark, sf_dir):

@@ -638,6 +638,21 @@ SELECT trade_id, order_id, action, status FROM legs""",
         "match_lineitem": match_ctes(orders_sql=LINEITEM_ORDERS) + """
 SELECT symbol, taker_order_id, maker_order_id, fill_idx, taker_side, price, quantity, taker_remaining,
        maker_remaining FROM fills""",
+        "match_reduced": match_ctes(orders_sql=LINEITEM_ORDERS) + """
+SELECT symbol, taker_order_id, maker_order_id, fill_idx, taker_side, price, quantity, taker_remaining,
+       maker_remaining FROM fills""",
+        "book_reduced": match_ctes(orders_sql=LINEITEM_ORDERS) + """
+SELECT symbol, side, price, level_seq, queue_pos, order_id, remaining, timestamp FROM book""",
+        "fold_load_reduced": f"""
+WITH o AS ({LINEITEM_ORDERS}),
+x AS (SELECT symbol, quantity, price, min(CASE WHEN quantity < 0 THEN price END) OVER w AS lowest_sell,
+             max(CASE WHEN quantity > 0 THEN price END) OVER w AS highest_buy, count(*) OVER w AS n
+      FROM o WINDOW w AS (PARTITION BY symbol)),
+per AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE n < 2 OR quantity = 0
+               OR (quantity > 0 AND price >= lowest_sell) OR (quantity < 0 AND price <= highest_buy)) AS in_fold
+        FROM x GROUP BY symbol)
+SELECT CAST(sum(n) AS BIGINT) AS orders, CAST(sum(in_fold) AS BIGINT) AS in_fold, sum(in_fold) / sum(n) AS fold_share,
+       max(n) AS largest_symbol_orders, max(in_fold) AS largest_symbol_in_fold FROM per""",
         "seed_orders": with_orders() + """
 SELECT symbol, 'SEED-' || symbol || '-BID' AS order_id, 'limit' AS order_type, CAST(49.5 AS DOUBLE) AS price,
        CAST(100 AS BIGINT) AS quantity, min(timestamp) AS timestamp, CAST(-2 AS BIGINT) AS seq
