@@ -2,21 +2,31 @@
 
     orders stream -> groupBy(symbol).transformWithState(MatchProcessor)
 
-State per symbol (RocksDB when configured): the book's levels and their
-FIFO queues in map state (``state_book``), plus the last processed row. A
-micro-batch folds its rows with the same ``Book`` kernel and in the same total
-order as the batch plan (seq, then every other column, NULL first), loading
-only the levels it touches and writing back only those. Rows that are not
-above the last processed row of their symbol in that order (redelivery, or an
-out-of-order producer) are emitted as ``late`` and never matched. With ``mid_tick_ms`` a processing-time timer
-samples the mid price of each symbol's book (STR-5).
-
-Output rows use the batch plan's raw schema: kind = fill | late | mid | order.
+State per symbol (RocksDB when configured): the book's levels with their FIFO
+queues and the index of their prices (``state_book``), plus the last processed
+row. A micro-batch folds its rows with the same ``Book`` kernel and in the same
+total order as the batch plan (seq, then every other column, NULL first),
+loading only the levels it touches and writing back only those. Rows that are
+not above the last processed row of their symbol in that order (redelivery, or
+an out-of-order producer) are emitted as ``late`` and never matched.
+
+A symbol's rows of one micro-batch are sorted in bounded memory: up to RUN_ROWS
+in one go; more become sorted runs, kept in state in pieces of PIECE_ROWS, that
+are merged while the fold reads them.
+
+Mid prices (STR-5) come on a fixed grid, from one of two clocks.
+``event_tick_us``: the orders' own timestamps. A grid time is sampled when a
+later order of its symbol arrives, and with ``watermark_delay`` also by an
+event-time timer once the watermark passes it; the mids are the same on every
+replay. ``mid_tick_ms``: a processing-time timer, for a live display.
+
+Output rows use the batch plan's raw schema: kind = fill | late | mid | top | order.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import heapq
+from itertools import batched, islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -28,6 +38,16 @@ from crossbook.streaming.state_book import StateBook
 
 
 SEED_ROW = "seq long, order_id string, price double, quantity long, timestamp long"
+ROW_FIELDS = ("seq", "order_id", "price", "quantity", "timestamp")
+RUN_KEY = "run long, piece long"
+RUN_VALUE = ("seq array<long>, order_id array<string>, price array<double>, quantity array<long>, "
+             "timestamp array<long>")
+
+#: Rows sorted at a time, rows of a piece of a sorted run in state, and rows
+#: folded before their output leaves.
+RUN_ROWS = 50_000
+PIECE_ROWS = 1_000
+OUTPUT_ROWS = 4_096
 
 
 def arrival_key(row):
@@ -42,21 +62,86 @@ def _rows(writer: RawWriter):
         yield Row(**{name: cols[name][i] for name in RAW_COLUMNS})
 
 
+class SortedRuns:
+    """Rows in arrival order, whatever their number: more than RUN_ROWS wait
+    in state as sorted runs."""
+
+    def __init__(self, state, run_rows: int | None = None, piece_rows: int | None = None):
+        self.state = state
+        self.run_rows, self.piece_rows = run_rows or RUN_ROWS, piece_rows or PIECE_ROWS
+
+    def ordered(self, rows):
+        """``rows`` one by one in arrival order. At most run_rows, or one piece
+        of each run, are held; pieces leave state as they are read."""
+        rows = iter(rows)
+        first = sorted(islice(rows, self.run_rows), key=arrival_key)
+        if len(first) < self.run_rows:
+            return iter(first)
+        sizes = []
+        while first:
+            for n, piece in enumerate(batched(first, self.piece_rows)):
+                self.state.updateValue((len(sizes), n), tuple(list(c) for c in zip(*piece)))
+            sizes.append(n + 1)
+            first = sorted(islice(rows, self.run_rows), key=arrival_key)
+        return heapq.merge(*[self._read(run, n) for run, n in enumerate(sizes)], key=arrival_key)
+
+    def _read(self, run: int, pieces: int):
+        for n in range(pieces):
+            columns = self.state.getValue((run, n))
+            self.state.removeKey((run, n))
+            yield from zip(*columns)
+
+
+class EventTicks:
+    """Mids on a grid of event time, as of each grid time: changes at the same
+    instant come first. Holds the next grid time to sample; none before the
+    first top-of-book change."""
+
+    def __init__(self, tick_us: int, due: int | None):
+        self.tick_us, self.due = tick_us, due
+
+    def upto(self, stop: int, top):
+        """(grid time, bid, ask) of the samples due before ``stop`` that have
+        both sides and a bid above 0."""
+        bid, ask = top
+        if self.due is None or self.due >= stop:
+            return
+        found = bid is not None and ask is not None and bid > 0
+        while self.due < stop:
+            if not found:  # nothing to say until the book changes
+                self.due += -(-(stop - self.due) // self.tick_us) * self.tick_us
+                return
+            yield self.due, bid, ask
+            self.due += self.tick_us
+
+    def start(self, ts: int) -> None:
+        if self.due is None:
+            self.due = -(-ts // self.tick_us) * self.tick_us
+
+
 class MatchProcessor(StatefulProcessor):
     """One book per grouping key (the symbol)."""
 
     def __init__(self, level_priority: str = "best_price", residual: str = "tail",
-                 mid_tick_ms: int | None = None, emit_orders: bool = False, seeded: bool = False):
+                 mid_tick_ms: int | None = None, emit_orders: bool = False, seeded: bool = False,
+                 event_tick_us: int | None = None, timers: bool = False, run_rows: int | None = None,
+                 piece_rows: int | None = None):
         Book(level_priority, residual)  # validate
         self.level_priority = level_priority
         self.residual = residual
         self.mid_tick_ms = mid_tick_ms
         self.emit_orders = emit_orders
         self.seeded = seeded
+        self.event_tick_us = event_tick_us
+        self.timers = timers
+        self.run_rows, self.piece_rows = run_rows, piece_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = StateBook(handle)
+        self.runs = SortedRuns(handle.getMapState("runs", RUN_KEY, RUN_VALUE), self.run_rows, self.piece_rows)
+        if self.event_tick_us:
+            self.due = handle.getValueState("due", "due long")
         if self.seeded:
             self.seeds = handle.getListState("seeds", SEED_ROW)
 
@@ -68,6 +153,21 @@ class MatchProcessor(StatefulProcessor):
     def _save(self, book: Book, last) -> None:
         self.state.save(book, last, self._next_level)
 
+    def _ticks(self) -> EventTicks | None:
+        if not self.event_tick_us:
+            return None
+        return EventTicks(self.event_tick_us, self.due.get()[0] if self.due.exists() else None)
+
+    def _keep(self, ticks: EventTicks | None) -> None:
+        """Write the next grid time, and wake up for it."""
+        if ticks is None or ticks.due is None:
+            return
+        self.due.update((ticks.due,))
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(-(-ticks.due // 1000))
+
     def _arm_timer(self, timer_values) -> None:
         if not self.mid_tick_ms:
             return
@@ -79,21 +179,45 @@ class MatchProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         symbol = key[0]
         book, last = self._load()
-        ordered = sorted(((r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"])
-                          for r in rows), key=arrival_key)
         writer = RawWriter()
+        ticks = self._ticks()
         fold_symbol(book, symbol, self._waiting_seeds(), writer, late_check=False,
                     emit_orders=self.emit_orders)
-        if last is not None:
-            done = bisect_right(ordered, arrival_key(last), key=arrival_key)
-            for seq, order_id, price, quantity, timestamp in ordered[:done]:
+        done = None if last is None else arrival_key(last)
+        ordered = self.runs.ordered(tuple(r[f] for f in ROW_FIELDS) for r in rows)
+        for some in batched(ordered, OUTPUT_ROWS):
+            fresh = some if done is None else [r for r in some if arrival_key(r) > done]
+            for seq, order_id, price, quantity, timestamp in some[:len(some) - len(fresh)]:
                 writer.rest(symbol, BUY if (quantity or 0) > 0 else SELL, price, None, None, order_id,
                             seq, quantity, timestamp, kind="late")
-            ordered = ordered[done:]
-        fold_symbol(book, symbol, ordered, writer, late_check=False, emit_orders=self.emit_orders)
-        self._save(book, ordered[-1] if ordered else last)
-        self._arm_timer(timerValues)
+            if ticks is None:
+                fold_symbol(book, symbol, fresh, writer, late_check=False, emit_orders=self.emit_orders)
+                yield from _rows(writer)
+            else:
+                yield from self._fold_ticking(book, symbol, fresh, writer, ticks)
+            last = fresh[-1] if fresh else last
         yield from _rows(writer)
+        self._save(book, last)
+        self._keep(ticks)
+        self._arm_timer(timerValues)
+
+    def _fold_ticking(self, book: Book, symbol, rows, writer: RawWriter, ticks: EventTicks):
+        """Fold rows one by one, sampling the grid times before each, with a
+        row per change of the top of the book."""
+        top = book.top()
+        for row in rows:
+            ts = row[4]
+            if ts is not None:
+                yield from _mids(symbol, ticks.upto(ts, top))
+            fold_symbol(book, symbol, (row,), writer, late_check=False, emit_orders=self.emit_orders)
+            now = book.top()
+            if now != top:
+                top = now
+                writer.top(symbol, row[0], ts, top[0], top[1], book.arrivals - 1)
+                if ts is not None:
+                    ticks.start(ts)
+            if writer.n >= OUTPUT_ROWS:
+                yield from _rows(writer)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """STR-7: seed orders (e.g. one bid and one ask) wait for the symbol's
@@ -110,31 +234,55 @@ class MatchProcessor(StatefulProcessor):
         return rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """STR-5: sample the mid once per tick while both sides exist."""
-        bid, ask = self.state.top()
+        """STR-5: sample the mid once per tick while both sides exist. Event
+        time: all grid times up to the watermark, which no later order precedes."""
+        top = self.state.top()
+        if self.event_tick_us:
+            ticks = self._ticks()
+            yield from _mids(key[0], ticks.upto(timerValues.getCurrentWatermarkInMs() * 1000 + 1, top))
+            self._keep(ticks)
+            return
         fired = expiredTimerInfo.getExpiryTimeInMs()
         if self.mid_tick_ms:
             self.handle.registerTimer(fired + self.mid_tick_ms)
-        if bid is not None and ask is not None and bid > 0:
-            writer = RawWriter()
-            writer.top(key[0], None, fired * 1000, bid, ask)
-            for row in _rows(writer):
-                yield Row(**(row.asDict() | {"kind": "mid", "price": (bid + ask) / 2}))
+        if top[0] is not None and top[1] is not None and top[0] > 0:
+            yield from _mids(key[0], [(fired * 1000, *top)])
 
     def close(self) -> None:
         pass
 
 
+def _mids(symbol, samples):
+    """``mid`` rows of (time, bid, ask) samples."""
+    empty = dict.fromkeys(RAW_COLUMNS)
+    for ts, bid, ask in samples:
+        yield Row(**(empty | {"kind": "mid", "symbol": symbol, "timestamp": ts, "price": (bid + ask) / 2,
+                              "best_bid": bid, "best_ask": ask}))
+
+
 def match_stream(orders: DataFrame, level_priority: str = "best_price", residual: str = "tail",
                  mid_tick_ms: int | None = None, seeds: DataFrame | None = None,
-                 emit_orders: bool = False) -> DataFrame:
+                 emit_orders: bool = False, event_tick_us: int | None = None,
+                 watermark_delay: str | None = None, run_rows: int | None = None,
+                 piece_rows: int | None = None) -> DataFrame:
     """Streaming form of ``match_orders``: a streaming DataFrame of raw rows
     (kind = fill | late | mid, and with ``emit_orders`` an ``order`` row when
     an order completes: filled, a no-op, or deleted with its level).
     ``orders`` needs seq, order_id, price, quantity and, as in the batch form,
     may have symbol (default 'X') and timestamp; ``seeds`` (batch DataFrame, same
-    columns) becomes the initial state, folded with each symbol's first order."""
+    columns) becomes the initial state, folded with each symbol's first order.
+
+    ``event_tick_us`` adds ``mid`` rows on a grid of the orders' timestamps
+    (epoch microseconds, which must not fall within a symbol) and ``top`` rows.
+    With ``watermark_delay`` (such as "1 hour") event-time timers sample grid
+    times that no later order of the symbol has passed yet. Spark then drops
+    orders that are later than that behind the newest timestamp, or without a
+    timestamp, before they get here; without it nothing is dropped.
+    ``run_rows``, ``piece_rows``: see SortedRuns."""
+    if mid_tick_ms and event_tick_us:
+        raise ValueError("mids come from one clock: mid_tick_ms or event_tick_us")
     ship_package()
+    timers = bool(event_tick_us and watermark_delay)
 
     def typed(df):
         symbol = F.col("symbol") if "symbol" in df.columns else F.lit("X")
@@ -144,12 +292,17 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
             F.col("order_id").cast("string").alias("order_id"), F.col("price").cast("double").alias("price"),
             F.col("quantity").cast("bigint").alias("quantity"), ts.cast("bigint").alias("timestamp"))
 
+    rows = typed(orders)
+    if timers:
+        rows = rows.withColumn("event_time", F.timestamp_micros("timestamp")).withWatermark(
+            "event_time", watermark_delay)
     initial = None
     if seeds is not None:
         initial = typed(seeds).groupBy("symbol")
-    return typed(orders).groupBy("symbol").transformWithState(
-        MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders, seeded=seeds is not None),
-        RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "None",
+    return rows.groupBy("symbol").transformWithState(
+        MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders, seeds is not None, event_tick_us, timers,
+                       run_rows, piece_rows),
+        RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "EventTime" if timers else "None",
         initialState=initial)
 
 
@@ -157,3 +310,9 @@ def stream_fills(raw: DataFrame) -> DataFrame:
     """Fills of a raw output (same columns as ``MatchResult.fills``)."""
     from crossbook.plans.match import MatchResult
     return MatchResult(raw).fills
+
+
+def stream_mids(raw: DataFrame) -> DataFrame:
+    """Sampled mids of a raw output (the columns of ``operators.prices.mid_ticks``)."""
+    return raw.where(F.col("kind") == "mid").select(
+        "symbol", F.col("timestamp").alias("tick_ts"), "best_bid", "best_ask", F.col("price").alias("mid_price"))

@@ -157,32 +157,48 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
             run_to_parquet(bad, f"{folder}/quarantine", available_now=available_now))
 
 
-def book_from_state(spark: SparkSession, checkpoint: str, level_priority: str = "best_price") -> DataFrame:
+def book_from_state(spark: SparkSession, checkpoint: str, level_priority: str = "best_price",
+                    batch_id: int | None = None) -> DataFrame:
     """STR-4 (stream): the resting orders after the last committed micro-batch
-    of a matching stream, read from its state store by its checkpoint folder;
+    of a matching stream, or after micro-batch ``batch_id`` (as far back as the
+    state store keeps versions, spark.sql.streaming.minBatchesToRetain), read
+    from its state store by its checkpoint folder;
     the columns and rows of ``MatchResult.book``. The stream itself does no
     extra work for it."""
-    def state(name: str) -> DataFrame:
-        return (spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-                .select(F.col("key.symbol").alias("symbol"), F.col("user_map_key.*"), F.col("user_map_value.*")))
-
-    order = F.col("n") if level_priority == "first_seen" else F.when(
+    reader = spark.read.format("statestore").option("stateVarName", "queues")
+    if batch_id is not None:
+        reader = reader.option("batchId", str(batch_id))
+    levels = reader.load(checkpoint).select(F.col("key.symbol").alias("symbol"), F.col("user_map_key.*"),
+                                            F.col("user_map_value.*"))
+    order = F.col("level_seq") if level_priority == "first_seen" else F.when(
         F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
     by_level = Window.partitionBy("symbol", "side").orderBy(order)
-    levels = state("levels").withColumnRenamed("level_seq", "n").withColumn(
-        "level_seq", F.row_number().over(by_level) - 1)
+    levels = levels.withColumn("level_seq", F.row_number().over(by_level) - 1)
     queue = F.arrays_zip("ids", "remaining", "seqs", "ts")
-    queued = state("queues").select("symbol", "side", "price", F.posexplode_outer(queue).alias("queue_pos", "e"))
-    same = (levels["symbol"].eqNullSafe(queued["symbol"]) & (levels["side"] == queued["side"])
-            & levels["price"].eqNullSafe(queued["price"]))
-    return levels.join(queued, same).select(
-        levels["symbol"], levels["side"], levels["price"], F.col("level_seq").cast("int").alias("level_seq"),
+    return levels.select("symbol", "side", "price", "level_seq", F.posexplode_outer(queue).alias("queue_pos", "e")).select(
+        "symbol", "side", "price", F.col("level_seq").cast("int").alias("level_seq"),
         F.col("queue_pos").cast("int").alias("queue_pos"), F.col("e.ids").alias("order_id"),
         F.col("e.seqs").alias("seq"),
         # an empty level of first_seen is one row without an order
         F.coalesce("e.remaining", F.lit(0)).alias("remaining"), F.col("e.ts").alias("timestamp"))
 
 
+def book_changes(spark: SparkSession, checkpoint: str, start_batch: int, end_batch: int | None = None) -> DataFrame:
+    """The price levels that each committed micro-batch from ``start_batch``
+    to ``end_batch`` (the last one) wrote or removed, from the state store's
+    change feed: (batch_id, symbol, side, price, change, orders, volume)."""
+    reader = (spark.read.format("statestore").option("stateVarName", "queues")
+              .option("readChangeFeed", "true").option("changeStartBatchId", str(start_batch)))
+    if end_batch is not None:
+        reader = reader.option("changeEndBatchId", str(end_batch))
+    left = F.col("user_map_value.remaining")
+    return reader.load(checkpoint).select(
+        "batch_id", F.col("key.symbol").alias("symbol"), F.col("user_map_key.side").alias("side"),
+        F.col("user_map_key.price").alias("price"), F.col("change_type").alias("change"),
+        F.when(left.isNotNull(), F.size(left)).cast("bigint").alias("orders"),
+        F.aggregate(left, F.lit(0).cast("bigint"), lambda a, q: a + q).alias("volume"))
+
+
 class HeartbeatProcessor(StatefulProcessor):
     """STR-6 (stream): repeat the last price after every ``tick_ms`` without
     a new price. The timer is deleted and re-armed on every price."""
