@@ -125,6 +125,51 @@ def level_queues(book: DataFrame) -> DataFrame:
     )
 
 
+#: Orders of one page of a level's queue.
+PAGE_ORDERS = 64
+
+
+def level_pages(book: DataFrame, size: int = PAGE_ORDERS) -> DataFrame:
+    """AGG-3 as arrays: each level's FIFO queue cut into pages of ``size``
+    orders, (symbol, side, price, page, first_pos, entries) with entries
+    (order_id, remaining) in queue order. A hot level is many pages, spread
+    like any others; no array grows with its level."""
+    live = book.where(F.col("order_id").isNotNull())
+    entry = F.struct("queue_pos", "order_id", "remaining")
+    pages = live.groupBy("symbol", "side", "price", F.floor(F.col("queue_pos") / size).cast("int").alias("page")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_entries"))
+    return pages.select(
+        "symbol", "side", "price", "page", (F.col("page") * size).alias("first_pos"),
+        F.transform("_entries", lambda e: F.struct(e["order_id"].alias("order_id"), e["remaining"].alias("remaining"))
+                    ).alias("entries"))
+
+
+def page_cut(pages: DataFrame, index: int) -> DataFrame:
+    """SRT-4 on pages: the order at ``index`` (0-based) leaves its level's
+    queue. Only its page's array changes, later pages start one place sooner;
+    a queue that is not that long stays as it is, an emptied page goes."""
+    at = F.lit(index) - F.col("first_pos")
+    here = (at >= 0) & (at < F.size("entries"))
+    rest = F.concat(F.slice("entries", 1, at), F.slice("entries", at + 2, F.greatest(F.size("entries") - at - 1, F.lit(0))))
+    cut = pages.select("symbol", "side", "price", "page",
+                       F.when(F.col("first_pos") > index, F.col("first_pos") - 1).otherwise(F.col("first_pos")).alias("first_pos"),
+                       F.when(here, rest).otherwise(F.col("entries")).alias("entries"))
+    return cut.where(F.size("entries") > 0)
+
+
+def page_element(pages: DataFrame, index: int) -> DataFrame:
+    """The order that ``page_cut`` takes out of each level that is that long."""
+    found = F.try_element_at("entries", F.lit(index) - F.col("first_pos") + 1)
+    return pages.where((F.col("first_pos") <= index) & (F.lit(index) - F.col("first_pos") < F.size("entries"))).select(
+        "symbol", "side", "price", found["order_id"].alias("order_id"), found["remaining"].alias("remaining"))
+
+
+def page_orders(pages: DataFrame) -> DataFrame:
+    """The rows of the book's queues again: (symbol, side, price, order_id, remaining, queue_pos)."""
+    return pages.select("symbol", "side", "price", "first_pos", F.posexplode("entries").alias("p", "e")).select(
+        "symbol", "side", "price", "e.order_id", "e.remaining", (F.col("first_pos") + F.col("p")).cast("int").alias("queue_pos"))
+
+
 def queue_position(book: DataFrame) -> DataFrame:
     """WIN-1: FIFO position within a level, 1-based (the fold numbers queues)."""
     live = book.where(F.col("order_id").isNotNull()).select(

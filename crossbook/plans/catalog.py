@@ -211,6 +211,27 @@ def q_queue_removed(spark, sf_dir):
     return B.queue_removed(_book(spark, sf_dir), index=1)
 
 
+# pages of two orders: the fixture's levels hold a few orders each
+FIXTURE_PAGE = 2
+
+
+def _entries_text(pages):
+    return pages.withColumn("entries", F.array_join(F.transform(
+        "entries", lambda e: F.concat_ws(":", e["order_id"], e["remaining"].cast("string"))), ","))
+
+
+@query("level_pages")
+def q_level_pages(spark, sf_dir):
+    """AGG-3: the queues as arrays, a page at a time."""
+    return _entries_text(B.level_pages(_book(spark, sf_dir), FIXTURE_PAGE))
+
+
+@query("level_pages_cut")
+def q_level_pages_cut(spark, sf_dir):
+    """SRT-4: the third order leaves every queue, at the edge of its second page."""
+    return _entries_text(B.page_cut(B.level_pages(_book(spark, sf_dir), FIXTURE_PAGE), 2))
+
+
 @query("fold_load")
 def q_fold_load(spark, sf_dir):
     return fold_load(lineitem_orders(spark, sf_dir))
@@ -586,13 +607,115 @@ def q_book_from_stream(spark, sf_dir):
     return book_from_state(spark, f"{folder}/checkpoint")
 
 
-def _run_match_stream(spark, sf_dir, name, seeds=False):
+@query("mid_ticks_stream")
+def q_mid_ticks_stream(spark, sf_dir):
+    """STR-5 on a stream: mids on event time, by rows and by event-time timers;
+    like ``mid_ticks`` up to each symbol's last top-of-book change."""
+    from crossbook.streaming.matcher import stream_mids
+    raw, _ = _run_match_stream(spark, sf_dir, "mids", event_tick_us=FIXTURE_TICK_US, watermark_delay="0 seconds")
+    ends = raw.where("kind = 'top'").groupBy("symbol").agg(F.max("timestamp").alias("t1"))
+    return stream_mids(raw).join(ends, "symbol").where(F.col("tick_ts") <= F.col("t1")).drop("t1")
+
+
+@query("price_heartbeat_stream")
+def q_price_heartbeat_stream(spark, sf_dir):
+    """STR-6 on a stream: trades and price points in two topics, read as one
+    stream (SRC-2); beats on event time, like ``price_heartbeat`` up to each
+    symbol's last price."""
+    from crossbook.streaming.pipelines import drain, event_heartbeat_stream, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, "heartbeats")
+    prints = match_orders(events_orders(spark, sf_dir), emit_book=False).checkpoint().prints
+    rows = TP.price_input_messages(P.price_stream(prints))
+    rows.write.partitionBy("topic").parquet(f"{folder}/topics")
+    contracts = {TP.TRADES_TOPIC: "trade", TP.PRICES_TOPIC: "pricepoint"}
+    messages = spark.readStream.schema(rows.schema).parquet(f"{folder}/topics")
+    prices = TP.parse_by_topic(messages, contracts).where(~F.col("malformed")).select(
+        F.col("key").alias("symbol"), F.coalesce("trade.price", "pricepoint.price").alias("price"),
+        F.col("timestamp").alias("ts"), F.col("offset").alias("place"))
+    drain(event_heartbeat_stream(prices, FIXTURE_TICK_US, "0 seconds"), folder,
+          state_partitions=spark.sparkContext.defaultParallelism)
+    ends = prints.groupBy("symbol").agg(F.max("timestamp").alias("t1"))
+    return spark.read.parquet(f"{folder}/out").join(ends, "symbol").where(F.col("beat_ts") < F.col("t1")).drop("t1")
+
+
+def _run_service(spark, sf_dir, name, **kw):
+    """The order service over the whole raw order topic; its folder."""
+    from crossbook.streaming.pipelines import run_order_topic, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, name)
+    topic = order_topic(spark, sf_dir)
+    topic.write.parquet(f"{folder}/orders")
+    messages = spark.readStream.schema(topic.schema).parquet(f"{folder}/orders")
+    queries = run_order_topic(messages, folder, state_partitions=spark.sparkContext.defaultParallelism, **kw)
+    for q in queries:
+        q.awaitTermination()
+    return folder, queries
+
+
+@query("service_price_topic")
+def q_service_price_topic(spark, sf_dir):
+    """SNK-2 by the service: fill prices and sampled mids on its price topic,
+    mids up to the newest order's time."""
+    folder, _ = _run_service(spark, sf_dir, "price-topic", event_tick_us=FIXTURE_TICK_US, watermark_delay="0 seconds")
+    published = spark.read.schema("key string, value string, batch_id long, topic string").parquet(f"{folder}/topics")
+    return published.where(F.col("topic") == TP.PRICES_TOPIC).select("key", "value")
+
+
+@query("service_counts")
+def q_service_counts(spark, sf_dir):
+    """OBS-1: what the service consumed, set aside and produced, from the
+    observations of its progress."""
+    from crossbook.streaming.pipelines import record_counts, stream_folder, total_counts
+    counts = stream_folder(spark, "counts")
+    recorder = record_counts(spark, counts)
+    try:
+        _, (matcher, _) = _run_service(spark, sf_dir, "counted")
+        recorder.wait(matcher)
+    finally:
+        spark.streams.removeListener(recorder)
+    return total_counts(spark, counts)
+
+
+@query("unique_trades_stream")
+def q_unique_trades_stream(spark, sf_dir):
+    """SNK-1, STR-8: a trade topic that holds every message twice, consumed once."""
+    from crossbook.streaming.pipelines import drain, stream_folder, unique_trades, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, "unique-trades")
+    legs = T.trade_legs(_fills(spark, sf_dir))
+    topic = legs.select(F.explode(F.array_repeat(I.to_json_value(legs, "trade"), 2)).alias("value"))
+    topic.write.parquet(f"{folder}/topic")
+    messages = spark.readStream.schema(topic.schema).parquet(f"{folder}/topic")
+    drain(unique_trades(messages), folder, state_partitions=spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{folder}/out").drop("value")
+
+
+@query("book_after_batch")
+def q_book_after_batch(spark, sf_dir):
+    """STR-4 after an earlier micro-batch: the log in three files, one per
+    batch; the book after the second, out of the state's versions."""
+    from crossbook.streaming.matcher import match_stream
+    from crossbook.streaming.pipelines import book_from_state, drain, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, "book-after")
+    orders = events_orders(spark, sf_dir)
+    span = orders.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    for n in range(3):
+        third = F.floor((F.col("seq") - span.a) * 3 / (span.b - span.a + 1)) == n
+        orders.where(third).coalesce(1).write.parquet(f"{folder}/log/part={n}")
+    stream = (spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/log"))
+    drain(match_stream(stream), folder, state_partitions=spark.sparkContext.defaultParallelism)
+    return book_from_state(spark, f"{folder}/checkpoint", batch_id=1)
+
+
+def _run_match_stream(spark, sf_dir, name, seeds=False, **kw):
     from crossbook.sources.fixtures import events_to_orders
     from crossbook.streaming.matcher import match_stream
     from crossbook.streaming.pipelines import drain, stream_folder, use_rocksdb
     use_rocksdb(spark)
     seed_df = _seeds(events_orders(spark, sf_dir)) if seeds else None
-    raw = match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seed_df)
+    raw = match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seed_df, **kw)
     folder = stream_folder(spark, name)
     # state partitions: one per core of the cluster, fixed at the first run
     drain(raw, folder, state_partitions=spark.sparkContext.defaultParallelism)

@@ -266,9 +266,9 @@ legs AS (
 """
 
 
-def _mid_ticks_ctes(tick_us: int) -> str:
+def _mid_ticks_ctes(tick_us: int, until: str = "max(timestamp)") -> str:
     return f""",
-bounds AS (SELECT symbol, min(timestamp) AS t0, max(timestamp) AS t1 FROM tops GROUP BY symbol),
+bounds AS (SELECT symbol, min(timestamp) AS t0, {until} AS t1 FROM tops GROUP BY symbol),
 grid AS (
   SELECT symbol, unnest(generate_series(g0, g1, {tick_us})) AS timestamp
   FROM (SELECT symbol, CAST(ceil(t0 / {tick_us}) AS BIGINT) * {tick_us} AS g0,
@@ -419,6 +419,42 @@ SELECT symbol, seq, last_price FROM (
         UNION ALL
         SELECT symbol, taker_seq, price, 1, fill_idx FROM fills))
 WHERE kind = 0""",
+        "mid_ticks_stream": m + _mid_ticks_ctes(hour) + "SELECT * FROM mid_ticks",
+        "price_heartbeat_stream": m + f"""
+SELECT symbol, price, timestamp AS source_ts,
+       unnest(CASE WHEN next_ts > timestamp + {hour}
+                   THEN generate_series(timestamp + {hour}, next_ts - 1, {hour})
+                   ELSE CAST([] AS BIGINT[]) END) AS beat_ts
+FROM (SELECT symbol, price, timestamp,
+             lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp, taker_seq, fill_idx) AS next_ts
+      FROM fills)
+WHERE next_ts IS NOT NULL""",
+        "service_price_topic": m + _mid_ticks_ctes(hour, "(SELECT max(timestamp) // 1000 * 1000 FROM o)") + """
+SELECT symbol AS key, CAST(to_json(struct_pack(price := price)) AS VARCHAR) AS value
+FROM (SELECT symbol, price FROM fills UNION ALL SELECT symbol, mid_price AS price FROM mid_ticks)""",
+        "service_counts": m + f""",
+msgs AS (SELECT value, CASE WHEN json_valid(value) THEN value END AS j FROM ({ORDER_MESSAGES})),
+flags AS (SELECT coalesce({_json_is_object()}, false) AS good FROM msgs)
+SELECT 'ingest' AS name, 'messages' AS metric, count(*) AS value FROM flags
+UNION ALL SELECT 'ingest', 'consumed', count(*) FROM flags WHERE good
+UNION ALL SELECT 'ingest', 'malformed', count(*) FROM flags WHERE NOT good
+UNION ALL SELECT 'produced', 'trades', 2 * count(*) FROM fills
+UNION ALL SELECT 'produced', 'prices', count(*) FROM fills""",
+        "unique_trades_stream": m + _LEGS + """
+SELECT trade_id, order_id, quantity, price, action, status, timestamp FROM legs""",
+        "book_after_batch": match_ctes(orders_sql=f"""
+  SELECT symbol, order_id, order_type, price, quantity, timestamp, seq
+  FROM (SELECT *, min(seq) OVER () AS a, max(seq) OVER () AS b FROM ({EVENTS_ORDERS}))
+  WHERE floor((seq - a) * 3 / (b - a + 1)) < 2""") + "SELECT * FROM book",
+        "level_pages": m + """
+SELECT symbol, side, price, CAST(queue_pos // 2 AS INTEGER) AS page, CAST(queue_pos // 2 * 2 AS INTEGER) AS first_pos,
+       string_agg(order_id || ':' || remaining, ',' ORDER BY queue_pos) AS entries
+FROM book WHERE order_id IS NOT NULL GROUP BY symbol, side, price, queue_pos // 2""",
+        "level_pages_cut": m + """
+SELECT symbol, side, price, CAST(queue_pos // 2 AS INTEGER) AS page,
+       CAST(queue_pos // 2 * 2 - CASE WHEN queue_pos // 2 > 1 THEN 1 ELSE 0 END AS INTEGER) AS first_pos,
+       string_agg(order_id || ':' || remaining, ',' ORDER BY queue_pos) AS entries
+FROM book WHERE order_id IS NOT NULL AND queue_pos <> 2 GROUP BY symbol, side, price, queue_pos // 2""",
         # seq is the place in the total order there, so it never repeats
         "last_price_lineitem": match_ctes(orders_sql=LINEITEM_ORDERS) + """
 SELECT symbol, order_id, CAST(seq - 1 AS BIGINT) AS arrival, last_price FROM (

@@ -106,8 +106,10 @@ def parse_by_topic(messages: DataFrame, contracts: dict[str, str]) -> DataFrame:
     """SRC-2: messages of several topics split on ``topic`` and each parsed by
     its topic's contract, in one pass: (topic, key, malformed, and a struct per
     contract that is null for messages of other topics). A message of a topic
-    that ``contracts`` does not name is left out."""
-    out = messages.where(F.col("topic").isin(*contracts)).select("topic", "key", "value")
+    that ``contracts`` does not name is left out. ``timestamp`` and ``offset``
+    of a message stay where it has them."""
+    place = [c for c in ("timestamp", "offset") if c in messages.columns]
+    out = messages.where(F.col("topic").isin(*contracts)).select("topic", "key", "value", *place)
     flags = []
     for topic, contract in contracts.items():
         own = F.col("topic") == topic
@@ -119,7 +121,7 @@ def parse_by_topic(messages: DataFrame, contracts: dict[str, str]) -> DataFrame:
                             F.col("malformed").alias(f"_bad_{contract}"))
         flags.append(own & F.col(f"_bad_{contract}"))
     bad = reduce(lambda a, b: a | b, flags)
-    return out.select("topic", "key", bad.alias("malformed"), *contracts.values())
+    return out.select("topic", "key", *place, bad.alias("malformed"), *contracts.values())
 
 
 def topic_dump(records: DataFrame, offset: int | dict[int, int] = 0) -> DataFrame:
@@ -148,6 +150,22 @@ def fill_messages(fills: DataFrame) -> DataFrame:
     return legs.select(F.explode(messages).alias("m")).select("m.*")
 
 
+def mid_messages(mids: DataFrame) -> DataFrame:
+    """SNK-2: sampled mids (symbol, mid_price) as rows of the price topic."""
+    points = mids.select("symbol", F.col("mid_price").alias("price"))
+    return points.select(F.lit(PRICES_TOPIC).alias("topic"), F.col("symbol").alias("key"),
+                         to_json_value(points, "pricepoint").alias("value"))
+
+
+def price_input_messages(stream: DataFrame) -> DataFrame:
+    """The messages of a merged price stream (``operators.prices.price_stream``)
+    as they lie in the two topics: (topic, key, value, timestamp, offset), the
+    offset being the place in the symbol's stream."""
+    topic = F.when(F.col("source") == "trade", TRADES_TOPIC).otherwise(PRICES_TOPIC)
+    return stream.select(topic.alias("topic"), F.col("symbol").alias("key"),
+                         F.to_json(F.struct("price")).alias("value"), "timestamp", F.col("ord").cast("bigint").alias("offset"))
+
+
 def as_topic_rows(df: DataFrame, contract: str, key_col: str | None = None) -> DataFrame:
     """SNK-*: records -> (key, value) rows ready for any topic sink."""
     key = F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")

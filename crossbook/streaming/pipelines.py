@@ -8,18 +8,20 @@ resumes from committed state instead of replaying into an empty book.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crossbook.functions.columns import nonzero_orders
 from crossbook.plans.match import RAW_SCHEMA, MatchResult, ship_package
 from crossbook.session import ensure_checkpoint_dir
 from crossbook.sources.ingest import parse_records
-from crossbook.sources.topics import fill_messages, write_topic_files
-from crossbook.streaming.matcher import match_stream
+from crossbook.sources.topics import fill_messages, mid_messages, write_topic_files
+from crossbook.streaming.matcher import match_stream, stream_mids
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -102,6 +104,65 @@ def observe_ingest(parsed: DataFrame, name: str = "ingest") -> DataFrame:
         F.sum(F.col("malformed").cast("long")).alias("malformed"))
 
 
+COUNT_SCHEMA = "run_id string, batch_id long, name string, metric string, value long"
+
+
+class CountRecorder(StreamingQueryListener):
+    """OBS-1: appends every observed metric of a session's streams to a table,
+    one row per query run, micro-batch and metric. Micro-batches that a restart
+    repeats have another run_id; keep the last one of each batch_id."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.done: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = [(str(p.runId), int(p.batchId), name, metric, int(value or 0))
+                for name, row in p.observedMetrics.items() for metric, value in row.asDict().items()]
+        if rows:
+            self.spark.createDataFrame(rows, COUNT_SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def onQueryTerminated(self, event) -> None:
+        self.done.add(str(event.runId))
+
+    def wait(self, query, seconds: float = 60.0) -> None:
+        """Until the last progress of a finished query has been recorded."""
+        until = time.monotonic() + seconds
+        while str(query.runId) not in self.done:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no end of query {query.runId} was reported")
+            time.sleep(0.05)
+
+
+def record_counts(spark: SparkSession, folder: str) -> CountRecorder:
+    """Start recording; ``spark.streams.removeListener`` ends it."""
+    recorder = CountRecorder(spark, folder)
+    spark.streams.addListener(recorder)
+    return recorder
+
+
+def total_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, metric, value) over all recorded micro-batches, each counted
+    once, as its last run reported it."""
+    rows = spark.read.schema(COUNT_SCHEMA).parquet(folder).withColumn("file", F.col("_metadata.file_modification_time"))
+    last = rows.groupBy("batch_id", "name", "metric").agg(F.max_by("value", "file").alias("value"))
+    return last.groupBy("name", "metric").agg(F.sum("value").alias("value"))
+
+
+def unique_trades(messages: DataFrame, delay: str = "1 hour", time_col: str = "timestamp") -> DataFrame:
+    """SNK-1, STR-8 (consumer): trade messages (value = JSON) that a topic
+    delivers at least once, each leg once. A leg's key is its trade id and
+    action; a second delivery within ``delay`` of event time is recognised, and
+    state holds no key for longer. Malformed messages are left out."""
+    legs = parse_records(messages, "trade").where(~F.col("malformed")).drop("malformed")
+    timed = legs.withColumn("event_time", F.timestamp_micros(time_col)).withWatermark("event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(["trade_id", "action"]).drop("event_time")
+
+
 def microbatch_parse(messages: DataFrame, folder: str, contract: str = "order"):
     """SRC-3: bounded micro-batches (the source's maxFilesPerTrigger /
     maxOffsetsPerTrigger bounds each), parsed with the contract and written
@@ -120,7 +181,8 @@ def microbatch_parse(messages: DataFrame, folder: str, contract: str = "order"):
 
 def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "best_price",
                     residual: str = "tail", seeds: DataFrame | None = None, publish=None,
-                    available_now: bool = True, state_partitions: int | None = None):
+                    available_now: bool = True, state_partitions: int | None = None,
+                    event_tick_us: int | None = None, watermark_delay: str | None = None):
     """The order service from end to end: ``messages`` (key = symbol, seq,
     value = JSON order) are parsed and matched, and each execution's trade and
     price messages are published; returns the two started queries.
@@ -130,12 +192,22 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
     ``publish(messages, batch_id)`` gets its (topic, key, value) rows; by
     default they overwrite ``folder/topics/batch_id=N/topic=...``, so a replayed
     batch replaces its rows. A null key is the symbol 'X', as without a symbol.
-    Malformed messages go to ``folder/quarantine/out`` in a query of their own."""
+    Malformed messages go to ``folder/quarantine/out`` in a query of their own.
+
+    ``event_tick_us`` (with ``watermark_delay``, see ``match_stream``) publishes
+    sampled mids beside the fill prices, on one price topic. Each batch's
+    progress carries two observations: ``ingest`` (messages, consumed,
+    malformed) and ``produced`` (trades, prices); ``record_counts`` keeps them."""
     parsed = parse_records(messages.select(F.coalesce(F.col("key").cast("string"), F.lit("X")).alias("symbol"),
                                            "seq", "value"), "order")
-    good = nonzero_orders(parsed.where(~F.col("malformed")))
+    counted = observe_ingest(parsed)
+    good = nonzero_orders(counted.where(~F.col("malformed")))
     # resting or not, a zero order changes nothing: it is left out before the shuffle
-    raw = match_stream(good, level_priority, residual, seeds=seeds)
+    raw = match_stream(good, level_priority, residual, seeds=seeds, event_tick_us=event_tick_us,
+                       watermark_delay=watermark_delay)
+    fills = F.sum((F.col("kind") == "fill").cast("long"))
+    raw = raw.observe("produced", F.coalesce(2 * fills, F.lit(0)).alias("trades"), F.coalesce(
+        fills + F.sum((F.col("kind") == "mid").cast("long")), F.lit(0)).alias("prices"))
 
     def to_files(rows: DataFrame, batch_id: int) -> None:
         write_topic_files(rows, f"{folder}/topics/batch_id={batch_id}", mode="overwrite")
@@ -146,7 +218,8 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
         own = f"{folder}/raw/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(own)
         written = batch.sparkSession.read.schema(RAW_SCHEMA).parquet(own)
-        send(fill_messages(MatchResult(written).fills), batch_id)
+        out = fill_messages(MatchResult(written).fills)
+        send(out.unionByName(mid_messages(stream_mids(written))) if event_tick_us else out, batch_id)
 
     matcher = (raw.writeStream.foreachBatch(handle).outputMode("append")
                .option("checkpointLocation", f"{folder}/checkpoint"))
@@ -238,6 +311,66 @@ class HeartbeatProcessor(StatefulProcessor):
         pass
 
 
+class EventHeartbeat(StatefulProcessor):
+    """STR-6 (stream, event time): after each price, repeat it every
+    ``tick_us`` while no new price arrives. Beats between two prices come out
+    when the second arrives; with ``timers`` those after the last price when
+    the watermark passes them. Every price deletes the timer and sets it anew."""
+
+    def __init__(self, tick_us: int, timers: bool):
+        self.tick_us, self.timers = tick_us, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "price double, ts long, due long")
+
+    def _beats(self, symbol, price, ts, due, stop):
+        """Beats due before ``stop``."""
+        return [Row(symbol=symbol, price=price, source_ts=ts, beat_ts=b) for b in range(due, stop, self.tick_us)]
+
+    def _keep(self, price, ts, due) -> None:
+        self.last.update((price, ts, due))
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(-(-due // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = sorted((r["ts"], r["place"], r["price"]) for r in rows if r["ts"] is not None and r["price"] is not None)
+        last = self.last.get() if self.last.exists() else None
+        for ts, _, price in new:
+            if last is not None:
+                yield from self._beats(key[0], *last, ts)
+            last = (price, ts, ts + self.tick_us)
+        if new:
+            self._keep(*last)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        price, ts, due = self.last.get()
+        beats = self._beats(key[0], price, ts, due, timerValues.getCurrentWatermarkInMs() * 1000 + 1)
+        yield from beats
+        self._keep(price, ts, due + len(beats) * self.tick_us)
+
+    def close(self) -> None:
+        pass
+
+
+def event_heartbeat_stream(prices: DataFrame, tick_us: int = 1_000_000, watermark_delay: str | None = None) -> DataFrame:
+    """``prices`` (symbol, price, ts in epoch microseconds, place: order among
+    rows of one ts, not null) -> (symbol, price, source_ts, beat_ts), the beats of
+    ``operators.prices.price_heartbeat`` and, with ``watermark_delay``, those
+    after the last price up to the watermark. Prices of a symbol come in ts
+    order from one micro-batch to the next; rows without ts or price are left out."""
+    ship_package()
+    rows = prices.select("symbol", F.col("price").cast("double").alias("price"), F.col("ts").cast("long").alias("ts"),
+                         F.col("place").cast("long").alias("place"))
+    if watermark_delay:
+        rows = rows.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", watermark_delay)
+    return rows.groupBy("symbol").transformWithState(
+        EventHeartbeat(tick_us, bool(watermark_delay)), "symbol string, price double, source_ts long, beat_ts long",
+        "Append", "EventTime" if watermark_delay else "None")
+
+
 def heartbeat_stream(prices: DataFrame, tick_ms: int = 1000, ts_col: str | None = None) -> DataFrame:
     """``prices`` (symbol, price[, ts_col]) stream -> (symbol, price, beat_ms)
     beats; with ``ts_col`` the latest price of a micro-batch wins, else the
