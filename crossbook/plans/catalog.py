@@ -558,6 +558,59 @@ def q_topic_dump_partitions(spark, sf_dir):
     return TP.topic_dump(records, {0: 0, 1: 300, 2: 500})
 
 
+def _orders_published(spark, sf_dir, name, orders=None):
+    """The order log as a segment topic of four partitions by user; its path."""
+    from crossbook.sources.segments import publish
+    from crossbook.streaming.pipelines import stream_folder
+    orders = events_orders(spark, sf_dir) if orders is None else orders
+    path = f"{stream_folder(spark, name)}/log"
+    path = path if ":/" in path else f"file://{path}"
+    publish(orders.select(
+        F.lit(TP.ORDERS_TOPIC).alias("topic"), F.pmod(F.substring("symbol", 2, 20).cast("bigint"), F.lit(4)).alias("partition"),
+        F.col("symbol").alias("key"), I.to_json_value(orders, "order").alias("value"), "timestamp", "seq"), path, order=("seq",))
+    return path
+
+
+@query("topic_segments_dump")
+def q_topic_segments_dump(spark, sf_dir):
+    """SRC-4 from a topic's own offsets: all four partitions, three of them
+    not from their first record on."""
+    from crossbook.sources.segments import read_topics
+    path = _orders_published(spark, sf_dir, "dump")
+    starts = {TP.ORDERS_TOPIC: {1: 20, 2: 50, 3: 5}}
+    return read_topics(spark, path, [TP.ORDERS_TOPIC], starts).select("partition", "offset", "timestamp", "key", "value")
+
+
+@query("published_orders")
+def q_published_orders(spark, sf_dir):
+    """SNK-3: orders published to their topic, those of quantity 0 left out
+    (every seventh, a rule of this query), and read back."""
+    from crossbook.sources.segments import read_topics
+    zeroed = F.when(F.col("seq") % 7 == 0, F.lit(0)).otherwise(F.col("quantity")).cast("bigint")
+    orders = C.nonzero_orders(events_orders(spark, sf_dir).withColumn("quantity", zeroed))
+    return read_topics(spark, _orders_published(spark, sf_dir, "orders-out", orders)).select("topic", "key", "value")
+
+
+@query("service_segments")
+def q_service_segments(spark, sf_dir):
+    """SRC-1, SNK-1, SNK-2, SNK-4: the order service from a segment topic, whose
+    offsets are the orders' arrival, to segment topics, a publication per batch."""
+    from crossbook.sources.segments import publish, read_topics, stream_topics
+    from crossbook.streaming.pipelines import run_order_topic, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    path = _orders_published(spark, sf_dir, "orders-in")
+    records = stream_topics(spark, path, [TP.ORDERS_TOPIC]).select("key", F.col("offset").alias("seq"), "value")
+    out = f"{path}-out"
+
+    def send(rows, batch_id):
+        publish(rows, out, 4, txn=f"batch-{batch_id}")
+
+    for q in run_order_topic(records, stream_folder(spark, "segments"), publish=send,
+                             state_partitions=spark.sparkContext.defaultParallelism):
+        q.awaitTermination()
+    return read_topics(spark, out).select("topic", "key", "value")
+
+
 @query("src_price_inputs")
 def q_src_price_inputs(spark, sf_dir):
     """SRC-2: trade and price messages in two topics, read back as one stream,

@@ -747,6 +747,20 @@ SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS orders, max(struct_pack(n
 SELECT p AS partition, timestamp, seq AS "offset", {to_json_order} AS value
 FROM (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o)
 WHERE (p = 0 AND seq >= 0) OR (p = 1 AND seq >= 300) OR (p = 2 AND seq >= 500)""",
+        "topic_segments_dump": with_orders() + f""",
+placed AS (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY seq) - 1 AS place FROM placed)
+SELECT p AS partition, CAST(place AS BIGINT) AS "offset", timestamp, symbol AS key, {to_json_order} AS value
+FROM numbered WHERE place >= CASE p WHEN 1 THEN 20 WHEN 2 THEN 50 WHEN 3 THEN 5 ELSE 0 END""",
+        "published_orders": with_orders() + f"""
+SELECT 'orders.topic' AS topic, symbol AS key, {to_json_order} AS value FROM o WHERE seq % 7 <> 0 AND quantity <> 0""",
+        "service_segments": match_ctes(orders_sql=f"""
+  SELECT symbol, order_id, order_type, price, quantity, timestamp,
+         row_number() OVER (PARTITION BY CAST(substr(symbol, 2) AS BIGINT) % 4 ORDER BY seq) - 1 AS seq
+  FROM ({EVENTS_ORDERS})""") + _LEGS + f"""
+SELECT 'trades.topic' AS topic, trade_id AS key, {to_json_trade} AS value FROM legs
+UNION ALL
+SELECT 'order.last_price.topic', symbol, CAST(to_json(struct_pack(price := price)) AS VARCHAR) FROM fills""",
         "order_topic_service": m + _LEGS + f"""
 SELECT 'trades.topic' AS topic, trade_id AS key, {to_json_trade} AS value FROM legs
 UNION ALL
