@@ -555,7 +555,7 @@ def q_topic_dump_partitions(spark, sf_dir):
     records = orders.select(
         F.pmod(F.substring("symbol", 2, 20).cast("bigint"), F.lit(4)).cast("int").alias("partition"),
         "seq", "timestamp", I.to_json_value(orders, "order").alias("value"))
-    return TP.topic_dump(records, {0: 0, 1: 300, 2: 500})
+    return TP.topic_dump(records, {0: 0, 1: 300, 2: 500, 3: 0})
 
 
 def _orders_published(spark, sf_dir, name, orders=None):

@@ -746,7 +746,7 @@ SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS orders, max(struct_pack(n
         "topic_dump_partitions": with_orders() + f"""
 SELECT p AS partition, timestamp, seq AS "offset", {to_json_order} AS value
 FROM (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o)
-WHERE (p = 0 AND seq >= 0) OR (p = 1 AND seq >= 300) OR (p = 2 AND seq >= 500)""",
+WHERE (p = 0 AND seq >= 0) OR (p = 1 AND seq >= 300) OR (p = 2 AND seq >= 500) OR (p = 3 AND seq >= 0)""",
         "topic_segments_dump": with_orders() + f""",
 placed AS (SELECT *, CAST(CAST(substr(symbol, 2) AS BIGINT) % 4 AS INTEGER) AS p FROM o),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY seq) - 1 AS place FROM placed)
