@@ -47,6 +47,14 @@ _TABLE = byte_table("abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint32(2654435769)  # odd multiplier of a multiplicative hash
 
 
+#: Text bytes handled at a time when texts are scored.
+SCORE_BYTES = 1 << 20
+
+
+class TooManyLanguages(ValueError):
+    """More languages than one sample and one model are meant to hold."""
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     """Texts with a letter of any script (false for null)."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -137,7 +145,7 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
     chosen = checkpointed(keys.drop("part"))
     found = chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if found > MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values to learn from")
+        raise TooManyLanguages(f"lang has more than {MAX_LANGUAGES} values to learn from")
     # at most per_language rows for each of at most MAX_LANGUAGES languages
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
 
@@ -173,7 +181,7 @@ def predict_language(texts: DataFrame, model: LanguageModel | None) -> DataFrame
     def run(batches):
         lm = rebuilt(LanguageModel, sent.value)
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", SCORE_BYTES):
                 for rows in _runs(piece, 256):
                     known = has_letter(rows.column(1)) if lm is not None else np.zeros(rows.num_rows, bool)
                     name = np.full(rows.num_rows, UNKNOWN, object)
@@ -200,9 +208,13 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` with a letter: those without are ``und``. No score rejects a
-    document, and without a model to tell languages a letter alone decides."""
+    document. Where no model can tell languages (nothing to learn from, or more
+    than MAX_LANGUAGES languages) a letter alone decides, with the same result."""
     rows = whole_rows(docs, F.col("text").cast("string").alias("text"))
-    model = fit_language(docs)
+    try:
+        model = fit_language(docs)
+    except TooManyLanguages:
+        model = None
     if model is None:
         found = rows.where(F.col("text").rlike(r"\p{L}"))
     else:
