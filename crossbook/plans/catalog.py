@@ -448,6 +448,16 @@ def q_orders_from_prices(spark, sf_dir):
     return G.orders_from_prices(_price_updates(spark, sf_dir))
 
 
+@query("trader_order_ids")
+def q_trader_order_ids(spark, sf_dir):
+    """PRJ-11 on the order log: every user's trader id, and the id of each of
+    the user's orders from it and the order's time in nanoseconds."""
+    orders = events_orders(spark, sf_dir)
+    trader = C.trader_id(F.substring("symbol", 2, 20))
+    return orders.select("order_id", trader.alias("trader_id"),
+                         C.trader_order_id(trader, F.col("timestamp") * 1000).alias("trader_order_id"))
+
+
 @query("order_ids")
 def q_order_ids(spark, sf_dir):
     gen = G.orders_from_prices(_price_updates(spark, sf_dir))
@@ -791,6 +801,23 @@ def q_seeded_match_stream(spark, sf_dir):
     return MatchResult(raw).fills
 
 
+@query("seeds_in_book")
+def q_seeds_in_book(spark, sf_dir):
+    """STR-7: the book of a seeded stream. Every user and every part has a
+    seeded book; parts have no orders, so their seeds stand by themselves."""
+    from crossbook.sources.fixtures import events_to_orders
+    from crossbook.streaming.matcher import match_stream
+    from crossbook.streaming.pipelines import book_from_state, drain, stream_folder, use_rocksdb
+    use_rocksdb(spark)
+    folder = stream_folder(spark, "seeds")
+    parts = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.lit(0).cast("bigint").alias("timestamp"))
+    seeds = _seeds(events_orders(spark, sf_dir)).unionByName(G.seed_orders(parts))
+    drain(match_stream(events_to_orders(_events_stream(spark, sf_dir)), seeds=seeds), folder,
+          state_partitions=spark.sparkContext.defaultParallelism)
+    return book_from_state(spark, f"{folder}/checkpoint", seeded=True)
+
+
 @query("drain_available")
 def q_drain_available(spark, sf_dir):
     """SRC-5: drain the order stream into a sink and stop; the rows that the

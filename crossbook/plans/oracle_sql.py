@@ -440,6 +440,14 @@ UNION ALL SELECT 'ingest', 'consumed', count(*) FROM flags WHERE good
 UNION ALL SELECT 'ingest', 'malformed', count(*) FROM flags WHERE NOT good
 UNION ALL SELECT 'produced', 'trades', 2 * count(*) FROM fills
 UNION ALL SELECT 'produced', 'prices', count(*) FROM fills""",
+        "trader_order_ids": with_orders() + """
+SELECT order_id, 'Trader-' || substr(symbol, 2) AS trader_id,
+       'Trader-' || substr(symbol, 2) || '-' || CAST(timestamp * 1000 AS VARCHAR) AS trader_order_id FROM o""",
+        "seeds_in_book": match_ctes(orders_sql=SEEDED_ORDERS) + """
+SELECT * FROM book
+UNION ALL
+SELECT 'P' || p_partkey, s.side, s.price, 0, 0, 'SEED-P' || p_partkey || '-' || s.tag, s.seq, 100, 0
+FROM part, (VALUES ('BUY', 49.5::DOUBLE, 'BID', -2), ('SELL', 50.5::DOUBLE, 'ASK', -1)) s(side, price, tag, seq)""",
         "unique_trades_stream": m + _LEGS + """
 SELECT trade_id, order_id, quantity, price, action, status, timestamp FROM legs""",
         "book_after_batch": match_ctes(orders_sql=f"""

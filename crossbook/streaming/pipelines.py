@@ -17,6 +17,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crossbook.functions.columns import nonzero_orders
+from crossbook.operators.book import rest_orders
 from crossbook.plans.match import RAW_SCHEMA, MatchResult, ship_package
 from crossbook.session import ensure_checkpoint_dir
 from crossbook.sources.ingest import parse_records
@@ -233,29 +234,38 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
 
 
 def book_from_state(spark: SparkSession, checkpoint: str, level_priority: str = "best_price",
-                    batch_id: int | None = None) -> DataFrame:
+                    batch_id: int | None = None, seeded: bool = False) -> DataFrame:
     """STR-4 (stream): the resting orders after the last committed micro-batch
     of a matching stream, or after micro-batch ``batch_id`` (as far back as the
     state store keeps versions, spark.sql.streaming.minBatchesToRetain), read
-    from its state store by its checkpoint folder;
+    from its state store by its checkpoint folder; of a stream with seeds
+    (``seeded``) also those of symbols that have had no order yet, as they rest;
     the columns and rows of ``MatchResult.book``. The stream itself does no
     extra work for it."""
-    reader = spark.read.format("statestore").option("stateVarName", "queues")
-    if batch_id is not None:
-        reader = reader.option("batchId", str(batch_id))
-    levels = reader.load(checkpoint).select(F.col("key.symbol").alias("symbol"), F.col("user_map_key.*"),
-                                            F.col("user_map_value.*"))
+    def state(name: str) -> DataFrame:
+        reader = spark.read.format("statestore").option("stateVarName", name)
+        if batch_id is not None:
+            reader = reader.option("batchId", str(batch_id))
+        return reader.load(checkpoint)
+
+    levels = state("queues").select(F.col("key.symbol").alias("symbol"), F.col("user_map_key.*"),
+                                    F.col("user_map_value.*"))
     order = F.col("level_seq") if level_priority == "first_seen" else F.when(
         F.col("side") == "BUY", -F.col("price")).otherwise(F.col("price"))
     by_level = Window.partitionBy("symbol", "side").orderBy(order)
     levels = levels.withColumn("level_seq", F.row_number().over(by_level) - 1)
     queue = F.arrays_zip("ids", "remaining", "seqs", "ts")
-    return levels.select("symbol", "side", "price", "level_seq", F.posexplode_outer(queue).alias("queue_pos", "e")).select(
+    book = levels.select("symbol", "side", "price", "level_seq", F.posexplode_outer(queue).alias("queue_pos", "e")).select(
         "symbol", "side", "price", F.col("level_seq").cast("int").alias("level_seq"),
         F.col("queue_pos").cast("int").alias("queue_pos"), F.col("e.ids").alias("order_id"),
         F.col("e.seqs").alias("seq"),
         # an empty level of first_seen is one row without an order
         F.coalesce("e.remaining", F.lit(0)).alias("remaining"), F.col("e.ts").alias("timestamp"))
+    if not seeded:
+        return book
+    waiting = state("seeds").select(F.col("key.symbol").alias("symbol"), F.col("list_element.*"))
+    rested = rest_orders(nonzero_orders(waiting), level_priority).withColumn("remaining", F.abs("remaining"))
+    return book.unionByName(rested)
 
 
 def book_changes(spark: SparkSession, checkpoint: str, start_batch: int, end_batch: int | None = None) -> DataFrame:
