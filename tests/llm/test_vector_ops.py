@@ -99,6 +99,27 @@ def test_sharding_a_hot_text_and_edges(spark, odd, none):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
+def test_small_groups_of_equal_texts_stay_together(spark):
+    """400 texts in 1 to 12 copies, and one text with a third of all rows."""
+    rng = np.random.default_rng(6)
+    texts = [f"text {i} " + "x" * int(n) for i, n in enumerate(rng.integers(1, 400, 4000))]
+    body = [t for t in texts for _ in range(int(rng.integers(1, 13)))]
+    body += ["hot"] * (len(body) // 2)
+    docs = spark.createDataFrame([(int(i), body[j]) for i, j in enumerate(rng.permutation(len(body)))],
+                                 "doc_id bigint, text string").repartition(6)
+    got = sharding.shard_by_bytes(docs).collect()
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    shards, sizes, slots = {}, {}, {}
+    for r in got:
+        shards.setdefault(text_of[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot") and len(shards["hot"]) > 1
+    fair = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and all(abs(n - fair) <= 12 * 430 for n in sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(got) == len(body)
+
+
 def test_ranges_of_keys():
     splitters = pd.DataFrame({"k1": [1, 5, 5, 5, 9], "k2": [0, 1, 1, 4, 0], "k3": [0, 2, 6, 0, 0]})
     keys = [(0, 0, 0), (1, 0, 0), (5, 0, 9), (5, 1, 2), (5, 1, 5), (5, 1, 6), (5, 4, 0), (7, 0, 0), (9, 9, 9)]
