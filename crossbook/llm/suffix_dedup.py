@@ -3,12 +3,26 @@
 Only suffixes at minimiser positions are kept: of every run of WINDOWS
 consecutive GRAM-word grams the one with the smallest hash. Two texts that
 share MIN_WORDS = WINDOWS + GRAM - 1 words in a row share such a position with
-the same gram, so suffixes whose gram stands in one text only are dropped. A
-kept suffix is extended to the MIN_WORDS-word windows around it (to its left
-and to its right); the windows' hashes are sorted, neighbours compared, and
-windows that stand in two texts are joined into maximal spans. Every passage
-of MIN_WORDS or more words that two different texts share is found whole, and
-nothing shorter.
+the same gram, so suffixes whose gram stands in one text only are dropped.
+
+Suffixes that stand in two texts with the same REACH words before and after
+the gram are told by a hash of that context, aggregated before anything is
+sorted: they are repeated over all of it. What is left is read again with its
+words, one row for each suffix and one for each repeated context beside them,
+and sorted twice: by the gram and the words after it, and by the gram and the
+words before it, read backwards. Each row is compared word by word with its
+neighbours and the match extended right and left; a match of MIN_WORDS words
+or more with another text is a repeated run.
+
+Sorting also bounds what neighbours cannot show: no row of the same gram
+agrees with a row further to the right than its neighbours in the first order,
+or further to the left than those in the second. Where those bounds leave a
+longer run open (the best match is split between several rows), the few
+MIN_WORDS-word windows in question are compared with those of all rows of the
+gram. So every passage of MIN_WORDS or more words that two different texts
+share is found whole, and nothing shorter. Both sorts are dealt by ranges, so
+one very common gram lies in several tasks; rows at the ends of a range, whose
+neighbour is elsewhere, count as open.
 
 Texts that are equal byte for byte are one text here (their documents repeat
 from end to end), so a large group of copies is processed once.
@@ -33,15 +47,24 @@ from crossbook.llm.common import WORD_TABLE, checkpointed, split_words, text_sli
 MIN_WORDS = 50
 GRAM = 25
 WINDOWS = MIN_WORDS - GRAM + 1
+#: Words on either side of a gram that a window around it can hold.
+REACH = MIN_WORDS - GRAM
 
 #: What is known of a window row after its own partition was compared.
 OPEN, SETTLED, WITNESS = 0, 1, 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE_2 = 0xC2B2AE3D27D4EB4F
 
 SUFFIX_SCHEMA = ("doc_id bigint, text_key bigint, n_words int, "
-                 "suffixes array<struct<gram:bigint,pos:int>>")
+                 "suffixes array<struct<gram:bigint,context:bigint,pos:int>>")
+#: A suffix with the words around its gram, nearest first, eight bytes each
+#: (zeros beyond the text); it stands in texts a and b (the same, if only one).
+#: reach_left, reach_right: how far any row of the gram may agree with it;
+#: first, last: the outermost words before the gram at which a repeated window starts.
+WIDE_SCHEMA = ("gram bigint, a bigint, b bigint, pos int, before binary, after binary, "
+               "reach_left int, reach_right int, first int, last int")
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,18 +74,35 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, digest[codes] if len(codes) else np.empty(0, np.uint64)
 
 
-def gram_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of ``length`` words from every position (polynomial, mixed)."""
-    count = len(hashes) - length + 1
-    if count <= 0:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(_BASE)) -> np.ndarray:
+    """Hash of the words from each start to its end (polynomial, mixed)."""
+    if not len(starts):
         return np.empty(0, np.uint64)
-    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, _INVERSE)]))
-    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, _BASE)]))
+    inverse = np.uint64(pow(base, -1, 1 << 64))
+    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, inverse)]))
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes) - 1, np.uint64(base))]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * down)])
-    out = (sums[length:] - sums[:count]) * up[length - 1:]
-    out ^= out >> np.uint64(33)
-    out *= np.uint64(0xFF51AFD7ED558CCD)
-    return out ^ (out >> np.uint64(29))
+    return _mixed((sums[ends] - sums[starts]) * up[ends - 1])
+
+
+def gram_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of ``length`` words from every position."""
+    starts = np.arange(max(0, len(hashes) - length + 1))
+    return run_hashes(hashes, starts, starts + length)
+
+
+def context_hashes(hashes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Hash of each gram with up to REACH words on either side; a text's ends count."""
+    starts = np.maximum(anchors - REACH, 0)
+    ends = np.minimum(anchors + GRAM + REACH, len(hashes))
+    ends_seen = (anchors - starts) * (REACH + 1) + ends - anchors
+    return _mixed(run_hashes(hashes, starts, ends, _BASE_2) + ends_seen.astype(np.uint64))
 
 
 def window_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +122,18 @@ def sparse_suffixes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 offsets, hashes = word_hashes(piece.column(2))
-                at, grams, positions = [0], [], []
+                at, grams, contexts, positions = [0], [], [], []
                 for a, b in zip(offsets[:-1], offsets[1:]):
                     anchors, own = window_anchors(hashes[a:b])
                     anchors = np.unique(anchors)
                     grams.append(own[anchors])
+                    contexts.append(context_hashes(hashes[a:b], anchors))
                     positions.append(anchors)
                     at.append(at[-1] + len(anchors))
                 items = pa.StructArray.from_arrays(
                     [pa.array(np.concatenate(grams).view(np.int64)),
-                     pa.array(np.concatenate(positions).astype(np.int32))], ["gram", "pos"])
+                     pa.array(np.concatenate(contexts).view(np.int64)),
+                     pa.array(np.concatenate(positions).astype(np.int32))], ["gram", "context", "pos"])
                 yield pa.record_batch({
                     "doc_id": piece.column(0), "text_key": piece.column(1),
                     "n_words": pa.array(np.diff(offsets).astype(np.int32)),
@@ -106,40 +148,160 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        text.alias("text"))
 
 
-def shared_suffixes(suffixes: DataFrame) -> DataFrame:
-    """Per text, the positions whose gram stands in another text too."""
-    rows = suffixes.select("text_key", F.explode("suffixes").alias("s")).select("text_key", "s.gram", "s.pos")
-    # written first, so that the join below can split a gram that very many texts hold
-    shared = checkpointed(
-        rows.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-        .where("a <> b").select("gram"))
-    return rows.join(shared, "gram").groupBy("text_key").agg(F.collect_set("pos").alias("anchors"))
+def shared_suffixes(texts: DataFrame) -> DataFrame:
+    """(text_key, n_words, pos, gram, a, b, open) of the suffixes whose gram
+    stands in another text too. a and b are the least and the greatest text
+    that hold its whole context; ``open`` marks grams with a context that
+    stands in one text only. Written once."""
+    rows = texts.select("text_key", "n_words", F.explode("suffixes").alias("s")).select(
+        "text_key", "n_words", "s.gram", "s.context", "s.pos")
+    blocks = checkpointed(
+        rows.groupBy("gram", "context").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")))
+    shared = (blocks.groupBy("gram").agg(F.min("a").alias("lo"), F.max("b").alias("hi"),
+                                         F.max(F.col("a") == F.col("b")).alias("open"))
+              .where("lo <> hi").select("gram", "open"))
+    # written before the join, so that it can split a context that very many texts hold
+    blocks = checkpointed(blocks.join(shared, "gram"))
+    return checkpointed(rows.join(blocks, ["gram", "context"]).select(
+        "text_key", "n_words", "pos", "gram", "a", "b", "open"))
+
 
+def _bytes(words: np.ndarray) -> pa.Array:
+    """Rows of word hashes as binary values that sort like the words in turn."""
+    data = words.astype(">u8").tobytes()
+    offsets = np.arange(len(words) + 1, dtype=np.int32) * (8 * words.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
-def extended_windows(docs: DataFrame, anchors: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """(win, text_key, pos): the windows that a shared suffix extends to, of
-    one document for each text."""
+
+def _words(column: pa.Array) -> np.ndarray:
+    """The rows of word hashes again."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, REACH)
+
+
+def wide_suffixes(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
+    """The wanted suffixes (text_key, pos, gram, a, b) with the words around
+    them, out of the first document (text_key, _first) of each text."""
+    here = np.arange(REACH)
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch, "text"):
-                offsets, hashes = word_hashes(piece.column(1))
-                for row, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    own = hashes[a:b]
-                    anchor, _ = window_anchors(own)
-                    starts = np.flatnonzero(np.isin(anchor, piece.column(2)[row].values.to_numpy()))
-                    if len(starts):
+                offsets, hashes = word_hashes(piece.column(0))
+                for row, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+                    own = np.concatenate([np.zeros(REACH, np.uint64), np.maximum(hashes[lo:hi], 1),
+                                          np.zeros(REACH, np.uint64)])
+                    marks = pa.RecordBatch.from_struct_array(piece.column(1)[row].values)
+                    for at in range(0, marks.num_rows, 4096):
+                        some = marks.slice(at, 4096)
+                        pos = some.column("pos").to_numpy().astype(np.int64)[:, None] + REACH
+                        none = pa.array(np.zeros(len(pos), np.int32))
+                        nothing = pa.nulls(len(pos), pa.int32())
                         yield pa.record_batch({
-                            "win": pa.array(gram_hashes(own, MIN_WORDS)[starts].view(np.int64)),
-                            "text_key": pa.array(np.full(len(starts), piece.column(0)[row].as_py())),
-                            "pos": pa.array(starts.astype(np.int32))})
-
-    one = suffixes.groupBy("text_key").agg(F.min("doc_id").alias("_first"))
-    wanted = anchors.join(one, "text_key").withColumnRenamed("text_key", "_key")
+                            "gram": some.column("gram"), "a": some.column("a"), "b": some.column("b"),
+                            "pos": some.column("pos"), "before": _bytes(own[pos - 1 - here]),
+                            "after": _bytes(own[pos + GRAM + here]),
+                            "reach_left": none, "reach_right": none, "first": nothing, "last": nothing})
+
+    marks = wanted.groupBy(F.col("text_key").alias("_key")).agg(
+        F.collect_list(F.struct("gram", "a", "b", "pos")).alias("marks"))
+    marks = marks.join(first, F.col("_key") == F.col("text_key")).drop("text_key")
     # dealt by text and document, so that the copies of one text do not meet in one task
-    first = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))
-    texts = _keyed(docs).join(wanted, first)
-    return texts.select("text_key", "text", "anchors").mapInArrow(run, "win bigint, text_key bigint, pos int")
+    one = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    return _keyed(docs).join(marks, one).select("text", "marks").mapInArrow(run, WIDE_SCHEMA)
+
+
+def agreement(x: np.ndarray) -> np.ndarray:
+    """How many words each row shares with the next one, from the gram on."""
+    same = (x[1:] == x[:-1]) & (x[1:] != 0)
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
+def words_held(column: pa.Array) -> int:
+    """How many words of a single row are there, before its text ends."""
+    return int(np.count_nonzero(_words(column)))
+
+
+def compared(wide: DataFrame, side: str) -> DataFrame:
+    """``wide`` sorted by gram and the words on one side ("after" or "before"),
+    each row compared with both neighbours: reach_right or reach_left, and the
+    windows (first, last) that a neighbour in another text shows to repeat."""
+    reach = "reach_right" if side == "after" else "reach_left"
+
+    def run(batches):
+        held, opening = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            column = {n: whole.column(n) for n in whole.schema.names}
+            gram, a, b = (column[n].to_numpy() for n in ("gram", "a", "b"))
+            left, right = (agreement(_words(column[n])) for n in ("before", "after"))
+            kin = gram[1:] == gram[:-1]
+            left, right = left * kin, right * kin
+            reached = column[reach].to_numpy().copy()
+            longest = right if side == "after" else left
+            reached[:-1] = np.maximum(reached[:-1], longest)
+            reached[1:] = np.maximum(reached[1:], longest)
+            if opening:  # what stands before the first row is not seen here
+                reached[0], opening = words_held(column[side].slice(0, 1)), False
+            # (MIN_WORDS-word windows start from ``low`` to ``left`` words before the gram)
+            low = REACH - right
+            other = kin & (low <= left) & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (a[1:] != b[1:]))
+            least = column["first"].fill_null(REACH + 1).to_numpy().copy()
+            most = column["last"].fill_null(-1).to_numpy().copy()
+            for part in (slice(None, -1), slice(1, None)):
+                least[part] = np.where(other, np.minimum(least[part], low), least[part])
+                most[part] = np.where(other, np.maximum(most[part], left), most[part])
+            column[reach] = pa.array(reached.astype(np.int32))
+            column["first"] = pa.array(least.astype(np.int32), mask=most < 0)
+            column["last"] = pa.array(most.astype(np.int32), mask=most < 0)
+            done = pa.record_batch(column)
+            held = done.slice(len(done) - 1)
+            yield done.slice(0, len(done) - 1)
+        if held is not None:
+            at = held.schema.get_field_index(reach)
+            yield held.set_column(at, reach, pa.array([words_held(held.column(side))], pa.int32()))
+
+    other_side = "before" if side == "after" else "after"
+    return (wide.repartitionByRange("gram", side, other_side).sortWithinPartitions("gram", side, other_side)
+            .mapInArrow(run, WIDE_SCHEMA))
+
+
+def open_windows(rows: DataFrame) -> DataFrame:
+    """(win, text_key, pos): the windows around grams with an open row, one
+    that may repeat further out than its neighbours show. Windows farther out
+    than the words that any row of the gram shares are left out. Contexts that
+    are known to repeat are there to be met only (pos is -1)."""
+
+    def run(batches):
+        power = np.cumprod(np.full(REACH, _BASE))
+        power_2 = np.cumprod(np.full(REACH, np.uint64(_BASE_2)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                column = {n: some.column(n) for n in some.schema.names}
+                upto = [np.pad(np.cumsum(_words(column[n]) * p, axis=1), ((0, 0), (1, 0)))
+                        for n, p in (("before", power), ("after", power_2))]
+                gram, pos = column["gram"].to_numpy().view(np.uint64), column["pos"].to_numpy()
+                for i in range(REACH + 1):
+                    took = np.flatnonzero((column["low"].to_numpy() <= i) & (column["high"].to_numpy() >= i))
+                    win = _mixed(_mixed(upto[0][took, i] + np.uint64(i)) * _BASE
+                                 + _mixed(upto[1][took, REACH - i]) + gram[took])
+                    a, b = (column[n].to_numpy()[took] for n in ("a", "b"))
+                    several = a != b
+                    yield pa.record_batch({
+                        "win": pa.array(np.append(win, win[several]).view(np.int64)),
+                        "text_key": pa.array(np.append(a, b[several])),
+                        "pos": pa.array(np.append(np.where(several, -1, pos[took] - i),
+                                                  np.full(several.sum(), -1)).astype(np.int32))})
+
+    low = (F.lit(REACH) - F.col("reach_right")).alias("low")
+    ranged = rows.select("*", low, F.col("reach_left").alias("high")).where("low <= high")
+    unsure = (F.col("a") == F.col("b")) & (F.col("first").isNull() | (F.col("low") < F.col("first"))
+                                           | (F.col("high") > F.col("last")))
+    grams = ranged.where(unsure).select("gram").distinct()
+    return (ranged.join(grams, "gram").select("gram", "a", "b", "pos", "before", "after", "low", "high")
+            .mapInArrow(run, "win bigint, text_key bigint, pos int"))
 
 
 def _runs(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,43 +377,67 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
             .select("state", "win", "text_key", "pos").mapInArrow(run, "text_key bigint, pos int"))
 
 
-def joined_spans(repeated: DataFrame) -> DataFrame:
-    """(text_key, start, length): overlapping windows of a text as one span."""
+def joined_spans(runs: DataFrame) -> DataFrame:
+    """(text_key, start, length): runs of a text (text_key, start, stop) that
+    overlap or touch as one span."""
 
     def run(batches):
-        held = None  # (text_key, start, end) of the span that may go on
+        held = None  # (text_key, start, stop) of the span that may go on
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            pos = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            key, start, stop = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
             if not len(key):
                 continue
             if held is not None:
-                key = np.concatenate([[held[0]], key])
-                pos = np.concatenate([[held[2] - MIN_WORDS], pos])
-            cut = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + MIN_WORDS)])
-            first = np.flatnonzero(cut)
-            start, end = pos[first], pos[np.append(first[1:], len(pos)) - 1] + MIN_WORDS
-            if held is not None:
-                start[0] = held[1]
-            held = (key[first[-1]], start[-1], end[-1])
-            yield pa.record_batch({"text_key": pa.array(key[first[:-1]]), "start": pa.array(start[:-1]),
-                                   "length": pa.array(end[:-1] - start[:-1])})
+                key, start, stop = (np.concatenate([[h], c]) for h, c in zip(held, (key, start, stop)))
+            # the farthest stop so far within each text
+            text = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 40
+            stop = np.maximum.accumulate(stop + text) - text
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] > stop[:-1])]))
+            key, start, stop = key[first], start[first], stop[np.append(first[1:], len(stop)) - 1]
+            held = (key[-1], start[-1], stop[-1])
+            yield pa.record_batch({"text_key": pa.array(key[:-1]), "start": pa.array(start[:-1]),
+                                   "length": pa.array(stop[:-1] - start[:-1])})
         if held is not None:
             yield pa.record_batch({"text_key": pa.array([held[0]], pa.int64()),
                                    "start": pa.array([held[1]], pa.int64()),
                                    "length": pa.array([held[2] - held[1]], pa.int64())})
 
-    return (repeated.repartition("text_key").sortWithinPartitions("text_key", "pos")
+    return (runs.repartition("text_key").sortWithinPartitions("text_key", "start")
             .mapInArrow(run, "text_key bigint, start bigint, length bigint"))
 
 
+def repeated_runs(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(text_key, start, stop): runs of MIN_WORDS words or more that another
+    text holds too; together they cover every such run."""
+    texts = checkpointed(suffixes.groupBy("text_key").agg(
+        F.min("doc_id").alias("_first"), F.first("n_words").alias("n_words"),
+        F.first("suffixes").alias("suffixes")))
+    shared = shared_suffixes(texts)
+    alone, pos = F.col("a") == F.col("b"), F.col("pos")
+    settled = shared.where(~alone).select(
+        "text_key", F.greatest(pos - REACH, F.lit(0)).cast("bigint").alias("start"),
+        F.least(pos + GRAM + REACH, F.col("n_words")).cast("bigint").alias("stop"))
+    # beside the open suffixes, one text's rows of each repeated context of their grams
+    wide = checkpointed(wide_suffixes(
+        docs, shared.where(F.col("open") & (F.col("text_key") == F.col("a"))),
+        texts.select("text_key", "_first")))
+    by_after = checkpointed(compared(wide, "after"))
+    rows = checkpointed(compared(by_after, "before"))
+    # between the outermost repeated windows all hold the gram, so they overlap
+    extended = rows.where((F.col("a") == F.col("b")) & F.col("first").isNotNull()).select(
+        F.col("a").alias("text_key"), (pos - F.col("last")).cast("bigint").alias("start"),
+        (pos - F.col("first") + MIN_WORDS).cast("bigint").alias("stop"))
+    further = repeated_windows(open_windows(rows)).where("pos >= 0").select(
+        "text_key", pos.cast("bigint").alias("start"), (pos + MIN_WORDS).cast("bigint").alias("stop"))
+    return settled.unionByName(extended).unionByName(further)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, length, n_words, whole): the word spans of each
     document that repeat in another document; ``whole`` marks documents whose
     entire text stands under another doc_id."""
     suffixes = sparse_suffixes(docs)
-    anchors = shared_suffixes(suffixes)
-    spans = joined_spans(repeated_windows(extended_windows(docs, anchors, suffixes)))
+    spans = joined_spans(repeated_runs(docs, suffixes))
     members = suffixes.select("doc_id", "text_key", "n_words").distinct()
     long_enough = members.where(F.col("n_words") >= MIN_WORDS)
     copied = long_enough.groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("w"))
