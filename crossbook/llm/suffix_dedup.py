@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossbook.llm.common import WORD_TABLE, checkpointed, split_words, text_slices
+from crossbook.llm.token_files import shared_folder
 
 MIN_WORDS = 50
 GRAM = 25
@@ -58,7 +59,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BASE_2 = 0xC2B2AE3D27D4EB4F
 
 SUFFIX_SCHEMA = ("doc_id bigint, text_key bigint, n_words int, "
-                 "suffixes array<struct<gram:bigint,context:bigint,pos:int>>")
+                 "grams array<bigint>, contexts array<bigint>, places array<int>")
+STATE_NAMES = ["state", "gram", "context", "text_key", "pos"]
+STATE_SCHEMA = "state int, gram bigint, context bigint, text_key bigint, pos int"
+SHARED_SCHEMA = "state int, text_key bigint, pos int, gram bigint, a bigint, b bigint"
+#: Rows of one context or gram that wait for the rest before they are told.
+HELD_ROWS = 200_000
 #: A suffix with the words around its gram, nearest first, eight bytes each
 #: (zeros beyond the text); it stands in texts a and b (the same, if only one).
 #: reach_left, reach_right: how far any row of the gram may agree with it;
@@ -130,14 +136,13 @@ def sparse_suffixes(docs: DataFrame) -> DataFrame:
                     contexts.append(context_hashes(hashes[a:b], anchors))
                     positions.append(anchors)
                     at.append(at[-1] + len(anchors))
-                items = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)),
-                     pa.array(np.concatenate(contexts).view(np.int64)),
-                     pa.array(np.concatenate(positions).astype(np.int32))], ["gram", "context", "pos"])
+                at = pa.array(np.array(at, np.int32))
                 yield pa.record_batch({
                     "doc_id": piece.column(0), "text_key": piece.column(1),
                     "n_words": pa.array(np.diff(offsets).astype(np.int32)),
-                    "suffixes": pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), items)})
+                    "grams": pa.ListArray.from_arrays(at, pa.array(np.concatenate(grams).view(np.int64))),
+                    "contexts": pa.ListArray.from_arrays(at, pa.array(np.concatenate(contexts).view(np.int64))),
+                    "places": pa.ListArray.from_arrays(at, pa.array(np.concatenate(positions).astype(np.int32)))})
 
     return checkpointed(_keyed(docs).mapInArrow(run, SUFFIX_SCHEMA))
 
@@ -148,22 +153,135 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        text.alias("text"))
 
 
-def shared_suffixes(texts: DataFrame) -> DataFrame:
-    """(text_key, n_words, pos, gram, a, b, open) of the suffixes whose gram
-    stands in another text too. a and b are the least and the greatest text
-    that hold its whole context; ``open`` marks grams with a context that
-    stands in one text only. Written once."""
-    rows = texts.select("text_key", "n_words", F.explode("suffixes").alias("s")).select(
-        "text_key", "n_words", "s.gram", "s.context", "s.pos")
-    blocks = checkpointed(
-        rows.groupBy("gram", "context").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")))
-    shared = (blocks.groupBy("gram").agg(F.min("a").alias("lo"), F.max("b").alias("hi"),
-                                         F.max(F.col("a") == F.col("b")).alias("open"))
-              .where("lo <> hi").select("gram", "open"))
-    # written before the join, so that it can split a context that very many texts hold
-    blocks = checkpointed(blocks.join(shared, "gram"))
-    return checkpointed(rows.join(blocks, ["gram", "context"]).select(
-        "text_key", "n_words", "pos", "gram", "a", "b", "open"))
+def _runs(*key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, size) of each run of equal keys."""
+    cut = np.zeros(max(0, len(key[0]) - 1), bool)
+    for k in key:
+        cut |= k[1:] != k[:-1]
+    first = np.flatnonzero(np.concatenate([[True], cut]))
+    return first, np.diff(np.append(first, len(key[0])))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to the shared folder, compressed, and read from there."""
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _several(first: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which runs hold two texts or more; rows of a run are sorted by text."""
+    return text[first] != text[first + size - 1]
+
+
+def settled_contexts(rows: DataFrame) -> DataFrame:
+    """(state, gram, context, text_key, pos): suffixes sorted by gram and
+    context and neighbours compared within each partition, before any shuffle.
+    Rows whose whole context stands in two texts there are SETTLED, and of each
+    such run two WITNESS rows go on, of two texts, so that a very common
+    context meets again as two rows per partition. Other rows stay OPEN; of
+    the same row out of copies of a text one is left."""
+
+    def run(batches):
+        held = np.empty((4, 0), np.int64)
+
+        def told(part):
+            gram, context, text, pos = part
+            first, size = _runs(gram, context)
+            both = _several(first, size, text)
+            state = np.where(np.repeat(both, size), SETTLED, OPEN)
+            marks = np.concatenate([first[both], (first + size - 1)[both]])
+            out = np.concatenate([part, part[:, marks]], axis=1)
+            return pa.record_batch(
+                [pa.array(np.append(state, np.full(len(marks), WITNESS)).astype(np.int32)),
+                 *map(pa.array, out[:3]), pa.array(out[3].astype(np.int32))], STATE_NAMES)
+
+        for batch in batches:
+            part = np.concatenate([held, [c.to_numpy().astype(np.int64) for c in batch.columns]], axis=1)
+            part = part[:, np.concatenate([[True], (part[:, 1:] != part[:, :-1]).any(axis=0)])[:part.shape[1]]]
+            if not part.shape[1]:
+                continue
+            last = int(_runs(part[0], part[1])[0][-1])
+            # a run that goes on waits; of a long one, what is here is told by itself
+            last = part.shape[1] if part.shape[1] - last > HELD_ROWS else last
+            if last:
+                yield told(part[:, :last])
+            held = part[:, last:]
+        if held.shape[1]:
+            yield told(held)
+
+    return rows.sortWithinPartitions("gram", "context", "text_key", "pos").mapInArrow(run, STATE_SCHEMA)
+
+
+def shared_suffixes(suffixes: DataFrame) -> DataFrame:
+    """(state, text_key, pos, gram, a, b) of the suffixes whose gram stands in
+    another text too. SETTLED: the whole context stands in another text; OPEN:
+    not seen to; WITNESS: one for each settled context, which stands in the
+    texts a and b. Sorted by gram and context over ranges, so a common gram
+    lies in several tasks; at the ends of a range a gram counts as shared."""
+    rows = suffixes.select("text_key", F.explode(F.arrays_zip("grams", "contexts", "places")).alias("s")).select(
+        F.col("s.grams").alias("gram"), F.col("s.contexts").alias("context"), "text_key",
+        F.col("s.places").alias("pos"))
+
+    def run(batches):
+        held = np.empty((5, 0), np.int64)
+
+        def told(part, opening, closing):
+            state, gram, context, text, pos = part
+            first, size = _runs(gram, context)
+            group = np.repeat(np.arange(len(first)), size)
+            both = _several(first, size, text)
+            # a gram is shared if it holds two texts, or may go on in another range
+            head, many = _runs(gram, gram)
+            shared = np.minimum.reduceat(text, head) != np.maximum.reduceat(text, head)
+            shared[0] |= opening
+            shared[-1] |= closing
+            kept = np.repeat(shared, many) & (state != WITNESS)
+            now = np.where(both[group], SETTLED, OPEN)[kept]
+            rep = first[both]
+            return pa.record_batch([
+                pa.array(np.append(now, np.full(len(rep), WITNESS)).astype(np.int32)),
+                pa.array(np.append(text[kept], text[rep])), pa.array(np.append(pos[kept], pos[rep]).astype(np.int32)),
+                pa.array(np.append(gram[kept], gram[rep])), pa.array(np.append(text[kept], text[rep])),
+                pa.array(np.append(text[kept], text[(first + size - 1)[both]]))],
+                ["state", "text_key", "pos", "gram", "a", "b"])
+
+        opening = True
+        for batch in batches:
+            columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            settled = columns[0] == SETTLED
+            if settled.any():
+                text, none = pa.array(columns[3][settled]), pa.nulls(int(settled.sum()), pa.int64())
+                yield pa.record_batch([
+                    pa.array(np.full(len(text), SETTLED, np.int32)), text,
+                    pa.array(columns[4][settled].astype(np.int32)), none, none, none],
+                    ["state", "text_key", "pos", "gram", "a", "b"])
+            part = np.concatenate([held, [c[~settled] for c in columns]], axis=1)
+            if not part.shape[1]:
+                continue
+            last = int(_runs(part[1], part[1])[0][-1])
+            if part.shape[1] - last > HELD_ROWS:
+                # a common gram: its whole contexts are told, and it is known to be shared
+                last = int(_runs(part[1], part[2])[0][-1])
+                if last and part[1][last - 1] == part[1][last]:
+                    yield told(part[:, :last], opening, True)
+                    held, opening = part[:, last:], True
+                    continue
+                last = 0
+            if last:
+                yield told(part[:, :last], opening, False)
+                opening = False
+            held = part[:, last:]
+        if held.shape[1]:
+            yield told(held, opening, True)
+
+    # settled rows are spread by their text and place
+    spread = F.col("state") == SETTLED
+    rows = settled_contexts(rows).select(
+        "state", F.when(spread, F.xxhash64("text_key", "pos")).otherwise(F.col("gram")).alias("gram"),
+        F.when(spread, F.lit(0)).otherwise(F.col("context")).alias("context"), "text_key", "pos")
+    return rows.repartitionByRange("gram", "context").sortWithinPartitions("gram", "context", "text_key", "pos"
+                                                                           ).mapInArrow(run, SHARED_SCHEMA)
 
 
 def _bytes(words: np.ndarray) -> pa.Array:
@@ -203,7 +321,7 @@ def wide_suffixes(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataF
                             "reach_left": none, "reach_right": none, "first": nothing, "last": nothing})
 
     marks = wanted.groupBy(F.col("text_key").alias("_key")).agg(
-        F.collect_list(F.struct("gram", "a", "b", "pos")).alias("marks"))
+        F.collect_set(F.struct("gram", "a", "b", "pos")).alias("marks"))
     marks = marks.join(first, F.col("_key") == F.col("text_key")).drop("text_key")
     # dealt by text and document, so that the copies of one text do not meet in one task
     one = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first"))
@@ -304,12 +422,6 @@ def open_windows(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "win bigint, text_key bigint, pos int"))
 
 
-def _runs(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row, size) of each run of equal windows."""
-    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
-    return first, np.diff(np.append(first, len(win)))
-
-
 def settled_windows(windows: DataFrame) -> DataFrame:
     """(state, win, text_key, pos): neighbours compared within each partition,
     before any shuffle. A run of two texts or more is SETTLED there, and one
@@ -402,27 +514,31 @@ def joined_spans(runs: DataFrame) -> DataFrame:
                                    "start": pa.array([held[1]], pa.int64()),
                                    "length": pa.array([held[2] - held[1]], pa.int64())})
 
-    return (runs.repartition("text_key").sortWithinPartitions("text_key", "start")
-            .mapInArrow(run, "text_key bigint, start bigint, length bigint"))
+    def joined(rows):
+        return rows.sortWithinPartitions("text_key", "start").mapInArrow(
+            run, "text_key bigint, start bigint, length bigint")
+
+    # joined before the shuffle too
+    near = joined(runs).select("text_key", "start", (F.col("start") + F.col("length")).alias("stop"))
+    return joined(near.repartition("text_key"))
 
 
 def repeated_runs(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(text_key, start, stop): runs of MIN_WORDS words or more that another
-    text holds too; together they cover every such run."""
-    texts = checkpointed(suffixes.groupBy("text_key").agg(
-        F.min("doc_id").alias("_first"), F.first("n_words").alias("n_words"),
-        F.first("suffixes").alias("suffixes")))
-    shared = shared_suffixes(texts)
-    alone, pos = F.col("a") == F.col("b"), F.col("pos")
-    settled = shared.where(~alone).select(
+    text holds too; together they cover every such run. Settled ones may end
+    behind the end of the text."""
+    spark, pos = docs.sparkSession, F.col("pos")
+    folder = shared_folder(spark, "suffixes")
+    shared = written(shared_suffixes(suffixes), f"{folder}/shared")
+    settled = shared.where(F.col("state") == SETTLED).select(
         "text_key", F.greatest(pos - REACH, F.lit(0)).cast("bigint").alias("start"),
-        F.least(pos + GRAM + REACH, F.col("n_words")).cast("bigint").alias("stop"))
-    # beside the open suffixes, one text's rows of each repeated context of their grams
-    wide = checkpointed(wide_suffixes(
-        docs, shared.where(F.col("open") & (F.col("text_key") == F.col("a"))),
-        texts.select("text_key", "_first")))
-    by_after = checkpointed(compared(wide, "after"))
-    rows = checkpointed(compared(by_after, "before"))
+        (pos + MIN_WORDS).cast("bigint").alias("stop"))
+    # beside the open suffixes, one row of each settled context of their grams
+    lone = shared.where(F.col("state") == OPEN)
+    seen = shared.where(F.col("state") == WITNESS).join(lone.select("gram").distinct(), "gram", "left_semi")
+    wide = written(wide_suffixes(docs, lone.unionByName(seen), suffixes.groupBy("text_key").agg(
+        F.min("doc_id").alias("_first"))), f"{folder}/wide")
+    rows = written(compared(compared(wide, "after"), "before"), f"{folder}/compared")
     # between the outermost repeated windows all hold the gram, so they overlap
     extended = rows.where((F.col("a") == F.col("b")) & F.col("first").isNotNull()).select(
         F.col("a").alias("text_key"), (pos - F.col("last")).cast("bigint").alias("start"),
@@ -444,5 +560,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copied = copied.where("n > 1").select("text_key", F.lit(0).cast("bigint").alias("start"),
                                           F.col("w").cast("bigint").alias("length"), F.lit(True).alias("whole"))
     parts = spans.join(copied.select("text_key"), "text_key", "left_anti").withColumn("whole", F.lit(False))
+    inside = F.least("length", F.col("n_words") - F.col("start")).alias("length")
     return long_enough.join(copied.unionByName(parts), "text_key").select(
-        "doc_id", "start", "length", F.col("n_words").cast("bigint").alias("n_words"), "whole")
+        "doc_id", "start", inside, F.col("n_words").cast("bigint").alias("n_words"), "whole")
