@@ -5,11 +5,17 @@ The Manhattan distance of two count vectors never exceeds the number of
 differing bits, so it bounds it from below. Distance 4 in all means distance
 2 or less in one half of the segments, and two vectors at distance 2 or less
 share a grid cell at distance 1 or less from each: every distinct fingerprint
-is listed in its own cell of either half and in the cells one step away, and
-fingerprints that share a cell are compared exactly by their bits.
-
-A cell's comparisons stay in its task and only links that join two parts of
-the cell come out (at most one fewer than its fingerprints), so a group of
+is listed in its own cell of either half and in the cells one step away. A
+cell is cut by the bit patterns that have its counts: a fingerprint stands at
+its own pattern and at those one bit away, and two that differ in 2 bits or
+fewer of the half meet at a pattern between them. So a row is met by the few
+that share 31 bits of a half with it, a common cell lies in several tasks, and
+fingerprints at one pattern are compared, the lower bound first, then the bits.
+
+At a pattern that very many fingerprints share, the other half differs in 4
+bits or fewer, so one of its quarters in 2 or fewer: there they meet once more
+at patterns one bit away from either quarter. Only links that join two parts of
+a large group come out (at most one fewer than its fingerprints), so a group of
 near copies never becomes its square of pairs; connected components over the
 links are those over all pairs.
 
@@ -33,8 +39,12 @@ from crossbook.llm.components import connected_components
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: Cells of up to so many fingerprints are compared together, larger ones alone.
+#: Groups of up to so many fingerprints are compared together, larger ones alone,
+#: and those beyond WIDE_CELL by the quarters of their other half.
 SMALL_CELL = 64
+WIDE_CELL = 2_048
+#: Rows of quarters held at a time.
+QUARTER_ROWS = 2_000_000
 
 _PAIRS = np.uint64(0x5555555555555555)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -101,21 +111,17 @@ def near(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def cells_of(fp: np.ndarray):
-    """(cell, fingerprint) rows: either half's own cell and those one step away."""
-    counts = segment_counts(fp)
-    cells, owners = [], []
+    """(cell, pattern, fingerprint) rows: either half's own cell and those one
+    step away, at each bit pattern of the cell that is one bit away."""
+    cells, patterns, owners = [], [], []
     for half in (0, 1):
-        own = (counts >> np.uint64(32 * half)) & _LOW
+        own = (fp >> np.uint64(32 * half)) & _LOW
         tag = np.uint64(half << 32)
-        cells.append(own | tag)
-        owners.append(fp)
-        for seg in range(16):
-            shift = np.uint64(2 * seg)
-            value = (own >> shift) & np.uint64(3)
-            up, down = value < 2, value > 0
-            cells += [(own[up] + (np.uint64(1) << shift)) | tag, (own[down] - (np.uint64(1) << shift)) | tag]
-            owners += [fp[up], fp[down]]
-    return np.concatenate(cells), np.concatenate(owners)
+        for step in [np.uint64(0)] + [np.uint64(1 << bit) for bit in range(32)]:
+            patterns.append(own ^ step)
+            cells.append(segment_counts(own ^ step) | tag)
+            owners.append(fp)
+    return np.concatenate(cells), np.concatenate(patterns), np.concatenate(owners)
 
 
 def _links_in_small_cells(cell, fp, max_bits):
@@ -149,54 +155,90 @@ def _links_in_large_cell(fp, max_bits):
     return left, right
 
 
-def cell_links(cell: np.ndarray, fp: np.ndarray, max_bits: int):
-    """Links among rows sorted by cell."""
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    sizes = np.diff(np.append(starts, len(cell)))
+def _links_in_wide_cell(fp, half, max_bits):
+    """Links among fingerprints at one pattern of a half: each meets those that
+    are near it in a quarter of the other half, a share of the quarters at a time."""
+    other = (fp >> np.uint64(32 * (1 - half))) & _LOW
+    parts = np.uint64(1 + 17 * len(fp) // QUARTER_ROWS)
+    left, right = [], []
+    for quarter in (0, 16):
+        own = (other >> np.uint64(quarter)) & np.uint64(0xFFFF)
+        for part in range(int(parts)):
+            at, owners = [], []
+            for step in [0] + [1 << bit for bit in range(16)]:
+                place = own ^ np.uint64(step)
+                took = np.flatnonzero(place % parts == part)
+                at.append(place[took])
+                owners.append(took)
+            at, owners = np.concatenate(at), np.concatenate(owners)
+            order = np.argsort(at, kind="stable")
+            a, b = group_links(at[order], fp[owners[order]], max_bits)
+            left.append(a)
+            right.append(b)
+    return left, right
+
+
+def group_links(group: np.ndarray, fp: np.ndarray, max_bits: int, halves: np.ndarray | None = None):
+    """Links among rows sorted by group; with ``halves`` given (the half that a
+    row's group agrees in), wide groups are taken by the quarters of the other."""
+    empty = np.empty(0, np.uint64)
+    if not len(group):
+        return empty, empty
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.append(starts, len(group)))
     large = np.repeat(sizes > SMALL_CELL, sizes)
-    left, right = _links_in_small_cells(cell[~large], fp[~large], max_bits)
+    left, right = _links_in_small_cells(group[~large], fp[~large], max_bits)
     for at, n in zip(starts[sizes > SMALL_CELL], sizes[sizes > SMALL_CELL]):
-        a, b = _links_in_large_cell(fp[at:at + n], max_bits)
+        if halves is not None and n > WIDE_CELL:
+            a, b = _links_in_wide_cell(fp[at:at + n], int(halves[at]), max_bits)
+        else:
+            a, b = _links_in_large_cell(fp[at:at + n], max_bits)
         left += a
         right += b
-    empty = np.empty(0, np.uint64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+def grid_rows(distinct: DataFrame) -> DataFrame:
+    """(cell, pattern, fp): the rows of cells_of for all fingerprints."""
+
+    def spread(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 10_000):
+                fp = batch.column(0).slice(start, 10_000).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield pa.record_batch({n: pa.array(c.view(np.int64))
+                                       for n, c in zip(("cell", "pattern", "fp"), cells_of(fp))})
+
+    return distinct.select("fp").mapInArrow(spread, "cell bigint, pattern bigint, fp bigint")
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that span the
     same components as all pairs at ``max_bits`` or fewer differing bits."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the grid of half vectors holds for at most 4 differing bits")
 
-    def spread(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 20_000):
-                fp = batch.column(0).slice(start, 20_000).to_numpy(zero_copy_only=False).view(np.uint64)
-                cell, own = cells_of(fp)
-                yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "fp": pa.array(own.view(np.int64))})
-
     def verify(batches):
-        # a cell may go on in the next batch: its rows wait for the rest
-        held_cell, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        # a pattern may go on in the next batch: its rows wait for the rest
+        held = np.empty((3, 0), np.int64)
 
-        def linked(cell, fp):
-            a, b = cell_links(cell, fp, max_bits)
+        def linked(part):
+            half = part[0] >> 32
+            a, b = group_links(part[1] | half << 32, part[2].view(np.uint64), max_bits, half)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.record_batch({"a": pa.array(pairs[0].view(np.int64)), "b": pa.array(pairs[1].view(np.int64))})
 
         for batch in batches:
-            cell = np.concatenate([held_cell, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(cell):
+            part = np.concatenate([held, [c.to_numpy(zero_copy_only=False) for c in batch.columns]], axis=1)
+            if not part.shape[1]:
                 continue
-            last = int(np.searchsorted(cell, cell[-1], "left"))
-            yield linked(cell[:last], fp[:last])
-            held_cell, held_fp = cell[last:], fp[last:]
-        yield linked(held_cell, held_fp)
-
-    cells = distinct.select("fp").mapInArrow(spread, "cell bigint, fp bigint")
-    return (cells.repartition("cell").sortWithinPartitions("cell")
+            last = int((part[:2] == part[:2, -1:]).all(axis=0).argmax())
+            if last:
+                yield linked(part[:, :last])
+            held = part[:, last:]
+        if held.shape[1]:
+            yield linked(held)
+
+    return (grid_rows(distinct).repartition("cell", "pattern").sortWithinPartitions("cell", "pattern")
             .mapInArrow(verify, "a bigint, b bigint").distinct())
 
 
