@@ -733,7 +733,7 @@ def q_service_counts(spark, sf_dir):
     counts = stream_folder(spark, "counts")
     recorder = record_counts(spark, counts)
     try:
-        _, (matcher, _) = _run_service(spark, sf_dir, "counted")
+        _, (matcher,) = _run_service(spark, sf_dir, "counted")
         recorder.wait(matcher)
     finally:
         spark.streams.removeListener(recorder)

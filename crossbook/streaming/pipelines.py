@@ -107,6 +107,9 @@ def observe_ingest(parsed: DataFrame, name: str = "ingest") -> DataFrame:
         F.sum(F.col("malformed").cast("long")).alias("malformed"))
 
 
+#: Kind of a raw row that is a message set aside.
+MALFORMED = "malformed"
+
 COUNT_SCHEMA = "run_id string, batch_id long, name string, metric string, value long"
 
 
@@ -188,14 +191,16 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
                     event_tick_us: int | None = None, watermark_delay: str | None = None):
     """The order service from end to end: ``messages`` (key = symbol, seq,
     value = JSON order) are parsed and matched, and each execution's trade and
-    price messages are published; returns the two started queries.
+    price messages are published; returns the started query, in a tuple.
 
     Good orders go through ``match_stream``. A micro-batch's raw rows are
     written once to ``folder/raw/batch_id=N`` (late rows stay there), then
     ``publish(messages, batch_id)`` gets its (topic, key, value) rows; by
     default they overwrite ``folder/topics/batch_id=N/topic=...``, so a replayed
     batch replaces its rows. A null key is the symbol 'X', as without a symbol.
-    Malformed messages go to ``folder/quarantine/out`` in a query of their own.
+    Malformed messages pass the matching by in the same query and overwrite
+    ``folder/quarantine/out/batch_id=N``, so what is set aside and what is
+    published always stand at the same micro-batch.
 
     ``event_tick_us`` (with ``watermark_delay``, see ``match_stream``) publishes
     sampled mids beside the fill prices, on one price topic. Each batch's
@@ -220,17 +225,20 @@ def run_order_topic(messages: DataFrame, folder: str, level_priority: str = "bes
     def handle(batch: DataFrame, batch_id: int) -> None:
         own = f"{folder}/raw/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(own)
-        written = batch.sparkSession.read.schema(RAW_SCHEMA).parquet(own)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(own)
+        aside = stored.where(F.col("kind") == MALFORMED).select("symbol", "seq", "value")
+        aside.write.mode("overwrite").parquet(f"{folder}/quarantine/out/batch_id={batch_id}")
+        written = stored.where(F.col("kind") != MALFORMED).select(*RAW_SCHEMA.names)
         out = fill_messages(MatchResult(written).fills)
         send(out.unionByName(mid_messages(stream_mids(written))) if event_tick_us else out, batch_id)
 
-    matcher = (raw.writeStream.foreachBatch(handle).outputMode("append")
+    bad = parsed.where(F.col("malformed")).select(F.lit(MALFORMED).alias("kind"), "symbol", "seq", "value")
+    matcher = (raw.unionByName(bad, allowMissingColumns=True)
+               .writeStream.foreachBatch(handle).outputMode("append")
                .option("checkpointLocation", f"{folder}/checkpoint"))
     if available_now:
         matcher = matcher.trigger(availableNow=True)
-    bad = parsed.where(F.col("malformed")).select("symbol", "seq", "value")
-    return (start_with_state_partitions(matcher, messages.sparkSession, state_partitions),
-            run_to_parquet(bad, f"{folder}/quarantine", available_now=available_now))
+    return (start_with_state_partitions(matcher, messages.sparkSession, state_partitions),)
 
 
 def book_from_state(spark: SparkSession, checkpoint: str, level_priority: str = "best_price",
