@@ -55,6 +55,23 @@ def test_match_split_between_rows(spark):
     assert _covered(got) == brute_passages(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("held", [1, 4])
+def test_common_grams_are_told_in_pieces(spark, monkeypatch, held):
+    """A gram that most texts hold, with its whole context, in copies, and amid
+    words of their own, where no more than a few of its rows may wait."""
+    monkeypatch.setattr(suffix_dedup, "HELD_ROWS", held)
+    rng = np.random.default_rng(11)
+    core = [f"w{i}" for i in range(25)]
+    texts = [" ".join([f"p{n}_{i}" for i in range(30)] + core + [f"q{n}_{i}" for i in range(30)]) for n in range(30)]
+    texts += [" ".join([f"p{n}_{i}" for i in range(30)] + core + [f"q0_{i}" for i in range(24)] + ["z"] * n)
+              for n in range(1, 12)]
+    common = [f"c{i}" for i in range(80)]
+    texts += [" ".join([f"h{n}"] + common + [f"t{n}"] + common[:int(rng.integers(20, 60))]) for n in range(25)]
+    texts += [texts[0], texts[45]] * 12
+    got = _small_batches(spark, spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(4))
+    assert _covered(got) == brute_passages(list(enumerate(texts)))
+
+
 def test_neighbours_bound_what_a_row_can_share():
     words = np.zeros((3, suffix_dedup.REACH), np.uint64)
     words[:, :4] = [[1, 2, 3, 4], [1, 2, 3, 0], [1, 2, 5, 0]]
