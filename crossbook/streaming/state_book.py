@@ -13,7 +13,9 @@ A micro-batch reads the best level of a side through the index, each further
 level only when the fold takes the one before it, and any other level by its
 price. It writes back the levels it touched and the index pages of created and
 removed ones. Its cost follows the levels it touches (and the index's height),
-not the levels or orders that rest. A timer reads the best prices alone.
+not the levels or orders that rest. State is not asked for what is known: a
+symbol without meta has nothing there, and a best_price level is there if its
+price is in the index. A timer reads the best prices alone.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ class LevelIndex:
     tree of pages. Keys are prices for asks and negated prices for bids, so the
     least key is the best level."""
 
-    def __init__(self, side_name: str, state, root: int, pages: int):
-        self.side_name, self.state = side_name, state
+    def __init__(self, side_name: str, state, root: int, pages: int, fresh: bool = False):
+        self.side_name, self.state, self.fresh = side_name, state, fresh
         self.root, self.pages = root, pages
         self.held: dict[int, tuple[bool, list, list]] = {}
         self.changed: set[int] = set()
@@ -55,7 +57,9 @@ class LevelIndex:
     def _page(self, n: int) -> tuple[bool, list, list]:
         if n not in self.held:
             key = (self.side_name, n)
-            leaf, keys, kids = self.state.getValue(key) if self.state.containsKey(key) else (True, (), ())
+            # only the first page may not have been written yet
+            there = n or (not self.fresh and self.state.containsKey(key))
+            leaf, keys, kids = self.state.getValue(key) if there else (True, (), ())
             self.held[n] = (leaf, list(keys), list(kids))
         return self.held[n]
 
@@ -85,6 +89,11 @@ class LevelIndex:
     def first(self):
         return self._least(self.root)
 
+    def holds(self, key: float) -> bool:
+        keys = self._page(self._path(key)[-1][0])[1]
+        i = bisect_left(keys, key)
+        return i < len(keys) and keys[i] == key
+
     def after(self, key: float):
         """The least key above ``key``."""
         path = self._path(key)
@@ -211,8 +220,9 @@ class LazyQueues(dict):
     Remembers created and removed levels for the write-back. ``levels`` is the
     side's index (best_price) or its LazyLevels (first_seen)."""
 
-    def __init__(self, side_name: str, state, levels, heap):
+    def __init__(self, side_name: str, state, levels, heap, fresh: bool = False):
         super().__init__()
+        self.fresh = fresh
         self.side_name, self.state, self.levels, self.heap = side_name, state, levels, heap
         self.sign = -1.0 if side_name == BUY else 1.0
         self.in_state: dict[float, int] = {}  # levels found in state, and their counters
@@ -223,10 +233,19 @@ class LazyQueues(dict):
         if self.frontier is not None:
             heap.append(self.frontier)
 
+    def _there(self, price) -> bool:
+        """Whether state has a level at the price. The index knows, but for
+        what it does not tell apart or order: 0.0 and -0.0, NaN, None."""
+        if self.fresh:
+            return False
+        if self.indexed and price and price == price:
+            return self.levels.holds(self.sign * price)
+        return self.state.containsKey((self.side_name, price))
+
     def _load(self, price) -> bool:
         """Whether state has the level; if so it is held from now on."""
         key = (self.side_name, price)
-        if price in self.absent or not self.state.containsKey(key):
+        if price in self.absent or not self._there(price):
             self.absent.add(price)
             return False
         value = self.state.getValue(key)
@@ -280,7 +299,7 @@ class LazyQueues(dict):
         """Levels of state that are no more."""
         unread = [] if self.indexed else [p for p in self.levels.dropped if p not in self.in_state]
         return [p for p in dict.fromkeys([*self.in_state, *unread])
-                if not dict.__contains__(self, p) and self.state.containsKey((self.side_name, p))]
+                if not dict.__contains__(self, p) and self._there(p)]
 
 
 class StateBook:
@@ -294,14 +313,15 @@ class StateBook:
 
     def load(self, level_priority: str, residual: str):
         book = Book(level_priority, residual)
-        meta = self.meta.get() if self.meta.exists() else EMPTY_META
+        meta = self.meta.get()
+        fresh, meta = meta is None, meta or EMPTY_META
         last, next_level, _, _, book.arrivals = meta[:5]
         for side_name, side, (root, pages, count) in ((BUY, book.bids, meta[5:8]), (SELL, book.asks, meta[8:11])):
             if book.first_seen:
                 side.levels = levels = LazyLevels(side_name, self.firsts, count)
             else:
-                levels = LevelIndex(side_name, self.pages, root, pages)
-            side.queues = LazyQueues(side_name, self.queues, levels, side.heap)
+                levels = LevelIndex(side_name, self.pages, root, pages, fresh)
+            side.queues = LazyQueues(side_name, self.queues, levels, side.heap, fresh)
         return book, json.loads(last), next_level
 
     def save(self, book: Book, last, next_level: int) -> None:
@@ -327,4 +347,5 @@ class StateBook:
 
     def top(self):
         """(best bid, best ask) after the last micro-batch; no level is read."""
-        return tuple(self.meta.get()[2:4]) if self.meta.exists() else (None, None)
+        meta = self.meta.get()
+        return tuple(meta[2:4]) if meta is not None else (None, None)
