@@ -21,6 +21,9 @@ event-time timer once the watermark passes it; the mids are the same on every
 replay. ``mid_tick_ms``: a processing-time timer, for a live display.
 
 Output rows use the batch plan's raw schema: kind = fill | late | mid | top | order.
+They leave the processor packed, a symbol's rows of one kind as arrays, and the
+mids between two changes of the book as their first time and number; Spark
+expands both (``unpack``).
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from itertools import batched, islice
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from crossbook.plans.kernel import BUY, RAW_COLUMNS, SELL, Book, RawWriter, fold_symbol
 from crossbook.plans.match import RAW_SCHEMA, ship_package
@@ -98,21 +102,17 @@ class EventTicks:
     first top-of-book change."""
 
     def __init__(self, tick_us: int, due: int | None):
-        self.tick_us, self.due = tick_us, due
+        self.tick_us, self.due, self.was = tick_us, due, due
 
     def upto(self, stop: int, top):
-        """(grid time, bid, ask) of the samples due before ``stop`` that have
-        both sides and a bid above 0."""
+        """The samples due before ``stop``, if the book has both sides and a
+        bid above 0: [(first grid time, their number, bid, ask)], or []."""
         bid, ask = top
         if self.due is None or self.due >= stop:
-            return
-        found = bid is not None and ask is not None and bid > 0
-        while self.due < stop:
-            if not found:  # nothing to say until the book changes
-                self.due += -(-(stop - self.due) // self.tick_us) * self.tick_us
-                return
-            yield self.due, bid, ask
-            self.due += self.tick_us
+            return []
+        first, n = self.due, -(-(stop - self.due) // self.tick_us)
+        self.due += n * self.tick_us
+        return [(first, n, bid, ask)] if bid is not None and ask is not None and bid > 0 else []
 
     def start(self, ts: int) -> None:
         if self.due is None:
@@ -125,7 +125,7 @@ class MatchProcessor(StatefulProcessor):
     def __init__(self, level_priority: str = "best_price", residual: str = "tail",
                  mid_tick_ms: int | None = None, emit_orders: bool = False, seeded: bool = False,
                  event_tick_us: int | None = None, timers: bool = False, run_rows: int | None = None,
-                 piece_rows: int | None = None):
+                 piece_rows: int | None = None, packed: bool = False):
         Book(level_priority, residual)  # validate
         self.level_priority = level_priority
         self.residual = residual
@@ -135,6 +135,7 @@ class MatchProcessor(StatefulProcessor):
         self.event_tick_us = event_tick_us
         self.timers = timers
         self.run_rows, self.piece_rows = run_rows, piece_rows
+        self.packed = packed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -156,18 +157,27 @@ class MatchProcessor(StatefulProcessor):
     def _ticks(self) -> EventTicks | None:
         if not self.event_tick_us:
             return None
-        return EventTicks(self.event_tick_us, self.due.get()[0] if self.due.exists() else None)
+        due = self.due.get()
+        return EventTicks(self.event_tick_us, None if due is None else due[0])
 
     def _keep(self, ticks: EventTicks | None) -> None:
         """Write the next grid time, and wake up for it."""
-        if ticks is None or ticks.due is None:
+        if ticks is None or ticks.due == ticks.was:
             return
         self.due.update((ticks.due,))
         if self.timers:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if ticks.was is not None:
+                self.handle.deleteTimer(-(-ticks.was // 1000))
             self.handle.registerTimer(-(-ticks.due // 1000))
 
+    def _emit(self, symbol, writer: RawWriter, spans=()):
+        """Output rows of what was written and of samples."""
+        if self.packed:
+            yield from _packed(symbol, writer, spans)
+        else:
+            yield from _rows(writer)
+            yield from _mids(symbol, self.event_tick_us, spans)
+
     def _arm_timer(self, timer_values) -> None:
         if not self.mid_tick_ms:
             return
@@ -184,7 +194,9 @@ class MatchProcessor(StatefulProcessor):
         fold_symbol(book, symbol, self._waiting_seeds(), writer, late_check=False,
                     emit_orders=self.emit_orders)
         done = None if last is None else arrival_key(last)
-        ordered = self.runs.ordered(tuple(r[f] for f in ROW_FIELDS) for r in rows)
+        # match_stream's rows are the symbol and ROW_FIELDS, by place
+        fields = slice(1, 1 + len(ROW_FIELDS))
+        ordered = self.runs.ordered(r[fields] if self.packed else tuple(r[f] for f in ROW_FIELDS) for r in rows)
         for some in batched(ordered, OUTPUT_ROWS):
             fresh = some if done is None else [r for r in some if arrival_key(r) > done]
             for seq, order_id, price, quantity, timestamp in some[:len(some) - len(fresh)]:
@@ -192,11 +204,11 @@ class MatchProcessor(StatefulProcessor):
                             seq, quantity, timestamp, kind="late")
             if ticks is None:
                 fold_symbol(book, symbol, fresh, writer, late_check=False, emit_orders=self.emit_orders)
-                yield from _rows(writer)
+                yield from self._emit(symbol, writer)
             else:
                 yield from self._fold_ticking(book, symbol, fresh, writer, ticks)
             last = fresh[-1] if fresh else last
-        yield from _rows(writer)
+        yield from self._emit(symbol, writer)
         self._save(book, last)
         self._keep(ticks)
         self._arm_timer(timerValues)
@@ -205,10 +217,11 @@ class MatchProcessor(StatefulProcessor):
         """Fold rows one by one, sampling the grid times before each, with a
         row per change of the top of the book."""
         top = book.top()
+        spans = []
         for row in rows:
             ts = row[4]
             if ts is not None:
-                yield from _mids(symbol, ticks.upto(ts, top))
+                spans += ticks.upto(ts, top)
             fold_symbol(book, symbol, (row,), writer, late_check=False, emit_orders=self.emit_orders)
             now = book.top()
             if now != top:
@@ -217,14 +230,16 @@ class MatchProcessor(StatefulProcessor):
                 if ts is not None:
                     ticks.start(ts)
             if writer.n >= OUTPUT_ROWS:
-                yield from _rows(writer)
+                yield from self._emit(symbol, writer, spans)
+                spans = []
+        yield from self._emit(symbol, writer, spans)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """STR-7: seed orders (e.g. one bid and one ask) wait for the symbol's
         first order; they are folded before it, in arrival order, and their own
-        fills come out with its. They make no order late."""
-        r = initialState
-        self.seeds.appendValue((r["seq"], r["order_id"], r["price"], r["quantity"], r["timestamp"]))
+        fills come out with its. They make no order late. All of a symbol's
+        seeds come in one row, as arrays."""
+        self.seeds.put(list(zip(*(initialState[f] for f in ROW_FIELDS))))
 
     def _waiting_seeds(self):
         if not self.seeded or not self.seeds.exists():
@@ -239,25 +254,62 @@ class MatchProcessor(StatefulProcessor):
         top = self.state.top()
         if self.event_tick_us:
             ticks = self._ticks()
-            yield from _mids(key[0], ticks.upto(timerValues.getCurrentWatermarkInMs() * 1000 + 1, top))
+            spans = ticks.upto(timerValues.getCurrentWatermarkInMs() * 1000 + 1, top)
+            yield from self._emit(key[0], RawWriter(), spans)
             self._keep(ticks)
             return
         fired = expiredTimerInfo.getExpiryTimeInMs()
         if self.mid_tick_ms:
             self.handle.registerTimer(fired + self.mid_tick_ms)
         if top[0] is not None and top[1] is not None and top[0] > 0:
-            yield from _mids(key[0], [(fired * 1000, *top)])
+            yield from self._emit(key[0], RawWriter(), [(fired * 1000, 1, *top)])
 
     def close(self) -> None:
         pass
 
 
-def _mids(symbol, samples):
-    """``mid`` rows of (time, bid, ask) samples."""
+def _mids(symbol, tick_us, spans):
+    """``mid`` rows of samples, see EventTicks.upto."""
     empty = dict.fromkeys(RAW_COLUMNS)
-    for ts, bid, ask in samples:
-        yield Row(**(empty | {"kind": "mid", "symbol": symbol, "timestamp": ts, "price": (bid + ask) / 2,
-                              "best_bid": bid, "best_ask": ask}))
+    for first, n, bid, ask in spans:
+        for i in range(n):
+            yield Row(**(empty | {"kind": "mid", "symbol": symbol, "timestamp": first + i * (tick_us or 0),
+                                  "price": (bid + ask) / 2, "best_bid": bid, "best_ask": ask}))
+
+
+MID_FIELDS = ("kind", "symbol", "timestamp", "best_bid", "best_ask", "price", "ticks")
+PACKED_COLUMNS = (*RAW_COLUMNS, "ticks")
+PACKED_SCHEMA = StructType([StructField(f.name, ArrayType(f.dataType)) for f in RAW_SCHEMA.fields]
+                           + [StructField("ticks", ArrayType(LongType()))])
+
+
+def _packed(symbol, writer: RawWriter, spans):
+    """One row of arrays per kind of output; a column that a kind never sets is null."""
+    parts = writer.take_parts()
+    if spans:
+        first, n, bid, ask = zip(*spans)
+        mids = ("mid",) * len(n), (symbol,) * len(n), first, bid, ask, tuple((b + a) / 2 for b, a in zip(bid, ask)), n
+        parts.append((None, MID_FIELDS, mids))
+    empty = dict.fromkeys(PACKED_COLUMNS)
+    for kind, fields, columns in parts:
+        row = empty | dict(zip(fields, columns))
+        if kind is not None:
+            row["kind"] = (kind,) * len(columns[0])
+        yield Row(**row)
+
+
+def unpack(packed: DataFrame, tick_us: int | None) -> DataFrame:
+    """Packed rows as rows of RAW_SCHEMA; the ``ticks`` mids from one time on
+    as a row each."""
+    none = F.array()
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f.name), none.cast(f.dataType)) for f in PACKED_SCHEMA.fields])
+    rows = ArrayType(StructType([StructField(f.name, f.dataType.elementType) for f in PACKED_SCHEMA.fields]))
+    out = packed.select(F.inline(zipped.cast(rows)))
+    if tick_us:
+        more = F.when(F.col("ticks") > 1, F.sequence(F.lit(0).cast("long"), F.col("ticks") - 1)).otherwise(
+            F.array(F.lit(0).cast("long")))
+        out = out.withColumn("n", F.explode(more)).withColumn("timestamp", F.col("timestamp") + F.col("n") * tick_us)
+    return out.select(*RAW_COLUMNS)
 
 
 def match_stream(orders: DataFrame, level_priority: str = "best_price", residual: str = "tail",
@@ -298,12 +350,15 @@ def match_stream(orders: DataFrame, level_priority: str = "best_price", residual
             "event_time", watermark_delay)
     initial = None
     if seeds is not None:
-        initial = typed(seeds).groupBy("symbol")
-    return rows.groupBy("symbol").transformWithState(
+        # a symbol's seeds in one row: one call of the processor and one write
+        by_symbol = typed(seeds).groupBy("symbol").agg(F.collect_list(F.struct(*ROW_FIELDS)).alias("rows"))
+        initial = by_symbol.select("symbol", *[F.col(f"rows.{f}").alias(f) for f in ROW_FIELDS]).groupBy("symbol")
+    packed = rows.groupBy("symbol").transformWithState(
         MatchProcessor(level_priority, residual, mid_tick_ms, emit_orders, seeds is not None, event_tick_us, timers,
-                       run_rows, piece_rows),
-        RAW_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "EventTime" if timers else "None",
+                       run_rows, piece_rows, packed=True),
+        PACKED_SCHEMA, "Append", "ProcessingTime" if mid_tick_ms else "EventTime" if timers else "None",
         initialState=initial)
+    return unpack(packed, event_tick_us)
 
 
 def stream_fills(raw: DataFrame) -> DataFrame:
