@@ -335,41 +335,53 @@ class EventHeartbeat(StatefulProcessor):
     """STR-6 (stream, event time): after each price, repeat it every
     ``tick_us`` while no new price arrives. Beats between two prices come out
     when the second arrives; with ``timers`` those after the last price when
-    the watermark passes them. Every price deletes the timer and sets it anew."""
+    the watermark passes them. Every price deletes the timer and sets it anew.
+    ``packed``: one row per call, arrays of price, source_ts, first beat and number."""
 
-    def __init__(self, tick_us: int, timers: bool):
-        self.tick_us, self.timers = tick_us, timers
+    def __init__(self, tick_us: int, timers: bool, packed: bool = False):
+        self.tick_us, self.timers, self.packed = tick_us, timers, packed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "price double, ts long, due long")
 
-    def _beats(self, symbol, price, ts, due, stop):
-        """Beats due before ``stop``."""
-        return [Row(symbol=symbol, price=price, source_ts=ts, beat_ts=b) for b in range(due, stop, self.tick_us)]
+    def _beats(self, price, ts, due, stop):
+        """Beats due before ``stop``: [(price, ts, the first, their number)], or []."""
+        return [(price, ts, due, -(-(stop - due) // self.tick_us))] if due < stop else []
 
-    def _keep(self, price, ts, due) -> None:
+    def _emit(self, symbol, spans):
+        if not self.packed:
+            for price, ts, first, n in spans:
+                for i in range(n):
+                    yield Row(symbol=symbol, price=price, source_ts=ts, beat_ts=first + i * self.tick_us)
+        elif spans:
+            yield Row(symbol=symbol, **dict(zip(("price", "source_ts", "beat_ts", "beats"), zip(*spans))))
+
+    def _keep(self, was, price, ts, due) -> None:
         self.last.update((price, ts, due))
         if self.timers:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if was is not None:
+                self.handle.deleteTimer(-(-was // 1000))
             self.handle.registerTimer(-(-due // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
         new = sorted((r["ts"], r["place"], r["price"]) for r in rows if r["ts"] is not None and r["price"] is not None)
-        last = self.last.get() if self.last.exists() else None
+        last = self.last.get()
+        was = None if last is None else last[2]
+        spans = []
         for ts, _, price in new:
             if last is not None:
-                yield from self._beats(key[0], *last, ts)
+                spans += self._beats(*last, ts)
             last = (price, ts, ts + self.tick_us)
+        yield from self._emit(key[0], spans)
         if new:
-            self._keep(*last)
+            self._keep(was, *last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         price, ts, due = self.last.get()
-        beats = self._beats(key[0], price, ts, due, timerValues.getCurrentWatermarkInMs() * 1000 + 1)
-        yield from beats
-        self._keep(price, ts, due + len(beats) * self.tick_us)
+        spans = self._beats(price, ts, due, timerValues.getCurrentWatermarkInMs() * 1000 + 1)
+        yield from self._emit(key[0], spans)
+        self._keep(due, price, ts, due + sum(s[3] for s in spans) * self.tick_us)
 
     def close(self) -> None:
         pass
@@ -386,9 +398,14 @@ def event_heartbeat_stream(prices: DataFrame, tick_us: int = 1_000_000, watermar
                          F.col("place").cast("long").alias("place"))
     if watermark_delay:
         rows = rows.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", watermark_delay)
-    return rows.groupBy("symbol").transformWithState(
-        EventHeartbeat(tick_us, bool(watermark_delay)), "symbol string, price double, source_ts long, beat_ts long",
+    packed = rows.groupBy("symbol").transformWithState(
+        EventHeartbeat(tick_us, bool(watermark_delay), packed=True),
+        "symbol string, price array<double>, source_ts array<long>, beat_ts array<long>, beats array<long>",
         "Append", "EventTime" if watermark_delay else "None")
+    spans = packed.select("symbol", F.inline(F.arrays_zip("price", "source_ts", "beat_ts", "beats")))
+    beats = F.sequence(F.lit(0).cast("long"), F.col("beats") - 1)
+    return spans.select("symbol", "price", "source_ts", "beat_ts", F.explode(beats).alias("n")).select(
+        "symbol", "price", "source_ts", (F.col("beat_ts") + F.col("n") * tick_us).alias("beat_ts"))
 
 
 def heartbeat_stream(prices: DataFrame, tick_ms: int = 1000, ts_col: str | None = None) -> DataFrame:
