@@ -309,7 +309,8 @@ def publish(rows: DataFrame, path: str, partitions: int | dict[str, int] = 1, tx
     publication. A key's messages go to one of the topic's ``partitions`` (one
     number, or one per topic) by its hash, in the order of the columns
     ``order``; a null key goes to partition 0. A column ``partition`` of the
-    rows decides instead."""
+    rows decides instead. Tasks write ranges of a partition in this order, so
+    their memory does not follow the partition's size."""
     register(rows.sparkSession)
     if isinstance(partitions, dict):
         count = F.coalesce(*[F.when(F.col("topic") == t, F.lit(n)) for t, n in partitions.items()], F.lit(1))
@@ -319,7 +320,10 @@ def publish(rows: DataFrame, path: str, partitions: int | dict[str, int] = 1, tx
     timestamp = F.col("timestamp").cast("long") if "timestamp" in rows.columns else F.lit(None).cast("long")
     out = rows if "partition" in rows.columns else rows.withColumn("partition", place)
     out = out.withColumn("partition", F.col("partition").cast("int")).withColumn("timestamp", timestamp)
-    out = out.repartition("topic", "partition").sortWithinPartitions("topic", "partition", *order)
+    # commit messages come by task, so ranges in order are segments in order; the
+    # hash splits a partition whose messages have no order of their own
+    spread = F.xxhash64("key", "value")
+    out = out.repartitionByRange("topic", "partition", *order, spread).sortWithinPartitions("topic", "partition", *order)
     writer = out.select("topic", "partition", F.lit(0).cast("long").alias("offset"), "timestamp",
                         F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
     writer = writer.write.format(FORMAT).mode("append").option("path", path)
